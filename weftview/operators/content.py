@@ -21,7 +21,7 @@ from ..functions.patterns import (
 )
 from ..functions.sqltext import rx_escape
 from ..functions.text import trim_ws
-from .tokens import elements, with_selector_attrs
+from .tokens import attr_value, elements, with_selector_attrs
 
 _ATTR_SEL = re.compile(r"^\[([A-Za-z-]+)(\*?)='([^']*)'\]$")
 _ATTR_COL = {"class": "a_class", "role": "a_role", "aria-hidden": "a_aria_hidden",
@@ -83,7 +83,11 @@ def page_structure(tokens: DataFrame) -> DataFrame:
     t = (t.withColumn("rank", content_rank())
          .withColumn("m_noise", any_selector(MAIN_NOISE_SELECTORS))
          .withColumn("p_noise", any_selector(PAGE_NOISE_SELECTORS)))
-    t = elements(t, carry=("m_noise", "p_noise"))
+    a, tag = F.col("attrs"), F.col("tag")
+    t = (t.withColumn("a_href", F.when(tag == "a", attr_value(a, "href")))
+         .withColumn("a_src", F.when(tag == "img", attr_value(a, "src")))
+         .withColumn("a_alt", F.when(tag == "img", attr_value(a, "alt"))))
+    t = elements(t, carry=("m_noise", "p_noise", "a_href"))
 
     # Main content: lowest rank, then longest text, then first in the page.
     w_all = Window.partitionBy("page_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("structure",)
+_MODULES = ("structure", "render")
 
 
 def _collect(attr: str) -> dict:

@@ -139,8 +139,11 @@ sa AS (SELECT *,
   FROM tokens),
 sb AS (SELECT *, {content_rank_sql()} AS rank,
   {any_selector_sql(MAIN_NOISE_SELECTORS)} AS m_noise,
-  {any_selector_sql(PAGE_NOISE_SELECTORS)} AS p_noise FROM sa),""" + elements_ctes(
-        "sb", ("m_noise", "p_noise")) + f""",
+  {any_selector_sql(PAGE_NOISE_SELECTORS)} AS p_noise,
+  CASE WHEN tag = 'a' THEN {attr_value_sql('attrs', 'href')} END AS a_href,
+  CASE WHEN tag = 'img' THEN {attr_value_sql('attrs', 'src')} END AS a_src,
+  CASE WHEN tag = 'img' THEN {attr_value_sql('attrs', 'alt')} END AS a_alt FROM sa),""" + elements_ctes(
+        "sb", ("m_noise", "p_noise", "a_href")) + f""",
 st1 AS (SELECT *, {best} AS best FROM elements),
 st2 AS (SELECT *, best.p AS main_pos, coalesce(best.e, 2147483647) AS main_end,
   best.g AS main_tag, -best.nl AS main_len FROM st1),
