@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("structure", "render")
+_MODULES = ("structure", "render", "linkq")
 
 
 def _collect(attr: str) -> dict:
