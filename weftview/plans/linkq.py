@@ -95,9 +95,6 @@ def _followable(spark, d) -> DataFrame:
 
 
 def follow_links(spark, d):
-    j = _followable(spark, d).join(pages_by_url(spark, d),
-                                   F.col("resolved") == F.col("url_t"), "inner") \
-        if False else None
     lk = _followable(spark, d)
     tgt = pages_by_url(spark, d).withColumnRenamed("url", "resolved")
     j = lk.join(tgt, "resolved", "inner")
