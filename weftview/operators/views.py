@@ -1,7 +1,9 @@
 """View catalogue and task fan-out.
 
-The catalogue is configuration: a handful of rows, so it is broadcast into the
-page-side plans (its size is bounded by the config, not by the data).
+The catalogue is configuration: a handful of rows (checked against
+``MAX_VIEWS``), validated as a DataFrame and then carried as a literal array
+inside the page-side expressions, so fanning pages out over views needs no
+join; its size is bounded by the config, not by the data.
 """
 
 from __future__ import annotations
@@ -132,3 +134,29 @@ def error_content(kind: Column, model: Column, error: Column) -> Column:
     return (F.when(kind == "auth", auth)
             .when(kind == "runtime", F.concat(F.lit("## ❌ Error\n\n"), error))
             .otherwise(F.concat(F.lit("## ❌ Unexpected Error\n\n"), error)))
+
+
+# A catalogue is configuration; more views than this means it is not one.
+MAX_VIEWS = 256
+
+
+def view_specs(spark: SparkSession, rows=None) -> list:
+    """The validated, enabled catalogue as driver-side rows (config-sized, checked)."""
+    specs = views_ready(spark, rows).orderBy("order", "input_pos").collect()
+    if len(specs) > MAX_VIEWS:
+        raise ValueError(f"view catalogue has {len(specs)} views; at most {MAX_VIEWS} supported")
+    return specs
+
+
+def fan_out(df: DataFrame, specs, fields: dict[str, str]) -> DataFrame:
+    """one row per input row and view, by exploding a literal array of the views.
+
+    ``fields`` maps output column -> catalogue field.  No join is planned: the
+    views travel inside the expression, so each input row fans out in place.
+    """
+    if not specs:
+        return df.where(F.lit(False)).select(
+            "*", *[F.lit(None).cast("string").alias(c) for c in fields])
+    arr = F.array(*[F.struct(*[F.lit(r[f]).alias(c) for c, f in fields.items()]) for r in specs])
+    return df.select("*", F.explode(arr).alias("_v")).select(
+        *[c for c in df.columns], *[F.col(f"_v.{c}").alias(c) for c in fields])

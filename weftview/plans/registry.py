@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("structure", "render", "linkq", "sessions")
+_MODULES = ("structure", "render", "linkq", "sessions", "viewq")
 
 
 def _collect(attr: str) -> dict:

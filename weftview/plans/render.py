@@ -125,14 +125,15 @@ QUERIES = {
 
 # --- oracle -------------------------------------------------------------------
 
-def render_ctes(view: str) -> str:
+def render_ctes(view: str, max_chars: int | None = None) -> str:
     """CTEs ending in ``rendered_<view>(page_id, url, title, md)``."""
     raw = view == "raw"
     mask = "true" if raw else "keep"
     w = "(PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     md = M.normalize_md_sql("coalesce(md, '')")
     md = M.unwrap_link_targets_sql(md)
-    md = M.strip_link_target_spaces_sql(md) if raw else truncate_sql(md, "NULL::BIGINT")
+    limit = "NULL::BIGINT" if max_chars is None else str(int(max_chars))
+    md = M.strip_link_target_spaces_sql(md) if raw else truncate_sql(md, limit)
     filt = "" if raw else " FILTER (WHERE keep)"
     return S.structure_ctes() + f""",
 rc1 AS (SELECT *, CASE WHEN {mask} THEN tag END AS mtag FROM structure),

@@ -20,7 +20,7 @@ from ..functions.patterns import HISTORY_CAP, SNAPSHOT_EVERY
 from ..functions.sqltext import lit
 from ..operators import chunks as C
 from ..operators import navigation as N
-from ..operators.views import DEFAULT_VIEWS, status_label, views_ready
+from ..operators.views import DEFAULT_VIEWS, fan_out, status_label, view_specs, views_ready
 from ..sources.tables import table
 
 # --- fixed values: how driver tables map onto sessions --------------------------
@@ -103,8 +103,8 @@ def on_demand_tasks(spark, d):
     """
     te = task_events(spark, d)
     has_page = te.where(F.col("event") == "navigate").select("session_id").distinct()
-    lazy = F.broadcast(views_ready(spark).where(~F.col("auto_load")).select(F.col("id").alias("view_id")))
-    wanted = has_page.crossJoin(lazy)
+    lazy = [v for v in view_specs(spark) if not v["auto_load"]]
+    wanted = fan_out(has_page, lazy, {"view_id": "id"})
     busy = _task_state(spark, d).select("session_id", "view_id")
     return wanted.join(busy, ["session_id", "view_id"], "left_anti")
 
