@@ -2,7 +2,7 @@
 
 Resolution follows ``urllib.parse.urljoin``: absolute ``http(s)://`` targets
 stay as they are; a target with another scheme (``mailto:``) is returned
-unchanged; ``//host`` keeps the base scheme; an empty path keeps the base path
+unchanged; ``//host`` keeps the base scheme; an empty target is the base itself; an empty path keeps the base path
 (and query when the target has none); other paths are merged with the base
 directory and ``.``/``..`` segments removed, empty middle segments of a
 relative path dropped.  Without a base, ``/x`` becomes
@@ -90,6 +90,7 @@ def resolve_url(target: Column, base: Column) -> Column:
                .otherwise(F.concat(F.lit(DEFAULT_SCHEME), target)))
     return (F.when(target.rlike(ABSOLUTE_HTTP_RE), target)
             .when(base.isNull() | (base == ""), no_base)
+            .when(target == "", base)
             .otherwise(with_base))
 
 
@@ -125,7 +126,8 @@ def resolve_url_sql(target: str, base: str) -> str:
     no_base = (f"(CASE WHEN starts_with({target}, '/') THEN {lit(NO_BASE_HOST)} || {target} "
                f"ELSE {lit(DEFAULT_SCHEME)} || {target} END)")
     return (f"(CASE WHEN regexp_matches({target}, {lit(ABSOLUTE_HTTP_RE)}) THEN {target} "
-            f"WHEN {base} IS NULL OR {base} = '' THEN {no_base} ELSE {with_base} END)")
+            f"WHEN {base} IS NULL OR {base} = '' THEN {no_base} "
+            f"WHEN {target} = '' THEN {base} ELSE {with_base} END)")
 
 
 def link_class(resolved: Column) -> Column:
