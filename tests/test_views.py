@@ -1,5 +1,8 @@
 """View catalogue, tasks, requests and completion."""
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from weftview.operators import views as V
@@ -51,6 +54,10 @@ def test_status_label_and_prefix(spark):
     assert [r[0] for r in ids.select(V.normalize_view_id(F.col("i"))).collect()] == ["summary", "raw"]
 
 
+# The fake client lives in this test module; ship it by value to the workers.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _make_client(model):
     if model == "broken":
         raise RuntimeError("cannot create")
@@ -80,3 +87,26 @@ def test_completion_chunks_errors_and_fallback(spark):
     assert [r.error_kind for r in by[3]] == [None, None, "runtime"]
     assert by[3][-1].chunk == "## ❌ Error\n\nstream died"
     assert by[4][0].model == "fallback" and by[4][0].chunk == "one "
+
+
+def test_settings_overlay_and_view_replacement(spark):
+    base = spark.createDataFrame([("settings", "max_history", "50"), ("ai", "default_model", "m1"),
+                                  ("ui", "show_icons", "true")], "section string, key string, value string")
+    over = spark.createDataFrame([("ai", "default_model", "m2"), ("settings", "app_title", "X")],
+                                 "section string, key string, value string")
+    got = {(r.section, r.key): r.value for r in V.settings_overlay(base, over).collect()}
+    assert got == {("settings", "max_history"): "50", ("ai", "default_model"): "m2",
+                   ("ui", "show_icons"): "true", ("settings", "app_title"): "X"}
+    defaults = V.catalog(spark)
+    own = V.catalog(spark, [("mine", "Mine", "m", "1", True, True, "", "", "p", "", 0)])
+    assert [r.id for r in V.views_overlay(defaults, own).collect()] == ["mine"]
+    assert V.views_overlay(defaults, own.where("false")).count() == len(V.DEFAULT_VIEWS)
+
+
+def test_focus_links(spark):
+    links = spark.createDataFrame([(1, "raw", 0), (1, "summary", 0), (2, "raw", 0)],
+                                  "session_id long, view_id string, link_idx long")
+    focus = spark.createDataFrame([(1, "summary"), (2, "raw")], "session_id long, view_id string")
+    got = sorted((r.session_id, r.view_id, r.selected_idx)
+                 for r in V.focus_links(links, focus, ["session_id"]).collect())
+    assert got == [(1, "summary", -1), (2, "raw", -1)]

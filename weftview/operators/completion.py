@@ -42,7 +42,7 @@ def _run(make_client: Callable[[str], Callable[[str], Iterable[str]] | None], de
                     clients[model] = None
             c = clients[model]
             if c is None and model != default_model:
-                return client_for(default_model), default_model
+                return client_for(default_model)
             return c, model
 
         for pdf in batches:

@@ -98,15 +98,20 @@ def user_content(prompt: Column, content: Column) -> Column:
 def chat_request(model: Column, prompt: Column, content: Column = None,
                  temperature: float = DEFAULT_TEMPERATURE, max_tokens: int = DEFAULT_MAX_TOKENS,
                  options: Column | None = None) -> Column:
-    """The request struct; ``options`` (a MAP) override the defaults, last wins."""
-    base = F.create_map(F.lit("temperature"), F.lit(str(temperature)),
-                        F.lit("max_tokens"), F.lit(str(max_tokens)))
-    opts = F.map_concat(base, options) if options is not None else base
+    """The request struct; keys in ``options`` (a MAP) override the defaults.
+
+    Precedence is per key (``coalesce(options[key], default)``), so no map with
+    duplicate keys is ever built.
+    """
+    def opt(key: str, default) -> Column:
+        d = F.lit(str(default))
+        return F.coalesce(options[key], d) if options is not None else d
+
     msg = F.struct(F.lit("user").alias("role"),
                    user_content(prompt, content if content is not None else F.lit("")).alias("content"))
     return F.struct(model.alias("model"), F.array(msg).alias("messages"),
-                    opts["temperature"].cast("double").alias("temperature"),
-                    opts["max_tokens"].cast("int").alias("max_tokens"),
+                    opt("temperature", temperature).cast("double").alias("temperature"),
+                    opt("max_tokens", max_tokens).cast("int").alias("max_tokens"),
                     F.lit(True).alias("stream"))
 
 
@@ -160,3 +165,25 @@ def fan_out(df: DataFrame, specs, fields: dict[str, str]) -> DataFrame:
     arr = F.array(*[F.struct(*[F.lit(r[f]).alias(c) for c, f in fields.items()]) for r in specs])
     return df.select("*", F.explode(arr).alias("_v")).select(
         *[c for c in df.columns], *[F.col(f"_v.{c}").alias(c) for c in fields])
+
+
+def settings_overlay(base: DataFrame, override: DataFrame) -> DataFrame:
+    """Layered settings ``(section, key, value)``: an override beats the default
+    per key, keys only in one layer stay."""
+    b = base.select("section", "key", F.col("value").alias("_b"))
+    o = override.select("section", "key", F.col("value").alias("_o"))
+    return (b.join(o, ["section", "key"], "full_outer")
+            .select("section", "key", F.coalesce("_o", "_b").alias("value")))
+
+
+def views_overlay(default_views: DataFrame, override_views: DataFrame) -> DataFrame:
+    """A non-empty override view list replaces the defaults entirely."""
+    has_override = override_views.limit(1).count() > 0
+    return override_views if has_override else default_views
+
+
+def focus_links(links: DataFrame, focus: DataFrame, keys: list[str]) -> DataFrame:
+    """Links apply only for the view in focus (``focus(keys..., view_id)``);
+    the selection restarts at -1."""
+    return (links.join(focus.select(*keys, "view_id"), [*keys, "view_id"], "left_semi")
+            .withColumn("selected_idx", F.lit(-1).cast("long")))
