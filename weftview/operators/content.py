@@ -80,13 +80,15 @@ def page_structure(tokens: DataFrame) -> DataFrame:
     ``in_page_noise`` and ``keep`` (the token survives cleaning).
     """
     t = with_selector_attrs(tokens)
-    t = (t.withColumn("rank", content_rank())
-         .withColumn("m_noise", any_selector(MAIN_NOISE_SELECTORS))
-         .withColumn("p_noise", any_selector(PAGE_NOISE_SELECTORS)))
     a, tag = F.col("attrs"), F.col("tag")
-    t = (t.withColumn("a_href", F.when(tag == "a", attr_value(a, "href")))
-         .withColumn("a_src", F.when(tag == "img", attr_value(a, "src")))
-         .withColumn("a_alt", F.when(tag == "img", attr_value(a, "alt"))))
+    t = t.withColumns({
+        "rank": content_rank(),
+        "m_noise": any_selector(MAIN_NOISE_SELECTORS),
+        "p_noise": any_selector(PAGE_NOISE_SELECTORS),
+        "a_href": F.when(tag == "a", attr_value(a, "href")),
+        "a_src": F.when(tag == "img", attr_value(a, "src")),
+        "a_alt": F.when(tag == "img", attr_value(a, "alt")),
+    })
     t = elements(t, carry=("m_noise", "p_noise", "a_href"))
 
     # Main content: lowest rank, then longest text, then first in the page.
@@ -98,29 +100,33 @@ def page_structure(tokens: DataFrame) -> DataFrame:
                  F.col("tag").alias("g")),
     )).over(w_all)
     t = t.withColumn("best", best)
-    t = (t.withColumn("main_pos", F.col("best.p"))
-         .withColumn("main_end", F.coalesce(F.col("best.e"), F.lit(2**31 - 1)))
-         .withColumn("main_tag", F.col("best.g"))
-         .withColumn("main_len", -F.col("best.nl"))
-         .drop("best"))
+    t = t.withColumns({
+        "main_pos": F.col("best.p"),
+        "main_end": F.coalesce(F.col("best.e"), F.lit(2**31 - 1)),
+        "main_tag": F.col("best.g"),
+        "main_len": -F.col("best.nl"),
+    }).drop("best")
 
     # Noise levels: +1 at a noise open tag, -1 after its close tag.
     sign, pos = F.col("sign"), F.col("pos")
     in_main = F.col("main_pos").isNotNull() & (pos >= F.col("main_pos"))
-    t = (t.withColumn("m_open", ((sign == 1) & F.col("m_noise") & in_main).cast("int"))
-         .withColumn("m_close", ((sign == -1) & F.coalesce(F.col("open_m_noise"), F.lit(False))
-                                 & F.col("main_pos").isNotNull()
-                                 & (F.col("open_pos") >= F.col("main_pos"))).cast("int"))
-         .withColumn("p_open", ((sign == 1) & F.col("p_noise")).cast("int"))
-         .withColumn("p_close", ((sign == -1)
-                                 & F.coalesce(F.col("open_p_noise"), F.lit(False))).cast("int")))
+    t = t.withColumns({
+        "m_open": ((sign == 1) & F.col("m_noise") & in_main).cast("int"),
+        "m_close": ((sign == -1) & F.coalesce(F.col("open_m_noise"), F.lit(False))
+                    & F.col("main_pos").isNotNull()
+                    & (F.col("open_pos") >= F.col("main_pos"))).cast("int"),
+        "p_open": ((sign == 1) & F.col("p_noise")).cast("int"),
+        "p_close": ((sign == -1) & F.coalesce(F.col("open_p_noise"), F.lit(False))).cast("int"),
+    })
     w_run = Window.partitionBy("page_id").orderBy("pos")
     upto = w_run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w_run.rowsBetween(Window.unboundedPreceding, -1)
     m_level = F.sum("m_open").over(upto) - F.coalesce(F.sum("m_close").over(before), F.lit(0))
     p_level = F.sum("p_open").over(upto) - F.coalesce(F.sum("p_close").over(before), F.lit(0))
-    t = (t.withColumn("in_main_noise", (m_level > 0) | ((sign == 0) & F.col("m_noise")))
-         .withColumn("in_page_noise", (p_level > 0) | ((sign == 0) & F.col("p_noise"))))
+    t = t.withColumns({
+        "in_main_noise": (m_level > 0) | ((sign == 0) & F.col("m_noise")),
+        "in_page_noise": (p_level > 0) | ((sign == 0) & F.col("p_noise")),
+    })
     t = t.withColumn(
         "keep",
         F.when(F.col("main_pos").isNotNull(),

@@ -64,11 +64,12 @@ def render_context(t: DataFrame, mask: Column | None = None) -> DataFrame:
     def depth(name):
         return F.sum(F.when(tag == name, sign).otherwise(0)).over(w)
 
-    t = (t.withColumn("in_pre", depth("pre") > 0)
-         .withColumn("ol_d", depth("ol"))
-         .withColumn("ul_d", depth("ul"))
-         .withColumn("ol_at", F.last(F.when((tag == "ol") & (sign == 1), F.col("pos")),
-                                     ignorenulls=True).over(w)))
+    t = t.withColumns({
+        "in_pre": depth("pre") > 0,
+        "ol_d": depth("ol"),
+        "ul_d": depth("ul"),
+        "ol_at": F.last(F.when((tag == "ol") & (sign == 1), F.col("pos")), ignorenulls=True).over(w),
+    })
     numbered = (tag == "li") & (sign == 1) & (F.col("ol_d") > 0) & (F.col("ul_d") <= 0)
     w_ol = Window.partitionBy("page_id", "ol_at", "numbered").orderBy("pos")
     t = t.withColumn("numbered", numbered)

@@ -85,38 +85,31 @@ def tokenize(pages: DataFrame, partitions: int | None = None) -> DataFrame:
                F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][^\s/>]*)", 1))),
     )
     tag = F.col("tag")
-    t = t.withColumn(
-        "sign",
-        F.when((kind == "start") & ~tag.isin(*VOID_TAGS) & ~tok.endswith("/>"), 1)
+    t = t.withColumns({
+        "sign": F.when((kind == "start") & ~tag.isin(*VOID_TAGS) & ~tok.endswith("/>"), 1)
         .when((kind == "end") & ~tag.isin(*VOID_TAGS), -1)
         .otherwise(0),
-    )
-    t = t.withColumn(
-        "text",
-        F.when(kind == "text", decode_entities(tok)).when(
+        "text": F.when(kind == "text", decode_entities(tok)).when(
             (kind == "raw") & (tag == "title"),
             decode_entities(F.regexp_extract(tok, r"(?is)^<[^>]*>(.*)</[^>]*>$", 1)),
         ),
-    )
+        "attrs": F.when(kind == "start",
+                        F.regexp_extract_all(F.regexp_replace(tok, r"^<[A-Za-z][^\s/>]*", ""),
+                                             F.lit(ATTR_RE), 0)),
+    })
     t = t.withColumn("tlen", F.coalesce(F.length(trim_ws(F.col("text"))), F.lit(0)).cast("long"))
-    t = t.withColumn(
-        "attrs",
-        F.when(kind == "start",
-               F.regexp_extract_all(F.regexp_replace(tok, r"^<[A-Za-z][^\s/>]*", ""),
-                                    F.lit(ATTR_RE), 0)),
-    )
     return t.select(*TOKEN_COLUMNS)
 
 
 def with_selector_attrs(t: DataFrame) -> DataFrame:
     """Add the attributes that selectors test: class, role, aria-hidden, itemtype."""
     a = F.col("attrs")
-    return (
-        t.withColumn("a_class", attr_value(a, "class"))
-        .withColumn("a_role", attr_value(a, "role"))
-        .withColumn("a_aria_hidden", attr_value(a, "aria-hidden"))
-        .withColumn("a_itemtype", attr_value(a, "itemtype"))
-    )
+    return t.withColumns({
+        "a_class": attr_value(a, "class"),
+        "a_role": attr_value(a, "role"),
+        "a_aria_hidden": attr_value(a, "aria-hidden"),
+        "a_itemtype": attr_value(a, "itemtype"),
+    })
 
 
 def elements(t: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -130,14 +123,14 @@ def elements(t: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     named in ``carry``, ``open_<name>``: that column's value on the open tag.
     """
     w_page = Window.partitionBy("page_id").orderBy("pos")
-    t = (
-        t.withColumn("cum", F.sum("tlen").over(
-            w_page.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tlen"))
-        .withColumn("total", F.sum("tlen").over(
-            w_page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        .withColumn("next_kind", F.lead("kind").over(w_page))
-        .withColumn("next_text", F.lead("text").over(w_page))
-    )
+    t = t.withColumns({
+        "cum": F.sum("tlen").over(
+            w_page.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tlen"),
+        "total": F.sum("tlen").over(
+            w_page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        "next_kind": F.lead("kind").over(w_page),
+        "next_text": F.lead("text").over(w_page),
+    })
     w_tag = Window.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     t = t.withColumn("s", F.sum("sign").over(w_tag))
@@ -150,13 +143,12 @@ def elements(t: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     w_lvl = Window.partitionBy("page_id", "tag", "level").orderBy("pos")
     nxt_close = (sign == 1) & (F.lead("sign").over(w_lvl) == -1)
     prv_open = (sign == -1) & (F.lag("sign").over(w_lvl) == 1)
-    t = (
-        t.withColumn("close_pos", F.when(nxt_close, F.lead("pos").over(w_lvl)))
-        .withColumn("close_cum", F.when(nxt_close, F.lead("cum").over(w_lvl)))
-        .withColumn("open_pos", F.when(prv_open, F.lag("pos").over(w_lvl)))
-    )
-    for c in carry:
-        t = t.withColumn(f"open_{c}", F.when(prv_open, F.lag(c).over(w_lvl)))
+    t = t.withColumns({
+        "close_pos": F.when(nxt_close, F.lead("pos").over(w_lvl)),
+        "close_cum": F.when(nxt_close, F.lead("cum").over(w_lvl)),
+        "open_pos": F.when(prv_open, F.lag("pos").over(w_lvl)),
+        **{f"open_{c}": F.when(prv_open, F.lag(c).over(w_lvl)) for c in carry},
+    })
     t = t.withColumn(
         "elem_len",
         F.when(sign == 1, F.coalesce(F.col("close_cum"), F.col("total")) - F.col("cum"))

@@ -20,7 +20,7 @@ from ..functions.patterns import HISTORY_CAP, SNAPSHOT_EVERY
 from ..functions.sqltext import lit
 from ..operators import chunks as C
 from ..operators import navigation as N
-from ..operators.views import DEFAULT_VIEWS, fan_out, status_label, view_specs, views_ready
+from ..operators.views import DEFAULT_VIEWS, fan_out, status_label, view_specs
 from ..sources.tables import table
 
 # --- fixed values: how driver tables map onto sessions --------------------------
@@ -83,10 +83,9 @@ def _task_state(spark, d) -> DataFrame:
 
 def task_status(spark, d):
     s = _task_state(spark, d)
-    names = F.broadcast(views_ready(spark).select(F.col("id").alias("view_id"), "name"))
-    s = s.join(names, "view_id", "left")
+    names = F.create_map(*[F.lit(x) for v in view_specs(spark) for x in (v["id"], v["name"])])
     return s.select("session_id", "view_id", "status",
-                    status_label(F.col("status"), F.col("name")).alias("label"))
+                    status_label(F.col("status"), names[F.col("view_id")]).alias("label"))
 
 
 def task_totals(spark, d):
