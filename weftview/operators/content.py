@@ -7,6 +7,7 @@ window columns partitioned by ``page_id``; no extra exchange is planned.
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,7 +56,8 @@ def selector_predicate(sel: str) -> Column:
     return F.coalesce(col.contains(value), F.lit(False))
 
 
-def any_selector(sels) -> Column:
+@cache
+def any_selector(sels: tuple[str, ...]) -> Column:
     is_elem = F.col("kind").isin("start", "raw")
     pred = F.lit(False)
     for s in sels:
@@ -63,7 +65,8 @@ def any_selector(sels) -> Column:
     return is_elem & pred
 
 
-def content_rank(sels=CONTENT_SELECTORS) -> Column:
+@cache
+def content_rank(sels: tuple[str, ...] = CONTENT_SELECTORS) -> Column:
     """1-based rank of the first content selector an element matches, else NULL."""
     is_elem = F.col("kind").isin("start", "raw")
     rank = F.lit(None).cast("int")
@@ -80,14 +83,14 @@ def page_structure(tokens: DataFrame) -> DataFrame:
     ``in_page_noise`` and ``keep`` (the token survives cleaning).
     """
     t = with_selector_attrs(tokens)
-    a, tag = F.col("attrs"), F.col("tag")
+    tag = F.col("tag")
     t = t.withColumns({
         "rank": content_rank(),
         "m_noise": any_selector(MAIN_NOISE_SELECTORS),
         "p_noise": any_selector(PAGE_NOISE_SELECTORS),
-        "a_href": F.when(tag == "a", attr_value(a, "href")),
-        "a_src": F.when(tag == "img", attr_value(a, "src")),
-        "a_alt": F.when(tag == "img", attr_value(a, "alt")),
+        "a_href": F.when(tag == "a", attr_value("attrs", "href")),
+        "a_src": F.when(tag == "img", attr_value("attrs", "src")),
+        "a_alt": F.when(tag == "img", attr_value("attrs", "alt")),
     })
     t = elements(t, carry=("m_noise", "p_noise", "a_href"))
 

@@ -16,6 +16,8 @@ whitespace-collapsed outside ``pre``.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +79,7 @@ def render_context(t: DataFrame, mask: Column | None = None) -> DataFrame:
     return t.drop("ol_d", "ul_d", "ol_at", "numbered")
 
 
+@cache
 def fragment(images: bool, raw: bool) -> Column:
     """Markdown fragment of one token (Spark form of ``fragment_sql``)."""
     kind, tag, sign = F.col("kind"), F.col("tag"), F.col("sign")

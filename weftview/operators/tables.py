@@ -55,47 +55,47 @@ def innermost(t: DataFrame) -> DataFrame:
 def table_rows(pages: DataFrame) -> DataFrame:
     """``pages(page_id, html)`` -> ``(page_id, row_pos, text)`` for every kept row.
 
-    Two aggregations, no joins: per link (its open tag is in its own group, so
-    href, cell and row come from it) and per cell (likewise, plus whether any
-    link opens inside it); their items are then joined per row by ``listagg``.
+    One pass, no joins: each token is listed under its innermost link and its
+    innermost cell, and a single aggregation per ``(page_id, group, key)``
+    yields link texts and cell texts; the open tag of a link or cell is inside
+    its own group, so href, cell, row and table depth come from it.  Items are
+    then joined per row by ``listagg``.
     """
     t = tokenize(pages.select("page_id", "html"))
-    t = t.withColumn("href", F.when(F.col("tag") == "a", attr_value(F.col("attrs"), "href")))
+    t = t.withColumn("href", F.when(F.col("tag") == "a", attr_value("attrs", "href")))
     t = innermost(t)
-
-    def at_open(key: str, col: str) -> F.Column:
-        return F.max(F.when(F.col("pos") == F.col(key), F.col(col)))
-
-    links = (t.where(F.col("in_link").isNotNull())
-             .groupBy("page_id", F.col("in_link").alias("item_pos"))
-             .agg(at_open("in_link", "href").alias("href"),
-                  at_open("in_link", "in_cell").alias("cell"),
-                  at_open("in_link", "in_row").alias("row_pos"),
-                  at_open("in_link", "d_table").alias("d_table"),
-                  F.expr("listagg(CASE WHEN kind = 'text' THEN text END, '') "
-                         "WITHIN GROUP (ORDER BY pos)").alias("a_text")))
-    lt = trim_ws(F.coalesce(F.col("a_text"), F.lit("")))
+    groups = F.filter(F.array(
+        F.when(F.col("in_link").isNotNull(),
+               F.struct(F.lit("link").alias("g"), F.col("in_link").alias("k"))),
+        F.when(F.col("in_cell").isNotNull(),
+               F.struct(F.lit("cell").alias("g"), F.col("in_cell").alias("k")))),
+        lambda x: x.isNotNull())
+    x = t.select("page_id", "pos", "kind", "tag", "sign", "text", "href", "in_cell", "in_row",
+                 "d_table", F.explode(groups).alias("gk"))
+    x = x.select("*", F.col("gk.g").alias("g"), F.col("gk.k").alias("k")).drop("gk")
+
+    def at_open(col: str) -> F.Column:
+        return F.max(F.when(F.col("pos") == F.col("k"), F.col(col)))
+
+    agg = x.groupBy("page_id", "g", "k").agg(
+        at_open("href").alias("href"), at_open("in_cell").alias("a_cell"),
+        at_open("in_row").alias("row_pos"), at_open("d_table").alias("d_table"),
+        F.max((F.col("tag") == "a") & (F.col("sign") == 1)).alias("has_link"),
+        F.expr("listagg(CASE WHEN kind = 'text' THEN text END, '') WITHIN GROUP (ORDER BY pos)")
+        .alias("txt"))
+    txt = trim_ws(F.coalesce(F.col("txt"), F.lit("")))
     href = F.coalesce(F.col("href"), F.lit(""))
-    link_item = F.when(F.length(lt) > LINK_MIN,
+    link_item = F.when(F.length(txt) > LINK_MIN,
                        F.when((href != "") & ~href.startswith("#"),
-                              F.concat(F.lit("["), lt, F.lit("]("), href, F.lit(")"))).otherwise(lt))
-    link_items = links.where(F.col("cell").isNotNull()).select(
-        "page_id", "row_pos", "cell", "item_pos", "d_table", link_item.alias("item"))
-
-    cells = (t.where(F.col("in_cell").isNotNull())
-             .groupBy("page_id", F.col("in_cell").alias("cell"))
-             .agg(at_open("in_cell", "in_row").alias("row_pos"),
-                  at_open("in_cell", "d_table").alias("d_table"),
-                  F.max((F.col("tag") == "a") & (F.col("sign") == 1)).alias("has_link"),
-                  F.expr("listagg(CASE WHEN kind = 'text' THEN text END, '') "
-                         "WITHIN GROUP (ORDER BY pos)").alias("c_text")))
-    ct = trim_ws(F.coalesce(F.col("c_text"), F.lit("")))
-    cell_items = cells.where(~F.col("has_link")).select(
-        "page_id", "row_pos", "cell", F.col("cell").alias("item_pos"), "d_table",
-        F.when(F.length(ct) > CELL_MIN, ct).alias("item"))
-
-    items = (link_items.unionByName(cell_items)
-             .where(F.col("item").isNotNull() & F.col("row_pos").isNotNull() & (F.col("d_table") > 0)))
+                              F.concat(F.lit("["), txt, F.lit("]("), href, F.lit(")"))).otherwise(txt))
+    cell_item = F.when(F.length(txt) > CELL_MIN, txt)
+    is_link = F.col("g") == "link"
+    items = agg.select(
+        "page_id", "row_pos", "d_table", F.col("k").alias("item_pos"),
+        F.when(is_link, F.col("a_cell")).otherwise(F.col("k")).alias("cell"),
+        F.when(is_link & F.col("a_cell").isNotNull(), link_item)
+        .when(~is_link & ~F.col("has_link"), cell_item).alias("item"))
+    items = items.where(F.col("item").isNotNull() & F.col("row_pos").isNotNull() & (F.col("d_table") > 0))
     rows = items.groupBy("page_id", "row_pos").agg(
         F.expr(f"listagg(item, '{ROW_SEP}') WITHIN GROUP (ORDER BY cell, item_pos)").alias("text"))
     return rows.where(F.length("text") > ROW_MIN).select(

@@ -14,6 +14,8 @@ text-length sums.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,12 +38,25 @@ def token_kind(tok: Column) -> Column:
     )
 
 
-def attr_value(attrs: Column, name: str) -> Column:
+def attr_value(attrs: Column | str, name: str) -> Column:
     """Value of the first attribute called ``name`` (NULL when absent).
 
-    ``attrs`` is the list of raw ``name=value`` strings of a start tag; the
-    first occurrence of a duplicated name wins.
+    ``attrs`` (a column name, or ``F.col`` of one) is the list of raw
+    ``name=value`` strings of a start tag; the first occurrence of a duplicated
+    name wins.
     """
+    if isinstance(attrs, Column):
+        return _attr_value(attrs, name)
+    return _attr_value_named(attrs, name)
+
+
+@cache
+def _attr_value_named(attrs: str, name: str) -> Column:
+    # Expressions depend only on column names, so they are built once per process.
+    return _attr_value(F.col(attrs), name)
+
+
+def _attr_value(attrs: Column, name: str) -> Column:
     hit = F.get(F.filter(attrs, lambda a: attr_name(a) == name), 0)
     return F.when(hit.isNotNull(), attr_pair_value(hit))
 
@@ -61,6 +76,26 @@ def attr_pair_value(a: Column) -> Column:
     return decode_entities(F.when(quoted, F.substring(v, F.lit(2), n - 2)).otherwise(v))
 
 
+PAGE_PARTITIONS_CONF = "weftview.pagePartitions"
+
+
+def page_partitions(df: DataFrame) -> int:
+    """Partitions for the page shuffle.
+
+    Tokenising is CPU-bound per byte of HTML, so the count is fixed rather than
+    left to AQE (which sizes partitions by bytes and would merge a small-in-
+    bytes, heavy-in-CPU stage into a few tasks): ``weftview.pagePartitions``
+    if set, else ``max(2 x defaultParallelism, spark.sql.shuffle.partitions)``.
+    A repartition by number is not coalesced by AQE.
+    """
+    spark = df.sparkSession
+    conf = spark.conf.get(PAGE_PARTITIONS_CONF, None)
+    if conf:
+        return int(conf)
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(2 * spark.sparkContext.defaultParallelism, shuffle)
+
+
 def tokenize(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     """``pages(page_id, html)`` -> tokens, hash-partitioned by ``page_id``.
 
@@ -70,22 +105,27 @@ def tokenize(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     or of a raw ``<title>``), ``tlen`` (length of the stripped text) and
     ``attrs`` (raw attribute strings of a start tag).
     """
-    p = pages.select("page_id", "html")
-    p = p.repartition(partitions, "page_id") if partitions else p.repartition("page_id")
+    p = pages.select("page_id", "html").repartition(partitions or page_partitions(pages), "page_id")
     t = p.select(
         "page_id",
         F.posexplode(F.regexp_extract_all("html", F.lit(TOKEN_RE), 0)).alias("pos", "tok"),
     )
-    tok = F.col("tok")
-    t = t.withColumn("kind", token_kind(tok))
-    kind = F.col("kind")
-    t = t.withColumn(
-        "tag",
-        F.when(kind.isin("start", "end", "raw"),
-               F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][^\s/>]*)", 1))),
-    )
-    tag = F.col("tag")
-    t = t.withColumns({
+    e = _token_exprs()
+    t = t.withColumn("kind", e["kind"])
+    t = t.withColumn("tag", e["tag"])
+    t = t.withColumns({"sign": e["sign"], "text": e["text"], "attrs": e["attrs"]})
+    t = t.withColumn("tlen", e["tlen"])
+    return t.select(*TOKEN_COLUMNS)
+
+
+@cache
+def _token_exprs() -> dict[str, Column]:
+    """Column expressions of ``tokenize``, built once per process."""
+    tok, kind, tag = F.col("tok"), F.col("kind"), F.col("tag")
+    out = {"kind": token_kind(tok)}
+    out["tag"] = F.when(kind.isin("start", "end", "raw"),
+                        F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][^\s/>]*)", 1)))
+    out.update({
         "sign": F.when((kind == "start") & ~tag.isin(*VOID_TAGS) & ~tok.endswith("/>"), 1)
         .when((kind == "end") & ~tag.isin(*VOID_TAGS), -1)
         .otherwise(0),
@@ -97,18 +137,17 @@ def tokenize(pages: DataFrame, partitions: int | None = None) -> DataFrame:
                         F.regexp_extract_all(F.regexp_replace(tok, r"^<[A-Za-z][^\s/>]*", ""),
                                              F.lit(ATTR_RE), 0)),
     })
-    t = t.withColumn("tlen", F.coalesce(F.length(trim_ws(F.col("text"))), F.lit(0)).cast("long"))
-    return t.select(*TOKEN_COLUMNS)
+    out["tlen"] = F.coalesce(F.length(trim_ws(F.col("text"))), F.lit(0)).cast("long")
+    return out
 
 
 def with_selector_attrs(t: DataFrame) -> DataFrame:
     """Add the attributes that selectors test: class, role, aria-hidden, itemtype."""
-    a = F.col("attrs")
     return t.withColumns({
-        "a_class": attr_value(a, "class"),
-        "a_role": attr_value(a, "role"),
-        "a_aria_hidden": attr_value(a, "aria-hidden"),
-        "a_itemtype": attr_value(a, "itemtype"),
+        "a_class": attr_value("attrs", "class"),
+        "a_role": attr_value("attrs", "role"),
+        "a_aria_hidden": attr_value("attrs", "aria-hidden"),
+        "a_itemtype": attr_value("attrs", "itemtype"),
     })
 
 
