@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.aggs import ordered_join
 from ..functions.patterns import SNAPSHOT_EVERY
 from .sequence import prefix_sum
 
@@ -35,7 +36,7 @@ def response_lines(chunks: DataFrame, keys: list[str], seq: str = "seq", chunk:
          .withColumn("_b", F.floor(F.col(seq) / seq_bucket).cast("long")))
     p = prefix_sum(p, keys, "_b", [seq, "piece_idx"], "_ends", "line_no", inclusive=False)
     return (p.groupBy(*keys, "line_no")
-            .agg(F.expr(f"listagg(piece, '') WITHIN GROUP (ORDER BY {seq}, piece_idx)").alias("line")))
+            .agg(ordered_join("piece", [seq, "piece_idx"]).alias("line")))
 
 
 def snapshots(lines: DataFrame, keys: list[str], every: int = SNAPSHOT_EVERY) -> DataFrame:

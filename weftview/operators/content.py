@@ -92,6 +92,9 @@ def page_structure(tokens: DataFrame) -> DataFrame:
         "a_src": F.when(tag == "img", attr_value("attrs", "src")),
         "a_alt": F.when(tag == "img", attr_value("attrs", "alt")),
     })
+    # The raw token and its attribute list are not needed past this point;
+    # dropping them keeps every later sort narrow.
+    t = t.drop("tok", "attrs", "a_class", "a_role", "a_aria_hidden", "a_itemtype")
     t = elements(t, carry=("m_noise", "p_noise", "a_href"))
 
     # Main content: lowest rank, then longest text, then first in the page.

@@ -102,3 +102,34 @@ def highlight(md: Column, text: Column, target: Column, start: Column, end: Colu
     marked = F.concat(F.substring(md, F.lit(1), start), F.lit("**→ ["), text, F.lit("]("), target,
                       F.lit(") ←**"), F.substring(md, end + 1, F.length(md)))
     return F.when(start.isNull(), md).otherwise(marked)
+
+
+def _kept(target: Column) -> Column:
+    """E2/E3 on a raw target group: trim, unwrap ``<...>``, then the skip rules."""
+    t = trim_ws(target)
+    u = F.when(t.startswith("<") & t.endswith(">"),
+               F.when(F.length(t) >= 2, F.substring(t, F.lit(2), F.length(t) - 2))
+               .otherwise(F.lit(""))).otherwise(t)
+    return u, ~((u == "") | u.startswith("#") | u.contains("vote?") | u.startswith("from?site="))
+
+
+def highlight_first(md: Column) -> Column:
+    """E8 for the first link (the selection after one *next* from nothing selected).
+
+    Computed inside the row: the first match that survives E2/E3, its offset
+    from the lengths of the text and matches before it.  No join with the link
+    rows is needed.
+    """
+    whole = F.regexp_extract_all(md, F.lit(LINK_RE), 0)
+    texts = F.regexp_extract_all(md, F.lit(LINK_RE), 1)
+    targets = F.regexp_extract_all(md, F.lit(LINK_RE), 2)
+    gaps = F.split(md, LINK_RE, -1)
+    idx = F.filter(F.sequence(F.lit(0), F.size(whole) - 1),
+                   lambda i: _kept(F.get(targets, i))[1])
+    i = F.get(idx, 0)
+    lens = lambda arr: F.aggregate(arr, F.lit(0), lambda acc, x: acc + F.length(x))
+    start = lens(F.slice(gaps, 1, i + 1)) + lens(F.slice(whole, 1, i))
+    end = start + F.length(F.get(whole, i))
+    u, _ = _kept(F.get(targets, i))
+    marked = highlight(md, trim_ws(F.get(texts, i)), u, start, end)
+    return F.when((F.size(whole) > 0) & i.isNotNull(), marked).otherwise(md)

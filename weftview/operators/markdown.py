@@ -1,9 +1,8 @@
 """Markdown rendering of the token relation.
 
 Every token becomes a fragment through one rule table; a page's markdown is the
-ordered concatenation of its fragments (``listagg ... WITHIN GROUP (ORDER BY
-pos)``), grouped on the ``page_id`` partitioning the token relation already
-has.  The rule table is written once and turned into a Spark ``when`` chain
+ordered concatenation of its fragments (``functions.aggs.ordered_join``),
+grouped on the ``page_id`` partitioning the token relation already has.  The rule table is written once and turned into a Spark ``when`` chain
 here and into a SQL ``CASE`` for the oracle, so both engines share one dialect.
 
 Dialect: ``#`` headings; a blank line around block elements; ``**`` bold,

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.aggs import ordered_join
 from ..functions.text import trim_ws
 from .tokens import attr_value, tokenize
 
@@ -59,7 +60,7 @@ def table_rows(pages: DataFrame) -> DataFrame:
     innermost cell, and a single aggregation per ``(page_id, group, key)``
     yields link texts and cell texts; the open tag of a link or cell is inside
     its own group, so href, cell, row and table depth come from it.  Items are
-    then joined per row by ``listagg``.
+    then joined per row in order.
     """
     t = tokenize(pages.select("page_id", "html"))
     t = t.withColumn("href", F.when(F.col("tag") == "a", attr_value("attrs", "href")))
@@ -81,8 +82,7 @@ def table_rows(pages: DataFrame) -> DataFrame:
         at_open("href").alias("href"), at_open("in_cell").alias("a_cell"),
         at_open("in_row").alias("row_pos"), at_open("d_table").alias("d_table"),
         F.max((F.col("tag") == "a") & (F.col("sign") == 1)).alias("has_link"),
-        F.expr("listagg(CASE WHEN kind = 'text' THEN text END, '') WITHIN GROUP (ORDER BY pos)")
-        .alias("txt"))
+        ordered_join("text", ["pos"], "", F.col("kind") == "text").alias("txt"))
     txt = trim_ws(F.coalesce(F.col("txt"), F.lit("")))
     href = F.coalesce(F.col("href"), F.lit(""))
     link_item = F.when(F.length(txt) > LINK_MIN,
@@ -97,6 +97,6 @@ def table_rows(pages: DataFrame) -> DataFrame:
         .when(~is_link & ~F.col("has_link"), cell_item).alias("item"))
     items = items.where(F.col("item").isNotNull() & F.col("row_pos").isNotNull() & (F.col("d_table") > 0))
     rows = items.groupBy("page_id", "row_pos").agg(
-        F.expr(f"listagg(item, '{ROW_SEP}') WITHIN GROUP (ORDER BY cell, item_pos)").alias("text"))
+        ordered_join("item", ["cell", "item_pos"], ROW_SEP).alias("text"))
     return rows.where(F.length("text") > ROW_MIN).select(
         "page_id", F.col("row_pos").cast("long").alias("row_pos"), "text")

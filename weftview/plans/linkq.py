@@ -67,11 +67,7 @@ def link_ring_q(spark, d):
 
 
 def link_highlight(spark, d):
-    docs = raw_docs(spark, d)
-    first = links(spark, d).where(F.col("link_idx") == 0)
-    j = docs.join(first, "page_id", "left")
-    return j.select("page_id", L.highlight(F.col("markdown"), F.col("text"), F.col("target"),
-                                           F.col("start_pos"), F.col("end_pos")).alias("markdown"))
+    return raw_docs(spark, d).select("page_id", L.highlight_first(F.col("markdown")).alias("markdown"))
 
 
 def pages_by_url(spark, d) -> DataFrame:
@@ -79,19 +75,19 @@ def pages_by_url(spark, d) -> DataFrame:
     return pages(spark, d, "page_id", "url").groupBy("url").agg(F.min("page_id").alias("target_page_id"))
 
 
-def self_links(spark, d) -> DataFrame:
-    """Each page's canonical link to itself, ``[title](url)``, as a second link set."""
-    r = rendered(spark, d, "raw").select(
-        "page_id", "url", F.concat(F.lit("["), F.col("title"), F.lit("]("), F.col("url"),
-                                   F.lit(")")).alias("markdown"))
-    return L.extract_links(r, ["page_id", "url"], "markdown")
-
-
 def _followable(spark, d) -> DataFrame:
-    a = raw_links(spark, d).withColumn("link_set", F.lit("raw"))
-    b = self_links(spark, d).withColumn("link_set", F.lit("self"))
-    u = a.unionByName(b)
-    return u.withColumn("resolved", resolve_url(F.col("target"), F.col("url")))
+    """Links of the raw view plus each page's canonical link to itself
+    (``[title](url)``), both documents made from one rendered row."""
+    r = rendered(spark, d, "raw")
+    docs = r.select("page_id", "url", F.explode(F.array(
+        F.struct(F.lit("raw").alias("link_set"),
+                 F.concat(raw_header(F.col("title"), F.col("url")), F.col("md")).alias("markdown")),
+        F.struct(F.lit("self").alias("link_set"),
+                 F.concat(F.lit("["), F.col("title"), F.lit("]("), F.col("url"), F.lit(")"))
+                 .alias("markdown")))).alias("doc"))
+    docs = docs.select("page_id", "url", "doc.link_set", "doc.markdown")
+    lk = L.extract_links(docs, ["page_id", "url", "link_set"], "markdown")
+    return lk.withColumn("resolved", resolve_url(F.col("target"), F.col("url")))
 
 
 def follow_links(spark, d):

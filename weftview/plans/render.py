@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.aggs import ordered_join
 from ..functions.sqltext import lit
 from ..functions.text import escape_markup, escape_markup_sql, truncate, truncate_sql
 from ..operators import markdown as M
@@ -24,10 +25,8 @@ def rendered(spark: SparkSession, d: str, view: str, max_chars=None) -> DataFram
     st = structure(spark, d)
     st = M.render_context(st, None if raw else F.col("keep"))
     st = st.withColumn("frag", M.fragment(images=raw, raw=raw))
-    md_expr = "listagg(frag, '') WITHIN GROUP (ORDER BY pos)"
-    if not raw:
-        md_expr += " FILTER (WHERE keep)"
-    g = st.groupBy("page_id").agg(page_title_agg().alias("title"), F.expr(md_expr).alias("md"))
+    md_agg = ordered_join("frag", ["pos"], "", None if raw else F.col("keep"))
+    g = st.groupBy("page_id").agg(page_title_agg().alias("title"), md_agg.alias("md"))
     md = M.normalize_md(F.coalesce(F.col("md"), F.lit("")))
     md = M.unwrap_link_targets(md)
     md = M.strip_link_target_spaces(md) if raw else truncate(md, max_chars)

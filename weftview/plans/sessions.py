@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.aggs import ordered_join
 from ..functions.patterns import HISTORY_CAP, SNAPSHOT_EVERY
 from ..functions.sqltext import lit
 from ..operators import chunks as C
@@ -120,7 +121,7 @@ def chunk_filter(spark, d):
 def response_text(spark, d):
     c = C.drop_empty(_chunks(spark, d))
     return c.groupBy("conv_id").agg(
-        F.expr("listagg(chunk, '') WITHIN GROUP (ORDER BY seq)").alias("response"),
+        ordered_join("chunk", ["seq"]).alias("response"),
         F.count(F.lit(1)).cast("long").alias("n_chunks"))
 
 
@@ -136,10 +137,8 @@ def snapshots(spark, d):
 def response_log(spark, d):
     c = C.drop_empty(_chunks(spark, d))
     g = c.groupBy("conv_id").agg(
-        F.expr("listagg(CASE WHEN role = 'user' THEN chunk END, '\\n\\n') WITHIN GROUP (ORDER BY seq)")
-        .alias("prompt"),
-        F.expr("listagg(CASE WHEN role <> 'user' THEN chunk END, '') WITHIN GROUP (ORDER BY seq)")
-        .alias("response"))
+        ordered_join("chunk", ["seq"], "\n\n", F.col("role") == "user").alias("prompt"),
+        ordered_join("chunk", ["seq"], "", F.col("role") != "user").alias("response"))
     return g.where(F.col("response").isNotNull() & (F.col("response") != ""))
 
 

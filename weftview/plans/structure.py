@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import CONTENT_SELECTORS, MAIN_NOISE_SELECTORS, PAGE_NOISE_SELECTORS
+from ..functions.aggs import ordered_join
 from ..functions.sqltext import lit
 from ..functions.text import trim_ws, trim_ws_sql
 from ..operators.content import page_structure, page_title_agg, selector_predicate
@@ -16,9 +17,8 @@ from . import sql_structure as S
 
 
 def ordered_concat(value: str, order: str, sep: str) -> F.Column:
-    """``listagg(value, sep) WITHIN GROUP (ORDER BY order)`` (column names only)."""
-    sep_sql = sep.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
-    return F.expr(f"listagg({value}, '{sep_sql}') WITHIN GROUP (ORDER BY {order})")
+    """Values joined by ``sep`` in ``order`` (see ``functions.aggs.ordered_join``)."""
+    return ordered_join(value, [order], sep)
 
 
 def structure(spark: SparkSession, d: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions.aggs import ordered_join
 from ..functions.patterns import HISTORY_CAP
 from ..operators.content import page_structure, page_title_agg
 from ..operators.links import extract_links
@@ -44,7 +45,7 @@ def raw_view_batch(pages: DataFrame) -> DataFrame:
     st = render_context(page_structure(tokenize(pages.select("page_id", "html"))))
     st = st.withColumn("frag", fragment(images=True, raw=True))
     g = st.groupBy("page_id").agg(page_title_agg().alias("title"),
-                                  F.expr("listagg(frag, '') WITHIN GROUP (ORDER BY pos)").alias("md"))
+                                  ordered_join("frag", ["pos"]).alias("md"))
     md = strip_link_target_spaces(unwrap_link_targets(normalize_md(F.coalesce("md", F.lit("")))))
     j = pages.select("page_id", "url").join(g, "page_id", "left")
     return j.select("page_id", "url", F.concat(raw_header(F.coalesce("title", F.lit("No Title")),
