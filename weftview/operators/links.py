@@ -124,12 +124,11 @@ def highlight_first(md: Column) -> Column:
     texts = F.regexp_extract_all(md, F.lit(LINK_RE), 1)
     targets = F.regexp_extract_all(md, F.lit(LINK_RE), 2)
     gaps = F.split(md, LINK_RE, -1)
-    idx = F.filter(F.sequence(F.lit(0), F.size(whole) - 1),
-                   lambda i: _kept(F.get(targets, i))[1])
-    i = F.get(idx, 0)
+    flags = F.transform(targets, lambda u: _kept(u)[1])
+    i = F.array_position(flags, True) - 1  # 0-based index of the first kept link, -1 if none
     lens = lambda arr: F.aggregate(arr, F.lit(0), lambda acc, x: acc + F.length(x))
     start = lens(F.slice(gaps, 1, i + 1)) + lens(F.slice(whole, 1, i))
     end = start + F.length(F.get(whole, i))
     u, _ = _kept(F.get(targets, i))
     marked = highlight(md, trim_ws(F.get(texts, i)), u, start, end)
-    return F.when((F.size(whole) > 0) & i.isNotNull(), marked).otherwise(md)
+    return F.when(i >= 0, marked).otherwise(md)

@@ -173,9 +173,11 @@ def strip_link_target_spaces(md: Column) -> Column:
     """
     gaps = F.split(md, LINK_TARGET_RE, -1)
     targets = F.regexp_extract_all(md, F.lit(LINK_TARGET_RE), 1)
-    fixed = F.transform(targets, lambda u: F.concat(F.lit("]("), F.regexp_replace(u, WS + "+", ""),
-                                                    F.lit(")")))
-    pieces = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(fixed, i), F.lit(""))))
+    # zip_with pads the shorter targets list with NULL; both arrays are computed
+    # once per row (a lambda referring to an outer array would recompute it).
+    pieces = F.zip_with(gaps, targets, lambda g, u: F.concat(g, F.when(
+        u.isNotNull(), F.concat(F.lit("]("), F.regexp_replace(u, WS + "+", ""), F.lit(")")))
+        .otherwise(F.lit(""))))
     return F.when(md.isNull(), md).otherwise(F.array_join(pieces, ""))
 
 
