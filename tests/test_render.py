@@ -88,3 +88,11 @@ def test_one_mb_page_renders(spark):
     html = "<html><body>" + "<p>" + ("lorem ipsum " * 87382)[:1_048_000] + "</p></body></html>"
     md = render(spark, [html])[0]
     assert "lorem ipsum" in md
+
+
+def test_ordered_list_numbering_restarts_per_list(spark):
+    html = ("<ol><li>a</li><li>b</li></ol><ul><li>x</li></ul>"
+            "<ol><li>c</li><li>d</li><li>e</li></ol>")
+    md = render(spark, [html])[0]
+    for s in ("1. a", "2. b", "* x", "1. c", "2. d", "3. e"):
+        assert s in md, (s, md)

@@ -72,10 +72,14 @@ def render_context(t: DataFrame, mask: Column | None = None) -> DataFrame:
         "ol_at": F.last(F.when((tag == "ol") & (sign == 1), F.col("pos")), ignorenulls=True).over(w),
     })
     numbered = (tag == "li") & (sign == 1) & (F.col("ol_d") > 0) & (F.col("ul_d") <= 0)
-    w_ol = Window.partitionBy("page_id", "ol_at", "numbered").orderBy("pos")
-    t = t.withColumn("numbered", numbered)
-    t = t.withColumn("li_num", F.when(F.col("numbered"), F.row_number().over(w_ol)))
-    return t.drop("ol_d", "ul_d", "ol_at", "numbered")
+    # Item number = numbered items so far minus those before the last <ol>: the
+    # same (page_id, pos) order as above, so no further sort is planned.
+    t = t.withColumn("numbered", F.coalesce(numbered, F.lit(False)))
+    t = t.withColumn("_n", F.sum(F.col("numbered").cast("int")).over(w))
+    t = t.withColumn("_n_ol", F.last(F.when((tag == "ol") & (sign == 1), F.col("_n")),
+                                     ignorenulls=True).over(w))
+    t = t.withColumn("li_num", F.when(F.col("numbered"), F.col("_n") - F.col("_n_ol")))
+    return t.drop("ol_d", "ul_d", "ol_at", "numbered", "_n", "_n_ol")
 
 
 @cache
