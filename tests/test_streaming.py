@@ -60,3 +60,31 @@ def test_history_stream_equals_batch(spark):
     got = spark.sql("SELECT * FROM hist_out")
     want = N.history(ev)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_task_status_stream_equals_batch(spark):
+    from weftview.plans.sessions import TASK_EVENTS, TASK_VIEWS
+
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    k = F.get_json_object("props", "$.k").cast("long")
+    mapping = F.create_map(*[F.lit(x) for kv in TASK_EVENTS.items() for x in kv])
+    te = ev.where(F.col("event_type").isin(*TASK_EVENTS)).select(
+        F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").alias("seq"), mapping[F.col("event_type")].alias("event"),
+        F.element_at(F.array(*[F.lit(v) for v in TASK_VIEWS]),
+                     (F.pmod(k, F.lit(len(TASK_VIEWS))) + 1).cast("int")).alias("view_id"))
+    src = _scratch()
+    te.write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema(J.TASK_SCHEMA).parquet(src)
+    q = (J.task_status_stream(stream).writeStream.format("memory").queryName("task_out")
+         .outputMode("update").option("checkpointLocation", _scratch()).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = spark.sql("SELECT * FROM task_out")
+    last_nav = te.where("event = 'navigate'").groupBy("session_id").agg(
+        F.max(F.struct("ts", "seq")).alias("nav_at"))
+    t = te.where("event <> 'navigate'").join(last_nav, "session_id", "left").where(
+        F.col("nav_at").isNull() | (F.struct("ts", "seq") > F.col("nav_at")))
+    want = t.groupBy("session_id", "view_id").agg(F.max_by("event", F.struct("ts", "seq")).alias("e")) \
+        .select("session_id", "view_id",
+                F.when(F.col("e") == "loading", "loading").otherwise("loaded").alias("status"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

@@ -120,3 +120,26 @@ def test_table_rows_rules(spark):
     assert rows == ["Name | Qty | Notes here",
                     "[Long link](/item/1) | Anchor text | plain cell",
                     "inner cell text"]
+
+
+def test_response_decoding(spark):
+    from weftview.sources.responses import load_pages
+
+    rows = [
+        ("u1", 200, None, "café".encode("utf-8")),          # no charset: valid UTF-8
+        ("u2", 200, "ISO-8859-1", "café".encode("latin-1")),  # suspect charset, not UTF-8
+        ("u3", 200, "utf-8", b"caf\xe9"),                    # declared UTF-8, bad byte
+        ("u4", 200, "windows-1252", b"x"),                   # not handled: quarantined
+        ("u5", 404, "utf-8", b"<p>gone</p>"),                # error status
+        ("u6", 200, "ascii", None),                          # no body
+        ("u7", 200, " UTF-8 ", b""),                         # empty page
+    ]
+    df = spark.createDataFrame(rows, "url string, status int, charset string, body binary")
+    got = {r.url: (r.ok, r.html, r.reason, r.message) for r in load_pages(df).collect()}
+    assert got["u1"][:2] == (True, "café")
+    assert got["u2"][:2] == (True, "café")
+    assert got["u3"][:2] == (True, "caf�")
+    assert got["u4"] == (False, None, "unsupported charset windows-1252", "Failed to load u4")
+    assert got["u5"][:3] == (False, None, "HTTP 404")
+    assert got["u6"][:3] == (False, None, "no response")
+    assert got["u7"][:3] == (False, None, "empty page")

@@ -1,4 +1,5 @@
-"""Registered queries over sessions and responses.
+"""Registered queries over sessions and responses
+(A6-A7, B8, B11, B13, D12, G2-G4, H1-H3, J1, K2, K4, K6, L2).
 
 Inputs are derived from the driver tables:
 
@@ -7,6 +8,7 @@ Inputs are derived from the driver tables:
   ``error`` a visit whose page failed to load.
 * ``events`` -> task events: ``view`` = navigate, ``click`` = loading,
   ``purchase`` = loaded, ``error`` = error; the view is chosen by ``k``.
+* ``events`` -> tab activations (``click``) and failed completions (``error``).
 * ``conversations`` -> response chunks: ``conv_id`` = response, ``turn`` = seq,
   ``text`` = chunk.
 """
@@ -17,11 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggs import ordered_join
-from ..functions.patterns import HISTORY_CAP, SNAPSHOT_EVERY
+from ..functions.patterns import DEFAULT_MODEL, HISTORY_CAP, SNAPSHOT_EVERY
 from ..functions.sqltext import lit
 from ..operators import chunks as C
 from ..operators import navigation as N
-from ..operators.views import DEFAULT_VIEWS, fan_out, status_label, view_specs
+from ..operators.views import (
+    DEFAULT_VIEWS,
+    VIEW_ID_PREFIX,
+    error_content,
+    fan_out,
+    normalize_view_id,
+    status_label,
+    task_model,
+    view_specs,
+)
 from ..sources.tables import table
 
 # --- fixed values: how driver tables map onto sessions --------------------------
@@ -109,6 +120,43 @@ def on_demand_tasks(spark, d):
     return wanted.join(busy, ["session_id", "view_id"], "left_anti")
 
 
+# --- fixed values: tab ids seen in click events (the last one is not a view) ----
+TAB_IDS = TASK_VIEWS + ["settings"]
+ERROR_KINDS = ["auth", "runtime", "unexpected"]
+
+
+def view_events(spark, d):
+    """Tab activations from click events; prefixed ids normalised, unknown flagged."""
+    e = table(spark, d, "events", "event_id", "user_id", "event_type", "props")
+    k = F.get_json_object("props", "$.k").cast("long")
+    vid = F.element_at(F.array(*[F.lit(v) for v in TAB_IDS]),
+                       (F.pmod(k, F.lit(len(TAB_IDS))) + 1).cast("int"))
+    raw = F.when(F.pmod(F.floor(k / len(TAB_IDS)), F.lit(2)) == 0,
+                 F.concat(F.lit(VIEW_ID_PREFIX), vid)).otherwise(vid)
+    known = [v["id"] for v in view_specs(spark)]
+    x = e.where(F.col("event_type") == "click").select(
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), raw.alias("raw_id"))
+    x = x.withColumn("view_id", normalize_view_id(F.col("raw_id")))
+    return x.withColumn("known", F.col("view_id").isin(*known))
+
+
+def completion_errors(spark, d):
+    """L2: the closing chunk of failed completions, one per failed task event."""
+    e = table(spark, d, "events", "event_id", "user_id", "event_type", "props")
+    k = F.get_json_object("props", "$.k").cast("long")
+    models = F.create_map(*[F.lit(x) for v in view_specs(spark) for x in (v["id"], v["model"])])
+    x = e.where(F.col("event_type") == "error").select(
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"),
+        F.element_at(F.array(*[F.lit(v) for v in TASK_VIEWS]),
+                     (F.pmod(k, F.lit(len(TASK_VIEWS))) + 1).cast("int")).alias("view_id"),
+        F.element_at(F.array(*[F.lit(v) for v in ERROR_KINDS]),
+                     (F.pmod(k, F.lit(len(ERROR_KINDS))) + 1).cast("int")).alias("error_kind"),
+        F.concat(F.lit("request failed for item "), k.cast("string")).alias("error"))
+    x = x.withColumn("model", task_model(models[F.col("view_id")]))
+    return x.select("session_id", "seq", "view_id", "model", "error_kind",
+                    error_content(F.col("error_kind"), F.col("model"), F.col("error")).alias("content"))
+
+
 def _chunks(spark, d) -> DataFrame:
     c = table(spark, d, "conversations", "conv_id", "turn", "role", "text")
     return c.select("conv_id", F.col("turn").alias("seq"), "role", F.col("text").alias("chunk"))
@@ -156,6 +204,8 @@ QUERIES = {
     "task_status": task_status,
     "task_totals": task_totals,
     "on_demand_tasks": on_demand_tasks,
+    "view_events": view_events,
+    "completion_errors": completion_errors,
     "chunk_filter": chunk_filter,
     "response_text": response_text,
     "response_lines": response_lines,
@@ -241,3 +291,32 @@ SELECT session_id, unnest(range(len(stack)))::BIGINT AS pos, unnest(stack) AS ur
     "view_content_latest": f"WITH {_CH} SELECT conv_id, role, max(seq) AS seq, arg_max(chunk, seq) "
                            f"AS content FROM ch GROUP BY conv_id, role",
 }
+
+_tabs = "[" + ", ".join(lit(v) for v in TAB_IDS) + "]"
+_tk = "json_extract_string(props, '$.k')::BIGINT"
+_known = ", ".join(lit(v[0]) for v in DEFAULT_VIEWS)
+_tab_pick = f"{_tabs}[({_tk} % {len(TAB_IDS)}) + 1]"
+_raw_id = (f"CASE WHEN ((({_tk}) // {len(TAB_IDS)}) % 2) = 0 THEN {lit(VIEW_ID_PREFIX)} || "
+           f"{_tab_pick} ELSE {_tab_pick} END")
+ORACLE["view_events"] = (
+    f"WITH x AS (SELECT user_id AS session_id, event_id AS seq, {_raw_id} AS raw_id FROM events "
+    f"WHERE event_type = 'click'), y AS (SELECT *, CASE WHEN starts_with(raw_id, {lit(VIEW_ID_PREFIX)}) "
+    f"THEN substr(raw_id, {len(VIEW_ID_PREFIX) + 1}) ELSE raw_id END AS view_id FROM x) "
+    f"SELECT *, view_id IN ({_known}) AS known FROM y")
+
+_model_case = " ".join(
+    f"WHEN {lit(v[0])} THEN {lit(v[9].strip() or DEFAULT_MODEL)}" for v in DEFAULT_VIEWS)
+_kinds = "[" + ", ".join(lit(v) for v in ERROR_KINDS) + "]"
+_AUTH_SQL = ("'## 🔐 Authentication Error' || chr(10) || chr(10) || 'Authentication failed for model ' "
+             "|| chr(39) || model || chr(39) || '. Please set a valid API key for ' "
+             "|| split_part(model, '/', 1) || '.'")
+ORACLE["completion_errors"] = (
+    f"WITH x AS (SELECT user_id AS session_id, event_id AS seq, "
+    f"{_views_list}[({_tk} % {len(TASK_VIEWS)}) + 1] AS view_id, "
+    f"{_kinds}[({_tk} % {len(ERROR_KINDS)}) + 1] AS error_kind, "
+    f"'request failed for item ' || ({_tk})::VARCHAR AS error FROM events WHERE event_type = 'error'), "
+    f"y AS (SELECT *, CASE view_id {_model_case} END AS model FROM x) "
+    f"SELECT session_id, seq, view_id, model, error_kind, CASE error_kind "
+    f"WHEN 'auth' THEN {_AUTH_SQL} "
+    f"WHEN 'runtime' THEN '## ❌ Error' || chr(10) || chr(10) || error "
+    f"ELSE '## ❌ Unexpected Error' || chr(10) || chr(10) || error END AS content FROM y")

@@ -1,4 +1,4 @@
-"""Registered queries over page structure."""
+"""Registered queries over page structure."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from ..functions.text import trim_ws, trim_ws_sql
 from ..operators.content import page_structure, page_title_agg, selector_predicate
 from ..operators.tokens import attr_name, attr_pair_value, elements, tokenize, with_selector_attrs
 from ..operators.tables import CELL_MIN, LINK_MIN, ROW_MIN, ROW_SEP, table_rows
+from ..sources.responses import load_pages
 from ..sources.tables import pages, table
 from . import sql_structure as S
 
@@ -40,6 +41,22 @@ def page_rejects(spark, d):
                     F.concat(F.lit("Failed to load "), F.coalesce("url", F.lit(""))).alias("message")))
 
 
+# --- A2: bodies as a crawler stores them, decoded back -------------------------
+
+# --- fixed values: declared charsets given to the stored bodies, in turn --------
+DECLARED_CHARSETS = (None, "utf-8", "ISO-8859-1", "ascii")
+
+
+def charset_decode(spark, d):
+    """A1-A3 over each page stored as a UTF-8 body with a declared charset."""
+    p = pages(spark, d, "page_id", "url", "html")
+    cs = F.element_at(F.array(*[F.lit(c).cast("string") for c in DECLARED_CHARSETS]),
+                      (F.pmod(F.col("page_id"), F.lit(len(DECLARED_CHARSETS))) + 1).cast("int"))
+    resp = p.select("page_id", "url", F.lit(200).alias("status"), cs.alias("charset"),
+                    F.encode("html", "UTF-8").alias("body"))
+    return load_pages(resp).select("page_id", "url", "charset", "ok", "html")
+
+
 # --- C1-C5 --------------------------------------------------------------------
 
 def html_tokens(spark, d):
@@ -152,6 +169,7 @@ def table_rows_q(spark, d):
 QUERIES = {
     "page_scan": page_scan,
     "page_rejects": page_rejects,
+    "charset_decode": charset_decode,
     "html_tokens": html_tokens,
     "html_attrs": html_attrs,
     "html_elements": html_elements,
@@ -278,3 +296,8 @@ SELECT page_id, row_pos::BIGINT AS row_pos, text FROM rw WHERE length(text) > {R
 
 
 ORACLE["table_rows"] = _table_rows_sql()
+
+_CS_LIST = "[" + ", ".join("NULL" if c is None else lit(c) for c in DECLARED_CHARSETS) + "]::VARCHAR[]"
+ORACLE["charset_decode"] = (
+    f"SELECT page_id, url, ({_CS_LIST})[(page_id % {len(DECLARED_CHARSETS)}) + 1] AS charset, "
+    f"coalesce(html <> '', false) AS ok, CASE WHEN html <> '' THEN html END AS html FROM pages")

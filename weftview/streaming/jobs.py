@@ -3,13 +3,16 @@
 * K1/K3 ``stream_page_views``: pages arrive as files; each micro-batch runs the
   batch page pipeline (a page is complete in one row, so a micro-batch is
   exact) through ``foreachBatch`` and appends views and links to parquet sinks.
-* K2 ``stream_response_lines``: chunks arrive in order per response; keyed
+* K2 ``response_lines_stream``: chunks arrive in order per response; keyed
   state holds the unterminated line; an ``is_last`` chunk flushes it.
-* K4 ``stream_history``: navigation events per session; keyed state holds the
+* K4 ``history_stream``: navigation events per session; keyed state holds the
   history stack (at most the cap), emitted after every micro-batch.
+* K5 ``task_status_stream``: task events per session; keyed state holds the
+  last event per view since the last navigate.
 
 Stateful parts use ``applyInPandasWithState``; their state is bounded (one
-partial line / one capped stack per key), never the whole key's history.
+partial line / one capped stack / one small map per key), never the whole
+key's history.
 """
 
 from __future__ import annotations
@@ -136,3 +139,37 @@ def history_stream(events: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:
     """K4 on a stream: the session's history after each micro-batch (update mode)."""
     return events.groupBy("session_id").applyInPandasWithState(
         _history_state(cap), HIST_OUT, HIST_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+TASK_SCHEMA = "session_id long, ts timestamp, seq long, event string, view_id string"
+TASK_OUT = "session_id long, view_id string, status string"
+TASK_STATE = "last map<string, string>"
+
+
+def _task_state_fn(key, pdfs: Iterator[pd.DataFrame], state):
+    """K5: per session, the last task event per view since the last navigate."""
+    session = key[0]
+    last = dict(state.get[0]) if state.exists and state.get[0] is not None else {}
+    parts = [p for p in pdfs]
+    if parts:
+        pdf = pd.concat(parts).sort_values(["ts", "seq"])
+        for event, view in pdf[["event", "view_id"]].itertuples(index=False):
+            if event == "navigate":
+                last = {}
+            else:
+                last[view] = event
+    state.update((last,))
+    views = sorted(last)
+    yield pd.DataFrame({"session_id": [session] * len(views), "view_id": views,
+                        "status": ["loading" if last[v] == "loading" else "loaded" for v in views]}
+                       ).astype({"session_id": "int64"})
+
+
+def task_status_stream(events: DataFrame) -> DataFrame:
+    """K5 on a stream: a session's view states after each micro-batch (update mode).
+
+    ``error`` counts as loaded; a ``navigate`` resets the session.  State is one
+    small map per session (at most one entry per view).
+    """
+    return events.groupBy("session_id").applyInPandasWithState(
+        _task_state_fn, TASK_OUT, TASK_STATE, "update", GroupStateTimeout.NoTimeout)
