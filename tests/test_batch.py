@@ -27,3 +27,30 @@ def test_batch_job_equals_queries(spark):
     # a re-run overwrites rather than appends
     write_page_views(spark, pages, out)
     assert spark.read.parquet(paths["view_content"]).count() == 2 * pages.count()
+
+
+def test_answer_prompts_with_fake_client(spark):
+    import sys
+
+    from pyspark import cloudpickle
+
+    from weftview.plans.batch import answer_prompts
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    prompts = spark.read.parquet(f"{SF}/documents.parquet").select(
+        F.col("doc_id").alias("prompt_id"), F.col("text").alias("prompt"))
+    out = answer_prompts(prompts, _echo_client, model="echo/1")
+    rows = {r.prompt_id: r for r in out.collect()}
+    assert len(rows) == prompts.count()
+    for r in prompts.collect():
+        want = f"words: {len(r.prompt.split())}\n" + r.prompt.split()[0] if r.prompt.split() else "words: 0\n"
+        assert rows[r.prompt_id].answer == want and rows[r.prompt_id].model == "echo/1"
+
+
+def _echo_client(model):
+    def complete(prompt):
+        words = prompt.split()
+        yield f"words: {len(words)}\n"
+        if words:
+            yield words[0]
+    return complete

@@ -6,11 +6,9 @@ two sides cannot drift apart.
 
 # --- fixed values: whitespace -------------------------------------------------
 # Python's str.strip() is Unicode aware while Java's and RE2's \s are ASCII only,
-# so one explicit class is used in both engines.
-WS = (
-    r"[\t\n\x{000B}\f\r \x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}"
-    r"\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-)
+# so the set is spelled out: exactly the characters Python calls whitespace.
+WS_CHARS = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+WS = "[" + "".join(f"\\x{{{ord(c):04X}}}" for c in WS_CHARS) + "]"
 
 # --- fixed values: HTML tokens ------------------------------------------------
 # One alternation, leftmost-first: comments, raw-text elements (script, style,

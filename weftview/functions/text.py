@@ -9,15 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import ENTITIES, TRUNCATION_MARKER, WS
+from .patterns import ENTITIES, TRUNCATION_MARKER, WS, WS_CHARS
 from .sqltext import lit
 
 _TRIM_RE = f"^{WS}+|{WS}+$"
 
 
 def trim_ws(c: Column) -> Column:
-    """Strip Unicode whitespace at both ends (Python ``str.strip``)."""
-    return F.regexp_replace(c, _TRIM_RE, "")
+    """Strip Unicode whitespace at both ends (Python ``str.strip``).
+
+    ``btrim`` with an explicit character set: no regex per row.
+    """
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def trim_ws_sql(e: str) -> str:
@@ -34,10 +37,14 @@ def collapse_ws_sql(e: str) -> str:
 
 
 def decode_entities(c: Column) -> Column:
-    """Decode the fixed set of named character references."""
+    """Decode the fixed set of named character references.
+
+    Strings without ``&`` (most text) skip the replacements.
+    """
+    d = c
     for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+        d = F.replace(d, F.lit(ent), F.lit(ch))
+    return F.when(F.instr(c, "&") > 0, d).otherwise(c)
 
 
 def decode_entities_sql(e: str) -> str:

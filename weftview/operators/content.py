@@ -49,7 +49,7 @@ def selector_predicate(sel: str) -> Column:
     if kind == "tag":
         return F.col("tag") == name
     if kind == "class":
-        return F.coalesce(F.col("a_class").rlike(class_pattern(name)), F.lit(False))
+        return F.coalesce(F.array_contains(F.col("a_classes"), name), F.lit(False))
     col = F.col(_ATTR_COL[name])
     if kind == "eq":
         return F.coalesce(col == value, F.lit(False))
@@ -94,7 +94,7 @@ def page_structure(tokens: DataFrame) -> DataFrame:
     })
     # The raw token and its attribute list are not needed past this point;
     # dropping them keeps every later sort narrow.
-    t = t.drop("tok", "attrs", "a_class", "a_role", "a_aria_hidden", "a_itemtype")
+    t = t.drop("tok", "attrs", "a_class", "a_classes", "a_role", "a_aria_hidden", "a_itemtype")
     t = elements(t, carry=("m_noise", "p_noise", "a_href"))
 
     # Main content: lowest rank, then longest text, then first in the page.

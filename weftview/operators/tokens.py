@@ -19,7 +19,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import ATTR_RE, TOKEN_RE, VOID_TAGS
+from ..functions.patterns import ATTR_RE, TOKEN_RE, VOID_TAGS, WS
 from ..functions.text import decode_entities, trim_ws
 
 _NAME_RE = r"""^[^\s"'>/=]+"""
@@ -29,7 +29,8 @@ TOKEN_COLUMNS = ["page_id", "pos", "tok", "kind", "tag", "sign", "text", "tlen",
 
 def token_kind(tok: Column) -> Column:
     return (
-        F.when(tok.rlike("^<!--") & tok.rlike("-->$") & (F.length(tok) >= 7), "comment")
+        F.when(~tok.startswith("<"), "text")
+        .when(tok.rlike("^<!--") & tok.rlike("-->$") & (F.length(tok) >= 7), "comment")
         .when(tok.rlike(r"(?is)^<(script|style|title)\b.*</(script|style|title)\s*>$"), "raw")
         .when(tok.rlike("^<[!?]"), "decl")
         .when(tok.rlike("^</[A-Za-z]"), "end")
@@ -142,13 +143,16 @@ def _token_exprs() -> dict[str, Column]:
 
 
 def with_selector_attrs(t: DataFrame) -> DataFrame:
-    """Add the attributes that selectors test: class, role, aria-hidden, itemtype."""
-    return t.withColumns({
+    """Add the attributes that selectors test: class (and its names), role,
+    aria-hidden, itemtype."""
+    t = t.withColumns({
         "a_class": attr_value("attrs", "class"),
         "a_role": attr_value("attrs", "role"),
         "a_aria_hidden": attr_value("attrs", "aria-hidden"),
         "a_itemtype": attr_value("attrs", "itemtype"),
     })
+    # Class names split once; each class selector is then an array_contains.
+    return t.withColumn("a_classes", F.split(trim_ws(F.col("a_class")), WS + "+", -1))
 
 
 def elements(t: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Batch job: pages -> view content + links, written as tables.
+"""Batch jobs: pages -> view content + links (A4, A6, D1, D2, E1-E3); prompts -> answers (A5).
 
 Both views come from one tokenisation: the raw and clean render contexts are
 computed one after the other in the same ``(page_id, pos)`` order, and a single
@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.aggs import ordered_join
+from ..functions.patterns import DEFAULT_MODEL
 from ..functions.text import truncate
 from ..operators import markdown as M
+from ..operators.completion import complete_requests
 from ..operators.content import page_structure, page_title_agg
 from ..operators.links import extract_links
 from ..operators.tokens import tokenize
@@ -63,6 +65,23 @@ def write_page_views(spark: SparkSession, pages: DataFrame, out_dir: str,
     links.write.mode("overwrite").parquet(links_path)
     return {"view_content": views_path, "links": links_path}
 
+def answer_prompts(prompts: DataFrame, make_client, model: str | None = None,
+                   default_model: str | None = None) -> DataFrame:
+    """A5: ``prompts(prompt_id, prompt)`` -> ``(prompt_id, model, answer, error_kind)``.
+
+    Each prompt becomes one request (``model`` overrides the default), the
+    completion stage streams chunks, and the answer is their ordered join (G2);
+    a failed request keeps the chunks it produced plus its error text.
+    """
+    chosen = model or default_model or DEFAULT_MODEL
+    reqs = prompts.select(F.col("prompt_id").alias("page_id"), F.lit("prompt").alias("view_id"),
+                          F.lit(chosen).alias("model"), "prompt")
+    chunks = complete_requests(reqs, make_client, default_model or DEFAULT_MODEL)
+    return chunks.groupBy(F.col("page_id").alias("prompt_id")).agg(
+        F.max("model").alias("model"),
+        ordered_join("chunk", ["seq"]).alias("answer"),
+        F.max("error_kind").alias("error_kind"))
+
 
 def main(argv: list[str]) -> None:
     from ..session import local_session
@@ -77,3 +96,4 @@ def main(argv: list[str]) -> None:
 
 if __name__ == "__main__":
     main(sys.argv[1:])
+

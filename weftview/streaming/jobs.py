@@ -56,9 +56,16 @@ def raw_view_batch(pages: DataFrame) -> DataFrame:
                                                F.coalesce(md, F.lit("\n"))).alias("markdown"))
 
 
-def stream_page_views(spark, source_dir: str, sink_dir: str, checkpoint_dir: str,
+def stream_page_views(spark, source_dir: str, sink_dir: str, checkpoint_dir: str | None = None,
                       available_now: bool = True):
-    """K1/K3: raw views and their links for pages as they arrive (parquet files)."""
+    """K1/K3: raw views and their links for pages as they arrive (parquet files).
+
+    The query's checkpoint defaults to a folder under the session's
+    ``spark.checkpoint.dir`` (the cluster's shared folder).
+    """
+    if checkpoint_dir is None:
+        from ..session import checkpoint_dir as shared_dir
+        checkpoint_dir = f"{shared_dir(spark).rstrip('/')}/stream-page-views"
     src = spark.readStream.schema(PAGE_SCHEMA).parquet(source_dir)
 
     def each(batch: DataFrame, epoch: int) -> None:
