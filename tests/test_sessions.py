@@ -105,3 +105,32 @@ def test_snapshots_every_third_and_last(spark):
 
 def test_drop_empty(spark):
     assert C.drop_empty(chunk_df(spark)).count() == sum(1 for v in CHUNKS.values() for c in v if c)
+
+
+def test_hot_session_is_split_and_still_exact(spark):
+    from weftview.operators.sequence import range_buckets
+
+    base = dt.datetime(2024, 1, 1)
+    rnd = random.Random(3)
+    rows = []
+    seq = 0
+    for s in range(20):  # 20 ordinary sessions
+        for i in range(30):
+            rows.append((s, base + dt.timedelta(seconds=i * 60), seq, "visit", f"u{rnd.randint(0, 3)}", True))
+            seq += 1
+    for i in range(300):  # one session with a third of all rows, all in the same second
+        rows.append((99, base, seq, "visit", f"u{rnd.randint(0, 2)}", True))
+        seq += 1
+    ev = spark.createDataFrame(rows, "session_id long, ts timestamp, seq long, op string, url string, ok boolean")
+    b = range_buckets(ev, ["session_id"], ["ts", "seq"], n=16)
+    hot_buckets = b.where("session_id = 99").select("_b").distinct().count()
+    assert hot_buckets >= 3  # the hot session spans several range buckets
+    got = {}
+    for r in N.visits_deduped(ev, buckets=16).orderBy("seq").collect():
+        got.setdefault(r.session_id, []).append(r.url)
+    want, prev = {}, {}
+    for s, _, _, _, url, _ in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        if prev.get(s) != url:
+            want.setdefault(s, []).append(url)
+        prev[s] = url
+    assert got == want

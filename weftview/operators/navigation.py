@@ -18,29 +18,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import HISTORY_CAP
-from .sequence import last_value_before, time_bucket, top_k_last
+from .sequence import last_value_before, range_buckets, top_k_last
 
 ORDER = ["ts", "seq"]
 KEYS = ["session_id"]
 
 
-def visits_deduped(ev: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def visits_deduped(ev: DataFrame, buckets: int | None = None) -> DataFrame:
     """H1: visits whose URL differs from the visit right before (non-adjacent repeats stay)."""
-    v = ev.where(F.col("op") == "visit").withColumn("_b", time_bucket(F.col("ts"), bucket_seconds))
+    v = range_buckets(ev.where(F.col("op") == "visit"), KEYS, ORDER, buckets)
     v = last_value_before(v, KEYS, "_b", ORDER, "url", "prev_url", inclusive=False)
     return v.where(~F.col("url").eqNullSafe(F.col("prev_url"))).drop("_b")
 
 
-def last_n(visits: DataFrame, n: int = HISTORY_CAP, bucket_seconds: int = 3600) -> DataFrame:
+def last_n(visits: DataFrame, n: int = HISTORY_CAP, buckets: int | None = None) -> DataFrame:
     """H2: the last ``n`` entries per session, ``from_end`` 1 = newest."""
-    v = visits.withColumn("_b", time_bucket(F.col("ts"), bucket_seconds))
+    v = range_buckets(visits, KEYS, ORDER, buckets)
     return top_k_last(v, KEYS, "_b", ORDER, n).drop("_b")
 
 
-def current_page(ev: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def current_page(ev: DataFrame, buckets: int | None = None) -> DataFrame:
     """K6: after each event, the page shown: the last visit that loaded (NULL before one)."""
     x = ev.withColumn("_ok_url", F.when((F.col("op") == "visit") & F.col("ok"), F.col("url")))
-    x = x.withColumn("_b", time_bucket(F.col("ts"), bucket_seconds))
+    x = range_buckets(x, KEYS, ORDER, buckets)
     x = last_value_before(x, KEYS, "_b", ORDER, "_ok_url", "current_url", inclusive=True)
     return x.drop("_ok_url", "_b")
 

@@ -3,9 +3,14 @@
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task; if
 one session holds a third of all rows, that task does a third of the work.
 These helpers window within ``(key, bucket)`` instead, where ``bucket`` is a
-contiguous range of the order (a time bucket), and stitch the buckets together
-through a per-bucket aggregate that is tiny next to the rows: one row per
-(key, bucket).  Results are exact.
+contiguous range of the order, and stitch the buckets together through a
+per-bucket aggregate that is tiny next to the rows: one row per (key, bucket).
+Results are exact.
+
+``range_buckets`` takes the buckets from Spark's range partitioning of
+``(key, order)``: its bounds come from a sample of the data, so a key holding a
+third of all rows is cut into about a third of the buckets, however its rows
+are spread in time.
 """
 
 from __future__ import annotations
@@ -14,9 +19,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def time_bucket(ts: Column, seconds: int = 3600) -> Column:
-    """A contiguous bucket of the (ts, id) order: ``ts`` floored to ``seconds``."""
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
+def range_buckets(df: DataFrame, keys: list[str], order: list[str], n: int | None = None,
+                  out: str = "_b") -> DataFrame:
+    """Add ``out``: the range partition of the row in ``(keys, order)`` order.
+
+    Partition ids are monotone in that order, so each (key, bucket) is a
+    contiguous run of the key's rows.  The count is fixed (a repartition by
+    number is not coalesced by AQE): ``max(2 x defaultParallelism,
+    spark.sql.shuffle.partitions)`` unless given.
+    """
+    if n is None:
+        spark = df.sparkSession
+        n = max(2 * spark.sparkContext.defaultParallelism,
+                int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    cols = [F.col(c) for c in [*keys, *order]]
+    return df.repartitionByRange(n, *cols).withColumn(out, F.spark_partition_id().cast("long"))
 
 
 def _ordkey(order: list[str]) -> Column:
