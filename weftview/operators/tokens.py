@@ -97,7 +97,7 @@ def page_partitions(df: DataFrame) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, shuffle)
 
 
-def tokenize(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+def tokenize(pages: DataFrame, partitions: int | None = None, with_url: bool = False) -> DataFrame:
     """``pages(page_id, html)`` -> tokens, hash-partitioned by ``page_id``.
 
     Columns: ``page_id, pos`` (0-based), ``tok``, ``kind`` (start, end, raw,
@@ -105,18 +105,27 @@ def tokenize(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     -1 closes one, 0 otherwise), ``text`` (entity-decoded text of a text token
     or of a raw ``<title>``), ``tlen`` (length of the stripped text) and
     ``attrs`` (raw attribute strings of a start tag).
+
+    ``with_url``: ``pages`` also has ``url``; it travels through the page
+    shuffle on each page's first row only (NULL elsewhere), and a page without
+    tokens keeps one row with NULL ``pos``/``tok``, so per-page aggregates see
+    every page and need no join back to ``pages`` for the URL.
     """
-    p = pages.select("page_id", "html").repartition(partitions or page_partitions(pages), "page_id")
-    t = p.select(
-        "page_id",
-        F.posexplode(F.regexp_extract_all("html", F.lit(TOKEN_RE), 0)).alias("pos", "tok"),
-    )
+    n = partitions or page_partitions(pages)
+    cols = ["page_id", "url", "html"] if with_url else ["page_id", "html"]
+    p = pages.select(*cols).repartition(n, "page_id")
+    toks = F.regexp_extract_all("html", F.lit(TOKEN_RE), 0)
+    if with_url:
+        t = p.select("page_id", "url", F.posexplode_outer(toks).alias("pos", "tok"))
+        t = t.withColumn("url", F.when(F.col("pos").isNull() | (F.col("pos") == 0), F.col("url")))
+    else:
+        t = p.select("page_id", F.posexplode(toks).alias("pos", "tok"))
     e = _token_exprs()
     t = t.withColumn("kind", e["kind"])
     t = t.withColumn("tag", e["tag"])
     t = t.withColumns({"sign": e["sign"], "text": e["text"], "attrs": e["attrs"]})
     t = t.withColumn("tlen", e["tlen"])
-    return t.select(*TOKEN_COLUMNS)
+    return t.select(*TOKEN_COLUMNS, *(["url"] if with_url else []))
 
 
 @cache

@@ -22,17 +22,17 @@ def rendered(spark: SparkSession, d: str, view: str, max_chars=None) -> DataFram
     view D3 and D5 (``max_chars``).  Headers are added by the callers.
     """
     raw = view == "raw"
-    st = structure(spark, d)
+    st = structure(spark, d, with_url=True)
     st = M.render_context(st, None if raw else F.col("keep"))
     st = st.withColumn("frag", M.fragment(images=raw, raw=raw))
     md_agg = ordered_join("frag", ["pos"], "", None if raw else F.col("keep"))
-    g = st.groupBy("page_id").agg(page_title_agg().alias("title"), md_agg.alias("md"))
+    g = st.groupBy("page_id").agg(F.max("url").alias("url"), page_title_agg().alias("title"),
+                                  md_agg.alias("md"))
     md = M.normalize_md(F.coalesce(F.col("md"), F.lit("")))
     md = M.unwrap_link_targets(md)
     md = M.strip_link_target_spaces(md) if raw else truncate(md, max_chars)
     g = g.withColumn("md", md)
-    r = pages(spark, d, "page_id", "url").join(g, "page_id", "left")
-    return r.select("page_id", "url", F.coalesce("title", F.lit("No Title")).alias("title"),
+    return g.select("page_id", "url", F.coalesce("title", F.lit("No Title")).alias("title"),
                     F.coalesce("md", F.lit("\n")).alias("md"))
 
 

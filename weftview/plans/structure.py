@@ -17,13 +17,10 @@ from ..sources.tables import pages, table
 from . import sql_structure as S
 
 
-def ordered_concat(value: str, order: str, sep: str) -> F.Column:
-    """Values joined by ``sep`` in ``order`` (see ``functions.aggs.ordered_join``)."""
-    return ordered_join(value, [order], sep)
-
-
-def structure(spark: SparkSession, d: str) -> DataFrame:
-    return page_structure(tokenize(pages(spark, d, "page_id", "html")))
+def structure(spark: SparkSession, d: str, with_url: bool = False) -> DataFrame:
+    """Page structure over the token relation; ``with_url`` for per-page outputs."""
+    cols = ("page_id", "url", "html") if with_url else ("page_id", "html")
+    return page_structure(tokenize(pages(spark, d, *cols), with_url=with_url))
 
 
 # --- A1 / A3: loaded and failed pages --------------------------------------
@@ -110,9 +107,9 @@ def selector_hits(spark, d):
 # --- C6-C10 -------------------------------------------------------------------
 
 def _per_page(spark, d, *aggs) -> DataFrame:
-    st = structure(spark, d)
-    g = st.groupBy("page_id").agg(*aggs)
-    return pages(spark, d, "page_id", "url").join(g, "page_id", "left")
+    """One row per page (empty pages included), ``url`` carried through the shuffle."""
+    st = structure(spark, d, with_url=True)
+    return st.groupBy("page_id").agg(F.max("url").alias("url"), *aggs)
 
 
 def page_title(spark, d):
@@ -136,11 +133,11 @@ def clean_blocks(spark, d):
 
 
 def plain_text(spark, d):
-    st = structure(spark, d)
-    st = st.where(F.col("keep") & (F.col("tlen") > 0)).withColumn("line", trim_ws(F.col("text")))
-    g = st.groupBy("page_id").agg(ordered_concat("line", "pos", "\n").alias("text"))
-    r = pages(spark, d, "page_id", "url").join(g, "page_id", "left")
-    return r.select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
+    st = structure(spark, d, with_url=True).withColumn("line", trim_ws(F.col("text")))
+    g = st.groupBy("page_id").agg(
+        F.max("url").alias("url"),
+        ordered_join("line", ["pos"], "\n", F.col("keep") & (F.col("tlen") > 0)).alias("text"))
+    return g.select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
 
 
 # --- C11: table rows over pages built from orders and customers ---------------
