@@ -45,12 +45,12 @@ NAV_SCHEMA = "session_id long, ts timestamp, seq long, op string, url string"
 
 def raw_view_batch(pages: DataFrame) -> DataFrame:
     """The raw view (D1 with header) for a batch of pages: ``page_id, url, markdown``."""
-    st = render_context(page_structure(tokenize(pages.select("page_id", "html"))))
+    st = render_context(page_structure(
+        tokenize(pages.select("page_id", "url", "html"), with_url=True)))
     st = st.withColumn("frag", fragment(images=True, raw=True))
-    g = st.groupBy("page_id").agg(page_title_agg().alias("title"),
+    j = st.groupBy("page_id").agg(F.max("url").alias("url"), page_title_agg().alias("title"),
                                   ordered_join("frag", ["pos"]).alias("md"))
     md = strip_link_target_spaces(unwrap_link_targets(normalize_md(F.coalesce("md", F.lit("")))))
-    j = pages.select("page_id", "url").join(g, "page_id", "left")
     return j.select("page_id", "url", F.concat(raw_header(F.coalesce("title", F.lit("No Title")),
                                                           F.col("url")),
                                                F.coalesce(md, F.lit("\n"))).alias("markdown"))
