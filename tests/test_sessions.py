@@ -3,7 +3,6 @@
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
 
 from weftview.operators import chunks as C
 from weftview.operators import navigation as N

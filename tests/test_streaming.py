@@ -1,6 +1,5 @@
 """Streaming forms equal the batch results (K1-K4)."""
 
-import datetime as dt
 import tempfile
 
 from pyspark.sql import functions as F
