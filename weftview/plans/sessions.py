@@ -110,7 +110,8 @@ def task_totals(spark, d):
 def on_demand_tasks(spark, d):
     """On-demand views a session may start: not eager, neither loading nor loaded.
 
-    Sessions that have a page (a navigate) only; the view list is broadcast config.
+    Sessions that have a page (a navigate) only; the view list is the config
+    array exploded per session (no join).
     """
     te = task_events(spark, d)
     has_page = te.where(F.col("event") == "navigate").select("session_id").distinct()

@@ -29,7 +29,7 @@ def loaded_pages(spark, d) -> DataFrame:
 
 
 def eager_tasks(spark, d):
-    """Every loaded page x every enabled auto-load view (broadcast config)."""
+    """Every loaded page x every enabled auto-load view (config array, exploded)."""
     specs = [v for v in V.view_specs(spark) if v["auto_load"]]
     return V.fan_out(loaded_pages(spark, d).select("page_id"), specs,
                      {"view_id": "id", "view_order": "order"})
@@ -55,8 +55,8 @@ def _model_views(spark, overrides=None) -> list[dict]:
 def view_prompts(spark, d, session_model: str | None = None):
     """Prompt and model for each eager model view of each page.
 
-    The clean text is computed once per page, then joined with the (broadcast)
-    views, not recomputed per view.
+    The clean text is computed once per page, then fanned out over the views
+    (config array, exploded), not recomputed per view.
     """
     specs = [v for v in _model_views(spark) if v["auto_load"]]
     t = V.fan_out(_clean_for_model(spark, d), specs,
