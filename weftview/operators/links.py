@@ -113,6 +113,12 @@ def _kept(target: Column) -> Column:
     return u, ~((u == "") | u.startswith("#") | u.contains("vote?") | u.startswith("from?site="))
 
 
+def link_count(md: Column) -> Column:
+    """Number of links E1-E3 keep in a document, computed inside the row."""
+    targets = F.regexp_extract_all(md, F.lit(LINK_RE), 2)
+    return F.size(F.filter(F.transform(targets, lambda u: _kept(u)[1]), lambda k: k)).cast("long")
+
+
 def highlight_first(md: Column) -> Column:
     """E8 for the first link (the selection after one *next* from nothing selected).
 

@@ -55,9 +55,9 @@ NONE_MSG = "No navigable links found on this page."
 
 
 def link_counts(spark, d):
-    n = raw_links(spark, d).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"))
-    p = pages(spark, d, "page_id").join(n, "page_id", "left")
-    cnt = F.coalesce(F.col("n_links"), F.lit(0)).cast("long")
+    """Links per page of the raw view, zero included (counted in-row, no join)."""
+    p = raw_docs(spark, d).select("page_id", L.link_count(F.col("markdown")).alias("n_links"))
+    cnt = F.col("n_links")
     msg = F.when(cnt > 0, F.format_string(FOUND_MSG.replace("{}", "%d"), cnt)).otherwise(NONE_MSG)
     return p.select("page_id", F.lit("raw").alias("view_id"), cnt.alias("n_links"), msg.alias("message"))
 
