@@ -143,3 +143,17 @@ def test_response_decoding(spark):
     assert got["u5"][:3] == (False, None, "HTTP 404")
     assert got["u6"][:3] == (False, None, "no response")
     assert got["u7"][:3] == (False, None, "empty page")
+
+
+def test_page_partitions_fixed_and_overridable(spark):
+    from weftview.operators.tokens import PAGE_PARTITIONS_CONF, page_partitions
+
+    p = pages_df(spark, ["<p>a</p>", "<p>b</p>"])
+    default = page_partitions(p)
+    assert default >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(PAGE_PARTITIONS_CONF, "5")
+    try:
+        plan = tokenize(p)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(page_id" in plan and ", 5)" in plan and "REPARTITION_BY_NUM" in plan
+    finally:
+        spark.conf.unset(PAGE_PARTITIONS_CONF)
