@@ -82,21 +82,31 @@ def page_structure(tokens: DataFrame) -> DataFrame:
     element passes: the whole-page branch), ``in_main_noise``,
     ``in_page_noise`` and ``keep`` (the token survives cleaning).
     """
-    t = with_selector_attrs(tokens)
+    first, after = _structure_stages()
+    t = with_selector_attrs(tokens).withColumns(first)
+    # The raw token and its attribute list are not needed past this point;
+    # dropping them keeps every later sort narrow.
+    t = t.drop("tok", "attrs", "a_class", "a_classes", "a_role", "a_aria_hidden", "a_itemtype")
+    t = elements(t, carry=("m_noise", "p_noise", "a_href"))
+    for stage in after:
+        t = t.withColumns(stage)
+        if "main_pos" in stage:
+            t = t.drop("best")
+    return t.drop("m_open", "m_close", "p_open", "p_close")
+
+
+@cache
+def _structure_stages() -> tuple[dict[str, Column], list[dict[str, Column]]]:
+    """Column stages of ``page_structure`` (before and after ``elements``); built once."""
     tag = F.col("tag")
-    t = t.withColumns({
+    first = {
         "rank": content_rank(),
         "m_noise": any_selector(MAIN_NOISE_SELECTORS),
         "p_noise": any_selector(PAGE_NOISE_SELECTORS),
         "a_href": F.when(tag == "a", attr_value("attrs", "href")),
         "a_src": F.when(tag == "img", attr_value("attrs", "src")),
         "a_alt": F.when(tag == "img", attr_value("attrs", "alt")),
-    })
-    # The raw token and its attribute list are not needed past this point;
-    # dropping them keeps every later sort narrow.
-    t = t.drop("tok", "attrs", "a_class", "a_classes", "a_role", "a_aria_hidden", "a_itemtype")
-    t = elements(t, carry=("m_noise", "p_noise", "a_href"))
-
+    }
     # Main content: lowest rank, then longest text, then first in the page.
     w_all = Window.partitionBy("page_id")
     best = F.min(F.when(
@@ -105,43 +115,40 @@ def page_structure(tokens: DataFrame) -> DataFrame:
                  F.col("pos").alias("p"), F.col("close_pos").alias("e"),
                  F.col("tag").alias("g")),
     )).over(w_all)
-    t = t.withColumn("best", best)
-    t = t.withColumns({
+    main = {
         "main_pos": F.col("best.p"),
         "main_end": F.coalesce(F.col("best.e"), F.lit(2**31 - 1)),
         "main_tag": F.col("best.g"),
         "main_len": -F.col("best.nl"),
-    }).drop("best")
-
+    }
     # Noise levels: +1 at a noise open tag, -1 after its close tag.
     sign, pos = F.col("sign"), F.col("pos")
     in_main = F.col("main_pos").isNotNull() & (pos >= F.col("main_pos"))
-    t = t.withColumns({
+    flags = {
         "m_open": ((sign == 1) & F.col("m_noise") & in_main).cast("int"),
         "m_close": ((sign == -1) & F.coalesce(F.col("open_m_noise"), F.lit(False))
                     & F.col("main_pos").isNotNull()
                     & (F.col("open_pos") >= F.col("main_pos"))).cast("int"),
         "p_open": ((sign == 1) & F.col("p_noise")).cast("int"),
         "p_close": ((sign == -1) & F.coalesce(F.col("open_p_noise"), F.lit(False))).cast("int"),
-    })
+    }
     w_run = Window.partitionBy("page_id").orderBy("pos")
     upto = w_run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w_run.rowsBetween(Window.unboundedPreceding, -1)
     m_level = F.sum("m_open").over(upto) - F.coalesce(F.sum("m_close").over(before), F.lit(0))
     p_level = F.sum("p_open").over(upto) - F.coalesce(F.sum("p_close").over(before), F.lit(0))
-    t = t.withColumns({
+    noise = {
         "in_main_noise": (m_level > 0) | ((sign == 0) & F.col("m_noise")),
         "in_page_noise": (p_level > 0) | ((sign == 0) & F.col("p_noise")),
-    })
-    t = t.withColumn(
-        "keep",
-        F.when(F.col("main_pos").isNotNull(),
-               (pos >= F.col("main_pos")) & (pos <= F.col("main_end")) & ~F.col("in_main_noise"))
-        .otherwise(~F.col("in_page_noise")),
-    )
-    return t.drop("m_open", "m_close", "p_open", "p_close")
+    }
+    keep = {"keep": F.when(
+        F.col("main_pos").isNotNull(),
+        (pos >= F.col("main_pos")) & (pos <= F.col("main_end")) & ~F.col("in_main_noise"))
+        .otherwise(~F.col("in_page_noise"))}
+    return first, [{"best": best}, main, flags, noise, keep]
 
 
+@cache
 def title_text() -> Column:
     """Text of a ``<title>`` token: inner text of a closed one, else the next text."""
     return trim_ws(
@@ -151,6 +158,7 @@ def title_text() -> Column:
     )
 
 
+@cache
 def is_title_candidate() -> Column:
     """A ``<title>`` the page title may come from.
 
@@ -161,6 +169,7 @@ def is_title_candidate() -> Column:
             & (F.col("main_pos").isNotNull() | ~F.col("in_page_noise")))
 
 
+@cache
 def page_title_agg() -> Column:
     """Aggregate: first title candidate's text, else ``No Title``."""
     first = F.min(F.when(is_title_candidate(), F.struct(F.col("pos").alias("p"),

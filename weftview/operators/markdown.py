@@ -49,14 +49,28 @@ def _valid_href(h: Column) -> Column:
     return h.isNotNull() & (h != "") & ~h.startswith("#")
 
 
-def render_context(t: DataFrame, mask: Column | None = None) -> DataFrame:
+def render_context(t: DataFrame, mask: Column | str | None = None) -> DataFrame:
     """Add what fragments depend on besides the token itself.
 
     ``in_pre`` (inside a ``pre``), ``li_num`` (1-based number of a list item
     inside an ``ol`` and no ``ul``; NULL = bullet).  Expects the columns added
     by ``content.page_structure`` (``a_href``, ``open_a_href``, ``close_pos``).
-    Only tokens where ``mask`` holds count (the clean view renders kept ones).
+    Only tokens where ``mask`` (a boolean column, or its name) holds count: the
+    clean view renders the kept ones.
     """
+    stages = (_context_stages(mask) if mask is None or isinstance(mask, str)
+              else _build_context_stages(mask))
+    for stage in stages:
+        t = t.withColumns(stage)
+    return t.drop("ol_d", "ul_d", "numbered", "_n", "_n_ol")
+
+
+@cache
+def _context_stages(mask: str | None) -> list[dict[str, Column]]:
+    return _build_context_stages(F.col(mask) if mask else None)
+
+
+def _build_context_stages(mask: Column | None) -> list[dict[str, Column]]:
     mask = F.lit(True) if mask is None else mask
     sign, tag = F.col("sign"), F.when(mask, F.col("tag"))
     w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(
@@ -65,21 +79,16 @@ def render_context(t: DataFrame, mask: Column | None = None) -> DataFrame:
     def depth(name):
         return F.sum(F.when(tag == name, sign).otherwise(0)).over(w)
 
-    t = t.withColumns({
-        "in_pre": depth("pre") > 0,
-        "ol_d": depth("ol"),
-        "ul_d": depth("ul"),
-        "ol_at": F.last(F.when((tag == "ol") & (sign == 1), F.col("pos")), ignorenulls=True).over(w),
-    })
     numbered = (tag == "li") & (sign == 1) & (F.col("ol_d") > 0) & (F.col("ul_d") <= 0)
     # Item number = numbered items so far minus those before the last <ol>: the
     # same (page_id, pos) order as above, so no further sort is planned.
-    t = t.withColumn("numbered", F.coalesce(numbered, F.lit(False)))
-    t = t.withColumn("_n", F.sum(F.col("numbered").cast("int")).over(w))
-    t = t.withColumn("_n_ol", F.last(F.when((tag == "ol") & (sign == 1), F.col("_n")),
-                                     ignorenulls=True).over(w))
-    t = t.withColumn("li_num", F.when(F.col("numbered"), F.col("_n") - F.col("_n_ol")))
-    return t.drop("ol_d", "ul_d", "ol_at", "numbered", "_n", "_n_ol")
+    return [
+        {"in_pre": depth("pre") > 0, "ol_d": depth("ol"), "ul_d": depth("ul")},
+        {"numbered": F.coalesce(numbered, F.lit(False))},
+        {"_n": F.sum(F.col("numbered").cast("int")).over(w)},
+        {"_n_ol": F.last(F.when((tag == "ol") & (sign == 1), F.col("_n")), ignorenulls=True).over(w)},
+        {"li_num": F.when(F.col("numbered"), F.col("_n") - F.col("_n_ol"))},
+    ]
 
 
 @cache

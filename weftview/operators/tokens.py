@@ -151,17 +151,56 @@ def _token_exprs() -> dict[str, Column]:
     return out
 
 
+@cache
+def _element_stages(carry: tuple[str, ...]) -> list[dict[str, Column]]:
+    """The column stages of ``elements`` (each may use the ones before); built once."""
+    w_page = Window.partitionBy("page_id").orderBy("pos")
+    w_tag = Window.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    w_lvl = Window.partitionBy("page_id", "tag", "level").orderBy("pos")
+    sign = F.col("sign")
+    nxt_close = (sign == 1) & (F.lead("sign").over(w_lvl) == -1)
+    prv_open = (sign == -1) & (F.lag("sign").over(w_lvl) == 1)
+    return [
+        {
+            "cum": F.sum("tlen").over(
+                w_page.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tlen"),
+            "total": F.sum("tlen").over(
+                w_page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+            "next_kind": F.lead("kind").over(w_page),
+            "next_text": F.lead("text").over(w_page),
+        },
+        {"s": F.sum("sign").over(w_tag)},
+        {"depth": F.col("s") - F.least(F.lit(0), F.min("s").over(w_tag))},
+        {"level": F.when(sign == 1, F.col("depth")).when(sign == -1, F.col("depth") + 1)},
+        {
+            "close_pos": F.when(nxt_close, F.lead("pos").over(w_lvl)),
+            "close_cum": F.when(nxt_close, F.lead("cum").over(w_lvl)),
+            "open_pos": F.when(prv_open, F.lag("pos").over(w_lvl)),
+            **{f"open_{c}": F.when(prv_open, F.lag(c).over(w_lvl)) for c in carry},
+        },
+        {"elem_len": F.when(sign == 1, F.coalesce(F.col("close_cum"), F.col("total")) - F.col("cum"))
+         .when(F.col("kind").isin("start", "raw"), F.col("tlen"))},
+    ]
+
+
 def with_selector_attrs(t: DataFrame) -> DataFrame:
     """Add the attributes that selectors test: class (and its names), role,
     aria-hidden, itemtype."""
-    t = t.withColumns({
+    attrs, classes = _selector_attr_exprs()
+    return t.withColumns(attrs).withColumns(classes)
+
+
+@cache
+def _selector_attr_exprs() -> tuple[dict[str, Column], dict[str, Column]]:
+    attrs = {
         "a_class": attr_value("attrs", "class"),
         "a_role": attr_value("attrs", "role"),
         "a_aria_hidden": attr_value("attrs", "aria-hidden"),
         "a_itemtype": attr_value("attrs", "itemtype"),
-    })
+    }
     # Class names split once; each class selector is then an array_contains.
-    return t.withColumn("a_classes", F.split(trim_ws(F.col("a_class")), WS + "+", -1))
+    return attrs, {"a_classes": F.split(trim_ws(F.col("a_class")), WS + "+", -1)}
 
 
 def elements(t: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -174,36 +213,6 @@ def elements(t: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     for close tags ``open_pos`` of the tag they close and, for each column
     named in ``carry``, ``open_<name>``: that column's value on the open tag.
     """
-    w_page = Window.partitionBy("page_id").orderBy("pos")
-    t = t.withColumns({
-        "cum": F.sum("tlen").over(
-            w_page.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tlen"),
-        "total": F.sum("tlen").over(
-            w_page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        "next_kind": F.lead("kind").over(w_page),
-        "next_text": F.lead("text").over(w_page),
-    })
-    w_tag = Window.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("s", F.sum("sign").over(w_tag))
-    t = t.withColumn("depth", F.col("s") - F.least(F.lit(0), F.min("s").over(w_tag)))
-    sign = F.col("sign")
-    t = t.withColumn(
-        "level",
-        F.when(sign == 1, F.col("depth")).when(sign == -1, F.col("depth") + 1),
-    )
-    w_lvl = Window.partitionBy("page_id", "tag", "level").orderBy("pos")
-    nxt_close = (sign == 1) & (F.lead("sign").over(w_lvl) == -1)
-    prv_open = (sign == -1) & (F.lag("sign").over(w_lvl) == 1)
-    t = t.withColumns({
-        "close_pos": F.when(nxt_close, F.lead("pos").over(w_lvl)),
-        "close_cum": F.when(nxt_close, F.lead("cum").over(w_lvl)),
-        "open_pos": F.when(prv_open, F.lag("pos").over(w_lvl)),
-        **{f"open_{c}": F.when(prv_open, F.lag(c).over(w_lvl)) for c in carry},
-    })
-    t = t.withColumn(
-        "elem_len",
-        F.when(sign == 1, F.coalesce(F.col("close_cum"), F.col("total")) - F.col("cum"))
-        .when(F.col("kind").isin("start", "raw"), F.col("tlen")),
-    )
+    for stage in _element_stages(tuple(carry)):
+        t = t.withColumns(stage)
     return t.drop("s", "close_cum")

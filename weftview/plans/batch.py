@@ -33,12 +33,12 @@ def page_views(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     st = page_structure(tokenize(pages.select("page_id", "url", "html"), with_url=True))
     st = M.render_context(st).withColumn("frag_raw", M.fragment(images=True, raw=True))
     st = st.drop("in_pre", "li_num")
-    st = M.render_context(st, F.col("keep")).withColumn("frag_clean", M.fragment(images=False, raw=False))
+    st = M.render_context(st, "keep").withColumn("frag_clean", M.fragment(images=False, raw=False))
     j = st.groupBy("page_id").agg(
         F.max("url").alias("url"),
         page_title_agg().alias("title"),
         ordered_join("frag_raw", ["pos"]).alias("raw_md"),
-        ordered_join("frag_clean", ["pos"], "", F.col("keep")).alias("clean_md"))
+        ordered_join("frag_clean", ["pos"], "", "keep").alias("clean_md"))
     raw = M.strip_link_target_spaces(M.unwrap_link_targets(
         M.normalize_md(F.coalesce("raw_md", F.lit("")))))
     clean = truncate(M.unwrap_link_targets(M.normalize_md(F.coalesce("clean_md", F.lit("")))), max_chars)

@@ -23,9 +23,9 @@ def rendered(spark: SparkSession, d: str, view: str, max_chars=None) -> DataFram
     """
     raw = view == "raw"
     st = structure(spark, d, with_url=True)
-    st = M.render_context(st, None if raw else F.col("keep"))
+    st = M.render_context(st, None if raw else "keep")
     st = st.withColumn("frag", M.fragment(images=raw, raw=raw))
-    md_agg = ordered_join("frag", ["pos"], "", None if raw else F.col("keep"))
+    md_agg = ordered_join("frag", ["pos"], "", None if raw else "keep")
     g = st.groupBy("page_id").agg(F.max("url").alias("url"), page_title_agg().alias("title"),
                                   md_agg.alias("md"))
     md = M.normalize_md(F.coalesce(F.col("md"), F.lit("")))
