@@ -173,13 +173,14 @@ def fan_out(df: DataFrame, specs, fields: dict[str, str]) -> DataFrame:
         *[c for c in df.columns], *[F.col(f"_v.{c}").alias(c) for c in fields])
 
 
-def settings_overlay(base: DataFrame, override: DataFrame) -> DataFrame:
-    """Layered settings ``(section, key, value)``: an override beats the default
-    per key, keys only in one layer stay."""
-    b = base.select("section", "key", F.col("value").alias("_b"))
-    o = override.select("section", "key", F.col("value").alias("_o"))
-    return (b.join(o, ["section", "key"], "full_outer")
-            .select("section", "key", F.coalesce("_o", "_b").alias("value")))
+def settings_overlay(base: DataFrame, override: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Layered settings ``(keys..., section, key, value)``: an override beats the
+    default per key, keys only in one layer stay.  ``keys`` scope the layers
+    (e.g. a session); each scope has a handful of rows, so no key is hot."""
+    on = [*(keys or []), "section", "key"]
+    b = base.select(*on, F.col("value").alias("_b"))
+    o = override.select(*on, F.col("value").alias("_o"))
+    return b.join(o, on, "full_outer").select(*on, F.coalesce("_o", "_b").alias("value"))
 
 
 def views_overlay(default_views: DataFrame, override_views: DataFrame) -> DataFrame:

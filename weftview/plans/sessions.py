@@ -29,6 +29,7 @@ from ..operators.views import (
     error_content,
     fan_out,
     normalize_view_id,
+    settings_overlay,
     status_label,
     task_model,
     view_specs,
@@ -158,6 +159,33 @@ def completion_errors(spark, d):
                     error_content(F.col("error_kind"), F.col("model"), F.col("error")).alias("content"))
 
 
+# --- fixed values: the default settings layer (section, key, value) ------------
+DEFAULT_SETTINGS = [
+    ("settings", "default_view", "terminal"), ("settings", "max_history", "50"),
+    ("settings", "stream_delay", "0.01"), ("settings", "app_title", "Web views"),
+    ("ai", "default_model", DEFAULT_MODEL), ("ui", "show_icons", "true"),
+    ("ui", "compact_mode", "false"),
+]
+
+
+def settings_overlay_q(spark, d):
+    """B6 per session: defaults, overridden where the session's data sets a key.
+
+    The override layer: a session's last activated known view becomes its
+    ``settings.default_view``.
+    """
+    last = (view_events(spark, d).where("known").groupBy("session_id")
+            .agg(F.max_by("view_id", "seq").alias("value")))
+    override = last.select("session_id", F.lit("settings").alias("section"),
+                           F.lit("default_view").alias("key"), "value")
+    sessions = table(spark, d, "events", "user_id").select(F.col("user_id").alias("session_id")).distinct()
+    defaults = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(k).alias("key"), F.lit(v).alias("value"))
+                         for s, k, v in DEFAULT_SETTINGS])
+    base = sessions.select("session_id", F.explode(defaults).alias("d")).select(
+        "session_id", "d.section", "d.key", "d.value")
+    return settings_overlay(base, override, ["session_id"])
+
+
 def _chunks(spark, d) -> DataFrame:
     c = table(spark, d, "conversations", "conv_id", "turn", "role", "text")
     return c.select("conv_id", F.col("turn").alias("seq"), "role", F.col("text").alias("chunk"))
@@ -207,6 +235,7 @@ QUERIES = {
     "on_demand_tasks": on_demand_tasks,
     "view_events": view_events,
     "completion_errors": completion_errors,
+    "settings_overlay": settings_overlay_q,
     "chunk_filter": chunk_filter,
     "response_text": response_text,
     "response_lines": response_lines,
@@ -321,3 +350,14 @@ ORACLE["completion_errors"] = (
     f"WHEN 'auth' THEN {_AUTH_SQL} "
     f"WHEN 'runtime' THEN '## ❌ Error' || chr(10) || chr(10) || error "
     f"ELSE '## ❌ Unexpected Error' || chr(10) || chr(10) || error END AS content FROM y")
+
+_defaults_sql = ", ".join(f"({lit(s)}, {lit(k)}, {lit(v)})" for s, k, v in DEFAULT_SETTINGS)
+ORACLE["settings_overlay"] = (
+    f"WITH ve AS ({ORACLE['view_events']}), "
+    f"lastv AS (SELECT session_id, arg_max(view_id, seq) AS value FROM ve WHERE known GROUP BY session_id), "
+    f"s AS (SELECT DISTINCT user_id AS session_id FROM events), "
+    f"base AS (SELECT s.session_id, d.section, d.key, d.value FROM s, "
+    f"(VALUES {_defaults_sql}) d(section, key, value)), "
+    f"ovr AS (SELECT session_id, 'settings' AS section, 'default_view' AS key, value FROM lastv) "
+    f"SELECT b.session_id, b.section, b.key, coalesce(o.value, b.value) AS value "
+    f"FROM base b LEFT JOIN ovr o USING (session_id, section, key)")
