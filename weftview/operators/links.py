@@ -83,18 +83,21 @@ def link_ring(links: DataFrame, key: str) -> DataFrame:
         F.coalesce(F.lag("target").over(w), F.last("target").over(w_all)).alias("prev_url"),
         F.first("target").over(w_all).alias("first_url"),
     )
-    body = x.select(key, F.col("link_idx").alias("cur_idx"),
-                    F.pmod(F.col("link_idx") + 1, F.col("n")).alias("next_idx"),
-                    F.pmod(F.col("link_idx") - 1, F.col("n")).alias("prev_idx"),
-                    "next_url", "prev_url")
+    body = F.struct(F.col("link_idx").alias("cur_idx"),
+                    F.pmod(F.col("link_idx") + 1, F.col("n")).cast("long").alias("next_idx"),
+                    F.pmod(F.col("link_idx") - 1, F.col("n")).cast("long").alias("prev_idx"),
+                    F.col("next_url").alias("next_url"), F.col("prev_url").alias("prev_url"))
     # The start state reads the link at n-2 (mod n): the last link's predecessor.
-    start = x.where(F.col("link_idx") == F.col("n") - 1).select(
-        key, F.lit(-1).cast("long").alias("cur_idx"), F.lit(0).cast("long").alias("next_idx"),
-        F.pmod(F.lit(-2), F.col("n")).cast("long").alias("prev_idx"),
-        F.col("first_url").alias("next_url"),
-        F.when(F.col("n") == 1, F.col("target")).otherwise(F.col("prev_url")).alias("prev_url"))
-    return body.select(key, "cur_idx", F.col("next_idx").cast("long"),
-                       F.col("prev_idx").cast("long"), "next_url", "prev_url").unionByName(start)
+    # It is emitted next to the last link's row, so the links are computed once.
+    start = F.struct(F.lit(-1).cast("long").alias("cur_idx"), F.lit(0).cast("long").alias("next_idx"),
+                     F.pmod(F.lit(-2), F.col("n")).cast("long").alias("prev_idx"),
+                     F.col("first_url").alias("next_url"),
+                     F.when(F.col("n") == 1, F.col("target")).otherwise(F.col("prev_url"))
+                     .alias("prev_url"))
+    rows = F.filter(F.array(body, F.when(F.col("link_idx") == F.col("n") - 1, start)),
+                    lambda r: r.isNotNull())
+    out = x.select(key, F.explode(rows).alias("r"))
+    return out.select(key, "r.cur_idx", "r.next_idx", "r.prev_idx", "r.next_url", "r.prev_url")
 
 
 def highlight(md: Column, text: Column, target: Column, start: Column, end: Column) -> Column:

@@ -24,16 +24,23 @@ ORDER = ["ts", "seq"]
 KEYS = ["session_id"]
 
 
-def visits_deduped(ev: DataFrame, buckets: int | None = None) -> DataFrame:
-    """H1: visits whose URL differs from the visit right before (non-adjacent repeats stay)."""
+def visits_deduped(ev: DataFrame, buckets: int | None = None, keep_bucket: bool = False) -> DataFrame:
+    """H1: visits whose URL differs from the visit right before (non-adjacent repeats stay).
+
+    ``keep_bucket`` keeps the range bucket ``_b`` for a following ordered step.
+    """
     v = range_buckets(ev.where(F.col("op") == "visit"), KEYS, ORDER, buckets)
     v = last_value_before(v, KEYS, "_b", ORDER, "url", "prev_url", inclusive=False)
-    return v.where(~F.col("url").eqNullSafe(F.col("prev_url"))).drop("_b")
+    v = v.where(~F.col("url").eqNullSafe(F.col("prev_url")))
+    return v if keep_bucket else v.drop("_b")
 
 
 def last_n(visits: DataFrame, n: int = HISTORY_CAP, buckets: int | None = None) -> DataFrame:
-    """H2: the last ``n`` entries per session, ``from_end`` 1 = newest."""
-    v = range_buckets(visits, KEYS, ORDER, buckets)
+    """H2: the last ``n`` entries per session, ``from_end`` 1 = newest.
+
+    Reuses an existing ``_b`` bucket column (from ``visits_deduped``) when present.
+    """
+    v = visits if "_b" in visits.columns else range_buckets(visits, KEYS, ORDER, buckets)
     return top_k_last(v, KEYS, "_b", ORDER, n).drop("_b")
 
 

@@ -56,7 +56,7 @@ def nav_dedup(spark, d):
 
 
 def nav_last_n(spark, d):
-    v = N.visits_deduped(nav_events(spark, d))
+    v = N.visits_deduped(nav_events(spark, d), keep_bucket=True)
     return N.last_n(v, HISTORY_CAP).select("session_id", "seq", "url", "from_end")
 
 
