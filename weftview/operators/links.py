@@ -9,6 +9,8 @@ reuses that partitioning.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,24 +24,29 @@ def raw_link_matches(docs: DataFrame, key, md: str) -> DataFrame:
     ``text``/``target`` are the raw groups; offsets are 0-based code points,
     ``end_pos`` exclusive (Python ``match.start()``/``match.end()``).
     """
-    keys = [key] if isinstance(key, str) else list(key)
+    keys = (key,) if isinstance(key, str) else tuple(key)
+    gen, out = _match_exprs(keys, md)
+    z = docs.select(*keys, gen).where(F.col("z.whole").isNotNull())
+    return z.select(*keys, *out)
+
+
+@cache
+def _match_exprs(keys: tuple[str, ...], md: str) -> tuple[Column, list[Column]]:
+    """Expressions of ``raw_link_matches`` (names only, so built once per process)."""
     m = F.col(md)
-    z = docs.select(
-        *keys,
-        F.posexplode(F.arrays_zip(
-            F.regexp_extract_all(m, F.lit(LINK_RE), 0).alias("whole"),
-            F.regexp_extract_all(m, F.lit(LINK_RE), 1).alias("text"),
-            F.regexp_extract_all(m, F.lit(LINK_RE), 2).alias("target"),
-            F.split(m, LINK_RE, -1).alias("gap"),
-        )).alias("i", "z"),
-    ).where(F.col("z.whole").isNotNull())
+    gen = F.posexplode(F.arrays_zip(
+        F.regexp_extract_all(m, F.lit(LINK_RE), 0).alias("whole"),
+        F.regexp_extract_all(m, F.lit(LINK_RE), 1).alias("text"),
+        F.regexp_extract_all(m, F.lit(LINK_RE), 2).alias("target"),
+        F.split(m, LINK_RE, -1).alias("gap"),
+    )).alias("i", "z")
     w = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = F.length("z.gap") + F.length("z.whole")
     start = F.sum(step).over(w) - F.length("z.whole")
-    return z.select(
-        *keys, F.col("i").cast("long").alias("i"), F.col("z.text").alias("text"),
-        F.col("z.target").alias("target"), start.cast("long").alias("start_pos"),
-        (start + F.length("z.whole")).cast("long").alias("end_pos"))
+    out = [F.col("i").cast("long").alias("i"), F.col("z.text").alias("text"),
+           F.col("z.target").alias("target"), start.cast("long").alias("start_pos"),
+           (start + F.length("z.whole")).cast("long").alias("end_pos")]
+    return gen, out
 
 
 def clean_links(matches: DataFrame, key) -> DataFrame:
@@ -47,16 +54,19 @@ def clean_links(matches: DataFrame, key) -> DataFrame:
 
     Adds ``link_idx``: the 0-based position among the links that remain.
     """
-    t = trim_ws(F.col("target"))
-    unwrapped = F.when(t.startswith("<") & t.endswith(">"),
-                       F.when(F.length(t) >= 2, F.substring(t, F.lit(2), F.length(t) - 2))
-                       .otherwise(F.lit(""))).otherwise(t)
-    x = matches.withColumn("text", trim_ws(F.col("text"))).withColumn("target", unwrapped)
+    keys = (key,) if isinstance(key, str) else tuple(key)
+    cleaned, keep, idx = _clean_exprs(keys)
+    x = matches.withColumns(cleaned).where(keep)
+    return x.withColumn("link_idx", idx).drop("i")
+
+
+@cache
+def _clean_exprs(keys: tuple[str, ...]) -> tuple[dict[str, Column], Column, Column]:
+    unwrapped, _ = _kept(F.col("target"))
     u = F.col("target")
-    x = x.where(~((u == "") | u.startswith("#") | u.contains("vote?") | u.startswith("from?site=")))
-    keys = [key] if isinstance(key, str) else list(key)
-    w = Window.partitionBy(*keys).orderBy("i")
-    return x.withColumn("link_idx", (F.row_number().over(w) - 1).cast("long")).drop("i")
+    keep = ~((u == "") | u.startswith("#") | u.contains("vote?") | u.startswith("from?site="))
+    idx = (F.row_number().over(Window.partitionBy(*keys).orderBy("i")) - 1).cast("long")
+    return {"text": trim_ws(F.col("text")), "target": unwrapped}, keep, idx
 
 
 def extract_links(docs: DataFrame, key, md: str) -> DataFrame:
@@ -107,7 +117,7 @@ def highlight(md: Column, text: Column, target: Column, start: Column, end: Colu
     return F.when(start.isNull(), md).otherwise(marked)
 
 
-def _kept(target: Column) -> Column:
+def _kept(target: Column) -> tuple[Column, Column]:
     """E2/E3 on a raw target group: trim, unwrap ``<...>``, then the skip rules."""
     t = trim_ws(target)
     u = F.when(t.startswith("<") & t.endswith(">"),
