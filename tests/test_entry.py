@@ -33,3 +33,6 @@ def test_empty_and_null_pages_keep_their_rows(spark):
     text = {r.page_id: r.text for r in q["plain_text"](spark, d).collect()}
     assert text == {1: "A\ntext", 2: "", 3: ""}
     assert q["page_rejects"](spark, d).count() == 2
+    outs = sorted((r.page_id, r.view_id, r.status) for r in q["view_outputs"](spark, d).collect())
+    assert outs == [(1, "raw", "loaded"), (1, "terminal", "unavailable"),
+                    (2, "raw", "loaded"), (3, "raw", "loaded")]

@@ -16,7 +16,9 @@ from .structure import structure
 
 
 def rendered(spark: SparkSession, d: str, view: str, max_chars=None) -> DataFrame:
-    """Per page: ``page_id, url, title, md`` for the ``raw`` or ``clean`` view.
+    """Per page: ``page_id, url, title, md, loaded`` for the ``raw`` or ``clean`` view.
+
+    ``loaded``: the page had HTML (it produced at least one token).
 
     The markdown body is normalised; the raw view also gets D3/D4, the clean
     view D3 and D5 (``max_chars``).  Headers are added by the callers.
@@ -27,13 +29,14 @@ def rendered(spark: SparkSession, d: str, view: str, max_chars=None) -> DataFram
     st = st.withColumn("frag", M.fragment(images=raw, raw=raw))
     md_agg = ordered_join("frag", ["pos"], "", None if raw else "keep")
     g = st.groupBy("page_id").agg(F.max("url").alias("url"), page_title_agg().alias("title"),
-                                  md_agg.alias("md"))
+                                  md_agg.alias("md"),
+                                  F.max("pos").isNotNull().alias("loaded"))
     md = M.normalize_md(F.coalesce(F.col("md"), F.lit("")))
     md = M.unwrap_link_targets(md)
     md = M.strip_link_target_spaces(md) if raw else truncate(md, max_chars)
     g = g.withColumn("md", md)
     return g.select("page_id", "url", F.coalesce("title", F.lit("No Title")).alias("title"),
-                    F.coalesce("md", F.lit("\n")).alias("md"))
+                    F.coalesce("md", F.lit("\n")).alias("md"), "loaded")
 
 
 def raw_markdown(spark, d):

@@ -86,14 +86,19 @@ def chat_requests(spark, d):
 def view_outputs(spark, d):
     """F2/L3: route eager tasks by view id: ``raw`` renders markdown, the others
     need a completion function; with none configured they get the notice."""
-    raw = R.raw_markdown(spark, d).select("page_id", F.lit("raw").alias("view_id"),
-                                          F.lit("loaded").alias("status"),
-                                          F.col("markdown").alias("content"))
+    r = R.rendered(spark, d, "raw")
+    raw = F.struct(F.lit("raw").alias("view_id"), F.lit("loaded").alias("status"),
+                   F.concat(M.raw_header(F.col("title"), F.col("url")), F.col("md")).alias("content"))
     specs = [v for v in _model_views(spark) if v["auto_load"]]
-    other = (V.fan_out(loaded_pages(spark, d).select("page_id"), specs, {"view_id": "id"})
-             .select("page_id", "view_id", F.lit("unavailable").alias("status"),
-                     F.lit(NO_CLIENT_NOTICE).alias("content")))
-    return raw.unionByName(other)
+    others = [F.when(F.col("loaded"), F.struct(F.lit(v["id"]).alias("view_id"),
+                                               F.lit("unavailable").alias("status"),
+                                               F.lit(NO_CLIENT_NOTICE).alias("content")))
+              for v in specs]
+    # One pass over the rendered pages: each emits its raw row and, when it
+    # loaded, one notice row per eager model view.
+    rows = F.filter(F.array(raw, *others), lambda x: x.isNotNull())
+    out = r.select("page_id", F.explode(rows).alias("o"))
+    return out.select("page_id", "o.view_id", "o.status", "o.content")
 
 
 def prompt_override(spark, d):
