@@ -37,14 +37,20 @@ def _tag_sign(names) -> F.Column:
     return F.when(F.col("tag").isin(*names), F.col("sign")).otherwise(F.lit(0))
 
 
+# Groups whose innermost element is needed; for tables only the depth is used.
+_INNERMOST = ("row", "cell", "link")
+
+
 def innermost(t: DataFrame) -> DataFrame:
-    """Add ``d_<group>`` (clamped depth) and ``in_<group>`` (innermost open element pos)."""
+    """Add ``d_<group>`` (clamped depth) for every group and ``in_<group>``
+    (innermost open element pos) for rows, cells and links."""
     run = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding,
                                                                    Window.currentRow)
     t = t.withColumns({f"s_{g}": F.sum(_tag_sign(n)).over(run) for g, n in _GROUPS.items()})
     t = t.withColumns({f"d_{g}": F.col(f"s_{g}") - F.least(F.lit(0), F.min(f"s_{g}").over(run))
                        for g in _GROUPS})
-    for g, names in _GROUPS.items():
+    for g in _INNERMOST:
+        names = _GROUPS[g]
         w = Window.partitionBy("page_id", f"d_{g}").orderBy("pos").rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         opened = F.when(F.col("tag").isin(*names) & (F.col("sign") == 1), F.col("pos"))
