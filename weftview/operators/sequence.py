@@ -40,16 +40,31 @@ def _ordkey(order: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
 
+def _stitched(df: DataFrame, carry: DataFrame, keys: list[str], bucket: str, order: list[str],
+              fn, out: str, inclusive: bool) -> DataFrame:
+    """Apply the running window ``fn`` within (key, bucket), seeded by ``carry``.
+
+    Each bucket's carry (the result of all earlier buckets) enters as a
+    sentinel row ordered before the bucket's rows, so the window picks it up
+    itself: no join of the carry back to the rows.  The window's own shuffle on
+    (key, bucket) moves the sentinels with the rows; they are dropped after.
+    """
+    end = Window.currentRow if inclusive else -1
+    rows = df.withColumn("_sentinel", F.lit(False))
+    seeds = carry.withColumn("_sentinel", F.lit(True))
+    u = rows.unionByName(seeds, allowMissingColumns=True)
+    w = (Window.partitionBy(*keys, bucket).orderBy(F.col("_sentinel").desc(), *order)
+         .rowsBetween(Window.unboundedPreceding, end))
+    return u.withColumn(out, fn(w)).where(~F.col("_sentinel")).drop("_sentinel")
+
+
 def last_value_before(df: DataFrame, keys: list[str], bucket: str, order: list[str],
                       value: str, out: str, inclusive: bool) -> DataFrame:
     """``out`` = last non-NULL ``value`` at (inclusive) or before this row in key order.
 
-    Within a bucket a window finds it; otherwise it is the last value of the
-    nearest earlier bucket that has one.
+    Within a bucket a window finds it; the last value of the nearest earlier
+    bucket that has one is seeded into the bucket as a sentinel row.
     """
-    end = Window.currentRow if inclusive else -1
-    w = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    within = F.last(F.col(value), ignorenulls=True).over(w)
     # Every bucket gets a row (a bucket without values still needs the carry);
     # max_by skips rows whose ordering is NULL.
     per_bucket = (df.groupBy(*keys, bucket)
@@ -57,9 +72,9 @@ def last_value_before(df: DataFrame, keys: list[str], bucket: str, order: list[s
                        .alias("_bucket_last")))
     wb = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_bucket.select(*keys, bucket, F.last("_bucket_last", ignorenulls=True).over(wb)
-                              .alias("_carry"))
-    x = df.withColumn("_within", within).join(carry, [*keys, bucket], "left")
-    return x.withColumn(out, F.coalesce("_within", "_carry")).drop("_within", "_carry")
+                              .alias(value))
+    return _stitched(df, carry, keys, bucket, order,
+                     lambda w: F.last(F.col(value), ignorenulls=True).over(w), out, inclusive)
 
 
 def top_k_last(df: DataFrame, keys: list[str], bucket: str, order: list[str], k: int,
@@ -81,14 +96,12 @@ def prefix_sum(df: DataFrame, keys: list[str], bucket: str, order: list[str],
                value: str, out: str, inclusive: bool) -> DataFrame:
     """``out`` = sum of ``value`` over rows at (inclusive) or before this one in key order.
 
-    A running sum within the bucket plus the totals of all earlier buckets.
+    A running sum within the bucket, seeded with the totals of all earlier
+    buckets as a sentinel row.
     """
-    end = Window.currentRow if inclusive else -1
-    w = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    within = F.coalesce(F.sum(value).over(w), F.lit(0))
     totals = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_bucket_sum"))
     wb = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, bucket, F.coalesce(F.sum("_bucket_sum").over(wb), F.lit(0))
-                          .alias("_carry"))
-    x = df.withColumn("_within", within).join(carry, [*keys, bucket], "left")
-    return x.withColumn(out, (F.col("_within") + F.col("_carry")).cast("long")).drop("_within", "_carry")
+                          .cast(df.schema[value].dataType).alias(value))
+    return _stitched(df, carry, keys, bucket, order,
+                     lambda w: F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"), out, inclusive)
