@@ -157,3 +157,23 @@ def test_page_partitions_fixed_and_overridable(spark):
         assert "hashpartitioning(page_id" in plan and ", 5)" in plan and "REPARTITION_BY_NUM" in plan
     finally:
         spark.conf.unset(PAGE_PARTITIONS_CONF)
+
+
+def test_title_lookup_after_noise_removal_only_in_whole_page_branch(spark):
+    # No main content -> the title inside <nav> (noise) is skipped;
+    # with main content the first <title> anywhere wins.
+    whole = "<nav><title>In nav</title></nav><p>body</p><title>Outside</title>"
+    with_main = "<nav><title>In nav</title></nav><article>" + ARTICLE + "</article>"
+    t = _titles(spark, [whole, with_main])
+    assert t == {0: "Outside", 1: "In nav"}
+
+
+def test_noise_counts_towards_main_threshold(spark):
+    # 450 chars of prose + 100 chars inside an ad block = 550 > 500, so the
+    # article is the main content; the ad is then removed from it.
+    prose = "<p>" + "x" * 450 + "</p>"
+    ad = '<div class="ads">' + "y" * 100 + "</div>"
+    st = _structure(spark, ["<article>" + prose + ad + "</article>"])
+    assert st.agg(F.max("main_tag")).first()[0] == "article"
+    kept = "".join(r.text for r in st.where("keep AND kind = 'text'").collect())
+    assert "x" * 450 in kept and "y" not in kept
