@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +62,20 @@ def cell_rows(cells: np.ndarray, chunk: int = 1 << 12) -> pd.DataFrame:
     """Rows for summed_cells from one task's int64 counts."""
     parts = [cells[i:i + chunk].astype(np.int64) for i in range(0, len(cells), chunk)]
     return pd.DataFrame({"chunk": np.arange(len(parts), dtype=np.int32), "cells": [p.tobytes() for p in parts]})
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(),
+          "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
+          "array<binary>": pa.list_(pa.binary()), "array<string>": pa.list_(pa.string())}
+
+
+def map_columns(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
+    """`fn` over Arrow batches: it gets dicts of Python lists (null is None, integers stay exact)
+    and yields dicts of lists or arrays with the columns of `schema` ("name type, ...")."""
+    fields = pa.schema([(name, _ARROW[kind]) for name, kind in (f.split() for f in schema.split(", "))])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in fn({c: b.column(c).to_pylist() for c in b.schema.names} for b in batches):
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in fields], schema=fields)
+
+    return df.mapInArrow(each, schema)

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cell_rows, saved, small, summed_cells
+from .common import cell_rows, map_columns, saved, small, summed_cells
 from .components import connected_components
 from .shingles import in_chunks, mix, shingle_hashes
 
@@ -73,9 +73,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _sets(docs: DataFrame, words: int, percent: int, levels: np.ndarray) -> DataFrame:
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            ids = b["doc_id"].to_numpy()
             for first, data in in_chunks(b["text"]):
                 h, at = shingle_hashes(data, words)
                 rows = []
@@ -84,10 +83,10 @@ def _sets(docs: DataFrame, words: int, percent: int, levels: np.ndarray) -> Data
                     p = k[:prefix_length(len(k), percent)] if len(k) else k
                     two = [int(f(x).sum(dtype=np.uint64).astype(np.int64)) for x in (k, p)
                            for f in (mix, lambda y: mix(y ^ np.uint64(0x5851F42D4C957F2D)))]
-                    rows.append((ids[first + i], len(k), *two, p.view(np.int64)))
-                yield pd.DataFrame(rows, columns=["doc_id", "n", "set1", "set2", "grp1", "grp2", "prefix"])
+                    rows.append((b["doc_id"][first + i], len(k), *two, p.view(np.int64)))
+                yield dict(zip(("doc_id", "n", "set1", "set2", "grp1", "grp2", "prefix"), zip(*rows), strict=True))
 
-    return docs.select("doc_id", "text").mapInPandas(each, _SETS)
+    return map_columns(docs.select("doc_id", "text"), each, _SETS)
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -95,17 +94,15 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
     pairs = saved(pairs)
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            doc = b["doc_id"].to_numpy()
             for first, data in in_chunks(b["text"], 1 << 20):
                 h, at = shingle_hashes(data, words)
-                yield pd.DataFrame({"doc_id": doc[first:first + len(data)],
-                                    "keys": [np.unique(h[at[i]:at[i + 1]]).tobytes() for i in range(len(data))]})
+                yield {"doc_id": b["doc_id"][first:first + len(data)],
+                       "keys": [np.unique(h[at[i]:at[i + 1]]).tobytes() for i in range(len(data))]}
 
-    sets = (docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
-            .mapInPandas(each, "doc_id long, keys binary"))
-    sets = saved(sets)
+    texts = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
+    sets = saved(map_columns(texts, each, "doc_id long, keys binary"))
     both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("keys").alias("x")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("keys").alias("y")), "b"))
 

@@ -28,4 +28,21 @@ low AS (SELECT fp, min(doc_id) AS class_id FROM cls GROUP BY fp)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(low.class_id, d.doc_id) AS class_id, c.component_id
 FROM documents d JOIN comp c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 LEFT JOIN cls ON cls.doc_id = d.doc_id LEFT JOIN low ON low.fp = cls.fp""",
+    "op1_embedding_near_duplicates": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+link AS MATERIALIZED (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
+reach AS (
+  SELECT vec_id AS id, vec_id AS r FROM embeddings
+  UNION
+  SELECT reach.id, link.b FROM reach JOIN link ON link.a = reach.r),
+comp AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+deg AS (SELECT a, count(*) AS k FROM link GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(deg.k, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN comp c ON c.id = e.vec_id LEFT JOIN deg ON deg.a = e.vec_id""",
 }

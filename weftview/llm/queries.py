@@ -2,20 +2,61 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import oracles
-from .common import table
+from . import decontam, embed_neardup, langid, oracles, packing, secrets, token_counts
+from .common import fold, table
 from .ngram_join import jaccard_components
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file: in $TOKENIZER_DIR, or where the package has it."""
+    if "TOKENIZER_DIR" in os.environ:
+        return os.path.join(os.environ["TOKENIZER_DIR"], name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_neardup.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("word_bpe_49k.json"))
+
+
+def op6_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("doc_id", F.col("doc_id").cast("long"))
+    model = langid.learn(docs.where(fold("doc_id", 4) != 2))
+    return langid.predict(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-_ALL = [op8_ngram_jaccard_join]
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.tiktoken"), PATTERN)
+
+
+def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+_ALL = [op1_embedding_near_duplicates, op2_cost_balanced_packing, op6_ppm_language_id, op7_template_decontamination,
+        op8_ngram_jaccard_join, op9_token_counts, op10_linked_secrets]
 
 
 def queries() -> dict:
