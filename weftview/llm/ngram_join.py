@@ -10,10 +10,11 @@ each: their prefixes.
 2. *Groups.*  Documents of equal size and prefix form a group, those with equal sets one class
    in it (copies are collapsed here, never paired).
 3. *Group pairs.*  Each prefix shingle lists its groups by size.  First neighbours in a list (and
-   neighbouring classes in a group) are compared; then, for lists and groups that still hold
-   more than one component, every pair of groups across components that passes the size and
-   position filters.  A pair within one component can't change the components, so a group of
-   near copies costs links in proportion to its members, and no link between components is lost.
+   neighbouring classes in a group) are compared, then HEADS times one group for each of a list's
+   components; at last, in lists and groups that still hold more than one component, every pair
+   of groups across components.  A pair within one component can't change the components, so a
+   group of near copies costs work in proportion to its members, and no link between components
+   is lost.  Pairs must pass the size and position filters, then a comparison of the prefixes.
 4. *Verify.*  Pairs are expanded to classes and compared on their whole shingle sets.
 
 Null, empty and wordless texts have size 0 and no link; a row without a doc_id is returned and
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,7 @@ from .components import connected_components
 from .shingles import in_chunks, mix, shingle_hashes
 
 CELLS = 1 << 20
+HEADS = 2
 _SETS = "doc_id long, n long, set1 long, set2 long, grp1 long, grp2 long, prefix array<long>"
 
 
@@ -89,7 +92,48 @@ def _sets(docs: DataFrame, words: int, percent: int, levels: np.ndarray) -> Data
     return map_columns(docs.select("doc_id", "text"), each, _SETS)
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _fits(n1, at1, n2, at2, percent: int):
+    """Size and position filters: whether sets of n1 <= n2 shingles whose first common one comes
+    after at1 and at2 others can be similar enough."""
+    return (n1 * 100 >= n2 * percent) & (F.least(n1 - at1, n2 - at2) * (100 + percent) >= (n1 + n2) * percent)
+
+
+def _plausible(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of group pairs (gx, gy) whose prefixes don't differ in more shingles than two similar
+    sets may in all; up to the smaller of their last keys, prefixes show each set in full."""
+    pairs = saved(pairs)
+    ids = pairs.select(F.col("gx").alias("doc_id")).union(pairs.select("gy")).distinct()
+    known = sets.select("doc_id", "n", "prefix").join(small(ids), "doc_id", "left_semi")
+    both = (pairs.join(known.toDF("gx", "nx", "x"), "gx").join(known.toDF("gy", "ny", "y"), "gy"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for i in range(b.num_rows):
+                x, y = (b.column(c)[i].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in ("x", "y"))
+                top = min(x[-1], y[-1])
+                x, y = x[:np.searchsorted(x, top, "right")], y[:np.searchsorted(y, top, "right")]
+                apart = 2 * len(np.union1d(x, y)) - len(x) - len(y)
+                size = b.column("nx")[i].as_py() + b.column("ny")[i].as_py()
+                keep.append(apart * (100 + percent) <= size * (100 - percent))
+            yield b.filter(pa.array(keep, pa.bool_())).select(["gx", "gy"])
+
+    return saved(both.select("gx", "gy", "nx", "x", "ny", "y").mapInArrow(each, "gx long, gy long").distinct())
+
+
+def _mixed(lists: DataFrame, classes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries (key, g, n, at, lo, hi) of the lists that hold more than one component by `links`;
+    classes with their component (c, g, n, comp); groups with their least and last component."""
+    parts = connected_components(links)
+    of = saved(classes.join(parts, classes["c"] == parts["id"], "left")
+               .select("c", "g", "n", F.coalesce("component_id", "c").alias("comp")))
+    spans = of.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    member = lists.select("key", "g", "n", "at").join(spans, "g")
+    mixed = member.groupBy("key").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("key")
+    return saved(member.join(mixed, "key", "left_semi")), of, spans
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) of class ids whose whole sets are similar enough."""
     pairs = saved(pairs)
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -135,39 +179,40 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, cells
     lists = (sets.where("n > 0").select("doc_id", "n", "prefix").join(reps, "doc_id", "left_semi")
              .select(F.posexplode("prefix").alias("at", "key"), F.col("doc_id").alias("g"), "n"))
 
-    # neighbours in each list, and neighbouring classes in each group
-    size_ok = lambda lo, hi: F.col(lo) * 100 >= F.col(hi) * percent
     by_key = Window.partitionBy("key").orderBy("n", "g")
     lists = lists.select("key", "g", "n", "at", F.lag("g").over(by_key).alias("g0"), F.lag("n").over(by_key).alias("n0"),
-                         F.lead("g").over(by_key).alias("g1"))
+                         F.lag("at").over(by_key).alias("at0"), F.lead("g").over(by_key).alias("g1"))
     lists = saved(lists.where("g0 is not null or g1 is not null"))  # a shingle of one group's prefix alone pairs nothing
-    near = lists.where("g0 <> g").where(size_ok("n0", "n")).select(F.col("g0").alias("a"), F.col("g").alias("b"))
+    fits = lambda x, y: _fits(*(F.col(c + s) for s in (x, y) for c in ("n", "at")), percent)
+
+    # neighbours in each list and in each group
+    near = lists.where("g0 <> g").where(fits("0", "")).select(F.col("g0").alias("gx"), F.col("g").alias("gy")).distinct()
+    near = _plausible(sets, near, percent).select(F.col("gx").alias("a"), F.col("gy").alias("b"))
     inner = (classes.select(F.lag("c").over(Window.partitionBy("g").orderBy("c")).alias("a"), F.col("c").alias("b"))
              .where("a is not null"))
-    links = _verified(docs, classes, near.union(inner).distinct(), words, percent)
-    parts = connected_components(links)
-
-    # the rest: pairs across components
-    of = saved(classes.join(parts, classes["c"] == parts["id"], "left")
-               .select("c", "g", "n", F.coalesce("component_id", "c").alias("comp")))
-    spans = of.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    member = lists.select("key", "g", "n", "at").join(spans, "g")
-    mixed = member.groupBy("key").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("key")
-    member = saved(member.join(mixed, "key", "left_semi"))
+    links = _verified(docs, near.union(inner).distinct(), words, percent)
+
+    # one group for each component of a list, by a new dice throw each round
+    for turn in range(HEADS):
+        member, _, _ = _mixed(lists, classes, links)
+        heads = member.groupBy("key", "lo").agg(F.min(F.struct(F.xxhash64("g", F.lit(turn)), "g", "n", "at")).alias("s")).select("key", "s.*")
+        heads = heads.select("g", "n", "at", *(F.lag(c).over(by_key).alias(c + "0") for c in ("g", "n", "at")))
+        near = heads.where("g0 is not null").where(fits("0", "")).select(F.col("g0").alias("gx"), F.col("g").alias("gy")).distinct()
+        near = _plausible(sets, near, percent).select(F.col("gx").alias("a"), F.col("gy").alias("b"))
+        links = saved(links.union(_verified(docs, near, words, percent)).distinct())
+
+    # the rest: every pair across components
+    member, of, spans = _mixed(lists, classes, links)
     x = member.select("key", *(F.col(c).alias(c + "x") for c in ("g", "n", "at", "lo", "hi")))
     y = member.select("key", *(F.col(c).alias(c + "y") for c in ("g", "n", "at", "lo", "hi")))
-    room = F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty"))  # at most as many in common
-    pairs = (x.join(y, "key").where("nx < ny or nx = ny and gx < gy").where(size_ok("nx", "ny"))
-             .where("not (lox = hix and loy = hiy and lox = loy)")
-             .where(room * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent)
-             .select("gx", "gy").distinct())
+    pairs = (x.join(y, "key").where("nx < ny or nx = ny and gx < gy").where("not (lox = hix and loy = hiy and lox = loy)")
+             .where(fits("x", "y")).select("gx", "gy").distinct())
     one = of.select(F.col("g").alias("gx"), F.col("c").alias("a"), F.col("comp").alias("ca"))
     two = of.select(F.col("g").alias("gy"), F.col("c").alias("b"), F.col("comp").alias("cb"))
     wide = spans.where("lo <> hi").select(F.col("g").alias("gx"), F.col("g").alias("gy"))
-    rest = (pairs.union(wide).join(one, "gx").join(two, "gy").where("ca <> cb")
+    rest = (_plausible(sets, pairs, percent).union(wide).join(one, "gx").join(two, "gy").where("ca <> cb")
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = _verified(docs, classes, rest, words, percent)
-    parts = connected_components(links.union(more))
+    parts = connected_components(links.union(_verified(docs, rest, words, percent)))
 
     final = (classes.join(parts, classes["c"] == parts["id"], "left")
              .select("n", "set1", "set2", "c", F.coalesce("component_id", "c").alias("component_id")))
