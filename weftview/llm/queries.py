@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontam, embed_neardup, langid, oracles, packing, secrets, suffix_dedup, token_counts
+from . import decontam, embed_neardup, langid, oracles, packing, quality, secrets, suffix_dedup, token_counts, toxicity
 from .common import fold, table
 from .ngram_join import jaccard_components
 
@@ -31,10 +31,24 @@ def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").withColumnRenamed("toxic", "label")
+    model = toxicity.learn(docs, labels.where(fold("doc_id", 5) != 0))
+    return toxicity.scored(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality").withColumnRenamed("quality", "label")
+    model = quality.learn(docs, labels.where(fold("doc_id", 3) != 1))
+    return quality.scored(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op6_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("doc_id", F.col("doc_id").cast("long"))
     model = langid.learn(docs.where(fold("doc_id", 4) != 2))
@@ -59,7 +73,8 @@ def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-_ALL = [op1_embedding_near_duplicates, op2_cost_balanced_packing, op4_suffix_dedup, op6_ppm_language_id, op7_template_decontamination,
+_ALL = [op1_embedding_near_duplicates, op2_cost_balanced_packing, op3_noisy_channel_toxicity,
+        op4_suffix_dedup, op5_byte_cnn_quality, op6_ppm_language_id, op7_template_decontamination,
         op8_ngram_jaccard_join, op9_token_counts, op10_linked_secrets]
 
 
