@@ -17,10 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import map_columns, small
 from .shingles import in_chunks
 
 ORDER = 3
@@ -101,7 +102,7 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
             n[np.searchsorted(keys, k), j] = c
             np.add.at(total[:, j], np.searchsorted(ctx, k >> np.uint32(8)), c)
             np.add.at(kinds[:, j], np.searchsorted(ctx, k >> np.uint32(8)), 1)
-        esc = np.where(total > 0, np.log2((total + kinds) / np.maximum(kinds, 1)), 0)
+        esc = np.log2(np.where(total > 0, total + kinds, 1) / np.maximum(kinds, 1))
         at = np.searchsorted(ctx, keys >> np.uint32(8))
         if order:  # the frozen shorter contexts give what a language escapes to
             down = model.cost(keys, order - 1)
@@ -120,7 +121,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE_TEXTS) -> Model | None:
     of each language, or all if it has no more."""
     rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     share = rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), sample / F.col("count")).alias("share"))
-    picked = (rows.join(share, "lang")
+    picked = (rows.join(small(share), "lang")
               .where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1 << 30)) < F.col("share") * (1 << 30)))
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
@@ -142,25 +143,37 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+def _identified(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None]]:
+    known = [model is not None and has_letter(t) for t in texts]
+    lang, score, bits = [UNKNOWN] * len(known), [0.0] * len(known), [None] * len(known)
+    at = [i for i, ok in enumerate(known) if ok]
+    for first, data in in_chunks([texts[i] for i in at], 1 << 20):
+        total = model.totals(data)
+        best, least = total.argmin(axis=1), total.min(axis=1)
+        share = 1 / np.exp2(np.maximum(least[:, None] - total, -1000)).sum(axis=1)
+        for j, i in enumerate(at[first:first + len(data)]):
+            lang[i], score[i], bits[i] = model.languages[best[j]], float(share[j]), float(least[j] / len(data[j]))
+    return lang, score, bits
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """Rows (doc_id, lang_pred, score, bits) for each row of docs (doc_id, text); bits: the least
     cost of a byte on average, null for `und`."""
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            known = [model is not None and has_letter(t) for t in b["text"]]
-            out = {"doc_id": b["doc_id"], "lang_pred": [UNKNOWN] * len(known), "score": [0.0] * len(known), "bits": [None] * len(known)}
-            at = [i for i, ok in enumerate(known) if ok]
-            for first, data in in_chunks([b["text"][i] for i in at], 1 << 20):
-                total = model.totals(data)
-                best = total.argmin(axis=1)
-                least = total.min(axis=1)
-                share = 1 / np.exp2(np.maximum(least[:, None] - total, -1000)).sum(axis=1)
-                for j, i in enumerate(at[first:first + len(data)]):
-                    out["lang_pred"][i] = model.languages[best[j]]
-                    out["score"][i] = float(share[j])
-                    out["bits"][i] = float(least[j] / len(data[j]))
-            yield out
+            lang, score, bits = _identified(model, b["text"])
+            yield {"doc_id": b["doc_id"], "lang_pred": lang, "score": score, "bits": bits}
 
     return map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), each,
                        "doc_id long, lang_pred string, score double, bits double")
+
+
+def identified(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose text has a language of score `least` or more; columns as they are."""
+
+    def sure(texts: pd.Series) -> pd.Series:
+        lang, score, _ = _identified(model, [t if isinstance(t, str) else None for t in texts])
+        return pd.Series([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)], dtype=bool)
+
+    return docs.where(F.pandas_udf(sure, "boolean")(F.col("text")))
