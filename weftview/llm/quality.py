@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import map_columns, saved, small
 
 CHUNK, SPAN, STRIDE, LAGS = 256, 12, 4, 22
 WIDTH, FILTERS, ECHO = 6, 16, 8
@@ -181,7 +181,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
     share = F.when(F.col("label") == 1, max(half, sample - count[0]) / count[1]).otherwise(max(half, sample - count[1]) / count[0])
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     # about `sample` rows; the limit holds it to that whatever the hash does
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    rows = docs.select("doc_id", "text").join(small(saved(picked)), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample + sample // 4)
 
     def train(batches: Iterator[dict]) -> Iterator[dict]:

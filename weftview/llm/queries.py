@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 
 from . import decontam, embed_neardup, langid, oracles, packing, quality, secrets, suffix_dedup, token_counts, toxicity
-from .common import fold, table
+from .common import fold, table, vocabulary
 from .ngram_join import jaccard_components
 
 
-def vocabulary(name: str) -> str:
-    """Path of a public tokenizer's file: in $TOKENIZER_DIR, or where the package has it."""
-    if "TOKENIZER_DIR" in os.environ:
-        return os.path.join(os.environ["TOKENIZER_DIR"], name)
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_neardup.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 

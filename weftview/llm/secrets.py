@@ -124,16 +124,19 @@ def secret_spans(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]", reach: int = REACH) -> DataFrame:
-    """docs with every span of its text replaced by `mark` (overlapping spans by one), n_chars
-    counted anew where the text changed; all columns kept, in their order."""
-    spans = secret_spans(docs, reach).where("spans <> ''").select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")).distinct()
-    cut = F.udf(lambda text, spans: _cut(text, spans, mark), "string")
-    joined = docs.join(small(saved(spans), 100_000), F.col("doc_id") == F.col("_id"), "left")
-    new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans"))
-    chars = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes).get("n_chars", "long")))
-    out = joined.withColumn("text", new)
+    """docs with every span of its text replaced by `mark` (overlapping spans by one) and, if there
+    is a column n_chars, characters counted anew where the text changed; columns in their order."""
+    key, cut = "secret_spans_of", "secret_spans_at"
+    while {key, cut} & {c.lower() for c in docs.columns}:
+        key, cut = key + "_", cut + "_"
+    spans = (secret_spans(docs.select("doc_id", "text"), reach).where("spans <> ''")
+             .groupBy(F.col("doc_id").alias(key)).agg(F.max("spans").alias(cut)))
+    joined = docs.join(small(saved(spans), 100_000), F.col("doc_id") == F.col(key), "left")
+    marked = F.udf(lambda text, at: _cut(text, at, mark), "string", useArrow=True)(F.when(F.col(cut).isNotNull(), F.col("text")), F.col(cut))
+    out = joined.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(marked))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", chars)
+        count = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(count))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -70,7 +70,7 @@ def shingle_hashes(data: list[bytes], n: int = 5) -> tuple[np.ndarray, np.ndarra
         full[np.repeat(long, np.where(short, 1, sizes))] = h
         for i in np.flatnonzero(short):
             part = w[at[i]:at[i + 1]]
-            full[out[i]] = mix((part * _PLACE[:len(part)]).sum(dtype=np.uint64) ^ _PLACE[32 + len(part)])
+            full[out[i]] = mix(np.array([(part * _PLACE[:len(part)]).sum(dtype=np.uint64) ^ _PLACE[32 + len(part)]]))[0]
         return full, out
     return h, np.concatenate([[0], np.cumsum(sizes)])
 

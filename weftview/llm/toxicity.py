@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cell_rows, map_columns, summed_cells
+from .common import cell_rows, map_columns, saved, small, summed_cells
 
 #: Letters that a character is written for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -228,7 +228,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | f
     bits = Restorer.of(_counted(docs)).bits
     share = min(1.0, sample / (count[0] + count[1]))
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "label")
+    rows = saved(docs.select("doc_id", "text").join(small(saved(picked)), "doc_id").select("text", "label"))  # read twice
 
     def count_features(batches: Iterator[dict]) -> Iterator[dict]:
         r, seen = Restorer(bits), {0: Counter(), 1: Counter()}
