@@ -15,6 +15,7 @@ rows are packed as often as they come; extra columns are never read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ WIDTH = 4096
 GROUP = 1 << 20
 END_ID = 2
 #: Words whose ids a worker keeps; beyond it the store starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _LETTER = "a-zªµºß-öø-ÿ"
@@ -47,9 +48,13 @@ class WordIds:
     certain; any other text, or one with a special token's string, goes to the tokenizer whole."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -58,14 +63,26 @@ class WordIds:
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
         new = [w for w in {w for x in words for w in x} if w not in self.kept]
-        for w, e in zip(new, self._encoded(new), strict=True):
-            self.kept[w] = np.array(e, np.uint32).tobytes()
+        for a in range(0, len(new), 500):
+            self._keep(new[a:a + 500])
         get = self.kept.__getitem__
-        return [np.frombuffer(b"".join(map(get, w)), np.uint32) if ok else np.array(self._encoded([t])[0] if t else [], np.uint32)
+        return [np.frombuffer(b"".join(map(get, w)), np.uint32) if ok else self._encoded(t) if t else np.zeros(0, np.uint32)
                 for t, w, ok in zip(texts, words, plain, strict=True)]
 
-    def _encoded(self, texts: list[str]) -> list[list[int]]:
-        return [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _keep(self, words: list[str]) -> None:
+        """ids of words, found in one call: the token that ends a word is marked in the vocabulary."""
+        ids = self._encoded(" ".join(words))
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(words):
+            data, a = ids.tobytes(), 0
+            for w, b in zip(words, (4 * ends).tolist(), strict=True):
+                self.kept[w] = data[a:b]
+                a = b
+        else:
+            self.kept.update((w, self._encoded(w).tobytes()) for w in words)
 
 
 def _sizes(total: int, width: int) -> np.ndarray:
