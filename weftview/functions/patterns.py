@@ -12,22 +12,46 @@ WS = "[" + "".join(f"\\x{{{ord(c):04X}}}" for c in WS_CHARS) + "]"
 
 # --- fixed values: HTML tokens ------------------------------------------------
 # One alternation, leftmost-first: comments, raw-text elements (script, style,
-# title) as single tokens, tags whose quoted attribute values may hold '>', any
-# other tag, text runs, and a lone '<'.  The possessive quantifiers keep Java's
-# matcher iterative on hostile tags (tens of thousands of attributes); RE2 has
-# no possessive form and never recurses, so the oracle uses the plain form.
+# title, textarea) as single tokens, tags, text runs, and a lone '<'.  Whatever
+# is not closed runs to the end of the page, as in a parser, so that each
+# character is looked at once: a page of opened comments costs as much as any.
+# Only a title ends at the next tag, so that an unclosed one keeps the page.
+# '<' begins a tag only before a letter, '/', '!' or '?'; a quote opens a value
+# only behind '='.  The possessive quantifiers keep Java's matcher iterative on
+# hostile tags (tens of thousands of attributes); RE2 has no possessive form
+# and never recurses, so the oracle uses the plain form.
+RAW_TAGS = ("script", "style", "title", "textarea")
 _TOKEN_ALTS = (
-    r"<!--.*?-->",
-    r"<script\b.*?</script\s*>",
-    r"<style\b.*?</style\s*>",
-    r"<title\b.*?</title\s*>",
-    r"<[^>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+>",
-    r"<[^>]*>",
+    r"<!--.*?(?:-->|\z)",
+    *(rf"<{t}\b.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "textarea")),
+    r"<title\b[^<>]*+>[^<]*+(?:</title\s*+>)?+",
+    r"<[A-Za-z/!?](?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\z)|'[^']*+(?:'|\z))?+)*+(?:>|\z)",
     r"[^<]+",
     r"<",
 )
 TOKEN_RE = "(?is)" + "|".join(_TOKEN_ALTS)
-TOKEN_RE_RE2 = TOKEN_RE.replace("*+", "*")
+TOKEN_RE_RE2 = TOKEN_RE.replace("++", "+").replace("*+", "*").replace("?+", "?")
+RAW_RE = rf"(?i)^<(?:{'|'.join(RAW_TAGS)})\b"
+RAW_TEXT_RE = rf"(?is)^<[^>]*>(.*?)(?:</(?:{'|'.join(RAW_TAGS)})\s*>)?$"
+TEXT_RAW_TAGS = ("title", "textarea")  # raw elements whose content is text
+# A tag closes itself by '/' behind its name, a space or a quote; elsewhere the
+# '/' belongs to an unquoted value.
+SELF_CLOSING_RE = r"(?s)(?:^<[A-Za-z][^\s/>]*|.[\s\"'])/>$"
+
+# --- fixed values: start tags that end an open element of the same parent ------
+# (the element's end tag may be left out in HTML)
+IMPLIED_ENDS = {
+    "p": ("address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure",
+          "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol",
+          "p", "pre", "section", "table", "ul"),
+    "li": ("li",),
+    "dt": ("dt", "dd"),
+    "dd": ("dt", "dd"),
+    "tr": ("tr", "tbody", "tfoot"),
+    "td": ("td", "th", "tr", "tbody", "tfoot"),
+    "th": ("td", "th", "tr", "tbody", "tfoot"),
+    "option": ("option", "optgroup"),
+}
 
 # Attribute inside a start tag (the tag name already removed).
 ATTR_RE = r"""[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""

@@ -87,12 +87,12 @@ def page_structure(tokens: DataFrame) -> DataFrame:
     # The raw token and its attribute list are not needed past this point;
     # dropping them keeps every later sort narrow.
     t = t.drop("tok", "attrs", "a_class", "a_classes", "a_role", "a_aria_hidden", "a_itemtype")
-    t = elements(t, carry=("m_noise", "p_noise", "a_href"))
+    t = elements(t, carry=("a_href",))
     for stage in after:
         t = t.withColumns(stage)
         if "main_pos" in stage:
             t = t.drop("best")
-    return t.drop("m_open", "m_close", "p_open", "p_close")
+    return t.drop("m_end", "p_end")
 
 
 @cache
@@ -112,40 +112,33 @@ def _structure_stages() -> tuple[dict[str, Column], list[dict[str, Column]]]:
     best = F.min(F.when(
         F.col("rank").isNotNull() & (F.col("elem_len") > MAIN_MIN_CHARS),
         F.struct(F.col("rank").alias("r"), (-F.col("elem_len")).alias("nl"),
-                 F.col("pos").alias("p"), F.col("close_pos").alias("e"),
+                 F.col("pos").alias("p"), F.col("end_pos").alias("e"),
                  F.col("tag").alias("g")),
     )).over(w_all)
     main = {
         "main_pos": F.col("best.p"),
-        "main_end": F.coalesce(F.col("best.e"), F.lit(2**31 - 1)),
+        "main_end": F.col("best.e"),
         "main_tag": F.col("best.g"),
         "main_len": -F.col("best.nl"),
     }
-    # Noise levels: +1 at a noise open tag, -1 after its close tag.
+    # A token is noise if a noise element at or before it ends after it.
     sign, pos = F.col("sign"), F.col("pos")
     in_main = F.col("main_pos").isNotNull() & (pos >= F.col("main_pos"))
-    flags = {
-        "m_open": ((sign == 1) & F.col("m_noise") & in_main).cast("int"),
-        "m_close": ((sign == -1) & F.coalesce(F.col("open_m_noise"), F.lit(False))
-                    & F.col("main_pos").isNotNull()
-                    & (F.col("open_pos") >= F.col("main_pos"))).cast("int"),
-        "p_open": ((sign == 1) & F.col("p_noise")).cast("int"),
-        "p_close": ((sign == -1) & F.coalesce(F.col("open_p_noise"), F.lit(False))).cast("int"),
+    ends = {
+        "m_end": F.when(F.col("m_noise") & in_main, F.col("end_pos")),
+        "p_end": F.when(F.col("p_noise"), F.col("end_pos")),
     }
-    w_run = Window.partitionBy("page_id").orderBy("pos")
-    upto = w_run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = w_run.rowsBetween(Window.unboundedPreceding, -1)
-    m_level = F.sum("m_open").over(upto) - F.coalesce(F.sum("m_close").over(before), F.lit(0))
-    p_level = F.sum("p_open").over(upto) - F.coalesce(F.sum("p_close").over(before), F.lit(0))
+    upto = (Window.partitionBy("page_id").orderBy("pos")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     noise = {
-        "in_main_noise": (m_level > 0) | ((sign == 0) & F.col("m_noise")),
-        "in_page_noise": (p_level > 0) | ((sign == 0) & F.col("p_noise")),
+        "in_main_noise": F.coalesce(F.max("m_end").over(upto) > pos, F.lit(False)),
+        "in_page_noise": F.coalesce(F.max("p_end").over(upto) > pos, F.lit(False)),
     }
     keep = {"keep": F.when(
         F.col("main_pos").isNotNull(),
-        (pos >= F.col("main_pos")) & (pos <= F.col("main_end")) & ~F.col("in_main_noise"))
+        (pos >= F.col("main_pos")) & (pos < F.col("main_end")) & ~F.col("in_main_noise"))
         .otherwise(~F.col("in_page_noise"))}
-    return first, [{"best": best}, main, flags, noise, keep]
+    return first, [{"best": best}, main, ends, noise, keep]
 
 
 @cache
@@ -170,8 +163,12 @@ def is_title_candidate() -> Column:
 
 
 @cache
-def page_title_agg() -> Column:
-    """Aggregate: first title candidate's text, else ``No Title``."""
-    first = F.min(F.when(is_title_candidate(), F.struct(F.col("pos").alias("p"),
-                                                        title_text().alias("t"))))
+def page_title_agg(whole_page: bool = False) -> Column:
+    """Aggregate: first title candidate's text, else ``No Title``.
+
+    ``whole_page``: any ``<title>`` of the page counts (the raw view).
+    """
+    any_title = (F.col("tag") == "title") & F.col("kind").isin("raw", "start")
+    first = F.min(F.when(any_title if whole_page else is_title_candidate(),
+                         F.struct(F.col("pos").alias("p"), title_text().alias("t"))))
     return F.coalesce(first.getField("t"), F.lit(NO_TITLE))

@@ -8,8 +8,9 @@ here and into a SQL ``CASE`` for the oracle, so both engines share one dialect.
 Dialect: ``#`` headings; a blank line around block elements; ``**`` bold,
 ``_`` italic, backtick code; ``[text](href)`` links (``#`` targets render as
 plain text); ``![alt](src)`` images in the raw view only; ``  * `` / ``  n. ``
-list items; ``> `` block quotes; ``[code]`` fences around ``pre`` in the raw
-view; `` | `` after table cells; ``* * *`` rules.  Text is entity-decoded and
+list items, two more spaces for each list around; ``> `` before each line of a
+block quote; two spaces and a newline for ``br``; ``[code]`` fences around
+``pre`` (whose text stays as it is) in the raw view; `` | `` after table cells; ``* * *`` rules.  Text is entity-decoded and
 whitespace-collapsed outside ``pre``.
 """
 
@@ -33,16 +34,19 @@ BLOCK_TAGS = (
 FIXED_RULES = {
     **{t: ("\n\n", "\n\n") for t in BLOCK_TAGS},
     **{f"h{n}": ("\n\n" + "#" * n + " ", "\n\n") for n in range(1, 7)},
-    "blockquote": ("\n\n> ", "\n\n"),
-    "br": ("\n", ""),
+    "blockquote": ("\n\n", "\n\n"),
     "hr": ("\n\n* * *\n\n", ""),
-    "b": ("**", "**"), "strong": ("**", "**"),
-    "i": ("_", "_"), "em": ("_", "_"),
     "tr": ("\n", "\n"), "td": ("", " | "), "th": ("", " | "),
     "dt": ("\n", ""), "dd": ("\n    ", ""),
 }
+EMPHASIS = {"b": "**", "strong": "**", "i": "_", "em": "_"}
+LIST_TAGS = ("ul", "ol")
 RAW_PRE = ("\n\n[code]\n", "\n[/code]\n\n")
 CLEAN_PRE = ("\n\n", "\n\n")
+# Stand-ins (noncharacters, so no text holds them) that live until the document is
+# joined: a quote mark at a line's start, and white space that must stay as it is.
+QUOTE, KEPT = "\uFDD0", {"\n": "\uFDD1", " ": "\uFDD2", "\t": "\uFDD3"}
+BREAK = KEPT[" "] * 2 + "\n"
 
 
 def _valid_href(h: Column) -> Column:
@@ -52,17 +56,22 @@ def _valid_href(h: Column) -> Column:
 def render_context(t: DataFrame, mask: Column | str | None = None) -> DataFrame:
     """Add what fragments depend on besides the token itself.
 
-    ``in_pre`` (inside a ``pre``), ``li_num`` (1-based number of a list item
-    inside an ``ol`` and no ``ul``; NULL = bullet).  Expects the columns added
-    by ``content.page_structure`` (``a_href``, ``open_a_href``, ``close_pos``).
-    Only tokens where ``mask`` (a boolean column, or its name) holds count: the
-    clean view renders the kept ones.
+    ``in_pre`` (inside a ``pre``), ``quote_d`` and ``list_d`` (open quotes and
+    lists; a list item's own level), ``li_num`` (1-based number of an item whose
+    list is an ``ol``; NULL = bullet), ``after_li`` (nothing but white space
+    stands between a list item's start and the token).  Depths never fall below
+    zero.  Expects the columns added by ``content.page_structure``.  Only tokens
+    where ``mask`` (a boolean column, or its name) holds count: the clean view
+    renders the kept ones.
     """
     stages = (_context_stages(mask) if mask is None or isinstance(mask, str)
               else _build_context_stages(mask))
     for stage in stages:
         t = t.withColumns(stage)
-    return t.drop("ol_d", "ul_d", "numbered", "_n", "_n_ol")
+    return t.drop("_pre", "_quote", "_list", "_list_tag", "_n", "_n_at")
+
+
+CONTEXT_COLUMNS = ("in_pre", "quote_d", "list_d", "li_num", "after_li")
 
 
 @cache
@@ -72,37 +81,50 @@ def _context_stages(mask: str | None) -> list[dict[str, Column]]:
 
 def _build_context_stages(mask: Column | None) -> list[dict[str, Column]]:
     mask = F.lit(True) if mask is None else mask
-    sign, tag = F.col("sign"), F.when(mask, F.col("tag"))
-    w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
+    sign, tag, kind = F.col("sign"), F.when(mask, F.col("tag")), F.col("kind")
+    page = Window.partitionBy("page_id").orderBy("pos")
+    w = page.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def total(*names):
+        return F.sum(F.when(tag.isin(*names), sign).otherwise(0)).over(w)
 
-    def depth(name):
-        return F.sum(F.when(tag == name, sign).otherwise(0)).over(w)
+    def clamped(c):
+        return F.col(c) - F.least(F.lit(0), F.min(c).over(w))
 
-    numbered = (tag == "li") & (sign == 1) & (F.col("ol_d") > 0) & (F.col("ul_d") <= 0)
-    # Item number = numbered items so far minus those before the last <ol>: the
-    # same (page_id, pos) order as above, so no further sort is planned.
+    # A list item belongs to the last list opened at its level.
+    level = Window.partitionBy("page_id", "list_d").orderBy("pos").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    opens_list = tag.isin(*LIST_TAGS) & (sign == 1)
+    item = F.coalesce((tag == "li") & (sign == 1), F.lit(False))
+    shown = mask & ~((kind == "text") & (F.col("tlen") == 0)) & ~kind.isin("comment", "decl")
     return [
-        {"in_pre": depth("pre") > 0, "ol_d": depth("ol"), "ul_d": depth("ul")},
-        {"numbered": F.coalesce(numbered, F.lit(False))},
-        {"_n": F.sum(F.col("numbered").cast("int")).over(w)},
-        {"_n_ol": F.last(F.when((tag == "ol") & (sign == 1), F.col("_n")), ignorenulls=True).over(w)},
-        {"li_num": F.when(F.col("numbered"), F.col("_n") - F.col("_n_ol"))},
+        {"_pre": total("pre"), "_quote": total("blockquote"), "_list": total(*LIST_TAGS),
+         "after_li": F.coalesce(F.last(F.when(shown, item), ignorenulls=True).over(
+             page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))},
+        {"in_pre": clamped("_pre") > 0, "quote_d": clamped("_quote"), "list_d": clamped("_list")},
+        {"_list_tag": F.last(F.when(opens_list, F.col("tag")), ignorenulls=True).over(level),
+         "_n": F.sum(item.cast("int")).over(level)},
+        {"_n_at": F.last(F.when(opens_list, F.col("_n")), ignorenulls=True).over(level)},
+        {"li_num": F.when(item & (F.col("_list_tag") == "ol"), F.col("_n") - F.col("_n_at"))},
     ]
 
 
+def _lookup(pairs: dict[str, str], key: Column) -> Column:
+    return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))[key]
+
+
 @cache
 def fragment(images: bool, raw: bool) -> Column:
     """Markdown fragment of one token (Spark form of ``fragment_sql``)."""
-    kind, tag, sign = F.col("kind"), F.col("tag"), F.col("sign")
-    opening = kind == "start"
-    closing = kind == "end"
+    kind, tag = F.col("kind"), F.col("tag")
+    opening, closing = kind == "start", kind == "end"
+    closed, opened = F.col("close_pos").isNotNull(), F.col("open_pos").isNotNull()
     pre = RAW_PRE if raw else CLEAN_PRE
     href, open_href = F.col("a_href"), F.col("open_a_href")
-    f = F.when(kind == "text",
-               F.when(F.col("in_pre"), F.col("text")).otherwise(collapse_ws(F.col("text"))))
-    f = f.when(opening & (tag == "a"),
-               F.when(_valid_href(href) & F.col("close_pos").isNotNull(), "[").otherwise(""))
+    held = F.translate("text", "".join(KEPT), "".join(KEPT.values()))
+    f = F.when((kind == "text") | (kind == "raw") & (tag == "textarea"),
+               F.when(F.col("in_pre"), held).otherwise(collapse_ws(F.col("text"))))
+    f = f.when(opening & (tag == "a"), F.when(_valid_href(href) & closed, "[").otherwise(""))
     f = f.when(closing & (tag == "a"),
                F.when(_valid_href(open_href), F.concat(F.lit("]("), open_href, F.lit(")")))
                .otherwise(""))
@@ -112,26 +134,33 @@ def fragment(images: bool, raw: bool) -> Column:
                    F.when(src.isNotNull() & (src != ""),
                           F.concat(F.lit("!["), F.coalesce(F.col("a_alt"), F.lit("")),
                                    F.lit("]("), src, F.lit(")"))).otherwise(""))
-    f = f.when(opening & (tag == "li"),
-               F.when(F.col("li_num").isNotNull(),
-                      F.concat(F.lit("\n  "), F.col("li_num").cast("string"), F.lit(". ")))
-               .otherwise("\n  * "))
-    f = f.when(opening & (tag == "pre"), pre[0]).when(closing & (tag == "pre"), pre[1])
-    f = f.when((tag == "code") & (opening | closing),
-               F.when(F.col("in_pre"), "").otherwise("`"))
-    for name, (o, c) in FIXED_RULES.items():
-        f = f.when(opening & (tag == name), o)
-        if c:
-            f = f.when(closing & (tag == name), c)
-    return f.otherwise("")
+    number = F.coalesce(F.concat(F.col("li_num").cast("string"), F.lit(". ")), F.lit("* "))
+    f = f.when(opening & (tag == "li"), F.concat(
+        F.lit("\n"), F.repeat(F.lit("  "), F.greatest(F.col("list_d"), F.lit(1)).cast("int")), number))
+    # a list within a list starts and ends no block of its own
+    f = f.when(opening & tag.isin(*LIST_TAGS) & (F.col("list_d") > 1), "")
+    f = f.when(closing & tag.isin(*LIST_TAGS) & (F.col("list_d") > 0), "")
+    f = f.when(opening & F.col("after_li") & tag.isin(*BLOCK_TAGS), "")
+    f = f.when(opening & (tag == "pre"), pre[0]).when(closing & (tag == "pre") & opened, pre[1])
+    f = f.when((tag == "code") & (opening | closing), F.when(F.col("in_pre"), "").otherwise("`"))
+    f = f.when(tag.isin(*EMPHASIS) & (opening & closed | closing & opened), _lookup(EMPHASIS, tag))
+    f = f.when(tag == "br", BREAK)
+    f = f.when(opening, _lookup({t: o for t, (o, _) in FIXED_RULES.items()}, tag))
+    f = f.when(closing, _lookup({t: c for t, (_, c) in FIXED_RULES.items()}, tag))
+    f = F.coalesce(f, F.lit(""))
+    mark = F.concat(F.lit("\n"), F.repeat(F.lit(QUOTE), F.col("quote_d").cast("int")))
+    return F.when((F.col("quote_d") > 0) & (F.instr(f, "\n") > 0), F.replace(f, F.lit("\n"), mark)).otherwise(f)
 
 
 def fragment_sql(images: bool, raw: bool) -> str:
     """The same fragment rule as SQL ``CASE`` text (oracle)."""
     pre = RAW_PRE if raw else CLEAN_PRE
     valid = "({h} IS NOT NULL AND {h} <> '' AND NOT starts_with({h}, '#'))"
+    in_list = lambda tags: "tag IN (" + ", ".join(lit(t) for t in tags) + ")"
+    held = f"translate(text, {lit(''.join(KEPT))}, {lit(''.join(KEPT.values()))})"
     arms = [
-        f"WHEN kind = 'text' THEN (CASE WHEN in_pre THEN text ELSE {collapse_ws_sql('text')} END)",
+        f"WHEN kind = 'text' OR kind = 'raw' AND tag = 'textarea' "
+        f"THEN (CASE WHEN in_pre THEN {held} ELSE {collapse_ws_sql('text')} END)",
         f"WHEN kind = 'start' AND tag = 'a' THEN (CASE WHEN {valid.format(h='a_href')} "
         f"AND close_pos IS NOT NULL THEN '[' ELSE '' END)",
         f"WHEN kind = 'end' AND tag = 'a' THEN (CASE WHEN {valid.format(h='open_a_href')} "
@@ -142,31 +171,70 @@ def fragment_sql(images: bool, raw: bool) -> str:
                     "AND a_src <> '' THEN '![' || coalesce(a_alt, '') || '](' || a_src || ')' "
                     "ELSE '' END)")
     arms += [
-        "WHEN kind = 'start' AND tag = 'li' THEN (CASE WHEN li_num IS NOT NULL "
-        "THEN chr(10) || '  ' || li_num::VARCHAR || '. ' ELSE chr(10) || '  * ' END)",
+        "WHEN kind = 'start' AND tag = 'li' THEN chr(10) || repeat('  ', greatest(list_d, 1)::INT) "
+        "|| coalesce(li_num::VARCHAR || '. ', '* ')",
+        f"WHEN kind = 'start' AND {in_list(LIST_TAGS)} AND list_d > 1 THEN ''",
+        f"WHEN kind = 'end' AND {in_list(LIST_TAGS)} AND list_d > 0 THEN ''",
+        f"WHEN kind = 'start' AND after_li AND {in_list(BLOCK_TAGS)} THEN ''",
         f"WHEN kind = 'start' AND tag = 'pre' THEN {lit(pre[0])}",
-        f"WHEN kind = 'end' AND tag = 'pre' THEN {lit(pre[1])}",
+        f"WHEN kind = 'end' AND tag = 'pre' AND open_pos IS NOT NULL THEN {lit(pre[1])}",
         "WHEN tag = 'code' AND kind IN ('start', 'end') THEN (CASE WHEN in_pre "
         "THEN '' ELSE '`' END)",
     ]
+    for name, mark in EMPHASIS.items():
+        arms.append(f"WHEN tag = {lit(name)} AND (kind = 'start' AND close_pos IS NOT NULL "
+                    f"OR kind = 'end' AND open_pos IS NOT NULL) THEN {lit(mark)}")
+    arms.append(f"WHEN tag = 'br' THEN {lit(BREAK)}")
     for name, (o, c) in FIXED_RULES.items():
         arms.append(f"WHEN kind = 'start' AND tag = {lit(name)} THEN {lit(o)}")
-        if c:
-            arms.append(f"WHEN kind = 'end' AND tag = {lit(name)} THEN {lit(c)}")
-    return "(CASE " + " ".join(arms) + " ELSE '' END)"
+        arms.append(f"WHEN kind = 'end' AND tag = {lit(name)} THEN {lit(c)}")
+    f = "(CASE " + " ".join(arms) + " ELSE '' END)"
+    return f"replace({f}, chr(10), chr(10) || repeat({lit(QUOTE)}, quote_d::INT))"
+
+
+def context_sql(src: str, out: str, mask: str) -> str:
+    """CTEs ``rc1 ... out``: ``render_context`` of the relation ``src`` (oracle)."""
+    w = "(PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    bef = "(PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    lvl = "(PARTITION BY page_id, list_d ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    total = lambda cond: f"sum(CASE WHEN {cond} THEN sign ELSE 0 END) OVER {w}"
+    clamp = lambda c: f"{c} - least(0, min({c}) OVER {w})"
+    shown = f"{mask} AND NOT (kind = 'text' AND tlen = 0) AND kind NOT IN ('comment', 'decl')"
+    return f"""rc1 AS (SELECT *, CASE WHEN {mask} THEN tag END AS mtag FROM {src}),
+rc2 AS (SELECT *, coalesce(mtag = 'li' AND sign = 1, false) AS item,
+  coalesce(mtag IN ('ul', 'ol') AND sign = 1, false) AS opens_list,
+  {total("mtag = 'pre'")} AS pre_s, {total("mtag = 'blockquote'")} AS quote_s,
+  {total("mtag IN ('ul', 'ol')")} AS list_s FROM rc1),
+rc3 AS (SELECT *, coalesce(last_value(CASE WHEN {shown} THEN item END IGNORE NULLS) OVER {bef}, false) AS after_li,
+  {clamp('pre_s')} > 0 AS in_pre, {clamp('quote_s')} AS quote_d, {clamp('list_s')} AS list_d FROM rc2),
+rc4 AS (SELECT *, last_value(CASE WHEN opens_list THEN tag END IGNORE NULLS) OVER {lvl} AS list_tag,
+  sum(item::INT) OVER {lvl} AS n_items FROM rc3),
+rc5 AS (SELECT *, last_value(CASE WHEN opens_list THEN n_items END IGNORE NULLS) OVER {lvl} AS n_at FROM rc4),
+{out} AS (SELECT *, CASE WHEN item AND list_tag = 'ol' THEN (n_items - n_at)::BIGINT END AS li_num FROM rc5)"""
+
+
+_BLANK_LINES = rf"(?:\n{QUOTE}*){{2,}}(\n{QUOTE}*)"
+
+
+# What normalize_md replaces: spaces before line ends, blank lines beyond the first,
+# line ends before the first line (a quote mark stays) and behind the last.
+_SPACES, _LEADING, _TRAILING = r"[ \t]+\n", rf"^[ \t]*(?:\n{QUOTE}*)*\n({QUOTE}*)", rf"[\n{QUOTE} \t]+$"
 
 
 def normalize_md(md: Column) -> Column:
-    """Drop spaces before line ends, squeeze blank lines, trim, end with a newline."""
-    md = F.regexp_replace(md, r"[ \t]+\n", "\n")
-    md = F.regexp_replace(md, r"\n{3,}", "\n\n")
-    return F.concat(trim_ws(md), F.lit("\n"))
+    """Drop spaces before line ends, squeeze blank lines, trim, end with a newline;
+    then put quote marks and kept white space for their stand-ins."""
+    md = F.regexp_replace(F.regexp_replace(md, _SPACES, "\n"), _BLANK_LINES, "\n$1")
+    md = F.regexp_replace(F.regexp_replace(md, _LEADING, "$1"), _TRAILING, "")
+    md = F.replace(F.concat(trim_ws(md), F.lit("\n")), F.lit(QUOTE), F.lit("> "))
+    return F.translate(md, "".join(KEPT.values()), "".join(KEPT))
 
 
 def normalize_md_sql(e: str) -> str:
-    e = f"regexp_replace({e}, '[ \\t]+\\n', chr(10), 'g')"
-    e = f"regexp_replace({e}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
-    return f"({trim_ws_sql(e)} || chr(10))"
+    e = f"regexp_replace(regexp_replace({e}, {lit(_SPACES)}, chr(10), 'g'), {lit(_BLANK_LINES)}, chr(10) || '\\1', 'g')"
+    e = f"regexp_replace(regexp_replace({e}, {lit(_LEADING)}, '\\1'), {lit(_TRAILING)}, '')"
+    return (f"translate(replace({trim_ws_sql(e)} || chr(10), {lit(QUOTE)}, '> '), "
+            f"{lit(''.join(KEPT.values()))}, {lit(''.join(KEPT))})")
 
 
 def unwrap_link_targets(md: Column) -> Column:

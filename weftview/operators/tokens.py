@@ -19,7 +19,17 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import ATTR_RE, TOKEN_RE, VOID_TAGS, WS
+from ..functions.patterns import (
+    ATTR_RE,
+    IMPLIED_ENDS,
+    RAW_RE,
+    RAW_TEXT_RE,
+    SELF_CLOSING_RE,
+    TEXT_RAW_TAGS,
+    TOKEN_RE,
+    VOID_TAGS,
+    WS,
+)
 from ..functions.text import decode_entities, trim_ws
 
 _NAME_RE = r"""^[^\s"'>/=]+"""
@@ -30,11 +40,11 @@ TOKEN_COLUMNS = ["page_id", "pos", "tok", "kind", "tag", "sign", "text", "tlen",
 def token_kind(tok: Column) -> Column:
     return (
         F.when(~tok.startswith("<"), "text")
-        .when(tok.rlike("^<!--") & tok.rlike("-->$") & (F.length(tok) >= 7), "comment")
-        .when(tok.rlike(r"(?is)^<(script|style|title)\b.*</(script|style|title)\s*>$"), "raw")
-        .when(tok.rlike("^<[!?]"), "decl")
+        .when(tok.startswith("<!--"), "comment")
+        .when(tok.rlike(RAW_RE), "raw")
         .when(tok.rlike("^</[A-Za-z]"), "end")
         .when(tok.rlike("^<[A-Za-z]"), "start")
+        .when(tok.rlike("^<[!?/]"), "decl")
         .otherwise("text")
     )
 
@@ -103,7 +113,7 @@ def tokenize(pages: DataFrame, partitions: int | None = None, with_url: bool = F
     Columns: ``page_id, pos`` (0-based), ``tok``, ``kind`` (start, end, raw,
     text, comment, decl), ``tag`` (lower case), ``sign`` (+1 opens a scope,
     -1 closes one, 0 otherwise), ``text`` (entity-decoded text of a text token
-    or of a raw ``<title>``), ``tlen`` (length of the stripped text) and
+    or of a raw ``<title>`` or ``<textarea>``), ``tlen`` (length of the stripped text) and
     ``attrs`` (raw attribute strings of a start tag).
 
     ``with_url``: ``pages`` also has ``url``; it travels through the page
@@ -136,12 +146,11 @@ def _token_exprs() -> dict[str, Column]:
     out["tag"] = F.when(kind.isin("start", "end", "raw"),
                         F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][^\s/>]*)", 1)))
     out.update({
-        "sign": F.when((kind == "start") & ~tag.isin(*VOID_TAGS) & ~tok.endswith("/>"), 1)
+        "sign": F.when((kind == "start") & ~tag.isin(*VOID_TAGS) & ~tok.rlike(SELF_CLOSING_RE), 1)
         .when((kind == "end") & ~tag.isin(*VOID_TAGS), -1)
         .otherwise(0),
         "text": F.when(kind == "text", decode_entities(tok)).when(
-            (kind == "raw") & (tag == "title"),
-            decode_entities(F.regexp_extract(tok, r"(?is)^<[^>]*>(.*)</[^>]*>$", 1)),
+            (kind == "raw") & tag.isin(*TEXT_RAW_TAGS), decode_entities(F.regexp_extract(tok, RAW_TEXT_RE, 1)),
         ),
         "attrs": F.when(kind == "start",
                         F.regexp_extract_all(F.regexp_replace(tok, r"^<[A-Za-z][^\s/>]*", ""),
@@ -155,18 +164,28 @@ def _token_exprs() -> dict[str, Column]:
 def _element_stages(carry: tuple[str, ...]) -> list[dict[str, Column]]:
     """The column stages of ``elements`` (each may use the ones before); built once."""
     w_page = Window.partitionBy("page_id").orderBy("pos")
+    upto = w_page.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = w_page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     w_tag = Window.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     w_lvl = Window.partitionBy("page_id", "tag", "level").orderBy("pos")
-    sign = F.col("sign")
+    # from the page's end: the nearest event after a token, at its level of closed elements
+    w_next = (Window.partitionBy("page_id", "_in").orderBy(F.col("pos").desc())
+              .rowsBetween(Window.unboundedPreceding, -1))
+    sign, tag = F.col("sign"), F.col("tag")
     nxt_close = (sign == 1) & (F.lead("sign").over(w_lvl) == -1)
     prv_open = (sign == -1) & (F.lag("sign").over(w_lvl) == 1)
+    here = F.struct(F.col("pos").alias("p"), F.col("cum").alias("c"))
+    nearest = lambda cond: F.last(F.when(cond, here), ignorenulls=True).over(w_next)
+    groups = implied_end_groups()
+    sibling = F.lit(None)
+    for i, (tags, _) in enumerate(groups):
+        sibling = F.when(tag.isin(*tags), F.col(f"_sib{i}")).otherwise(sibling)
     return [
         {
-            "cum": F.sum("tlen").over(
-                w_page.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tlen"),
-            "total": F.sum("tlen").over(
-                w_page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+            "cum": F.sum("tlen").over(upto) - F.col("tlen"),
+            "total": F.sum("tlen").over(whole),
+            "n_tokens": F.max("pos").over(whole) + 1,
             "next_kind": F.lead("kind").over(w_page),
             "next_text": F.lead("text").over(w_page),
         },
@@ -179,11 +198,32 @@ def _element_stages(carry: tuple[str, ...]) -> list[dict[str, Column]]:
             "open_pos": F.when(prv_open, F.lag("pos").over(w_lvl)),
             **{f"open_{c}": F.when(prv_open, F.lag(c).over(w_lvl)) for c in carry},
         },
-        {"elem_len": F.when(sign == 1, F.coalesce(F.col("close_cum"), F.col("total")) - F.col("cum"))
-         .when(F.col("kind").isin("start", "raw"), F.col("tlen"))},
+        # elements with both tags that hold the token (a close tag lies inside its own element)
+        {"_pair": F.when(F.col("close_pos").isNotNull(), 1).when(F.col("open_pos").isNotNull(), -1).otherwise(0)},
+        {"_in": F.sum("_pair").over(upto) - F.col("_pair")},
+        {"_parent": nearest(F.col("_pair") == -1),
+         **{f"_sib{i}": nearest(F.col("kind").isin("start", "raw") & tag.isin(*ends))
+            for i, (_, ends) in enumerate(groups)}},
+        {"_end": F.when((sign == 1) & F.col("close_pos").isNull(), F.least(F.col("_parent"), sibling))},
+        {
+            "end_pos": F.when(F.col("close_pos").isNotNull(), F.col("close_pos") + 1)
+            .when(sign == 1, F.coalesce(F.col("_end.p"), F.col("n_tokens")))
+            .when(F.col("kind").isin("start", "raw"), F.col("pos") + 1),
+            "elem_len": F.when(sign == 1, F.coalesce(F.col("close_cum"), F.col("_end.c"), F.col("total"))
+                               - F.col("cum"))
+            .when(F.col("kind").isin("start", "raw"), F.col("tlen")),
+        },
     ]
 
 
+def implied_end_groups() -> list[tuple[list[str], tuple[str, ...]]]:
+    """``IMPLIED_ENDS`` by what ends them: (elements, start tags that end them)."""
+    by_ends: dict[tuple[str, ...], list[str]] = {}
+    for tag, ends in IMPLIED_ENDS.items():
+        by_ends.setdefault(ends, []).append(tag)
+    return [(tags, ends) for ends, tags in by_ends.items()]
+
+
 def with_selector_attrs(t: DataFrame) -> DataFrame:
     """Add the attributes that selectors test: class (and its names), role,
     aria-hidden, itemtype."""
@@ -207,12 +247,18 @@ def elements(t: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Add scope columns to every token.
 
     ``cum`` text length before the token, ``total`` page text length,
-    ``next_text`` text of the following token, ``depth`` clamped per-tag depth,
-    ``level`` scope level of an open/close tag, and for open tags
-    ``close_pos``/``elem_len`` (NULL close = never closed; runs to the end),
-    for close tags ``open_pos`` of the tag they close and, for each column
-    named in ``carry``, ``open_<name>``: that column's value on the open tag.
+    ``n_tokens`` tokens of the page, ``next_text`` text of the following token,
+    ``depth`` clamped per-tag depth, ``level`` scope level of an open/close tag,
+    for open tags ``close_pos`` (NULL = never closed), ``end_pos`` (first token
+    that is no longer in the element) and ``elem_len``, for close tags
+    ``open_pos`` of the tag they close and, for each column named in ``carry``,
+    ``open_<name>``: that column's value on the open tag.
+
+    An element that is never closed ends where its parent (the innermost
+    element with both tags around it) closes, or before the sibling start tag
+    that implies its end (``IMPLIED_ENDS``), or with the page.
     """
     for stage in _element_stages(tuple(carry)):
         t = t.withColumns(stage)
-    return t.drop("s", "close_cum")
+    return t.drop("s", "close_cum", "_pair", "_in", "_parent", "_end",
+                  *(f"_sib{i}" for i in range(len(implied_end_groups()))))

@@ -32,20 +32,21 @@ def page_views(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     """``pages(page_id, url, html)`` -> ``(page_id, url, view_id, content)`` for raw and clean."""
     st = page_structure(tokenize(pages.select("page_id", "url", "html"), with_url=True))
     st = M.render_context(st).withColumn("frag_raw", M.fragment(images=True, raw=True))
-    st = st.drop("in_pre", "li_num")
+    st = st.drop(*M.CONTEXT_COLUMNS)
     st = M.render_context(st, "keep").withColumn("frag_clean", M.fragment(images=False, raw=False))
     j = st.groupBy("page_id").agg(
         F.max("url").alias("url"),
         page_title_agg().alias("title"),
+        page_title_agg(whole_page=True).alias("raw_title"),
         ordered_join("frag_raw", ["pos"]).alias("raw_md"),
         ordered_join("frag_clean", ["pos"], "", "keep").alias("clean_md"))
     raw = M.strip_link_target_spaces(M.unwrap_link_targets(
         M.normalize_md(F.coalesce("raw_md", F.lit("")))))
     clean = truncate(M.unwrap_link_targets(M.normalize_md(F.coalesce("clean_md", F.lit("")))), max_chars)
-    title = F.coalesce("title", F.lit("No Title"))
+    title, raw_title = F.coalesce("title", F.lit("No Title")), F.coalesce("raw_title", F.lit("No Title"))
     both = F.array(
         F.struct(F.lit("raw").alias("view_id"),
-                 F.concat(M.raw_header(title, F.col("url")), F.coalesce(raw, F.lit("\n")))
+                 F.concat(M.raw_header(raw_title, F.col("url")), F.coalesce(raw, F.lit("\n")))
                  .alias("content")),
         F.struct(F.lit("clean").alias("view_id"),
                  F.concat(M.clean_header(title, F.col("url")), F.coalesce(clean, F.lit("\n")))

@@ -28,7 +28,7 @@ def rendered(spark: SparkSession, d: str, view: str, max_chars=None) -> DataFram
     st = M.render_context(st, None if raw else "keep")
     st = st.withColumn("frag", M.fragment(images=raw, raw=raw))
     md_agg = ordered_join("frag", ["pos"], "", None if raw else "keep")
-    g = st.groupBy("page_id").agg(F.max("url").alias("url"), page_title_agg().alias("title"),
+    g = st.groupBy("page_id").agg(F.max("url").alias("url"), page_title_agg(whole_page=raw).alias("title"),
                                   md_agg.alias("md"),
                                   F.max("pos").isNotNull().alias("loaded"))
     md = M.normalize_md(F.coalesce(F.col("md"), F.lit("")))
@@ -131,26 +131,16 @@ def render_ctes(view: str, max_chars: int | None = None) -> str:
     """CTEs ending in ``rendered_<view>(page_id, url, title, md)``."""
     raw = view == "raw"
     mask = "true" if raw else "keep"
-    w = "(PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     md = M.normalize_md_sql("coalesce(md, '')")
     md = M.unwrap_link_targets_sql(md)
     limit = "NULL::BIGINT" if max_chars is None else str(int(max_chars))
     md = M.strip_link_target_spaces_sql(md) if raw else truncate_sql(md, limit)
     filt = "" if raw else " FILTER (WHERE keep)"
     return S.structure_ctes() + f""",
-rc1 AS (SELECT *, CASE WHEN {mask} THEN tag END AS mtag FROM structure),
-rc2 AS (SELECT *,
-  sum(CASE WHEN mtag = 'pre' THEN sign ELSE 0 END) OVER {w} > 0 AS in_pre,
-  sum(CASE WHEN mtag = 'ol' THEN sign ELSE 0 END) OVER {w} AS ol_d,
-  sum(CASE WHEN mtag = 'ul' THEN sign ELSE 0 END) OVER {w} AS ul_d,
-  last_value(CASE WHEN mtag = 'ol' AND sign = 1 THEN pos END IGNORE NULLS) OVER {w} AS ol_at
-  FROM rc1),
-rc3 AS (SELECT *, (mtag = 'li' AND sign = 1 AND ol_d > 0 AND ul_d <= 0) AS numbered FROM rc2),
-rc4 AS (SELECT *, CASE WHEN numbered THEN row_number() OVER
-  (PARTITION BY page_id, ol_at, numbered ORDER BY pos) END AS li_num FROM rc3),
-rc5 AS (SELECT *, {M.fragment_sql(images=raw, raw=raw)} AS frag FROM rc4),
-rg AS (SELECT page_id, {S.title_agg_sql()} AS title,
-  string_agg(frag, '' ORDER BY pos){filt} AS md FROM rc5 GROUP BY page_id),
+{M.context_sql("structure", "rc6", mask)},
+rc7 AS (SELECT *, {M.fragment_sql(images=raw, raw=raw)} AS frag FROM rc6),
+rg AS (SELECT page_id, {S.title_agg_sql(whole_page=raw)} AS title,
+  string_agg(frag, '' ORDER BY pos){filt} AS md FROM rc7 GROUP BY page_id),
 rendered_{view} AS (SELECT page_id, url, coalesce(title, 'No Title') AS title,
   coalesce({md}, chr(10)) AS md FROM pages LEFT JOIN rg USING (page_id))"""
 

@@ -48,7 +48,7 @@ def raw_view_batch(pages: DataFrame) -> DataFrame:
     st = render_context(page_structure(
         tokenize(pages.select("page_id", "url", "html"), with_url=True)))
     st = st.withColumn("frag", fragment(images=True, raw=True))
-    j = st.groupBy("page_id").agg(F.max("url").alias("url"), page_title_agg().alias("title"),
+    j = st.groupBy("page_id").agg(F.max("url").alias("url"), page_title_agg(whole_page=True).alias("title"),
                                   ordered_join("frag", ["pos"]).alias("md"))
     md = strip_link_target_spaces(unwrap_link_targets(normalize_md(F.coalesce("md", F.lit("")))))
     return j.select("page_id", "url", F.concat(raw_header(F.coalesce("title", F.lit("No Title")),
