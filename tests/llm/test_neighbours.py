@@ -27,9 +27,10 @@ def _components(n, links):
     return [find(i) for i in range(n)]
 
 
-def test_components_of_chain_star_and_loop(spark):
+@pytest.mark.parametrize("block", [500_000, 20])
+def test_components_of_chain_star_and_loop(spark, block):
     links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(200, 200), (300, None), (301, 302), (302, 301), (301, 302)]
-    got = {r.id: r.component_id for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.id: r.component_id for r in connected_components(spark.createDataFrame(links, "a long, b long"), block=block).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 160)}, 302: 301}
 
 

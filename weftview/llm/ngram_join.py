@@ -38,7 +38,7 @@ from .components import connected_components
 from .shingles import in_chunks, mix, shingle_hashes
 
 CELLS = 1 << 20
-HEADS = 2
+HEADS = 1
 _SETS = "doc_id long, n long, set1 long, set2 long, grp1 long, grp2 long, prefix array<long>"
 
 
