@@ -52,7 +52,7 @@ def fold(col: str, parts: int) -> Column:
 
 
 def summed_cells(counts: DataFrame) -> np.ndarray:
-    """Sum of the dense count arrays in rows (chunk int, cells binary of int64) by chunk.
+    """Sum of the dense count arrays in rows (chunk int, cells binary of uint32) by chunk.
 
     Every task sends one array of a fixed number of cells, in chunks; the sum is as large as
     one of them, whatever the corpus, so that it may come to the driver and be broadcast."""
@@ -61,7 +61,7 @@ def summed_cells(counts: DataFrame) -> np.ndarray:
         total: dict = {}
         for b in batches:
             for k, x in zip(b["chunk"], b["cells"], strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(x, np.int64)
+                total[k] = total.get(k, 0) + np.frombuffer(x, np.uint32).astype(np.int64)
         yield pd.DataFrame({"chunk": list(total), "cells": [x.tobytes() for x in total.values()]})
 
     got = counts.repartition("chunk").mapInPandas(add, "chunk int, cells binary").collect()
@@ -69,8 +69,8 @@ def summed_cells(counts: DataFrame) -> np.ndarray:
 
 
 def cell_rows(cells: np.ndarray, chunk: int = 1 << 12) -> pd.DataFrame:
-    """Rows for summed_cells from one task's int64 counts."""
-    parts = [cells[i:i + chunk].astype(np.int64) for i in range(0, len(cells), chunk)]
+    """Rows for summed_cells from one task's counts."""
+    parts = [cells[i:i + chunk].astype(np.uint32) for i in range(0, len(cells), chunk)]
     return pd.DataFrame({"chunk": np.arange(len(parts), dtype=np.int32), "cells": [p.tobytes() for p in parts]})
 
 

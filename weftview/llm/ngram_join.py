@@ -9,12 +9,13 @@ each: their prefixes.
    the counts only keep passages that many documents share out of the prefixes.
 2. *Groups.*  Documents of equal size and prefix form a group, those with equal sets one class
    in it (copies are collapsed here, never paired).
-3. *Group pairs.*  Each prefix shingle lists its groups by size.  First neighbours in a list (and
-   neighbouring classes in a group) are compared, then HEADS times one group for each of a list's
-   components; at last, in lists and groups that still hold more than one component, every pair
-   of groups across components.  A pair within one component can't change the components, so a
-   group of near copies costs work in proportion to its members, and no link between components
-   is lost.  Pairs must pass the size and position filters, then a comparison of the prefixes.
+3. *Group pairs.*  Each prefix shingle lists its groups.  First each group is compared with
+   NEAR[0] others of its size in a list (and neighbouring classes in a group), then with NEAR[1]
+   others of another component, in lists that hold several; at last, in lists and groups that still do,
+   every pair of groups across components is compared.  A pair within one component can't change
+   the components, so a group of near copies costs work in proportion to its members, and no link
+   between components is lost.  Pairs must pass the size and position filters, then a comparison
+   of the prefixes.
 4. *Verify.*  Pairs are expanded to classes and compared on their whole shingle sets.
 
 Null, empty and wordless texts have size 0 and no link; a row without a doc_id is returned and
@@ -37,8 +38,8 @@ from .common import cell_rows, map_columns, saved, small, summed_cells
 from .components import connected_components
 from .shingles import in_chunks, mix, shingle_hashes
 
-CELLS = 1 << 20
-HEADS = 1
+CELLS = 1 << 22
+NEAR = (4, 16)
 _SETS = "doc_id long, n long, set1 long, set2 long, grp1 long, grp2 long, prefix array<long>"
 
 
@@ -46,11 +47,11 @@ def _counted(docs: DataFrame, words: int, cells: int) -> np.ndarray:
     """How often shingles fall in each cell, over all documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(cells, np.int64)
+        total = np.zeros(cells, np.uint32)
         for b in batches:
             for _, data in in_chunks(b["text"]):
                 h, _ = shingle_hashes(data, words)
-                total += np.bincount((h >> np.uint64(44)).astype(np.int64) % cells, minlength=cells)
+                total += np.bincount((h >> np.uint64(40)).astype(np.int64) % cells, minlength=cells).astype(np.uint32)
         yield cell_rows(total)
 
     return summed_cells(docs.select("text").mapInPandas(count, "chunk int, cells binary"))
@@ -59,16 +60,16 @@ def _counted(docs: DataFrame, words: int, cells: int) -> np.ndarray:
 def _levels(cells: np.ndarray) -> np.ndarray:
     """0 for a cell that doesn't stand out of the mean count, then one more for each doubling."""
     if not len(cells):
-        return np.zeros(1, np.uint64)
+        return np.zeros(1, np.uint8)
     mean = cells.mean()
-    over = np.maximum(0, cells - mean) / (8 + 4 * math.sqrt(mean))
-    return np.minimum(15, np.log2(1 + over)).astype(np.uint64)
+    over = np.maximum(0, cells - mean) / (1 + 2 * math.sqrt(mean))
+    return np.minimum(15, np.log2(1 + over)).astype(np.uint8)
 
 
 def _ordered(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """Shingle hashes as sort keys: level in the top 4 bits, 60 bits of the hash below."""
-    at = (h >> np.uint64(44)).astype(np.int64) % len(levels)
-    return np.unique((levels[at] << np.uint64(60)) | (h & np.uint64((1 << 60) - 1)))
+    at = (h >> np.uint64(40)).astype(np.int64) % len(levels)
+    return np.unique((levels[at].astype(np.uint64) << np.uint64(60)) | (h & np.uint64((1 << 60) - 1)))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -93,9 +94,22 @@ def _sets(docs: DataFrame, words: int, percent: int, levels: np.ndarray) -> Data
 
 
 def _fits(n1, at1, n2, at2, percent: int):
-    """Size and position filters: whether sets of n1 <= n2 shingles whose first common one comes
+    """Size and position filters: whether sets of n1 and n2 shingles whose first common one comes
     after at1 and at2 others can be similar enough."""
-    return (n1 * 100 >= n2 * percent) & (F.least(n1 - at1, n2 - at2) * (100 + percent) >= (n1 + n2) * percent)
+    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (F.least(n1 - at1, n2 - at2) * (100 + percent) >= (n1 + n2) * percent)
+
+
+def _neighbours(lists: DataFrame, turn: int, near: int, percent: int) -> DataFrame:
+    """Pairs (gx, gy) of each group with up to `near` others of its size before it in each list
+    (key, g, n, at, lo, hi), in an order that is new each turn and the same in all lists, but no
+    pair of groups within one component (lo to hi)."""
+    order = Window.partitionBy("key").orderBy(F.floor(F.log("n") * 5), F.xxhash64("g", F.lit(turn)), "g")
+    cols = ["g", "n", "at", "lo", "hi"]
+    before = F.array(*(F.lag(F.struct(*cols), k).over(order) for k in range(1, near + 1)))
+    pairs = lists.select(*cols, before.alias("before")).select(*cols, F.explode("before").alias("o")).where("o is not null and o.g <> g")
+    return (pairs.where("not (lo = hi and o.lo = o.hi and lo = o.lo)")
+            .where(_fits(F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at"), percent))
+            .select(F.least("g", "o.g").alias("gx"), F.greatest("g", "o.g").alias("gy")).distinct())
 
 
 def _plausible(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -180,26 +194,21 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, cells
              .select(F.posexplode("prefix").alias("at", "key"), F.col("doc_id").alias("g"), "n"))
 
     by_key = Window.partitionBy("key").orderBy("n", "g")
-    lists = lists.select("key", "g", "n", "at", F.lag("g").over(by_key).alias("g0"), F.lag("n").over(by_key).alias("n0"),
-                         F.lag("at").over(by_key).alias("at0"), F.lead("g").over(by_key).alias("g1"))
-    lists = saved(lists.where("g0 is not null or g1 is not null"))  # a shingle of one group's prefix alone pairs nothing
+    lists = lists.select("key", "g", "n", "at", F.lag("g").over(by_key).alias("g0"), F.lead("g").over(by_key).alias("g1"))
+    # a shingle of one group's prefix alone pairs nothing
+    lists = saved(lists.where("g0 is not null or g1 is not null").drop("g0", "g1"))
     fits = lambda x, y: _fits(*(F.col(c + s) for s in (x, y) for c in ("n", "at")), percent)
 
-    # neighbours in each list and in each group
-    near = lists.where("g0 <> g").where(fits("0", "")).select(F.col("g0").alias("gx"), F.col("g").alias("gy")).distinct()
-    near = _plausible(sets, near, percent).select(F.col("gx").alias("a"), F.col("gy").alias("b"))
+    # neighbours in each list and in each group, then more of them where a list has several components
     inner = (classes.select(F.lag("c").over(Window.partitionBy("g").orderBy("c")).alias("a"), F.col("c").alias("b"))
              .where("a is not null"))
-    links = _verified(docs, near.union(inner).distinct(), words, percent)
-
-    # one group for each component of a list, by a new dice throw each round
-    for turn in range(HEADS):
+    alone = lists.withColumns({"lo": F.col("g"), "hi": F.col("g")})
+    near = _plausible(sets, _neighbours(alone, 0, NEAR[0], percent), percent)
+    links = _verified(docs, near.toDF("a", "b").union(inner).distinct(), words, percent)
+    for turn in range(1, len(NEAR)):
         member, _, _ = _mixed(lists, classes, links)
-        heads = member.groupBy("key", "lo").agg(F.min(F.struct(F.xxhash64("g", F.lit(turn)), "g", "n", "at")).alias("s")).select("key", "s.*")
-        heads = heads.select("g", "n", "at", *(F.lag(c).over(by_key).alias(c + "0") for c in ("g", "n", "at")))
-        near = heads.where("g0 is not null").where(fits("0", "")).select(F.col("g0").alias("gx"), F.col("g").alias("gy")).distinct()
-        near = _plausible(sets, near, percent).select(F.col("gx").alias("a"), F.col("gy").alias("b"))
-        links = saved(links.union(_verified(docs, near, words, percent)).distinct())
+        near = _plausible(sets, _neighbours(member, turn, NEAR[turn], percent), percent)
+        links = saved(links.union(_verified(docs, near.toDF("a", "b"), words, percent)).distinct())
 
     # the rest: every pair across components
     member, of, spans = _mixed(lists, classes, links)
