@@ -93,12 +93,17 @@ def _encoded(text: str | None) -> bytes:
 
 
 def _cut(width: int, step: int):
+    """Pieces as rows; place: start, length and core in one number."""
+    if width + step > 4096:
+        raise ValueError("width and step are over 4096 bytes together")
+
     def each(batches: Iterator[dict]) -> Iterator[dict]:
-        names = ("key", "whole", "start", "length", "core")
+        names = ("key", "whole", "place")
         for b in batches:
             rows, out, size = [], [], 0
             for row, text in zip(b["row"], b["text"], strict=True):
-                for p in pieces(_encoded(text), width, step):
+                for key, whole, start, length, core in pieces(_encoded(text), width, step):
+                    p = key, whole, start << 24 | length << 12 | core
                     rows.append(np.full(len(p[0]), row, np.int64))
                     out.append(p)
                     size += len(p[0])
@@ -189,9 +194,9 @@ def _fetched(width: int):
         for b in batches:
             for row, text, wanted in zip(b["row"], b["text"], b["wanted"], strict=True):
                 data = _encoded(text)
-                yield {"key": [w["key"] for w in wanted], "row": [row] * len(wanted), "start": [w["start"] for w in wanted],
-                       "core": [w["core"] for w in wanted], "n": [w["n"] for w in wanted],
-                       "bytes": [data[w["start"]:w["start"] + w["length"]] for w in wanted]}
+                at = [(w["place"] >> 24, w["place"] >> 12 & 4095, w["place"] & 4095) for w in wanted]
+                yield {"key": [w["key"] for w in wanted], "row": [row] * len(wanted), "start": [a for a, _, _ in at], "core": [c for _, _, c in at],
+                       "n": [w["n"] for w in wanted], "bytes": [data[a:a + n] for a, n, _ in at]}
 
     return each
 
@@ -225,17 +230,18 @@ def _recut(width: int, step: int, fine: int):
 def repeated_spans(docs: DataFrame, width: int = WIDTH, step: int = STEP, hot: int = HOT, fine: int = RECUT) -> DataFrame:
     """Rows (row, start, end): byte spans that repeated windows cover, by the row's identity."""
     docs = docs.select(_identity().alias("row"), "text")
-    rows = saved(map_columns(docs, _cut(width, step), "row long, key long, whole long, start long, length int, core int"))
-    kinds = rows.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "length", "core")).alias("one"))
+    rows = saved(map_columns(docs, _cut(width, step), "row long, key long, whole long, place long"))
+    kinds = rows.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one"))
     keys = (kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("rows"), F.min("n").alias("least")).where("rows > 1"))
     kept = saved(kinds.join(keys, "key").select("key", "whole", "n", "one", F.expr("kinds > 1 and least = 1").alias("open"), "kinds"))
 
     alike = kept.where("n > 1").select("key", "whole")
-    spans = rows.join(alike, ["key", "whole"]).select("row", "start", (F.col("start") + F.col("length")).alias("end"))
+    spans = rows.join(alike, ["key", "whole"]).select("row", F.shiftright("place", 24).alias("start"), F.shiftright("place", 12).bitwiseAND(4095).alias("length"))
+    spans = spans.select("row", "start", (F.col("start") + F.col("length")).alias("end"))
 
-    wanted = kept.where("open").select(F.col("one.row").alias("row"), F.struct("key", "one.start", "one.length", "one.core", "n").alias("w"))
-    wanted = wanted.groupBy("row").agg(F.collect_list("w").alias("wanted"))  # at most a document's own pieces
-    texts = docs.join(wanted, "row").dropDuplicates(["row"])
+    wanted = kept.where("open").select(F.col("one.row").alias("row"), F.struct("key", "one.place", "n").alias("w"))
+    wanted = saved(wanted.groupBy("row").agg(F.collect_list("w").alias("wanted")))  # at most a document's own pieces
+    texts = docs.join(small(wanted.select("row")), "row", "left_semi").join(wanted, "row").dropDuplicates(["row"])
     piece = "key long, row long, start long, core int, n long, bytes binary"
     data = saved(map_columns(texts, _fetched(width), piece))
     many = small(saved(kept.where("open").where(F.col("kinds") > hot).select("key").distinct()))
