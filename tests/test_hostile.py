@@ -66,3 +66,9 @@ def test_no_dangling_marks(spark):
 def test_raw_title_is_looked_up_in_the_whole_page(spark):
     rows = {r.view_id: r.content for r in page_views(pages_df(spark, ["<header><title>T</title></header><p>x</p>"])).collect()}
     assert rows["raw"].startswith("# T\n") and rows["clean"].startswith("Title: No Title\n")
+
+
+def test_character_references(spark):
+    got = views(spark, "&#8217; &#xe9; &eacute; &amp;lt; &nope; &#0; &#x110000; &#xD800; &#65 a&b &copy;",
+                "<a href='/x?a=1&amp;b=&#50;'>q</a>")
+    assert [r for r, _ in got] == ["’ é é &lt; &nope; � � � A a&b ©", "[q](/x?a=1&b=2)"]

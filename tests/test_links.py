@@ -1,7 +1,6 @@
 """Links and URLs."""
 
 import itertools
-import re
 from urllib.parse import urljoin
 
 from pyspark.sql import functions as F
@@ -10,18 +9,6 @@ from weftview.functions.urls import default_scheme, link_class, resolve_url
 from weftview.operators.links import extract_links, highlight, link_ring
 
 
-def py_links(content):
-    out = []
-    for m in re.finditer(r"\[([^\]]+)\]\(([^)]+)\)", content):
-        text, url = m.group(1).strip(), m.group(2).strip()
-        if url.startswith("<") and url.endswith(">"):
-            url = url[1:-1]
-        if not url or url.startswith("#") or "vote?" in url or url.startswith("from?site="):
-            continue
-        out.append((text, url, m.start(), m.end()))
-    return out
-
-
 DOCS = [
     "Go [home](https://a.com) or [root](/r) [frag](#x) [v](vote?id=1) [s](from?site=z) [w](< https://w.org >)",
     "[](empty) [t]() [a] (b) [nested [x]](y) [two](u1)[lines\nhere](u2) ünï [ćode](/ü)",
@@ -31,13 +18,30 @@ DOCS = [
 ]
 
 
+def _numbered_span(i):
+    """Where link i of the last document stands (a space follows each link)."""
+    width = lambda k: 7 + 2 * len(str(k))  # noqa: E731 - "[l" "](/p" ")" and both numbers
+    start = sum(width(k) + 1 for k in range(i))
+    return start, start + width(i)
+
+
+# (text, target, start, end) of the links to be found, by document
+LINKS = [
+    [("home", "https://a.com", 3, 24), ("root", "/r", 28, 38), ("w", " https://w.org ", 82, 104)],
+    [("two", "u1", 40, 49), ("lines\nhere", "u2", 49, 65), ("ćode", "/ü", 70, 80)],
+    [("spaced text", "/p", 0, 25)],
+    [],
+    [(f"l{i}", f"/p{i}", *_numbered_span(i)) for i in range(1000)],
+]
+
+
 def test_extraction_matches_python(spark):
     df = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, md string")
     got = {}
     for r in extract_links(df, "doc_id", "md").orderBy("doc_id", "link_idx").collect():
         got.setdefault(r.doc_id, []).append((r.text, r.target, r.start_pos, r.end_pos))
     for i, d in enumerate(DOCS):
-        assert got.get(i, []) == py_links(d), i
+        assert got.get(i, []) == LINKS[i], i
     assert len(got[4]) == 1000
 
 

@@ -60,20 +60,6 @@ def test_dedup_last_n_and_current_page(spark):
     assert cur == ["a", "a", "b", "b", "b", "a"]  # a failed load keeps the current page
 
 
-def py_lines(chunks):
-    buf, out = "", []
-    for c in chunks:
-        if not c:
-            continue
-        buf += c
-        while "\n" in buf:
-            line, buf = buf.split("\n", 1)
-            out.append(line + "\n")
-    if buf:
-        out.append(buf)
-    return out
-
-
 CHUNKS = {
     1: ["Hel", "lo\nWor", "ld\n", "", None, "tail"],
     2: ["a\n\nb", "\n"],
@@ -87,11 +73,20 @@ def chunk_df(spark):
     return spark.createDataFrame(rows, "conv_id long, seq long, chunk string")
 
 
-def test_lines_match_python_rebuffer(spark):
+LINES = {
+    1: ["Hello\n", "World\n", "tail"],
+    2: ["a\n", "\n", "b\n"],
+    3: ["no newline at all"],
+    4: ["\n", "\n", "\n"],
+}
+
+
+def test_lines_of_split_chunks(spark):
     got = {}
     for r in C.response_lines(chunk_df(spark), ["conv_id"]).orderBy("conv_id", "line_no").collect():
         got.setdefault(r.conv_id, []).append(r.line)
-    assert got == {k: py_lines(v) for k, v in CHUNKS.items()}
+    assert got == LINES
+    assert all("".join(got[k]) == "".join(c or "" for c in v) for k, v in CHUNKS.items())
 
 
 def test_snapshots_every_third_and_last(spark):
@@ -133,3 +128,26 @@ def test_hot_session_is_split_and_still_exact(spark):
             want.setdefault(s, []).append(url)
         prev[s] = url
     assert got == want
+
+
+def test_buckets_are_exact_whatever_spark_reuses(spark):
+    """A session with a third of all events, an extra column kept, exchange reuse and AQE off."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    ev = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 97).alias("session_id"),
+        F.timestamp_seconds(F.col("id") * 37 % 50_000).alias("ts"), F.col("id").alias("seq"), F.lit("visit").alias("op"),
+        F.concat(F.lit("u"), F.xxhash64("id") % 3).alias("url"), (F.col("id") % 5 > 0).alias("ok"), F.col("id").alias("extra"))
+    w = Window.partitionBy("session_id").orderBy("ts", "seq")
+    want = ev.withColumn("p", F.lag("url").over(w)).where("not url <=> p").select("seq", "extra")
+    conf = {"spark.sql.exchange.reuse": "false", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k, "true") for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = N.visits_deduped(ev).select("seq", "extra")
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -1,12 +1,15 @@
 """Streaming forms equal the batch results (K1-K4)."""
 
+import datetime as dt
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
 from conftest import SF
 from weftview.operators import chunks as C
 from weftview.operators import navigation as N
+from weftview.plans.batch import page_views
 from weftview.streaming import jobs as J
 
 
@@ -19,15 +22,47 @@ def test_page_views_stream_equals_batch(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
     pages.repartition(3).write.mode("overwrite").parquet(src)
     out, ckpt = _scratch(), _scratch()
-    q = J.stream_page_views(spark, src, out, ckpt)
+    q = J.stream_page_views(spark, src, out, ckpt, files_per_batch=2)
     q.awaitTermination(300)
     streamed = spark.read.parquet(f"{out}/views")
-    batch = J.raw_view_batch(pages)
-    assert streamed.count() == pages.count()
+    assert streamed.select("epoch").distinct().count() == 2
+    streamed = streamed.select("page_id", "url", "view_id", "content")
+    batch = page_views(pages)
+    assert streamed.count() == 2 * pages.count()
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
     assert spark.read.parquet(f"{out}/links").count() > 0
 
 
+def _run_batches(spark, fn, schema, batches, name, mode):
+    """The rows that `fn` puts out over a stream whose micro-batches are the given lists of rows."""
+    src = _scratch()
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1 if i + 1 < len(batches) else 0)  # files are taken by their time
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (fn(stream).writeStream.format("memory").queryName(name).outputMode(mode)
+         .option("checkpointLocation", _scratch()).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    return [tuple(r) for r in spark.sql(f"SELECT * FROM {name}").collect()]
+
+
+def test_lines_carry_over_batches(spark):
+    got = _run_batches(spark, J.response_lines_stream, J.CHUNK_SCHEMA,
+                       [[(1, 0, "Hel", False), (2, 0, "a\n\nb", False)], [(1, 1, "lo\nWor", False), (2, 1, None, True)], [(1, 2, "ld", True)]],
+                       "lines_over_batches", "append")
+    assert sorted(got) == [(1, 0, "Hello\n"), (1, 1, "World"), (2, 0, "a\n"), (2, 1, "\n"), (2, 2, "b")]
+
+
+def test_history_and_tasks_signal_what_is_gone(spark):
+    t = dt.datetime(2024, 1, 1)
+    got = _run_batches(spark, J.history_stream, J.NAV_SCHEMA,
+                       [[(1, t, 0, "visit", "a"), (1, t, 1, "visit", "b")], [(1, t, 2, "back", None)]], "history_over_batches", "update")
+    assert got == [(1, 0, "a"), (1, 1, "b"), (1, 0, "a"), (1, 1, None)]
+    got = _run_batches(spark, J.task_status_stream, J.TASK_SCHEMA,
+                       [[(1, t, 0, "loading", "raw")], [(1, t, 1, "navigate", None), (1, t, 2, "loaded", "summary")]], "tasks_over_batches", "update")
+    assert got == [(1, "raw", "loading"), (1, "raw", None), (1, "summary", "loaded")]
+
+
 def test_lines_stream_equals_batch(spark):
     conv = spark.read.parquet(f"{SF}/conversations.parquet")
     chunks = conv.select("conv_id", F.col("turn").alias("seq"), F.col("text").alias("chunk"))

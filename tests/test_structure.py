@@ -129,7 +129,9 @@ def test_response_decoding(spark):
         ("u1", 200, None, "café".encode("utf-8")),          # no charset: valid UTF-8
         ("u2", 200, "ISO-8859-1", "café".encode("latin-1")),  # suspect charset, not UTF-8
         ("u3", 200, "utf-8", b"caf\xe9"),                    # declared UTF-8, bad byte
-        ("u4", 200, "windows-1252", b"x"),                   # not handled: quarantined
+        ("u4", 200, "windows-1252", b"a\x93b\x94"),          # any other charset: its codec
+        ("u8", 200, "Shift_JIS", "日本".encode("shift_jis") + b"\x81"),  # bad end replaced
+        ("u9", 200, "x-unknown", "café".encode("latin-1")),  # no such codec: as not declared
         ("u5", 404, "utf-8", b"<p>gone</p>"),                # error status
         ("u6", 200, "ascii", None),                          # no body
         ("u7", 200, " UTF-8 ", b""),                         # empty page
@@ -139,7 +141,9 @@ def test_response_decoding(spark):
     assert got["u1"][:2] == (True, "café")
     assert got["u2"][:2] == (True, "café")
     assert got["u3"][:2] == (True, "caf�")
-    assert got["u4"] == (False, None, "unsupported charset windows-1252", "Failed to load u4")
+    assert got["u4"][:2] == (True, "a“b”")
+    assert got["u8"][:2] == (True, "日本�")
+    assert got["u9"][:2] == (True, "café")
     assert got["u5"][:3] == (False, None, "HTTP 404")
     assert got["u6"][:3] == (False, None, "no response")
     assert got["u7"][:3] == (False, None, "empty page")

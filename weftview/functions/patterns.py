@@ -4,6 +4,8 @@ Everything here is a constant, written once and used by both engines so the
 two sides cannot drift apart.
 """
 
+from html.entities import name2codepoint
+
 # --- fixed values: whitespace -------------------------------------------------
 # Python's str.strip() is Unicode aware while Java's and RE2's \s are ASCII only,
 # so the set is spelled out: exactly the characters Python calls whitespace.
@@ -62,17 +64,11 @@ VOID_TAGS = (
     "link", "meta", "param", "source", "track", "wbr",
 )
 
-# --- fixed values: named character references decoded in text and attributes --
-# '&amp;' is decoded last so '&amp;lt;' becomes '&lt;', not '<'.
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-    ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"),
-    ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"),
-    ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
-    ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"),
-    ("&euro;", "€"), ("&amp;", "&"),
-)
+# --- character references decoded in text and attributes ----------------------
+# Numeric ones and the named ones of HTML 4 (with '&apos;'), from the standard
+# library's table; each is decoded once, so '&amp;lt;' becomes '&lt;'.
+ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
+REFERENCE_RE = r"&(?:#[0-9]{1,9};?|#[xX][0-9A-Fa-f]{1,7};?|[A-Za-z][A-Za-z0-9]{1,30};)"
 
 # --- fixed values: content and noise selectors (priority order) ---------------
 CONTENT_SELECTORS = (

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import ENTITIES, TRUNCATION_MARKER, WS, WS_CHARS
+from .patterns import ENTITIES, REFERENCE_RE, TRUNCATION_MARKER, WS, WS_CHARS
 from .sqltext import lit
 
 _TRIM_RE = f"^{WS}+|{WS}+$"
@@ -36,21 +36,43 @@ def collapse_ws_sql(e: str) -> str:
     return f"regexp_replace({e}, {lit(WS + '+')}, ' ', 'g')"
 
 
+def _named_references() -> Column:
+    return F.create_map(*(F.lit(x) for kv in ENTITIES.items() for x in kv))
+
+
+def _referred(ref: Column) -> Column:
+    """The character that ``&#..;``, ``&#x..;`` or ``&name;`` stands for: U+FFFD for a number that
+    is none, the reference itself for an unknown name."""
+    body = F.regexp_replace(ref, "^&|;$", "")
+    number = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10)).otherwise(F.substring(body, 2, 9)).try_cast("long")
+    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    return F.when(body.startswith("#"), char).otherwise(F.coalesce(_named_references()[body], ref))
+
+
 def decode_entities(c: Column) -> Column:
-    """Decode the fixed set of named character references.
+    """Decode character references; strings without ``&`` (most text) are left at once.
 
-    Strings without ``&`` (most text) skip the replacements.
+    Spark has no callback replace, so the text is split around the references,
+    each is looked up, and both are zipped back together.
     """
-    d = c
-    for ent, ch in ENTITIES:
-        d = F.replace(d, F.lit(ent), F.lit(ch))
-    return F.when(F.instr(c, "&") > 0, d).otherwise(c)
+    gaps, refs = F.split(c, REFERENCE_RE, -1), F.regexp_extract_all(c, F.lit(REFERENCE_RE), 0)
+    pieces = F.zip_with(gaps, refs, lambda g, r: F.concat(g, F.when(r.isNull(), "").otherwise(_referred(r))))
+    return F.when(F.instr(c, "&") > 0, F.array_join(pieces, "")).otherwise(c)
 
 
 def decode_entities_sql(e: str) -> str:
-    for ent, ch in ENTITIES:
-        e = f"replace({e}, {lit(ent)}, {lit(ch)})"
-    return e
+    named = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in ENTITIES.items()) + "}"
+    body = "regexp_replace(r, '^&|;$', '', 'g')"
+    number = (f"CASE WHEN regexp_matches({body}, '^#[xX]') THEN try_cast('0x' || substr({body}, 3) AS BIGINT) "
+              f"ELSE try_cast(substr({body}, 2) AS BIGINT) END")
+    char = (f"chr(CASE WHEN ({number}) BETWEEN 1 AND 1114111 AND NOT ({number}) BETWEEN 55296 AND 57343 "
+            f"THEN ({number})::INTEGER ELSE 65533 END)")
+    one = f"CASE WHEN starts_with({body}, '#') THEN {char} ELSE coalesce({named}[{body}], r) END"
+    refs = f"list_transform(regexp_extract_all({e}, {lit(REFERENCE_RE)}, 0), lambda r: {one})"
+    gaps = f"regexp_split_to_array({e}, {lit(REFERENCE_RE)})"
+    return (f"(CASE WHEN contains({e}, '&') THEN array_to_string(list_transform(list_zip({gaps}, {refs}), "
+            f"lambda z: z[1] || coalesce(z[2], '')), '') ELSE {e} END)")
 
 
 def truncate(c: Column, max_chars) -> Column:

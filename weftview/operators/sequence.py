@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def range_buckets(df: DataFrame, keys: list[str], order: list[str], n: int | None = None,
                   out: str = "_b") -> DataFrame:
@@ -27,13 +29,17 @@ def range_buckets(df: DataFrame, keys: list[str], order: list[str], n: int | Non
     contiguous run of the key's rows.  The count is fixed (a repartition by
     number is not coalesced by AQE): ``max(2 x defaultParallelism,
     spark.sql.shuffle.partitions)`` unless given.
+
+    Spark samples the bounds anew for each exchange, so the rows are written
+    with their bucket once: whatever reads them (rows and per-bucket carries)
+    sees the same buckets, and the rows are range-partitioned once.
     """
     if n is None:
         spark = df.sparkSession
         n = max(2 * spark.sparkContext.defaultParallelism,
                 int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     cols = [F.col(c) for c in [*keys, *order]]
-    return df.repartitionByRange(n, *cols).withColumn(out, F.spark_partition_id().cast("long"))
+    return written(df.repartitionByRange(n, *cols).withColumn(out, F.spark_partition_id().cast("long")))
 
 
 def _ordkey(order: list[str]) -> Column:

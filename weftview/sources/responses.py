@@ -4,9 +4,10 @@
 missing body is a failed load.  The declared charset is kept unless it is
 missing, ASCII or ISO-8859-1 (values servers often send by default); then the
 bytes are checked: valid UTF-8 is read as UTF-8, anything else as ISO-8859-1.
-A declared UTF-8 body with bad sequences gets U+FFFD replacements.  Other
-declared charsets are quarantined with a reason rather than failing the job
-(Spark's ``decode`` raises on malformed input).
+A declared UTF-8 body with bad sequences gets U+FFFD replacements.  Any other
+declared charset is decoded by Python's codecs in Arrow batches, bad sequences
+replaced; only those rows' bodies go there.  A charset that no codec knows counts as
+not declared.
 """
 
 from __future__ import annotations
@@ -23,24 +24,33 @@ def _charset(c: Column) -> Column:
     return F.upper(F.trim(F.coalesce(c, F.lit(""))))
 
 
+def _by_codec(body: bytes | None, charset: str | None) -> str | None:
+    """The body read by a named codec, bad sequences replaced; None for an unknown name."""
+    if body is None:
+        return None
+    try:
+        return bytes(body).decode(charset or "", "replace")
+    except (LookupError, ValueError):
+        return None
+
+
 def decode_body(body: Column, charset: Column) -> Column:
-    """A2: the body as text, or NULL when its declared charset is not handled."""
+    """A2: the body as text."""
     cs = _charset(charset)
     as_text = body.cast("string")
     detected = F.when(F.is_valid_utf8(as_text), as_text).otherwise(F.decode(body, "ISO-8859-1"))
+    other = ~cs.isin(*SUSPECT_CHARSETS, *UTF8_NAMES)
+    decoded = F.udf(_by_codec, "string", useArrow=True)(F.when(other, body), F.when(other, cs))
     return (F.when(body.isNull(), F.lit(None).cast("string"))
-            .when(cs.isin(*SUSPECT_CHARSETS), detected)
-            .when(cs.isin(*UTF8_NAMES), F.make_valid_utf8(as_text)))
+            .when(cs.isin(*UTF8_NAMES), F.make_valid_utf8(as_text))
+            .when(other, F.coalesce(decoded, detected)).otherwise(detected))
 
 
 def load_pages(responses: DataFrame) -> DataFrame:
     """A1/A3: add ``html`` (NULL on failure), ``ok`` and ``reason``/``message`` for rejects."""
     html = decode_body(F.col("body"), F.col("charset"))
-    cs = _charset(F.col("charset"))
     reason = (F.when(F.col("status") >= 400, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
               .when(F.col("body").isNull(), F.lit("no response"))
-              .when(~cs.isin(*SUSPECT_CHARSETS, *UTF8_NAMES),
-                    F.concat(F.lit("unsupported charset "), F.coalesce("charset", F.lit(""))))
               .when(html == "", F.lit("empty page")))
     out = responses.withColumn("reason", reason)
     ok = F.col("reason").isNull()

@@ -2,7 +2,7 @@
 
 * K1/K3 ``stream_page_views``: pages arrive as files; each micro-batch runs the
   batch page pipeline (a page is complete in one row, so a micro-batch is
-  exact) through ``foreachBatch`` and appends views and links to parquet sinks.
+  exact) through ``foreachBatch`` and writes views and links by epoch.
 * K2 ``response_lines_stream``: chunks arrive in order per response; keyed
   state holds the unterminated line; an ``is_last`` chunk flushes it.
 * K4 ``history_stream``: navigation events per session; keyed state holds the
@@ -17,6 +17,7 @@ key's history.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,6 +27,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.aggs import ordered_join
 from ..functions.patterns import HISTORY_CAP
+from ..operators.chunks import LINE_PIECE_RE
 from ..operators.content import page_structure, page_title_agg
 from ..operators.links import extract_links
 from ..operators.markdown import (
@@ -57,22 +59,30 @@ def raw_view_batch(pages: DataFrame) -> DataFrame:
 
 
 def stream_page_views(spark, source_dir: str, sink_dir: str, checkpoint_dir: str | None = None,
-                      available_now: bool = True):
-    """K1/K3: raw views and their links for pages as they arrive (parquet files).
+                      available_now: bool = True, files_per_batch: int | None = None):
+    """K1/K3: raw and clean views and the raw views' links for pages as they arrive (parquet files).
 
-    The query's checkpoint defaults to a folder under the session's
-    ``spark.checkpoint.dir`` (the cluster's shared folder).
+    Each micro-batch overwrites its own ``epoch=<n>`` folder of the ``views`` and
+    ``links`` tables, so that a batch that Spark runs again repeats nothing; links
+    are taken from the written views.  The query's checkpoint defaults to a folder
+    under the session's ``spark.checkpoint.dir`` (the cluster's shared folder).
     """
+    from ..plans.batch import page_views
+
     if checkpoint_dir is None:
         from ..session import checkpoint_dir as shared_dir
         checkpoint_dir = f"{shared_dir(spark).rstrip('/')}/stream-page-views"
-    src = spark.readStream.schema(PAGE_SCHEMA).parquet(source_dir)
+    reader = spark.readStream.schema(PAGE_SCHEMA)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    src = reader.parquet(source_dir)
 
     def each(batch: DataFrame, epoch: int) -> None:
-        views = raw_view_batch(batch)
-        views.write.mode("append").parquet(f"{sink_dir}/views")
-        links = extract_links(views, ["page_id", "url"], "markdown")
-        links.write.mode("append").parquet(f"{sink_dir}/links")
+        views = f"{sink_dir}/views/epoch={epoch}"
+        page_views(batch).write.mode("overwrite").parquet(views)
+        raw = batch.sparkSession.read.parquet(views).where("view_id = 'raw'")
+        links = extract_links(raw.select("page_id", "url", "content"), ["page_id", "url"], "content")
+        links.write.mode("overwrite").parquet(f"{sink_dir}/links/epoch={epoch}")
 
     w = src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w
@@ -80,39 +90,31 @@ def stream_page_views(spark, source_dir: str, sink_dir: str, checkpoint_dir: str
 
 
 LINE_OUT = "conv_id long, line_no long, line string"
-LINE_STATE = "partial string, next_line long"
+LINE_STATE = "open_line string, line_no long"
 
 
 def _lines_state(key, pdfs: Iterator[pd.DataFrame], state):
-    conv_id = key[0]
-    partial, next_line = state.get if state.exists else ("", 0)
-    rows_seq, rows_chunk, rows_last = [], [], []
-    for pdf in pdfs:
-        rows_seq.extend(pdf["seq"].tolist())
-        rows_chunk.extend(pdf["chunk"].tolist())
-        rows_last.extend(pdf["is_last"].tolist())
-    out = []
-    for _, chunk, last in sorted(zip(rows_seq, rows_chunk, rows_last), key=lambda r: r[0]):
-        if chunk:
-            partial += chunk
-            while "\n" in partial:
-                line, partial = partial.split("\n", 1)
-                out.append((conv_id, next_line, line + "\n"))
-                next_line += 1
-        if last and partial:
-            out.append((conv_id, next_line, partial))
-            next_line += 1
-            partial = ""
-    state.update((partial, next_line))
-    yield pd.DataFrame(out, columns=["conv_id", "line_no", "line"]).astype(
-        {"conv_id": "int64", "line_no": "int64"})
+    """Cut what a response has gained into pieces (``LINE_PIECE_RE``, as the batch form does); only
+    the last piece can be open, and it waits in the state unless the response has ended."""
+    open_line, first = state.get if state.exists else ("", 0)
+    new = pd.concat(list(pdfs)).sort_values("seq")
+    ended = bool(new["is_last"].any())
+    pieces = re.findall(LINE_PIECE_RE, open_line + "".join(new["chunk"].dropna()))
+    waits = pieces.pop() if pieces and not ended and not pieces[-1].endswith("\n") else ""
+    if ended:
+        state.remove()
+    else:
+        state.update((waits, first + len(pieces)))
+    yield pd.DataFrame({"conv_id": pd.Series([key[0]] * len(pieces), dtype="int64"),
+                        "line_no": pd.Series(range(first, first + len(pieces)), dtype="int64"), "line": pieces})
 
 
 def response_lines_stream(chunks: DataFrame) -> DataFrame:
     """K2 on a stream: whole lines as they complete; the remainder on ``is_last``.
 
     Chunks of one response must arrive in ``seq`` order across micro-batches
-    (within a batch they are sorted); state is the partial line only.
+    (within a batch they are sorted); state is the open line only, and it is
+    gone once the response has ended.
     """
     return chunks.groupBy("conv_id").applyInPandasWithState(
         _lines_state, LINE_OUT, LINE_STATE, "append", GroupStateTimeout.NoTimeout)
@@ -136,14 +138,17 @@ def _history_state(cap: int):
                 stack.append(url)
                 if len(stack) > cap:
                     del stack[0]
+        was = len(state.get[0]) if state.exists else 0
         state.update((stack,))
-        yield pd.DataFrame({"session_id": [session] * len(stack), "pos": list(range(len(stack))),
-                            "url": stack}).astype({"session_id": "int64", "pos": "int64"})
+        urls = stack + [None] * (was - len(stack))  # NULL: the position is gone
+        yield pd.DataFrame({"session_id": pd.Series([session] * len(urls), dtype="int64"),
+                            "pos": pd.Series(range(len(urls)), dtype="int64"), "url": pd.Series(urls, dtype="object")})
     return fn
 
 
 def history_stream(events: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:
-    """K4 on a stream: the session's history after each micro-batch (update mode)."""
+    """K4 on a stream: the session's history after each micro-batch (update mode); a
+    position that is no longer there comes once more with a NULL url."""
     return events.groupBy("session_id").applyInPandasWithState(
         _history_state(cap), HIST_OUT, HIST_STATE, "update", GroupStateTimeout.NoTimeout)
 
@@ -157,6 +162,7 @@ def _task_state_fn(key, pdfs: Iterator[pd.DataFrame], state):
     """K5: per session, the last task event per view since the last navigate."""
     session = key[0]
     last = dict(state.get[0]) if state.exists and state.get[0] is not None else {}
+    was = set(last)
     parts = [p for p in pdfs]
     if parts:
         pdf = pd.concat(parts).sort_values(["ts", "seq"])
@@ -166,16 +172,17 @@ def _task_state_fn(key, pdfs: Iterator[pd.DataFrame], state):
             else:
                 last[view] = event
     state.update((last,))
-    views = sorted(last)
-    yield pd.DataFrame({"session_id": [session] * len(views), "view_id": views,
-                        "status": ["loading" if last[v] == "loading" else "loaded" for v in views]}
-                       ).astype({"session_id": "int64"})
+    label = {v: "loading" if e == "loading" else "loaded" for v, e in last.items()}
+    views = sorted(was | set(last))  # a view that the navigate took away comes with a NULL status
+    yield pd.DataFrame({"session_id": pd.Series([session] * len(views), dtype="int64"), "view_id": pd.Series(views, dtype="object"),
+                        "status": pd.Series([label.get(v) for v in views], dtype="object")})
 
 
 def task_status_stream(events: DataFrame) -> DataFrame:
     """K5 on a stream: a session's view states after each micro-batch (update mode).
 
-    ``error`` counts as loaded; a ``navigate`` resets the session.  State is one
+    ``error`` counts as loaded; a ``navigate`` resets the session, and views that it takes away
+    come once more with a NULL status.  State is one
     small map per session (at most one entry per view).
     """
     return events.groupBy("session_id").applyInPandasWithState(
