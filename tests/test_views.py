@@ -69,6 +69,7 @@ def _make_client(model):
         yield ""
         yield "two"
         if "boom" in prompt:
+            yield " three\nfour"
             raise RuntimeError("stream died")
     return complete
 
@@ -84,7 +85,8 @@ def test_completion_chunks_errors_and_fallback(spark):
         by.setdefault(r.page_id, []).append(r)
     assert [r.chunk for r in by[1]] == ["one ", "two"]
     assert by[2][0].error_kind == "auth" and "openai" in by[2][0].chunk
-    assert [r.error_kind for r in by[3]] == [None, None, "runtime"]
+    assert [r.chunk for r in by[3]][:-1] == ["one ", "two", " three\n"]  # the open line is lost
+    assert [r.error_kind for r in by[3]] == [None, None, None, "runtime"]
     assert by[3][-1].chunk == "## ❌ Error\n\nstream died"
     assert by[4][0].model == "fallback" and by[4][0].chunk == "one "
 

@@ -30,6 +30,14 @@ class CompletionAuthError(Exception):
     """Raised by a completion function when the provider rejects the credentials."""
 
 
+def _whole_lines(chunks: list[str]) -> list[str]:
+    """The chunks without what follows their last newline."""
+    for i in range(len(chunks) - 1, -1, -1):
+        if "\n" in chunks[i]:
+            return [*chunks[:i], chunks[i][:chunks[i].rindex("\n") + 1]]
+    return []
+
+
 def _run(make_client: Callable[[str], Callable[[str], Iterable[str]] | None], default_model: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         clients: dict[str, Callable | None] = {}
@@ -46,36 +54,40 @@ def _run(make_client: Callable[[str], Callable[[str], Iterable[str]] | None], de
             return c, model
 
         for pdf in batches:
-            rows = []
             for page_id, view_id, model, prompt in zip(pdf["page_id"], pdf["view_id"],
                                                         pdf["model"], pdf["prompt"]):
                 complete, used = client_for(model)
-                seq = 0
+                chunks, kind, error = [], None, None
                 if complete is None:
-                    rows.append((page_id, view_id, used, seq, None, "unavailable", "no client"))
-                    continue
-                try:
-                    for chunk in complete(prompt):
-                        if chunk:
-                            rows.append((page_id, view_id, used, seq, chunk, None, None))
-                            seq += 1
-                except CompletionAuthError as e:
-                    rows.append((page_id, view_id, used, seq, None, "auth", str(e)))
-                except RuntimeError as e:
-                    rows.append((page_id, view_id, used, seq, None, "runtime", str(e)))
-                except Exception as e:  # noqa: BLE001 - classified as unexpected
-                    rows.append((page_id, view_id, used, seq, None, "unexpected", str(e)))
-            yield pd.DataFrame(rows, columns=["page_id", "view_id", "model", "seq", "chunk",
-                                              "error_kind", "error"]).astype(
-                {"page_id": "int64", "seq": "int64"})
+                    kind, error = "unavailable", "no client"
+                else:
+                    try:
+                        for chunk in complete(prompt):
+                            if chunk:
+                                chunks.append(chunk)
+                    except CompletionAuthError as e:
+                        kind, error = "auth", str(e)
+                    except RuntimeError as e:
+                        kind, error = "runtime", str(e)
+                    except Exception as e:  # noqa: BLE001 - classified as unexpected
+                        kind, error = "unexpected", str(e)
+                if kind:  # the line that was open is lost, and the error stands for itself
+                    chunks = _whole_lines(chunks) + [None]
+                n = len(chunks)
+                yield pd.DataFrame({
+                    "page_id": pd.Series([page_id] * n, dtype="int64"), "view_id": [view_id] * n, "model": [used] * n,
+                    "seq": pd.Series(range(n), dtype="int64"), "chunk": pd.Series(chunks, dtype="object"),
+                    "error_kind": pd.Series([None] * (n - 1) + [kind] if n else [], dtype="object"),
+                    "error": pd.Series([None] * (n - 1) + [error] if n else [], dtype="object")})
     return run
 
 
 def complete_requests(requests: DataFrame, make_client, default_model: str = DEFAULT_MODEL) -> DataFrame:
     """L1: ``requests(page_id, view_id, model, prompt)`` -> chunk rows (``CHUNK_SCHEMA``).
 
-    Error rows carry their display text in ``chunk`` (L2), so downstream line
-    building and snapshots treat them like the last piece of the response.
+    Error rows carry their display text in ``chunk`` (L2) as the last piece of the
+    response; the line that was open before an error is dropped (N11).  A request's
+    rows leave the task as soon as it has ended.
     """
     out = requests.select("page_id", "view_id", "model", "prompt").mapInPandas(
         _run(make_client, default_model), CHUNK_SCHEMA)

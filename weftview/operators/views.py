@@ -1,7 +1,6 @@
 """View catalogue and task fan-out.
 
-The catalogue is configuration: a handful of rows (checked against
-``MAX_VIEWS``), validated as a DataFrame and then carried as a literal array
+The catalogue is configuration: a handful of rows, validated as a DataFrame and then carried as a literal array
 inside the page-side expressions, so fanning pages out over views needs no
 join; its size is bounded by the config, not by the data.
 """
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.patterns import DEFAULT_MAX_TOKENS, DEFAULT_MODEL, DEFAULT_TEMPERATURE
+from ..functions.text import trim_ws
 
 RAW_VIEW_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("name", T.StringType()),
@@ -79,7 +79,7 @@ def views_ready(spark: SparkSession, rows=None) -> DataFrame:
 def task_model(view_model: Column, session_override: str | None = None,
                default_model: str = DEFAULT_MODEL) -> Column:
     """Session override > the view's own model (trimmed, non-blank) > default."""
-    m = F.trim(view_model)
+    m = trim_ws(view_model)
     chosen = F.coalesce(F.when(m != "", m), F.lit(default_model))
     return F.lit(session_override) if session_override else chosen
 
@@ -124,7 +124,7 @@ def status_label(status: Column, name: Column) -> Column:
 def normalize_view_id(raw_id: Column) -> Column:
     """Strip the tab prefix the UI adds to view ids."""
     return F.when(raw_id.startswith(VIEW_ID_PREFIX),
-                  F.substring(raw_id, len(VIEW_ID_PREFIX) + 1, 1 << 30)).otherwise(raw_id)
+                  F.substr(raw_id, F.lit(len(VIEW_ID_PREFIX) + 1))).otherwise(raw_id)
 
 
 def error_content(kind: Column, model: Column, error: Column) -> Column:
@@ -137,23 +137,17 @@ def error_content(kind: Column, model: Column, error: Column) -> Column:
             .otherwise(F.concat(F.lit("## ❌ Unexpected Error\n\n"), error)))
 
 
-# A catalogue is configuration; more views than this means it is not one.
-MAX_VIEWS = 256
-
-
 _DEFAULT_SPECS: list = []
 
 
 def view_specs(spark: SparkSession, rows=None) -> list:
-    """The validated, enabled catalogue as driver-side rows (config-sized, checked).
+    """The validated, enabled catalogue as driver-side rows (configuration).
 
     The default catalogue is fixed, so its validation runs once per process.
     """
     if rows is None and _DEFAULT_SPECS:
         return list(_DEFAULT_SPECS)
     specs = views_ready(spark, rows).orderBy("order", "input_pos").collect()
-    if len(specs) > MAX_VIEWS:
-        raise ValueError(f"view catalogue has {len(specs)} views; at most {MAX_VIEWS} supported")
     if rows is None:
         _DEFAULT_SPECS[:] = specs
     return specs
@@ -185,8 +179,8 @@ def settings_overlay(base: DataFrame, override: DataFrame, keys: list[str] | Non
 
 def views_overlay(default_views: DataFrame, override_views: DataFrame) -> DataFrame:
     """A non-empty override view list replaces the defaults entirely."""
-    has_override = override_views.limit(1).count() > 0
-    return override_views if has_override else default_views
+    some = override_views.limit(1).select(F.lit(True).alias("_some"))
+    return override_views.unionByName(default_views.join(some, F.lit(True), "left_anti"))
 
 
 def focus_links(links: DataFrame, focus: DataFrame, keys: list[str]) -> DataFrame:

@@ -50,8 +50,8 @@ def link_class_q(spark, d):
     return r.select("page_id", "link_idx", "resolved", link_class(F.col("resolved")).alias("link_class"))
 
 
-FOUND_MSG = "Found {} links. Use Tab/Shift+Tab to navigate, Enter to open."
-NONE_MSG = "No navigable links found on this page."
+FOUND_MSG = "links on this page: {}"
+NONE_MSG = "this page has no links to follow"
 
 
 def link_counts(spark, d):
