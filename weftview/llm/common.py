@@ -82,10 +82,12 @@ _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary"
 def map_columns(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """`fn` over Arrow batches: it gets dicts of Python lists (null is None, integers stay exact)
     and yields dicts of lists or arrays with the columns of `schema` ("name type, ...")."""
+    rows = 1000  # at a time as Python objects
     fields = pa.schema([(name, _ARROW[kind]) for name, kind in (f.split() for f in schema.split(", "))])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn({c: b.column(c).to_pylist() for c in b.schema.names} for b in batches):
+        parts = (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+        for out in fn({c: p.column(c).to_pylist() for c in p.schema.names} for p in parts):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in fields], schema=fields)
 
     return df.mapInArrow(each, schema)

@@ -29,7 +29,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,7 +45,7 @@ _SETS = "doc_id long, n long, set1 long, set2 long, grp1 long, grp2 long, prefix
 def _counted(docs: DataFrame, words: int, cells: int) -> np.ndarray:
     """How often shingles fall in each cell, over all documents."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[dict]) -> Iterator[dict]:
         total = np.zeros(cells, np.uint32)
         for b in batches:
             for _, data in in_chunks(b["text"]):
@@ -54,7 +53,7 @@ def _counted(docs: DataFrame, words: int, cells: int) -> np.ndarray:
                 total += np.bincount((h >> np.uint64(40)).astype(np.int64) % cells, minlength=cells).astype(np.uint32)
         yield cell_rows(total)
 
-    return summed_cells(docs.select("text").mapInPandas(count, "chunk int, cells binary"))
+    return summed_cells(map_columns(docs.select("text"), count, "chunk int, cells binary"))
 
 
 def _levels(cells: np.ndarray) -> np.ndarray:
@@ -164,16 +163,17 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("keys").alias("x")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("keys").alias("y")), "b"))
 
-    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def similar(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             keep = []
-            for x, y in zip(b["x"], b["y"], strict=True):
+            for i, (x, y) in enumerate(zip(b["x"], b["y"], strict=True)):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 same = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield b.loc[keep, ["a", "b"]]
+                if 100 * same >= percent * (len(x) + len(y) - same):
+                    keep.append(i)
+            yield {c: [b[c][i] for i in keep] for c in ("a", "b")}
 
-    return saved(both.select("a", "b", "x", "y").mapInPandas(similar, "a long, b long"))
+    return saved(map_columns(both.select("a", "b", "x", "y"), similar, "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, cells: int = CELLS) -> DataFrame:

@@ -31,7 +31,7 @@ WIDTH = 4096
 GROUP = 1 << 20
 END_ID = 2
 #: Words whose ids a worker keeps; beyond it the store starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _LETTER = "a-zªµºß-öø-ÿ"

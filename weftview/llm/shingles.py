@@ -75,7 +75,7 @@ def shingle_hashes(data: list[bytes], n: int = 5) -> tuple[np.ndarray, np.ndarra
     return h, np.concatenate([[0], np.cumsum(sizes)])
 
 
-def in_chunks(texts, limit: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def in_chunks(texts, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, encoded texts) of runs of about `limit` bytes; null is empty."""
     part, size, first = [], 0, 0
     for i, t in enumerate(texts):
