@@ -85,11 +85,9 @@ def answer_prompts(prompts: DataFrame, make_client, model: str | None = None,
 
 
 def main(argv: list[str]) -> None:
-    from ..session import local_session
-
     if len(argv) < 2:
         raise SystemExit(__doc__)
-    spark = local_session()
+    spark = SparkSession.builder.appName("weftview-batch").getOrCreate()  # master as submitted
     pages = spark.read.parquet(argv[0]).select("page_id", "url", "html")
     max_chars = int(argv[2]) if len(argv) > 2 else None
     print(write_page_views(spark, pages, argv[1], max_chars))
