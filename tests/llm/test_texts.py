@@ -249,6 +249,17 @@ def test_leak_windows_cover_every_offset(spark):
     assert {d for d, _ in _leaks(spark, docs, [item])} == set(range(12))
 
 
+def test_short_and_slot_dense_items_leak_at_every_offset(spark):
+    items = ["What is the capital of France?", "What gas do plants absorb from the air?", "Who wrote Hamlet?", "Compute 12 + 30 * 4 - 7 / 2 and round.",
+             "A box holds 3 red balls and 5 blue balls, so how many balls are in the box?"]
+    said = [*items[:4], "A box holds 4 red balls and 4 blue balls, so how many balls are in the box?"]
+    docs = [" ".join(["pad"] * k) + f". {s} tail words" for s in said for k in range(6)]
+    got = _leaks(spark, docs, items)
+    assert {(6 * i + k, i) for i in range(5) for k in range(6)} == set(got)
+    docs = ["Compute 13 + 31 * 5 - 8 / 3 and round.", "Compute 13 + 31 * 5 - 13 / 3 and go.", "the box holds 3 red balls"]
+    assert set(_leaks(spark, docs, items)) == {(0, 3)}
+
+
 def test_restoration_of_noisy_words():
     counts = np.zeros(toxicity.SYMBOLS**3, np.int64)
     for w in ["idiot"] * 50 + ["loser"] * 50 + ["stupid"] * 50 + ["book"] * 20 + ["the"] * 99:

@@ -3,15 +3,17 @@
 A text's canonical tokens: numbers, units behind a number and names (capitalised words inside a
 sentence) become typed slots `<num:..>`, `<unit:..>`, `<name:..>` that remember their value; the
 rest is lower-cased and punctuation dropped.  A template is a window of WINDOW tokens with the
-values left out.  All windows of the benchmark items meet the documents' windows laid end to end
-over the whole text, so that any WINDOW * 2 - 1 shared tokens hold one.  A document leaks an item
-if, on one alignment, at least two windows match (one, if the item can't hold two) and the slots
-are consistent: each of the item's values stands for one value in the document and the other way
-round, as in a question with new parameters.
-
-Null and empty texts and items match nothing, as do items under WINDOW tokens and windows with
-fewer than LITERALS plain tokens (they name no question).  Rows without a doc_id or item_id are
-left out; repeated rows count once; extra columns are never read.
+values left out.  The benchmark items' windows meet the documents' windows at every token, so that
+any WINDOW shared tokens are found.  Items look for documents by their windows of at least
+LITERALS plain tokens; an item that has none (it is shorter or mostly slots) by one window, as
+long as the item or WINDOW, and then all its tokens must be there.  The slots must be consistent:
+each of the item's values stands for one value in the document, as in a question with new
+parameters.
+
+Null and empty texts and items match nothing.  Items with fewer than LITERALS plain tokens must
+have their own values in the document, and items of fewer than LITERALS tokens be its whole text
+(they name no question).  Rows without a doc_id or item_id are left out; repeated rows count once;
+extra columns are never read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import saved, small
 
 WINDOW = 6
 LITERALS = 3
@@ -41,45 +43,91 @@ def canonical(text: Column) -> Column:
     return F.concat(F.trim(F.regexp_replace(t, " +|(?<=>)(?=[^ ])|(?<=[^ ])(?=<)", " ")), F.lit(" "))
 
 
-def _template(window: Column) -> Column:
-    """The window without its slots' values."""
-    return F.when(F.instr(window, "<") > 0, F.regexp_replace(window, "<([a-z]+):[^ >]*>", "<$1>")).otherwise(window)
+def _words(text: Column) -> Column:
+    return F.filter(F.split(canonical(text), " "), lambda x: x != "")
 
 
-def _slots(window: Column) -> Column:
-    return F.when(F.instr(window, "<") > 0, F.regexp_extract_all(window, F.lit("<([a-z]+:[^ >]*)>"))).otherwise(F.array().cast("array<string>"))
+def _templates(words: Column) -> Column:
+    """Hashes of the words, slots without their values."""
+    return F.transform(words, lambda x: F.xxhash64(F.when(x.startswith("<"), F.substring_index(x, ":", 1)).otherwise(x)))
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """All windows of the items: item_id, at (first token), tokens (of the item), template, slots."""
-    items = (benchmark.where("item_id is not null").select("item_id", F.split(F.trim(canonical(F.col("text"))), " ").alias("words")).distinct()
-             .where(F.size("words") >= window))
-    at = F.explode(F.sequence(F.lit(0), F.size("words") - window)).alias("at")
-    wins = items.select("item_id", "words", at, F.size("words").alias("tokens"))
-    piece = F.slice("words", F.col("at") + 1, window)
-    wins = wins.select("item_id", "at", "tokens", F.concat(F.array_join(piece, " "), F.lit(" ")).alias("w"),
-                       F.size(F.filter(piece, lambda x: ~x.startswith("<"))).alias("plain"))
-    return wins.where(F.col("plain") >= literals).select("item_id", "at", "tokens", _template(F.col("w")).alias("template"), _slots(F.col("w")).alias("slots"))
+def _keys(hashes: Column, n: int) -> Column:
+    """(at, key) of each `n` successive words."""
+    key = lambda i: F.struct(i.alias("at"), F.xxhash64(*(F.get(hashes, i + j) for j in range(n))).alias("key"))
+    return F.when(F.size(hashes) >= n, F.transform(F.sequence(F.lit(0), F.size(hashes) - n), key)).otherwise(F.array().cast("array<struct<at:int,key:bigint>>"))
+
+
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """Items once each: item (names the row), item_id, words, tokens, plain (how many are no slots), hashes."""
+    items = benchmark.where("item_id is not null").select("item_id", _words(F.col("text")).alias("words")).distinct().where("size(words) > 0")
+    return items.select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words", F.size("words").alias("tokens"),
+                        F.size(F.filter("words", lambda x: ~x.startswith("<"))).alias("plain"), _templates(F.col("words")).alias("hashes"))
+
+
+def benchmark_windows(items: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
+    """Windows (item, tokens, at, n, key, sure) by which items are looked for: all that have `literals`
+    plain tokens; of an item that has none of these the first one with the most (not sure)."""
+    n = F.least(F.col("tokens"), F.lit(window))
+    keys = F.lit(None)
+    for k in range(1, window + 1):
+        keys = F.when(n == k, _keys(F.col("hashes"), k)).otherwise(keys)
+    wins = items.select("item", "words", "tokens", n.alias("n"), F.inline(keys))
+    wins = wins.withColumn("plain", F.size(F.filter(F.slice("words", F.col("at") + 1, F.col("n")), lambda x: ~x.startswith("<"))))
+    best = wins.groupBy("item").agg(F.max(F.struct("plain", -F.col("at"))).alias("b")).select("item", (F.col("b.plain") >= literals).alias("rich"), (-F.col("b.col2")).alias("first"))
+    return (wins.join(best, "item").where((F.col("plain") >= literals) | ~F.col("rich") & (F.col("at") == F.col("first")))
+            .select("item", "tokens", "at", "n", "key", (F.col("rich") & (F.col("n") == window)).alias("sure")))
+
+
+def _plain(x: Column) -> Column:
+    return F.when(x.startswith("<name:"), F.substring(x, 7, 1 << 30)).otherwise(F.concat(x, F.lit(">")))
+
+
+def _same(a: Column, b: Column) -> Column:
+    """Whether an item's word a and a document's word b have the same template."""
+    return F.coalesce(F.when(a.startswith("<"), F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1)).otherwise(a == b), F.lit(False))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
     """Rows (doc_id, item_id, first_token, n_windows, n_slots, n_changed): each pair of a document
     (doc_id, text) and an item (item_id, text) that it holds, at its best alignment (most windows,
     then the first); slots with values and how many of them differ from the item's."""
-    wins = small(benchmark_windows(benchmark, window, literals))
-    tiles = (docs.where("doc_id is not null")
-             .select("doc_id", F.posexplode(F.regexp_extract_all(canonical(F.col("text")), F.lit(f"(?:[^ ]+ ){{{window}}}"), F.lit(0))).alias("tile", "w"))
-             .select("doc_id", F.col("tile") * window - 0, "w", _template(F.col("w")).alias("template")).toDF("doc_id", "pos", "w", "template"))
-    pairs = F.arrays_zip(F.col("slots").alias("item"), _slots(F.col("w")).alias("doc"))
-    hits = (tiles.join(wins, "template")
-            .select("doc_id", "item_id", "tokens", (F.col("pos") - F.col("at")).alias("first_token"), "pos", pairs.alias("pairs")))
-    aligned = (hits.groupBy("doc_id", "item_id", "tokens", "first_token")
-               .agg(F.countDistinct("pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")))
-    need = F.least(F.lit(2), F.greatest(F.lit(1), F.floor((F.col("tokens") + 1) / window) - 1))
-    one_way = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
-    kept = aligned.where(F.col("n_windows") >= need).where(one_way("item") & one_way("doc"))
-    best = F.max(F.struct("n_windows", -F.col("first_token"), F.size("pairs").alias("n_slots"),
-                          F.size(F.filter("pairs", lambda p: p["item"] != p["doc"])).alias("n_changed"))).alias("b")
+    items = saved(benchmark_items(benchmark))
+    wins = saved(benchmark_windows(items, window, literals))
+    lengths = sorted(r["n"] for r in wins.select("n").distinct().collect())  # at most `window`
+    docs = docs.where("doc_id is not null").select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+    hashed = docs.select("row", _templates(_words(F.col("text"))).alias("hashes"))
+    keys = F.concat(*(_keys(F.col("hashes"), n) for n in lengths or [window]))
+    tiles = hashed.select("row", F.inline(keys)).withColumnRenamed("at", "pos")
+    hits = tiles.join(small(wins), "key").select("row", "item", "tokens", "sure", "at", (F.col("pos") - F.col("at")).alias("first_token"))
+    aligned = saved(hits.groupBy("row", "item", "tokens", "sure", "first_token").agg(F.collect_set("at").alias("ats")))
+
+    held = docs.join(small(aligned.select("row").distinct()), "row", "left_semi").dropDuplicates(["row"]).select("row", "doc_id", _words(F.col("text")).alias("doc_words"))
+    both = aligned.join(held, "row").join(small(items.select("item", "item_id", "words", "plain")), "item")
+    # the item's tokens that the document has in their places; and those in windows found, which may
+    # be put together with the ones of near alignments, as words that came in or went shift the rest
+    place = lambda i: F.struct(i.alias("i"), F.get("words", i).alias("item"), F.get("doc_words", F.col("first_token") + i).alias("doc"))
+    found = both.select("row", "doc_id", "item", "item_id", "tokens", "plain", "sure", "first_token", "ats", F.size("doc_words").alias("doc_tokens"),
+                        F.filter(F.transform(F.sequence(F.lit(0), F.col("tokens") - 1), place), lambda x: _same(x["item"], x["doc"])).alias("same"))
+    reach = F.greatest(F.lit(window), F.floor(F.col("tokens") / 4))
+    near = F.floor(F.col("first_token") / reach)
+    inside = F.filter("same", lambda x: F.exists("ats", lambda a: (a <= x["i"]) & (x["i"] < a + window)))
+    part = lambda joined, at, same: F.struct(F.lit(joined).alias("joined"), at.cast("long").alias("part"), same.alias("same"))
+    every = F.array(part(False, F.col("first_token"), F.col("same")), part(True, near, inside), part(True, near - 1, inside))
+    key = ["row", "doc_id", "item", "item_id", "tokens", "plain", "sure", "doc_tokens"]
+    parts = (found.select(*key, "first_token", "ats", F.inline(every)).groupBy(*key, "joined", "part")
+             .agg(F.min("first_token").alias("first_token"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n_windows"),
+                  F.flatten(F.collect_list("same")).alias("same")))
+    slots = F.array_distinct(F.transform(F.filter("same", lambda x: x["item"].startswith("<")),
+                                         lambda x: F.struct(x["item"].alias("item"), _plain(x["item"]).alias("was"), _plain(x["doc"]).alias("now"))))
+    parts = parts.select("*", slots.alias("slots"), F.size(F.array_distinct(F.transform("same", lambda x: x["i"]))).alias("n_same"))
+    parts = parts.select("*", F.size("slots").alias("n_slots"), F.size(F.filter("slots", lambda p: p["was"] != p["now"])).alias("n_changed"))
+    need = F.when(F.col("sure"), F.lit(1)).otherwise(F.col("tokens"))
+    kept = (parts.where(F.col("n_same") >= need)
+            .where(F.size(F.array_distinct(F.transform("slots", lambda p: p["item"]))) == F.col("n_slots"))
+            .where((F.col("plain") >= literals) | (F.col("n_changed") == 0))
+            .where((F.col("tokens") >= literals) | (F.col("doc_tokens") == F.col("tokens"))))
+    best = F.max(F.struct("n_windows", -F.col("first_token"), "n_slots", "n_changed")).alias("b")
     return (kept.groupBy("doc_id", "item_id").agg(best)
             .select("doc_id", "item_id", (-F.col("b.col2")).cast("long").alias("first_token"), F.col("b.n_windows").cast("long").alias("n_windows"),
                     F.col("b.n_slots").cast("long").alias("n_slots"), F.col("b.n_changed").cast("long").alias("n_changed")))
