@@ -260,6 +260,17 @@ def test_short_and_slot_dense_items_leak_at_every_offset(spark):
     assert set(_leaks(spark, docs, items)) == {(0, 3)}
 
 
+def test_a_stock_phrase_is_no_leak(spark):
+    phrase = "Which of the following is the"
+    long = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100))
+    items = [f"{phrase} capital of France?", f"{phrase} best answer given that all {long}"]
+    rows = long.split()
+    docs = [" ".join(["pad"] * k) + f" {phrase} cheapest bicycle shop in town" for k in range(6)]
+    docs += [f"{phrase} best answer given that all of it is told", f"pad {items[0]} tail", f"{phrase} best answer given that all {long}",
+             " ".join([phrase, "best answer given that all", *rows[:30], "some words came in here", *rows[30:70]])]
+    assert set(_leaks(spark, docs, items)) == {(7, 0), (8, 1), (9, 1)}
+
+
 def test_restoration_of_noisy_words():
     counts = np.zeros(toxicity.SYMBOLS**3, np.int64)
     for w in ["idiot"] * 50 + ["loser"] * 50 + ["stupid"] * 50 + ["book"] * 20 + ["the"] * 99:

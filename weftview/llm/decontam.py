@@ -6,7 +6,9 @@ rest is lower-cased and punctuation dropped.  A template is a window of WINDOW t
 values left out.  The benchmark items' windows meet the documents' windows at every token, so that
 any WINDOW shared tokens are found.  Items look for documents by their windows of at least
 LITERALS plain tokens; an item that has none (it is shorter or mostly slots) by one window, as
-long as the item or WINDOW, and then all its tokens must be there.  The slots must be consistent:
+long as the item or WINDOW, and then all its tokens must be there.  Of other items nearly all
+tokens must be there if they are short, and over half if they are long (`need`): in their places
+on one alignment, or in the windows found on near alignments together.  The slots must be consistent:
 each of the item's values stands for one value in the document, as in a question with new
 parameters.
 
@@ -122,7 +124,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals:
                                          lambda x: F.struct(x["item"].alias("item"), _plain(x["item"]).alias("was"), _plain(x["doc"]).alias("now"))))
     parts = parts.select("*", slots.alias("slots"), F.size(F.array_distinct(F.transform("same", lambda x: x["i"]))).alias("n_same"))
     parts = parts.select("*", F.size("slots").alias("n_slots"), F.size(F.filter("slots", lambda p: p["was"] != p["now"])).alias("n_changed"))
-    need = F.when(F.col("sure"), F.lit(1)).otherwise(F.col("tokens"))
+    # nearly all of a short item, little more than half of a long one
+    need = F.when(F.col("sure"), F.ceil(F.least(F.col("tokens") * 0.85, F.col("tokens") * 0.5 + 6))).otherwise(F.col("tokens"))
     kept = (parts.where(F.col("n_same") >= need)
             .where(F.size(F.array_distinct(F.transform("slots", lambda p: p["item"]))) == F.col("n_slots"))
             .where((F.col("plain") >= literals) | (F.col("n_changed") == 0))
