@@ -271,6 +271,12 @@ def test_a_stock_phrase_is_no_leak(spark):
     assert set(_leaks(spark, docs, items)) == {(7, 0), (8, 1), (9, 1)}
 
 
+def test_items_leak_in_any_case(spark):
+    item = "If farmer Smith gave Jones 12 kg of pears then Baker and Smith owe Jones 7 more"
+    docs = [" ".join(["pad"] * k) + f" {s} tail words" for s in (item.lower(), item.upper(), item.title(), item.replace("Smith", "Miller")) for k in range(6)]
+    assert {d for d, _ in _leaks(spark, docs, [item])} == set(range(24))
+
+
 def test_restoration_of_noisy_words():
     counts = np.zeros(toxicity.SYMBOLS**3, np.int64)
     for w in ["idiot"] * 50 + ["loser"] * 50 + ["stupid"] * 50 + ["book"] * 20 + ["the"] * 99:

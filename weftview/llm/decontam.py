@@ -3,9 +3,11 @@
 A text's canonical tokens: numbers, units behind a number and names (capitalised words inside a
 sentence) become typed slots `<num:..>`, `<unit:..>`, `<name:..>` that remember their value; the
 rest is lower-cased and punctuation dropped.  A template is a window of WINDOW tokens with the
-values left out.  The benchmark items' windows meet the documents' windows at every token, so that
+values left out.  Names are known by their case only, so there is a second
+template of each window with names as plain tokens, and an item's name may stand for any one word.
+The benchmark items' windows meet the documents' windows at every token, so that
 any WINDOW shared tokens are found.  Items look for documents by their windows of at least
-LITERALS plain tokens; an item that has none (it is shorter or mostly slots) by one window, as
+LITERALS plain tokens; an item that has none in a template (it is shorter or mostly slots) by one window, as
 long as the item or WINDOW, and then all its tokens must be there.  Of other items nearly all
 tokens must be there if they are short, and over half if they are long (`need`): in their places
 on one alignment, or in the windows found on near alignments together.  The slots must be consistent:
@@ -49,45 +51,58 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(canonical(text), " "), lambda x: x != "")
 
 
-def _templates(words: Column) -> Column:
-    """Hashes of the words, slots without their values."""
-    return F.transform(words, lambda x: F.xxhash64(F.when(x.startswith("<"), F.substring_index(x, ":", 1)).otherwise(x)))
+def _plain(x: Column) -> Column:
+    """The word with a mark behind it, whether a name or not; other slots as they are."""
+    return F.when(x.startswith("<name:"), F.substring(x, 7, 1 << 30)).otherwise(F.concat(x, F.lit(">")))
+
 
+def _templates(words: Column, named: bool) -> Column:
+    """Hashes of the words, slots without their values; names are slots too if `named`."""
+    if named:
+        return F.transform(words, lambda x: F.xxhash64(F.when(x.startswith("<"), F.substring_index(x, ":", 1)).otherwise(x)))
+    word = lambda x: F.when(x.startswith("<name:"), F.regexp_extract(x, ":(.*)>", 1)).when(x.startswith("<"), F.substring_index(x, ":", 1))
+    return F.transform(words, lambda x: F.xxhash64(word(x).otherwise(x)))
 
-def _keys(hashes: Column, n: int) -> Column:
-    """(at, key) of each `n` successive words."""
-    key = lambda i: F.struct(i.alias("at"), F.xxhash64(*(F.get(hashes, i + j) for j in range(n))).alias("key"))
+
+def _keys(hashes: Column, n: int, other: Column | None = None) -> Column:
+    """(at, key) of each `n` successive words; no key where `other` has the same one."""
+    of = lambda h, i: F.xxhash64(*(F.get(h, i + j) for j in range(n)))
+    new = lambda i: of(hashes, i) if other is None else F.nullif(of(hashes, i), of(other, i))
+    key = lambda i: F.struct(i.alias("at"), new(i).alias("key"))
     return F.when(F.size(hashes) >= n, F.transform(F.sequence(F.lit(0), F.size(hashes) - n), key)).otherwise(F.array().cast("array<struct<at:int,key:bigint>>"))
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """Items once each: item (names the row), item_id, words, tokens, plain (how many are no slots), hashes."""
+    """Items once each: item (names the row), item_id, words, tokens, plain (how many are no slots), hashes, named."""
     items = benchmark.where("item_id is not null").select("item_id", _words(F.col("text")).alias("words")).distinct().where("size(words) > 0")
     return items.select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words", F.size("words").alias("tokens"),
-                        F.size(F.filter("words", lambda x: ~x.startswith("<"))).alias("plain"), _templates(F.col("words")).alias("hashes"))
+                        F.size(F.filter("words", lambda x: ~x.startswith("<"))).alias("plain"),
+                        _templates(F.col("words"), False).alias("hashes"), _templates(F.col("words"), True).alias("named"))
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
     """Windows (item, tokens, at, n, key, sure) by which items are looked for: all that have `literals`
     plain tokens; of an item that has none of these the first one with the most (not sure)."""
     n = F.least(F.col("tokens"), F.lit(window))
-    keys = F.lit(None)
-    for k in range(1, window + 1):
-        keys = F.when(n == k, _keys(F.col("hashes"), k)).otherwise(keys)
-    wins = items.select("item", "words", "tokens", n.alias("n"), F.inline(keys))
-    wins = wins.withColumn("plain", F.size(F.filter(F.slice("words", F.col("at") + 1, F.col("n")), lambda x: ~x.startswith("<"))))
-    best = wins.groupBy("item").agg(F.max(F.struct("plain", -F.col("at"))).alias("b")).select("item", (F.col("b.plain") >= literals).alias("rich"), (-F.col("b.col2")).alias("first"))
-    return (wins.join(best, "item").where((F.col("plain") >= literals) | ~F.col("rich") & (F.col("at") == F.col("first")))
-            .select("item", "tokens", "at", "n", "key", (F.col("rich") & (F.col("n") == window)).alias("sure")))
 
+    def looked_for(hashes: str, slot: str) -> DataFrame:
+        keys = F.lit(None)
+        for k in range(1, window + 1):
+            keys = F.when(n == k, _keys(F.col(hashes), k)).otherwise(keys)
+        wins = items.select("item", "words", "tokens", n.alias("n"), F.inline(keys))
+        wins = wins.withColumn("plain", F.size(F.filter(F.slice("words", F.col("at") + 1, F.col("n")), lambda x: ~x.rlike(slot))))
+        best = (wins.groupBy("item").agg(F.max(F.struct("plain", -F.col("at"))).alias("b"))
+                .select("item", (F.col("b.plain") >= literals).alias("rich"), (-F.col("b.col2")).alias("first")))
+        return (wins.join(best, "item").where((F.col("plain") >= literals) | ~F.col("rich") & (F.col("at") == F.col("first")))
+                .select("item", "tokens", "at", "n", "key", (F.col("rich") & (F.col("n") == window)).alias("sure")))
 
-def _plain(x: Column) -> Column:
-    return F.when(x.startswith("<name:"), F.substring(x, 7, 1 << 30)).otherwise(F.concat(x, F.lit(">")))
+    return looked_for("hashes", "^<(num|unit):").unionByName(looked_for("named", "^<")).distinct()
 
 
 def _same(a: Column, b: Column) -> Column:
-    """Whether an item's word a and a document's word b have the same template."""
-    return F.coalesce(F.when(a.startswith("<"), F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1)).otherwise(a == b), F.lit(False))
+    """Whether a document's word b may stand for an item's word a; for a name any word may."""
+    slot = F.when(a.startswith("<name:"), ~b.startswith("<") | b.startswith("<name:")).otherwise(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1))
+    return F.coalesce(F.when(a.startswith("<"), slot).otherwise(_plain(a) == _plain(b)), F.lit(False))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
@@ -98,9 +113,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals:
     wins = saved(benchmark_windows(items, window, literals))
     lengths = sorted(r["n"] for r in wins.select("n").distinct().collect())  # at most `window`
     docs = docs.where("doc_id is not null").select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    hashed = docs.select("row", _templates(_words(F.col("text"))).alias("hashes"))
-    keys = F.concat(*(_keys(F.col("hashes"), n) for n in lengths or [window]))
-    tiles = hashed.select("row", F.inline(keys)).withColumnRenamed("at", "pos")
+    hashed = (docs.select("row", _words(F.col("text")).alias("words"))
+              .select("row", _templates(F.col("words"), False).alias("hashes"), _templates(F.col("words"), True).alias("named")))
+    keys = F.concat(*(k for n in lengths or [window] for k in (_keys(F.col("hashes"), n), _keys(F.col("named"), n, F.col("hashes")))))
+    tiles = hashed.select("row", F.inline(keys)).where("key is not null").withColumnRenamed("at", "pos")
     hits = tiles.join(small(wins), "key").select("row", "item", "tokens", "sure", "at", (F.col("pos") - F.col("at")).alias("first_token"))
     aligned = saved(hits.groupBy("row", "item", "tokens", "sure", "first_token").agg(F.collect_set("at").alias("ats")))
 
