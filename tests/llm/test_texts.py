@@ -218,6 +218,16 @@ def test_secrets_base_and_links(spark):
     assert secrets.secret_spans(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_long_weak_parts_are_linked_on_both_sides(spark):
+    token = "bearer " + "Ab3" * 667
+    docs = [t for gap in (1, 399) for k in (0, 150, 399)
+            for t in ("x" * k + f" {token}" + " " * gap + "https://example.org/a", "x" * k + " https://example.org/a" + " " * gap + token)]
+    docs += [f"{token}{' ' * 402}https://example.org/a"]  # too far
+    got = {r.doc_id: r.spans for r in secrets.secret_spans(spark.createDataFrame(list(enumerate(docs)), DOC)).collect()}
+    assert [bool(got[i]) for i in range(len(docs))] == [True] * 12 + [False]
+    assert all({"loose", "endpoint"} <= {s.split(":")[0] for s in got[i].split(",")} for i in range(12))
+
+
 def test_redaction_cuts_all_spans_and_keeps_columns(spark):
     docs = spark.createDataFrame([(i, t, None if t is None else len(t), "a") for i, t in enumerate(SECRETS)], DOC + ", n_chars long, secret_spans_at string")
     out = {r.doc_id: r for r in secrets.redacted(docs).collect()}

@@ -93,11 +93,12 @@ def linked_weak(parts: DataFrame, reach: int = REACH) -> DataFrame:
     of = F.create_map(*(F.lit(x) for kv in ROLE.items() for x in kv))
     parts = parts.withColumn("role", of[F.col("kind")])
     weak = parts.where(~F.col("kind").isin("assign", "access", "hex"))
-    # a part lies in the bins that it or its reach touches; a weak part is looked for in its first
-    bins = F.sequence(F.floor((F.col("start") - 2 * reach) / reach), F.floor((F.col("end") + reach) / reach))
+    # a part lies in the bins that it or its reach touches; a weak part is looked for in all of its own
+    bins = F.sequence(F.floor((F.col("start") - reach) / reach), F.floor((F.col("end") + reach) / reach))
+    own = F.sequence(F.floor(F.col("start") / reach), F.floor(F.col("end") / reach))
     other = parts.select("row", "scope", F.col("role").alias("role2"), F.col("start").alias("start2"),
                          F.col("end").alias("end2"), F.explode(bins).alias("bin"))
-    return (weak.withColumn("bin", F.floor(F.col("start") / reach)).join(other, ["row", "scope", "bin"])
+    return (weak.withColumn("bin", F.explode(own)).join(other, ["row", "scope", "bin"])
             .where("(role = 'secret') <> (role2 = 'secret')")
             .where(F.greatest(F.col("start2") - F.col("end"), F.col("start") - F.col("end2")) <= reach)
             .select("row", "kind", "start", "end").distinct())
