@@ -59,6 +59,21 @@ def test_repeats_are_removed_as_by_brute_force(spark, hot):
     assert [got[i] for i in range(len(texts))] == _brute_removed(texts, 200)
 
 
+def test_a_passage_behind_differing_texts_is_never_held_whole(spark):
+    rng = random.Random(7)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(230))
+    texts = ["".join(rng.choice("pqrstuv") for _ in range(30)) + passage + "".join(rng.choice("pqrstuv") for _ in range(30)) for _ in range(40)]
+    texts += [texts[0], texts[1][:200] + "#"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    want = _brute_removed(texts, 200)
+    for hot in (3, 5_000):  # a key of over `hot` pieces raises in the task that would hold them
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(docs, hot=hot).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    with pytest.raises(ValueError, match="more than 1 pieces"):
+        rows = {"key": [1, 1], "row": [1, 2], "start": [0, 0], "core": [0, 1], "n": [1, 1], "bytes": [b"ab", b"ba"]}
+        list(suffix_dedup._ordered(2, 1, 1)(iter([rows])))
+
+
 def test_repeats_edge_rows(spark):
     t = "abcdefghij" * 30 + "!"
     docs = spark.createDataFrame([(1, t), (1, t), (None, t), (2, None)], DOC)

@@ -16,7 +16,9 @@ Every byte that a WIDTH-byte string covers which also starts elsewhere goes, jud
    the same symbols.
 4. *Remove.*  Each document's spans are merged and cut out of its bytes.
 
-A key of over HOT pieces is cut again into windows at most RECUT apart, each a unit of work.
+A key of over HOT pieces is cut again into windows at most RECUT apart, each a unit of work.  Keys
+that still have over HOT pieces are cut into single windows, counted by a hash of 16 bytes with
+partial counts: no task holds more than HOT pieces of a key.
 
 Null texts are empty; texts under WIDTH bytes hold no window.  Repeated rows repeat each other and
 lose every byte that a window covers.  Rows without a doc_id take part like any other.  Extra
@@ -151,8 +153,8 @@ def _spans(windows: list[int], base: int, width: int) -> Iterator[tuple[int, int
         yield base + a, base + b + width
 
 
-def _ordered(width: int, core: int):
-    """Rows sorted by key, a key's rows together: spans of the pieces that are alone."""
+def _ordered(width: int, core: int, hot: int):
+    """Rows sorted by key, a key's rows (of `hot` pieces at most) together: spans of the pieces that are alone."""
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
         held: dict[bytes, list] = {}
@@ -184,6 +186,8 @@ def _ordered(width: int, core: int):
                     yield from done()
                     held, key = {}, k
                 held.setdefault((at, data), []).append((row, start, n))
+                if len(held) > hot:
+                    raise ValueError(f"a key has more than {hot} pieces")
         yield from done()
 
     return each
@@ -227,6 +231,23 @@ def _recut(width: int, step: int, fine: int):
     return each
 
 
+def _windows(width: int):
+    """Each window of the pieces by a hash of its bytes."""
+
+    def each(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            out = {"digest": [], "row": [], "start": [], "n": []}
+            for row, start, n, data in zip(b["row"], b["start"], b["n"], b["bytes"], strict=True):
+                for w in range(len(data) - width + 1):
+                    out["digest"].append(hashlib.blake2b(data[w:w + width], digest_size=16).digest())
+                    out["row"].append(row)
+                    out["start"].append(start + w)
+                    out["n"].append(n)
+            yield out
+
+    return each
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH, step: int = STEP, hot: int = HOT, fine: int = RECUT) -> DataFrame:
     """Rows (row, start, end): byte spans that repeated windows cover, by the row's identity."""
     docs = docs.select(_identity().alias("row"), "text")
@@ -246,9 +267,13 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, step: int = STEP, hot: i
     data = saved(map_columns(texts, _fetched(width), piece))
     many = small(saved(kept.where("open").where(F.col("kinds") > hot).select("key").distinct()))
     again = map_columns(data.join(many, "key", "left_semi"), _recut(width, step, fine), piece)
-    run = lambda d, core: map_columns(d.repartition("key").sortWithinPartitions("key"), _ordered(width, core), "row long, start long, end long")
+    most = small(saved(again.groupBy("key").count().where(F.col("count") > hot).select("key")))
+    single = saved(map_columns(again.join(most, "key", "left_semi"), _windows(width), "digest binary, row long, start long, n long"))
+    twice = single.groupBy("digest").agg(F.count("*").alias("times")).where("times > 1").select("digest")
+    lone = single.where("n = 1").join(twice, "digest").select("row", "start", (F.col("start") + width).alias("end"))
+    run = lambda d, core: map_columns(d.repartition("key").sortWithinPartitions("key"), _ordered(width, core, hot), "row long, start long, end long")
     return (spans.unionByName(run(data.join(many, "key", "left_anti"), width - step + 1))
-            .unionByName(run(again, width - fine + 1)))
+            .unionByName(run(again.join(most, "key", "left_anti"), width - fine + 1)).unionByName(lone))
 
 
 def _removed(batches: Iterator[dict]) -> Iterator[dict]:
