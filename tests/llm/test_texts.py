@@ -312,3 +312,16 @@ def test_restoration_of_noisy_words():
     for seen, want in (("1d10t", "idiot"), ("l0$er", "loser"), ("looooser", "loser"), ("s.t.u.p.i.d", "stupid"), ("s t u p 1 d", "stupid"), ("b00k", "book")):
         assert r.restored(seen) == [want]
     assert {"idiot", "the", "stupid"} <= r.words("The 1D10T!! s-t-u-p-i-d (the)") and r.words("") == set()
+
+
+def test_restoration_of_spaced_split_and_doubled_words():
+    counts = np.zeros(toxicity.SYMBOLS**3, np.int64)
+    for w in ["idiot"] * 50 + ["loser"] * 50 + ["stupid"] * 50 + ["book"] * 20 + ["well"] * 50 + ["the"] * 99:
+        x = [0, 0] + [toxicity.symbol(c) for c in w] + [0]
+        for a, b, c in zip(x, x[1:], x[2:]):
+            counts[(a * toxicity.SYMBOLS + b) * toxicity.SYMBOLS + c] += 1
+    r = toxicity.Restorer.of(counts)
+    for seen, want in (("i d ! o t", "idiot"), ("s t u p ! d", "stupid"), ("l o $ e r", "loser"), ("i  d  i  o  t", "idiot"), ("i-d i . o t", "idiot"),
+                       ("id-iot", "idiot"), ("st.upid", "stupid"), ("1d-i0t", "idiot"), ("idiiot", "idiot"), ("s t * p i d", "stupid")):
+        assert want in r.words(f"the {seen} book"), seen
+    assert {"the", "book"} <= r.words("the-book") and "thebook" not in r.words("the-book") and "well" in r.words("well")

@@ -2,8 +2,8 @@
 
 1. *Language model.*  Counts of three successive characters inside words are summed over the whole
    corpus (SYMBOLS ** 3 cells): letters a to z, classes of other letters, and the word's edge.
-2. *Lattice.*  A word with signs or digits between or before letters, a letter three times in a
-   row or more, or a run of single characters with single separators is a noisy observation.  Each
+2. *Lattice.*  A word with signs, digits or punctuation between or before letters, a letter twice in
+   a row or more, or a run of single characters and signs with separators is a noisy observation.  Each
    of its characters may stand for itself or for the letters that it is written for (LEET); a run
    of one character for one or two of them; a separator for nothing or for a word's end.  The
    Viterbi path of least cost (model bits and channel bits) is the restored word.
@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -44,8 +45,11 @@ KEPT_WORDS = 200_000
 
 _AROUND = ".,;:!?\"'()[]{}<>|/\\-_*&#%$~`=+«»„“”…"
 _EDGES = re.compile(r"([!$*#%&@|+~])\1+$")
-_THRICE = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:([ .\-_*/])[^\W_\s])(?:\1[^\W_])+(?![^\W_])")
+_TWICE = re.compile(r"([^\W\d_])\1")
+_BETWEEN, _INSIDE = " .-_*/", ".,;:?\"'()[]{}<>/\\_=~`-"
+_ONE = r"(?:[^\W_]|[@$!|+(€£¡#])"
+_SPACED = re.compile(rf"(?<![^\W_]){_ONE}(?:[ .\-_*/]+{_ONE}){{2,}}(?![^\W_])")
+_PARTS = re.compile(r"[.,;:?\"'()\[\]{}<>/\\_=~`-]+")
 
 
 def symbol(c: str) -> int:
@@ -105,8 +109,8 @@ class Restorer:
             while j < len(seen) and seen[j] == c:
                 j += 1
             arcs: list[tuple[str, float]] = []
-            if spaced and c == spaced[1]:
-                arcs = [("", 0.0), (" ", EDGE_BITS)]
+            if spaced and c in _BETWEEN or c in _INSIDE:
+                arcs = [("", 0.0), (" ", EDGE_BITS)] + [(x, SWAP_BITS) for x in LEET.get(c, "")]
             else:
                 plain = [(c, 0.0)] if c.isalpha() else []
                 for letter, bits in plain + [(x, SWAP_BITS) for x in LEET.get(c, "")]:
@@ -121,7 +125,11 @@ class Restorer:
     def decode(self, seen: str) -> str:
         """Output of the least path through the lattice (the first in text order on a tie)."""
         best: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
-        for arcs in self.lattice(seen):
+        done = []
+        for k, arcs in enumerate(self.lattice(seen)):
+            if k % 64 == 63:  # what all paths begin with is settled: time stays in proportion
+                done.append(commonprefix([text for _, text in best.values()]))
+                best = {s: (cost, text[len(done[-1]):]) for s, (cost, text) in best.items()}
             step: dict[tuple[int, int], tuple[float, str]] = {}
             for (p, q), (cost, text) in best.items():
                 for out, bits in arcs:
@@ -134,7 +142,7 @@ class Restorer:
                     if (a, b) not in step or new < step[a, b]:
                         step[a, b] = new
             best = step
-        return min((cost + float(self.bits[p, q, EDGE]), text) for (p, q), (cost, text) in best.items())[1]
+        return "".join(done) + min((cost + float(self.bits[p, q, EDGE]), text) for (p, q), (cost, text) in best.items())[1]
 
     def restored(self, seen: str) -> list[str]:
         if seen not in self.kept:
@@ -156,7 +164,10 @@ class Restorer:
                 core = w.strip(_AROUND)
                 if not core.isalpha():
                     # parts between punctuation are words; a part with letters and signs is noisy
-                    for part in re.split(r"[.,;:?\"'()\[\]{}<>/\\_=~`-]+", w):
+                    parts = _PARTS.split(w)
+                    if sum(any(c.isalpha() or c in LEET for c in part) for part in parts) > 1 and any(map(str.isalpha, w)):
+                        out.update(self.restored(w.strip(_INSIDE)))  # parts of one word, or words
+                    for part in parts:
                         if part.isalpha():
                             out.add(part)
                         elif any(map(str.isalpha, part)) or sum(c in LEET for c in part) > 2 and not part.isdigit():
@@ -166,8 +177,8 @@ class Restorer:
                     out.update(self.restored(w[:w.find(core) + len(core)]))
                 w = core
             out.add(w)
-        if _THRICE.search(text):
-            for w in [w for w in out if _THRICE.search(w)]:
+        if _TWICE.search(text):
+            for w in [w for w in out if _TWICE.search(w)]:
                 out.update(self.restored(w))
         return out
 
