@@ -251,6 +251,14 @@ def test_redaction_cuts_all_spans_and_keeps_columns(spark):
     assert out[2].text == SECRETS[2] and out[4].text is None
 
 
+def test_redaction_of_rows_without_an_id_or_with_one_id(spark):
+    a, b = "x password=abcdefgh1234 y", "long words before password=abcdefgh1234 y"
+    rows = [(None, a), (None, b), (None, None), (1, a), (1, b), (1, "no secret in this text here")]
+    out = sorted((r.doc_id or 0, r.text or "") for r in secrets.redacted(spark.createDataFrame(rows, DOC)).collect())
+    cut = ["long words before [secret] y", "x [secret] y"]
+    assert out == [(0, ""), (0, cut[0]), (0, cut[1]), (1, cut[0]), (1, "no secret in this text here"), (1, cut[1])]
+
+
 def _leaks(spark, docs, items):
     d = spark.createDataFrame(list(enumerate(docs)), DOC).withColumn("template", fold("doc_id", 2))
     b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")

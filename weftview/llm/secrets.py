@@ -130,9 +130,10 @@ def redacted(docs: DataFrame, mark: str = "[secret]", reach: int = REACH) -> Dat
     key, cut = "secret_spans_of", "secret_spans_at"
     while {key, cut} & {c.lower() for c in docs.columns}:
         key, cut = key + "_", cut + "_"
-    spans = (secret_spans(docs.select("doc_id", "text"), reach).where("spans <> ''")
+    named = F.xxhash64("doc_id", "text")  # the row by id and text: ids may be null or stand for several texts
+    spans = (secret_spans(docs.select(named.alias("doc_id"), "text"), reach).where("spans <> ''")
              .groupBy(F.col("doc_id").alias(key)).agg(F.max("spans").alias(cut)))
-    joined = docs.join(small(saved(spans), 100_000), F.col("doc_id") == F.col(key), "left")
+    joined = docs.join(small(saved(spans), 100_000), named == F.col(key), "left")
     marked = F.udf(lambda text, at: _cut(text, at, mark), "string", useArrow=True)(F.when(F.col(cut).isNotNull(), F.col("text")), F.col(cut))
     out = joined.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(marked))
     if "n_chars" in docs.columns:
