@@ -271,7 +271,7 @@ def test_leaks_by_template(spark):
     mixed = item.replace("how much fruit does Smith", "how much fruit does Baker").replace("12 kg", "7 kg")
     filler = " ".join(f"plain{i} words" for i in range(9))
     got = _leaks(spark, [f"{filler}. {item} {filler}", f"{filler} {other} {filler}", f"{filler}. {mixed}", filler, "", None, item.upper(), "1 2 3 4 5 6 " * 20], [item, "", None, "short one", item])
-    assert {d for d, _ in got} == {0, 1} and {i for _, i in got} == {0, 4}
+    assert {d for d, _ in got} == {0, 1, 6} and {i for _, i in got} == {0, 4}  # in any case
     assert got[0, 0].n_changed == 0 and got[1, 0].n_changed >= 4
     assert _leaks(spark, [item], ["", None]) == {}
 

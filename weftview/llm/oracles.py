@@ -2,7 +2,60 @@
 
 from __future__ import annotations
 
+#: crc32 as SQL: a table made bit by bit, then one step a byte of an ASCII string `s`.
+CRC_TABLE = """(SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+  FROM range(256) AS r(i)) AS crc"""
+CRC = "xor(list_reduce(list_transform(string_split({s}, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, crc.t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295)"
+
+
+def _encoded(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _merkle() -> str:
+    """Trees, then every leaf's way up through lists of its run, for the digest as it was and as it is now."""
+    rest = " || ".join(_encoded(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS part, sha256({rest} || {_encoded('text')}) AS leaf,
+         sha256({rest} || {_encoded(f"CASE WHEN {CRC.format(s='CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {lowered} ELSE text END")}) AS now
+  FROM documents, {CRC_TABLE}),
+l AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY part) AS n FROM d),
+node AS (
+  SELECT 0 AS lvl, part, idx, n, leaf AS h FROM l
+  UNION ALL
+  SELECT lvl + 1, part, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM node WHERE n > 1 GROUP BY lvl, part, idx // 8, n),
+top AS MATERIALIZED (
+  SELECT part, lvl AS height, h, row_number() OVER (ORDER BY part) - 1 AS idx, count(*) OVER () AS n FROM node WHERE n = 1),
+high AS (
+  SELECT 0 AS lvl, idx, n, h FROM top
+  UNION ALL
+  SELECT lvl + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM high WHERE n > 1 GROUP BY lvl, idx // 8, n),
+runs AS MATERIALIZED (
+  SELECT part, lvl, idx // 8 AS run, list(h ORDER BY idx) AS hs FROM node WHERE n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT top.part, top.height + r.lvl, 0, r.hs FROM top JOIN (
+    SELECT lvl, idx // 8 AS run, list(h ORDER BY idx) AS hs FROM high WHERE n > 1 GROUP BY ALL) AS r ON top.idx // CAST(8 ** (r.lvl + 1) AS BIGINT) = r.run),
+way AS (
+  SELECT l.doc_id, l.part, l.leaf, l.idx AS spot, l.now AS h, 0 AS lvl, '' AS proof FROM l
+  UNION ALL
+  SELECT w.doc_id, w.part, w.leaf, w.spot,
+         sha256(array_to_string(r.hs[:digit], '') || w.h || array_to_string(r.hs[digit + 2:], '')), w.lvl + 1,
+         w.proof || array_to_string(r.hs[:digit], '') || array_to_string(r.hs[digit + 2:], '')
+  FROM (SELECT way.*, CASE WHEN way.lvl < top.height THEN (spot // CAST(8 ** way.lvl AS BIGINT)) % 8
+                           ELSE (top.idx // CAST(8 ** (way.lvl - top.height) AS BIGINT)) % 8 END AS digit,
+               CASE WHEN way.lvl < top.height THEN spot // CAST(8 ** (way.lvl + 1) AS BIGINT) ELSE 0 END AS run
+        FROM way JOIN top ON top.part = way.part) AS w
+  JOIN runs AS r ON r.part = w.part AND r.lvl = w.lvl AND r.run = w.run),
+done AS (SELECT doc_id, part, spot, leaf, max_by(h, lvl) AS h, max_by(proof, lvl) AS proof FROM way GROUP BY ALL)
+SELECT done.doc_id, done.leaf, top.h AS subroot, root.h AS root, sha256(done.proof) AS proof_sha256, done.h AS folded_root, done.h = root.h AS verified
+FROM done JOIN top ON top.part = done.part, (SELECT h FROM high WHERE n = 1) AS root"""
+
+
 SQL = {
+    "op11_merkle_manifest": _merkle(),
     "op8_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

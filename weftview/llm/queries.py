@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontam, embed_neardup, langid, oracles, packing, quality, secrets, suffix_dedup, token_counts, toxicity
+from . import decontam, embed_neardup, langid, merkle, oracles, packing, quality, secrets, suffix_dedup, token_counts, toxicity
 from .common import fold, table, vocabulary
 from .ngram_join import jaccard_components
 
@@ -62,9 +62,16 @@ def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", *merkle.FIELDS)
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.coalesce(fold("doc_id", 3) == 0, F.lit(False))
+    return merkle.verified(docs, F.when(tampered, lowered).otherwise(F.col("text")))
+
+
 _ALL = [op1_embedding_near_duplicates, op2_cost_balanced_packing, op3_noisy_channel_toxicity,
         op4_suffix_dedup, op5_byte_cnn_quality, op6_ppm_language_id, op7_template_decontamination,
-        op8_ngram_jaccard_join, op9_token_counts, op10_linked_secrets]
+        op8_ngram_jaccard_join, op9_token_counts, op10_linked_secrets, op11_merkle_manifest]
 
 
 def queries() -> dict:
