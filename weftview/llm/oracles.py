@@ -54,7 +54,62 @@ SELECT done.doc_id, done.leaf, top.h AS subroot, root.h AS root, sha256(done.pro
 FROM done JOIN top ON top.part = done.part, (SELECT h FROM high WHERE n = 1) AS root"""
 
 
+def _repair() -> str:
+    """Left to right over the rows with the best (cost, edits) of each role state; the states of
+    (s?(ua)+)? are 0 none, 1 behind s, 2 behind u, 3 behind a, each closed under insertion."""
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    add = lambda s, cost, edits: f"CASE WHEN {s} IS NOT NULL THEN {{'c': {s}.c + {cost}, 'a': {s}.a || '{edits}'}} END"
+    edit = lambda s, role: f"CASE WHEN gone THEN NULL WHEN ini = '{role}' THEN {add(s, 'cut', 'K')} ELSE {add(s, '3 + cut', 'R')} END"
+    n2 = ", ".join([add("s2", 4, "D"), *(edit(s, "u") for s in ("s0", "s1", "s3"))])
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC.format(s=key)} % 20 AS f FROM conversations, {CRC_TABLE}),
+x AS (
+  SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM d, unnest(CASE WHEN f = 3 THEN [1, 2] ELSE [1] END) WHERE f <> 0),
+e AS (
+  SELECT *, right(rtrim(text, {space}), 1) AS e, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM x),
+k AS MATERIALIZED (
+  SELECT *, left(role, 1) AS ini, lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS next_ini,
+         CASE WHEN e = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN e NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault FROM e),
+c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (next_ini IS NOT NULL AND ini || next_ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM k GROUP BY conv_id),
+best AS (
+  SELECT conv_id, 0 AS i, {{'c': 0, 'a': ''}} AS s0, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR)) AS s1, {{'c': 3, 'a': 'I'}} AS s2, {{'c': 6, 'a': 'II'}} AS s3 FROM c
+  UNION ALL
+  SELECT conv_id, i, n0, n1, least(n2, {add('n0', 3, 'I')}, {add('n1', 3, 'I')}, {add('n3', 3, 'I')}),
+         least(n3, {add('n2', 3, 'I')}, {add('n0', 6, 'II')}, {add('n1', 6, 'II')})
+  FROM (SELECT conv_id, i, {add('s0', 4, 'D')} AS n0,
+               least({add('s1', 4, 'D')}, CASE WHEN ini = 's' AND NOT gone THEN {add('s0', 'cut', 'K')} END) AS n1,
+               least({n2}) AS n2, least({add('s3', 4, 'D')}, {edit('s2', 'a')}) AS n3
+        FROM (SELECT best.conv_id, k.i, s0, s1, s2, s3, ini, fault IN ('blank', 'duplicate') AS gone, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS cut
+              FROM best JOIN k ON k.conv_id IS NOT DISTINCT FROM best.conv_id AND k.i = best.i + 1))),
+done AS MATERIALIZED (
+  SELECT c.*, least(s0, s3) AS b FROM best JOIN c ON c.conv_id IS NOT DISTINCT FROM best.conv_id AND c.n = best.i),
+w AS (
+  SELECT conv_id, j, substr(b.a, j, 1) AS ch FROM done, unnest(range(1, length(b.a) + 1)) AS t(j)),
+o AS (
+  SELECT *, sum(CAST(ch <> 'I' AS INTEGER)) OVER v AS i, sum(CAST(ch <> 'D' AS INTEGER)) OVER v AS place FROM w WINDOW v AS (PARTITION BY conv_id ORDER BY j)),
+r AS (
+  SELECT o.*, k.role, k.text, max(CASE WHEN ch = 'K' AND place = 1 AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY o.conv_id) AS sys
+  FROM o LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM o.conv_id AND k.i = o.i AND ch <> 'I' WHERE ch <> 'D'),
+h AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN ch = 'K' THEN role WHEN (place - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY j)) AS h
+  FROM r GROUP BY conv_id)
+SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(done.b.c, 0) AS BIGINT) AS cost, coalesce(done.b.a, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS q LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM q.conv_id
+LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM q.conv_id"""
+
+
 SQL = {
+    "op12_conversation_repair": _repair(),
     "op11_merkle_manifest": _merkle(),
     "op8_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (

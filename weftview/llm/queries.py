@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontam, embed_neardup, langid, merkle, oracles, packing, quality, secrets, suffix_dedup, token_counts, toxicity
-from .common import fold, table, vocabulary
+from . import conversation_repair, decontam, embed_neardup, langid, merkle, oracles, packing, quality, secrets, suffix_dedup, token_counts, toxicity
+from .common import fold, saved, table, vocabulary
 from .ngram_join import jaccard_components
 
 
@@ -69,9 +69,22 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(docs, F.when(tampered, lowered).otherwise(F.col("text")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    hurt = conversation_repair.damaged(given)
+    found = saved(conversation_repair.audits(hurt))
+    ends = conversation_repair.repaired(hurt, found).where("sha256 is not null").select("conv_id", F.col("sha256").alias("repaired_sha256"))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    # a conversation is in each part once; sums and maxima skip the parts it is not in
+    every = given.select("conv_id").distinct().unionByName(found, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True)
+    return every.groupBy("conv_id").agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in counts], F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
+                                        F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 _ALL = [op1_embedding_near_duplicates, op2_cost_balanced_packing, op3_noisy_channel_toxicity,
         op4_suffix_dedup, op5_byte_cnn_quality, op6_ppm_language_id, op7_template_decontamination,
-        op8_ngram_jaccard_join, op9_token_counts, op10_linked_secrets, op11_merkle_manifest]
+        op8_ngram_jaccard_join, op9_token_counts, op10_linked_secrets, op11_merkle_manifest,
+        op12_conversation_repair]
 
 
 def queries() -> dict:
