@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import conversation_repair, decontam, embed_neardup, langid, merkle, oracles, packing, quality, secrets, suffix_dedup, token_counts, toxicity
+from . import conversation_repair, decontam, embed_neardup, langid, licenses, merkle, oracles, packing, quality, secrets, suffix_dedup, token_counts, toxicity
 from .common import fold, saved, table, vocabulary
 from .ngram_join import jaccard_components
 
@@ -81,10 +81,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 _ALL = [op1_embedding_near_duplicates, op2_cost_balanced_packing, op3_noisy_channel_toxicity,
         op4_suffix_dedup, op5_byte_cnn_quality, op6_ppm_language_id, op7_template_decontamination,
         op8_ngram_jaccard_join, op9_token_counts, op10_linked_secrets, op11_merkle_manifest,
-        op12_conversation_repair]
+        op12_conversation_repair, op13_license_scan]
 
 
 def queries() -> dict:

@@ -33,12 +33,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[0][:n], _pow[1][:n]
 
 
-def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: list[bytes], between: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word of the texts joined, number of words before each text and in all).
 
-    A word is a run of bytes other than space and \\x09-\\x0D; A-Z count as a-z."""
+    A word is a run of bytes other than those `between` words, here space and \\x09-\\x0D (a space must
+    be one); A-Z count as a-z."""
     buf = np.frombuffer(b" " + b" ".join(data) + b" ", np.uint8)
-    sep = _SEP[buf]
+    sep = between[buf]
     edge = np.flatnonzero(sep[1:] != sep[:-1]) + 1
     start, end = edge[::2], edge[1::2]
     up, down = _powers(len(buf))
