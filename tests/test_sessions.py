@@ -3,6 +3,10 @@
 import datetime as dt
 import random
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weftview.operators import chunks as C
 from weftview.operators import navigation as N
@@ -57,7 +61,89 @@ def test_dedup_last_n_and_current_page(spark):
     last = N.last_n(N.visits_deduped(ev), 2).orderBy("from_end").collect()
     assert [r.url for r in last] == ["a", "b"]
     cur = [r.current_url for r in N.current_page(ev).orderBy("seq").collect()]
-    assert cur == ["a", "a", "b", "b", "b", "a"]  # a failed load keeps the current page
+    assert cur == ["a", "a", "b", "b", "b", "a"]  # a failed load keeps the current page, and back goes from it to b
+
+
+def py_shown(events, cap):
+    """(page shown after each event, final history) of one session's (op, url, ok)."""
+    h, cur, out = [], None, []
+    for op, url, ok in events:
+        if op == "back":
+            if len(h) >= 2:
+                h.pop()
+                cur = h[-1] if ok and h[-1] is not None else cur
+        else:
+            if not h or h[-1] != url:
+                h.append(url)
+                h = h[-cap:]
+            cur = url if ok and url is not None else cur
+        out.append(cur)
+    return out, h
+
+
+def test_back_returns_to_the_entry_before(spark):
+    events = [(1, "back", None, True), (1, "visit", "a", True), (1, "back", None, True), (1, "visit", "b", True), (1, "back", None, True),
+              (1, "visit", "c", False), (1, "visit", "d", True), (1, "back", None, False), (1, "back", None, True)]
+    cur = [r.current_url for r in N.current_page(nav_df(spark, events)).orderBy("seq").collect()]
+    assert cur == [None, "a", "a", "b", "a", "a", "d", "d", "a"]
+    assert cur == py_shown([e[1:] for e in events], 50)[0]
+    assert N.current_page(nav_df(spark, events[:0])).collect() == [] and N.history(nav_df(spark, events[:0])).collect() == []
+
+
+@given(st.integers(1, 6), st.lists(st.tuples(st.sampled_from(["visit", "visit", "back"]), st.sampled_from("abcd")), max_size=60),
+       st.lists(st.integers(0, 60), max_size=6))
+@settings(max_examples=1500, deadline=None)
+def test_steps_of_runs_play_as_the_events(cap, events, cuts):
+    stack = []
+    cuts = sorted({0, len(events), *(c for c in cuts if c < len(events))})
+    for a, b in zip(cuts, cuts[1:]):
+        run = N._Run(cap)
+        for e in events[a:b]:
+            run.event(*e)
+        for step in run.steps():
+            N.play(stack, *step, cap)
+        assert stack == py_shown([(*e, True) for e in events[:b]], cap)[1]
+
+
+@pytest.mark.parametrize("cap, buckets", [(2, 40), (5, 7), (50, 16)])
+def test_histories_and_pages_over_buckets(spark, cap, buckets):
+    rnd = random.Random(cap)
+    events = []
+    for s in [None, 0, 1, 2, 2, 2, 3]:
+        back = rnd.choice([0.2, 0.5, 0.6])
+        events += [(s, "back" if rnd.random() < back else "visit", rnd.choice(["a", "b", "c", None, f"u{rnd.randint(0, 40)}"]), rnd.random() > 0.2)
+                   for _ in range(rnd.randint(50, 200))]
+    ev = nav_df(spark, events).withColumn("extra", F.lit(1))
+    want_pages, want = {}, {}
+    for s in {e[0] for e in events}:
+        mine = [(i, e) for i, e in enumerate(events) if e[0] == s]
+        shown, want[s] = py_shown([e[1:] for _, e in mine], cap)
+        want_pages.update({i: p for (i, _), p in zip(mine, shown)})
+    got = {}
+    for r in N.history(ev, cap, buckets).orderBy("session_id", "pos").collect():
+        got.setdefault(r.session_id, []).append(r.url)
+    assert got == {s: h for s, h in want.items() if h}
+    pages = N.current_page(ev, buckets, cap)
+    assert pages.columns == [*ev.columns, "current_url"]
+    assert {r.seq: r.current_url for r in pages.collect()} == want_pages
+
+
+def test_hot_session_is_folded_by_many_tasks(spark):
+    """A third of 400,000 events in one session: few steps of it meet in one task."""
+    n = 400_000
+    ev = spark.range(n, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1009 + 10).alias("session_id"),
+        F.timestamp_seconds(F.col("id")).alias("ts"), F.col("id").alias("seq"),
+        F.when(F.xxhash64("id") < 0, "back").otherwise("visit").alias("op"),
+        F.concat(F.lit("u"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(60))).alias("url"), F.lit(True).alias("ok"))
+    x = (ev.repartitionByRange(32, "session_id", "ts", "seq").sortWithinPartitions("session_id", "ts", "seq")
+         .withColumn("bucket", F.spark_partition_id().cast("long")))
+    steps = N.bucket_steps(x).where("session_id = 7")
+    tasks, rows = steps.agg(F.countDistinct("bucket"), F.count("*")).first()
+    assert tasks >= 8 and rows < 5_000
+    hot = ev.where("session_id = 7").orderBy("seq").select("op", "url", "ok").collect()
+    got = [r.url for r in N.history(ev, buckets=32).where("session_id = 7").orderBy("pos").collect()]
+    assert got == py_shown(map(tuple, hot), 50)[1]
 
 
 CHUNKS = {

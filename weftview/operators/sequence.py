@@ -21,6 +21,12 @@ from pyspark.sql import functions as F
 from ..session import written
 
 
+def default_buckets(df: DataFrame) -> int:
+    """``max(2 x defaultParallelism, spark.sql.shuffle.partitions)``."""
+    spark = df.sparkSession
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def range_buckets(df: DataFrame, keys: list[str], order: list[str], n: int | None = None,
                   out: str = "_b") -> DataFrame:
     """Add ``out``: the range partition of the row in ``(keys, order)`` order.
@@ -34,10 +40,7 @@ def range_buckets(df: DataFrame, keys: list[str], order: list[str], n: int | Non
     with their bucket once: whatever reads them (rows and per-bucket carries)
     sees the same buckets, and the rows are range-partitioned once.
     """
-    if n is None:
-        spark = df.sparkSession
-        n = max(2 * spark.sparkContext.defaultParallelism,
-                int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    n = n or default_buckets(df)
     cols = [F.col(c) for c in [*keys, *order]]
     return written(df.repartitionByRange(n, *cols).withColumn(out, F.spark_partition_id().cast("long")))
 

@@ -273,13 +273,9 @@ _LINES = (_CH + ", fulltext AS (SELECT conv_id, string_agg(chunk, '' ORDER BY se
           "lx AS (SELECT conv_id, regexp_extract_all(s, '[^\\n]*\\n|[^\\n]+', 0) AS ls FROM fulltext), "
           "lines AS (SELECT conv_id, unnest(range(len(ls)))::BIGINT AS line_no, unnest(ls) AS line FROM lx)")
 
-ORACLE = {
-    "nav_dedup": f"WITH {_DEDUP} SELECT session_id, seq, url FROM dd",
-    "nav_last_n": f"WITH {_DEDUP}, r AS (SELECT session_id, seq, url, row_number() OVER "
-                  f"(PARTITION BY session_id ORDER BY ts DESC, seq DESC)::BIGINT AS from_end FROM dd) "
-                  f"SELECT * FROM r WHERE from_end <= {HISTORY_CAP}",
-    "nav_history": f"""WITH RECURSIVE {_NAV},
-ev AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS rn, op, url FROM nav),
+#: the history after each event, as a list; row 0 is a session's empty history
+_FOLD = f"""{_NAV},
+ev AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS rn, op, url, ok, seq FROM nav),
 fold(session_id, rn, stack) AS (
   SELECT DISTINCT session_id, 0::BIGINT, []::VARCHAR[] FROM ev
   UNION ALL
@@ -287,12 +283,23 @@ fold(session_id, rn, stack) AS (
     CASE WHEN e.op = 'back' THEN (CASE WHEN len(f.stack) >= 2 THEN f.stack[:-2] ELSE f.stack END)
          WHEN len(f.stack) > 0 AND f.stack[-1] = e.url THEN f.stack
          ELSE (list_append(f.stack, e.url))[greatest(len(f.stack) + 1 - {HISTORY_CAP - 1}, 1):] END
-  FROM fold f JOIN ev e ON e.session_id = f.session_id AND e.rn = f.rn + 1),
+  FROM fold f JOIN ev e ON e.session_id = f.session_id AND e.rn = f.rn + 1)"""
+
+ORACLE = {
+    "nav_dedup": f"WITH {_DEDUP} SELECT session_id, seq, url FROM dd",
+    "nav_last_n": f"WITH {_DEDUP}, r AS (SELECT session_id, seq, url, row_number() OVER "
+                  f"(PARTITION BY session_id ORDER BY ts DESC, seq DESC)::BIGINT AS from_end FROM dd) "
+                  f"SELECT * FROM r WHERE from_end <= {HISTORY_CAP}",
+    "nav_history": f"""WITH RECURSIVE {_FOLD},
 fin AS (SELECT session_id, arg_max(stack, rn) AS stack FROM fold GROUP BY session_id)
 SELECT session_id, unnest(range(len(stack)))::BIGINT AS pos, unnest(stack) AS url FROM fin""",
-    "current_page": f"WITH {_NAV} SELECT session_id, seq, last_value(CASE WHEN op = 'visit' AND ok "
-                    f"THEN url END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, seq "
-                    f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS current_url FROM nav",
+    "current_page": f"""WITH RECURSIVE {_FOLD},
+shown AS (
+  SELECT e.session_id, e.rn, CASE WHEN e.op = 'visit' AND e.ok THEN e.url
+    WHEN e.op = 'back' AND e.ok AND len(p.stack) >= 2 THEN f.stack[-1] END AS url, e.seq
+  FROM ev e JOIN fold f ON f.session_id = e.session_id AND f.rn = e.rn JOIN fold p ON p.session_id = e.session_id AND p.rn = e.rn - 1)
+SELECT session_id, seq, last_value(url IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY rn
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS current_url FROM shown""",
     "task_status": f"WITH {_TASKS} SELECT session_id, view_id, status, CASE status WHEN 'loading' "
                    f"THEN '⏳ ' || (CASE view_id {_names} END) ELSE '✓ ' || (CASE view_id {_names} END) "
                    f"END AS label FROM st",
