@@ -176,11 +176,21 @@ def test_lines_of_split_chunks(spark):
 
 
 def test_snapshots_every_third_and_last(spark):
-    rows = [(1, i, f"l{i}\n") for i in range(7)]
+    rows = [(1, i, f"l{i}\n") for i in range(7)] + [(None, 0, "a\nb\n"), (None, 1, "\U0001f600\nd"), (2, 0, ""), (3, 0, "x\ny\nz\n")]
     df = spark.createDataFrame(rows, "conv_id long, seq long, chunk string")
-    snaps = C.snapshots(C.response_lines(df, ["conv_id"]), ["conv_id"]).orderBy("n_lines").collect()
-    assert [s.n_lines for s in snaps] == [3, 6, 7]
-    assert snaps[-1].content == "".join(f"l{i}\n" for i in range(7))
+    got = {(r.conv_id, r.n_lines): r.content for r in C.snapshots(df, ["conv_id"]).collect()}
+    want = {(1, n): "".join(f"l{i}\n" for i in range(n)) for n in (3, 6, 7)}
+    assert got == want | {(None, 3): "a\nb\n\U0001f600\n", (None, 4): "a\nb\n\U0001f600\nd", (3, 3): "x\ny\nz\n"}
+    assert C.snapshots(df.limit(0), ["conv_id"]).collect() == []
+
+
+def test_snapshots_of_a_long_response_are_offsets(spark):
+    n = 60_000
+    df = spark.range(n).select(F.lit(5).cast("long").alias("conv_id"), F.col("id").alias("seq"), F.concat(F.col("id"), F.lit("\n")).alias("chunk"))
+    at = C.snapshot_offsets(C.response_lines(df, ["conv_id"]), ["conv_id"])
+    assert at.count() == n // 3  # two numbers a snapshot; as texts these would be 3.5 GB
+    end = {r.n_lines: r.end for r in at.where("n_lines in (3, 30000, 60000)").collect()}
+    assert end == {k: sum(len(str(i)) + 1 for i in range(k)) for k in (3, 30_000, 60_000)}
 
 
 def test_drop_empty(spark):

@@ -207,8 +207,12 @@ def response_lines(spark, d):
 
 
 def snapshots(spark, d):
-    lines = C.response_lines(_chunks(spark, d), ["conv_id"])
-    return C.snapshots(lines, ["conv_id"], SNAPSHOT_EVERY)
+    return C.snapshots(_chunks(spark, d), ["conv_id"], SNAPSHOT_EVERY)
+
+
+def snapshot_offsets(spark, d):
+    """H3 as stored: where each snapshot ends in its response."""
+    return C.snapshot_offsets(C.response_lines(_chunks(spark, d), ["conv_id"]), ["conv_id"], SNAPSHOT_EVERY)
 
 
 def response_log(spark, d):
@@ -240,6 +244,7 @@ QUERIES = {
     "response_text": response_text,
     "response_lines": response_lines,
     "snapshots": snapshots,
+    "snapshot_offsets": snapshot_offsets,
     "response_log": response_log,
     "view_content_latest": view_content_latest,
 }
@@ -321,6 +326,10 @@ SELECT session_id, seq, last_value(url IGNORE NULLS) OVER (PARTITION BY session_
                  f"UNBOUNDED PRECEDING AND CURRENT ROW) AS content FROM lines) "
                  f"SELECT conv_id, n_lines, content FROM s WHERE n_lines % {SNAPSHOT_EVERY} = 0 "
                  f"OR n_lines = last_n",
+    "snapshot_offsets": f"""WITH {_LINES}, s AS (
+SELECT conv_id, line_no + 1 AS n_lines, max(line_no) OVER (PARTITION BY conv_id) + 1 AS last_n,
+  CAST(sum(length(line)) OVER (PARTITION BY conv_id ORDER BY line_no) AS BIGINT) AS "end" FROM lines)
+SELECT conv_id, n_lines, "end" FROM s WHERE n_lines % {SNAPSHOT_EVERY} = 0 OR n_lines = last_n""",
     "response_log": f"WITH {_CH}, g AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN chunk END, "
                     f"chr(10) || chr(10) ORDER BY seq) AS prompt, string_agg(CASE WHEN role <> 'user' "
                     f"THEN chunk END, '' ORDER BY seq) AS response FROM chn GROUP BY conv_id) "
