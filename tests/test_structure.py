@@ -1,5 +1,8 @@
 """Tokens, scopes, titles, main content and noise removal."""
 
+import random
+from html.parser import HTMLParser
+
 from pyspark.sql import functions as F
 
 from conftest import pages_df
@@ -115,13 +118,83 @@ def test_table_rows_rules(spark):
             "<table><tr><td>inner cell text</td></tr></table></td></tr>"
             "</table>")
     rows = [r.text for r in table_rows(pages_df(spark, [html])).orderBy("row_pos").collect()]
-    # 'abc' and 'ok' are too short; the 'Empty href' row is exactly 10 chars (must be > 10);
-    # the nested table's row is a row of its own.
+    # 'abc' and 'ok' are too short; the last row holds its nested table's cell as well.
     assert rows == ["Name | Qty | Notes here",
                     "[Long link](/item/1) | Anchor text | plain cell",
+                    "Empty href | inner cell text | inner cell text",
                     "inner cell text"]
 
 
+class _Tree(HTMLParser):
+    """Rows of nested tables from well-formed HTML, by walking a tree."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.root = ["root", {}, [], None]
+        self.at = self.root
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, dict(attrs), [], self.at]
+        self.at[2].append(node)
+        self.at = node
+
+    def handle_endtag(self, tag):
+        self.at = self.at[3]
+
+    def handle_data(self, data):
+        self.at[2].append(data)
+
+    def all(self, node, *tags):
+        for x in node[2]:
+            if not isinstance(x, str):
+                if x[0] in tags:
+                    yield x
+                yield from self.all(x, *tags)
+
+    def text(self, node):
+        return "".join(x if isinstance(x, str) else self.text(x) for x in node[2])
+
+    def rows(self):
+        out = []
+        for row in [r for t in self.all(self.root, "table") for r in self.all(t, "tr") if t is next(self.all(self.root, "table"))]:
+            items = []
+            for cell in self.all(row, "td", "th"):
+                links = list(self.all(cell, "a"))
+                for x in links or [cell]:
+                    text, href = self.text(x).strip(), x[1].get("href") or ""
+                    if len(text) > (3 if links else 2):
+                        items.append(f"[{text}]({href})" if links and href and not href.startswith("#") else text)
+            line = " | ".join(items)
+            if len(line) > 10:
+                out.append(line)
+        return out
+
+
+def test_nested_rows_equal_a_walk_of_the_tree(spark):
+    from weftview.operators.tables import table_rows
+
+    rng = random.Random(8)
+
+    def cell(depth):
+        kind = rng.random()
+        if depth < 4 and kind < 0.35:
+            return f"<td>{rng.choice(['', 'before '])}{made(depth + 1)}{rng.choice(['', ' after', '<a href="/x">next page</a>'])}</td>"
+        if kind < 0.6:
+            return f"<td><b>x</b><a href='{rng.choice(['/p', '#top', ''])}'>{rng.choice(['abc', 'long link'])}</a> tail</td>"
+        tag = rng.choice(["td", "th"])
+        return f"<{tag}>{rng.choice(['', 'ab', 'plain <i>cell</i> text', 'abc'])}</{tag}>"
+
+    def made(depth=0):
+        return "<table>" + "".join("<tr>" + "".join(cell(depth) for _ in range(rng.randint(0, 3))) + "</tr>" for _ in range(rng.randint(1, 3))) + "</table>"
+
+    pages = [f"<div>{made()}</div>" for _ in range(30)] + ["<table>" * 30 + "<tr><td>deep down here</td></tr>" + "</table>" * 30, "<tr><td>no table around it</td></tr>", "", None]
+    got = {}
+    for r in table_rows(pages_df(spark, pages)).orderBy("page_id", "row_pos").collect():
+        got.setdefault(r.page_id, []).append(r.text)
+    assert got == {i: rows for i, p in enumerate(pages) if p and (rows := _Tree(p).rows())} and len(got) > 20
+
+
 def test_response_decoding(spark):
     from weftview.sources.responses import load_pages
 

@@ -6,18 +6,18 @@ longer than 3 characters; ``[text](href)`` when href is set and not ``#...``,
 else the bare text); a cell without links contributes its stripped text when
 longer than 2 characters.
 
-Every token is assigned its innermost enclosing row, cell and link with windows
-only: the clamped running depth of each of those tags along the page, then the
-last open tag at that depth (``last_value`` over ``(page_id, depth)``).  Link
-texts, cell items and rows are ``groupBy`` aggregations on the ``page_id``
-partitioning.  Nested tables: a token belongs to its innermost row/cell, so a
-nested table's rows are rows of their own and do not repeat inside the outer
-row (the library the reference calls would repeat them).
+A cell or row holds whatever is inside it at any depth, so the cells of a nested
+table count for the rows around it as well, and their links and text for the cells
+around them.  Each token that carries something (a text, the start of a link or
+cell) is listed once for each level it is nested at; the last opened element of a
+level, a window over ``(page_id, level)``, is the one around it.  What a token costs
+is its depth.  Link texts, cell texts and rows are then ``groupBy`` aggregations on
+the ``page_id`` partitioning: no join, and no exchange behind the page shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggs import ordered_join
@@ -33,76 +33,73 @@ ROW_SEP = " | "
 _GROUPS = {"table": ("table",), "row": ("tr",), "cell": ("td", "th"), "link": ("a",)}
 
 
-def _tag_sign(names) -> F.Column:
-    return F.when(F.col("tag").isin(*names), F.col("sign")).otherwise(F.lit(0))
+def _depths(t: DataFrame) -> DataFrame:
+    """Add ``d_<group>``, how many elements of each group a token is in (stray end tags count for nothing)."""
+    run = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sign = {g: F.when(F.col("tag").isin(*names), F.col("sign")).otherwise(F.lit(0)) for g, names in _GROUPS.items()}
+    t = t.withColumns({f"s_{g}": F.sum(x).over(run) for g, x in sign.items()})
+    t = t.withColumns({f"d_{g}": F.col(f"s_{g}") - F.least(F.lit(0), F.min(f"s_{g}").over(run)) for g in _GROUPS})
+    return t.drop(*[f"s_{g}" for g in _GROUPS])
 
 
-# Groups whose innermost element is needed; for tables only the depth is used.
-_INNERMOST = ("row", "cell", "link")
+def _opens(*groups: str) -> Column:
+    return F.col("tag").isin(*(n for g in groups for n in _GROUPS[g])) & (F.col("sign") == 1)
 
 
-def innermost(t: DataFrame) -> DataFrame:
-    """Add ``d_<group>`` (clamped depth) for every group and ``in_<group>``
-    (innermost open element pos) for rows, cells and links."""
-    run = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding,
-                                                                   Window.currentRow)
-    t = t.withColumns({f"s_{g}": F.sum(_tag_sign(n)).over(run) for g, n in _GROUPS.items()})
-    t = t.withColumns({f"d_{g}": F.col(f"s_{g}") - F.least(F.lit(0), F.min(f"s_{g}").over(run))
-                       for g in _GROUPS})
-    for g in _INNERMOST:
-        names = _GROUPS[g]
-        w = Window.partitionBy("page_id", f"d_{g}").orderBy("pos").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        opened = F.when(F.col("tag").isin(*names) & (F.col("sign") == 1), F.col("pos"))
-        t = t.withColumn(f"in_{g}", F.when(F.col(f"d_{g}") > 0,
-                                          F.last(opened, ignorenulls=True).over(w)))
-    return t.drop(*[f"s_{g}" for g in _GROUPS])
+def _of(group: str, name: str):
+    return lambda x: F.struct(F.lit(group).alias("g"), x.alias(name))
+
+
+def enclosing(t: DataFrame) -> DataFrame:
+    """Tokens (text, start of a link, cell or row) with the starts of what is around them, outermost
+    first: ``rows`` (rows of tables only), ``cells``, ``links``; a start tag is inside its own element."""
+    levels = {g: F.transform(F.sequence(F.lit(1), F.col(f"d_{g}").cast("int")), _of(g, "j")) for g in ("row", "cell", "link")}
+    at = [F.when(F.col(f"d_{g}") > 0, levels[g]) for g in levels]
+    x = t.where((F.col("kind") == "text") | _opens("row", "cell", "link")).where(F.col("d_row") > 0)
+    x = x.select("page_id", "pos", "kind", "tag", "sign", "text", "href", "d_table", "d_row", "d_cell", "d_link",
+                 F.explode(F.flatten(F.filter(F.array(*at), lambda a: a.isNotNull()))).alias("at"))
+    opener = F.lit(None)
+    for g in levels:
+        here = (F.col("at.g") == g) & _opens(g) & (F.col(f"d_{g}") == F.col("at.j"))
+        opener = F.when(here, F.when(F.col("d_table") > 0, F.col("pos")).otherwise(-1)).otherwise(opener)
+    w = (Window.partitionBy("page_id", F.col("at.g"), F.col("at.j")).orderBy("pos")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    x = x.withColumn("around", F.last(opener, ignorenulls=True).over(w)).where(F.col("around") >= 0)
+    each = {f"{g}s": F.array_sort(F.collect_list(F.when(F.col("at.g") == g, F.col("around")))).alias(f"{g}s") for g in levels}
+    return x.groupBy("page_id", "pos").agg(*[F.first(c).alias(c) for c in ("kind", "tag", "sign", "text", "href")], *each.values())
 
 
 def table_rows(pages: DataFrame) -> DataFrame:
     """``pages(page_id, html)`` -> ``(page_id, row_pos, text)`` for every kept row.
 
-    One pass, no joins: each token is listed under its innermost link and its
-    innermost cell, and a single aggregation per ``(page_id, group, key)``
-    yields link texts and cell texts; the open tag of a link or cell is inside
-    its own group, so href, cell, row and table depth come from it.  Items are
-    then joined per row in order.
+    Each text is listed under the links and cells around it; one aggregation per
+    ``(page_id, group, start)`` gives their texts, and a link's or cell's own start tag, which is
+    among its tokens, what is around it.  Items are then listed under their rows and joined in order.
+    Null and empty pages, and pages without a table, give no rows.
     """
     t = tokenize(pages.select("page_id", "html"))
     t = t.withColumn("href", F.when(F.col("tag") == "a", attr_value("attrs", "href")))
-    t = innermost(t)
-    groups = F.filter(F.array(
-        F.when(F.col("in_link").isNotNull(),
-               F.struct(F.lit("link").alias("g"), F.col("in_link").alias("k"))),
-        F.when(F.col("in_cell").isNotNull(),
-               F.struct(F.lit("cell").alias("g"), F.col("in_cell").alias("k")))),
-        lambda x: x.isNotNull())
-    x = t.select("page_id", "pos", "kind", "tag", "sign", "text", "href", "in_cell", "in_row",
-                 "d_table", F.explode(groups).alias("gk"))
-    x = x.select("*", F.col("gk.g").alias("g"), F.col("gk.k").alias("k")).drop("gk")
-
-    def at_open(col: str) -> F.Column:
-        return F.max(F.when(F.col("pos") == F.col("k"), F.col(col)))
-
-    agg = x.groupBy("page_id", "g", "k").agg(
-        at_open("href").alias("href"), at_open("in_cell").alias("a_cell"),
-        at_open("in_row").alias("row_pos"), at_open("d_table").alias("d_table"),
-        F.max((F.col("tag") == "a") & (F.col("sign") == 1)).alias("has_link"),
+    x = enclosing(_depths(t))
+    under = F.concat(*[F.transform(F.col(f"{g}s"), _of(g, "k")) for g in ("link", "cell")])
+    x = x.select("page_id", "pos", "kind", "text", "href", "rows", "cells", _opens("link").alias("is_link"), F.explode(under).alias("under"))
+
+    def at_open(col: str) -> Column:
+        return F.max_by(F.col(col), F.when(F.col("pos") == F.col("under.k"), 1)).alias(col)
+
+    agg = x.groupBy("page_id", "under.g", "under.k").agg(
+        at_open("href"), at_open("cells"), at_open("rows"), F.max("is_link").alias("has_link"),
         ordered_join("text", ["pos"], "", F.col("kind") == "text").alias("txt"))
     txt = trim_ws(F.coalesce(F.col("txt"), F.lit("")))
     href = F.coalesce(F.col("href"), F.lit(""))
     link_item = F.when(F.length(txt) > LINK_MIN,
                        F.when((href != "") & ~href.startswith("#"),
                               F.concat(F.lit("["), txt, F.lit("]("), href, F.lit(")"))).otherwise(txt))
-    cell_item = F.when(F.length(txt) > CELL_MIN, txt)
+    cell_item = F.when(~F.col("has_link") & (F.length(txt) > CELL_MIN), txt)
     is_link = F.col("g") == "link"
-    items = agg.select(
-        "page_id", "row_pos", "d_table", F.col("k").alias("item_pos"),
-        F.when(is_link, F.col("a_cell")).otherwise(F.col("k")).alias("cell"),
-        F.when(is_link & F.col("a_cell").isNotNull(), link_item)
-        .when(~is_link & ~F.col("has_link"), cell_item).alias("item"))
-    items = items.where(F.col("item").isNotNull() & F.col("row_pos").isNotNull() & (F.col("d_table") > 0))
-    rows = items.groupBy("page_id", "row_pos").agg(
+    items = agg.select("page_id", F.col("k").alias("item_pos"), "rows", F.when(is_link, link_item).otherwise(cell_item).alias("item"),
+                       F.explode(F.when(is_link, F.col("cells")).otherwise(F.array("k"))).alias("cell"))
+    items = items.where(F.col("item").isNotNull()).select("page_id", "item_pos", "item", "cell", F.explode("rows").alias("row_pos"))
+    rows = items.where(F.col("row_pos") < F.col("cell")).groupBy("page_id", "row_pos").agg(
         ordered_join("item", ["cell", "item_pos"], ROW_SEP).alias("text"))
     return rows.where(F.length("text") > ROW_MIN).select(
         "page_id", F.col("row_pos").cast("long").alias("row_pos"), "text")

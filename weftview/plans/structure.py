@@ -256,39 +256,31 @@ def _table_rows_sql() -> str:
     sums = ",\n  ".join(f"sum(CASE WHEN tag IN ({tags(n)}) THEN sign ELSE 0 END) OVER {run} AS s_{g}"
                          for g, n in groups.items())
     depths = ",\n  ".join(f"s_{g} - least(0, min(s_{g}) OVER {run}) AS d_{g}" for g in groups)
-    inner = ",\n  ".join(
-        f"CASE WHEN d_{g} > 0 THEN last_value(CASE WHEN tag IN ({tags(n)}) AND sign = 1 THEN pos END "
-        f"IGNORE NULLS) OVER (PARTITION BY page_id, d_{g} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING "
-        f"AND CURRENT ROW) END AS in_{g}" for g, n in groups.items())
-
-    def at_open(key, col):
-        return f"max(CASE WHEN pos = {key} THEN {col} END)"
-
-    lt = trim_ws_sql("coalesce(a_text, '')")
-    ct = trim_ws_sql("coalesce(c_text, '')")
+    spans = " UNION ALL ".join(
+        f"SELECT o.page_id, {lit(g)} AS g, o.pos, o.href, o.d_table, coalesce(min(c.pos), 1e9) AS stop FROM ti o LEFT JOIN ti c "
+        f"ON c.page_id = o.page_id AND c.pos > o.pos AND c.d_{g} < o.d_{g} WHERE o.tag IN ({tags(n)}) AND o.sign = 1 GROUP BY ALL"
+        for g, n in groups.items() if g != "table")
+    text = trim_ws_sql("coalesce(txt, '')")
     href = "coalesce(href, '')"
     return f"""WITH {S.tokens_ctes(_TABLE_PAGES)},
 tt AS (SELECT *, CASE WHEN tag = 'a' THEN {S.attr_value_sql('attrs', 'href')} END AS href FROM tokens),
 ti1 AS (SELECT *, {sums} FROM tt),
-ti2 AS (SELECT *, {depths} FROM ti1),
-ti AS (SELECT *, {inner} FROM ti2),
-lk AS (SELECT page_id, in_link AS item_pos, {at_open('in_link', 'href')} AS href,
-  {at_open('in_link', 'in_cell')} AS cell, {at_open('in_link', 'in_row')} AS row_pos,
-  {at_open('in_link', 'd_table')} AS d_table,
-  string_agg(CASE WHEN kind = 'text' THEN text END, '' ORDER BY pos) AS a_text
-  FROM ti WHERE in_link IS NOT NULL GROUP BY page_id, in_link),
-li AS (SELECT page_id, row_pos, cell, item_pos, d_table,
-  CASE WHEN length({lt}) > {LINK_MIN} THEN (CASE WHEN {href} <> '' AND NOT starts_with({href}, '#')
-  THEN '[' || {lt} || '](' || {href} || ')' ELSE {lt} END) END AS item FROM lk WHERE cell IS NOT NULL),
-ce AS (SELECT page_id, in_cell AS cell, {at_open('in_cell', 'in_row')} AS row_pos,
-  {at_open('in_cell', 'd_table')} AS d_table, bool_or(tag = 'a' AND sign = 1) AS has_link,
-  string_agg(CASE WHEN kind = 'text' THEN text END, '' ORDER BY pos) AS c_text
-  FROM ti WHERE in_cell IS NOT NULL GROUP BY page_id, in_cell),
-cei AS (SELECT page_id, row_pos, cell, cell AS item_pos, d_table,
-  CASE WHEN length({ct}) > {CELL_MIN} THEN {ct} END AS item FROM ce WHERE NOT has_link),
-items AS (SELECT * FROM li UNION ALL SELECT * FROM cei),
-rw AS (SELECT page_id, row_pos, string_agg(item, {lit(ROW_SEP)} ORDER BY cell, item_pos) AS text
-  FROM items WHERE item IS NOT NULL AND row_pos IS NOT NULL AND d_table > 0 GROUP BY page_id, row_pos)
+ti AS MATERIALIZED (SELECT *, {depths} FROM ti1),
+el AS MATERIALIZED ({spans}),
+tx AS (SELECT e.page_id, e.g, e.pos, any_value(e.href) AS href, string_agg(t.text, '' ORDER BY t.pos) AS txt
+  FROM el e LEFT JOIN ti t ON t.page_id = e.page_id AND t.pos > e.pos AND t.pos < e.stop AND t.kind = 'text' GROUP BY e.page_id, e.g, e.pos),
+ce AS (SELECT c.page_id, c.pos AS cell, c.stop, bool_or(l.pos IS NOT NULL) AS has_link FROM el c LEFT JOIN el l
+  ON l.page_id = c.page_id AND l.g = 'link' AND l.pos > c.pos AND l.pos < c.stop WHERE c.g = 'cell' GROUP BY ALL),
+items AS (
+  SELECT ce.page_id, cell, x.pos AS item_pos, CASE WHEN length({text}) > {LINK_MIN} THEN (CASE WHEN {href} <> '' AND NOT starts_with({href}, '#')
+    THEN '[' || {text} || '](' || {href} || ')' ELSE {text} END) END AS item
+  FROM ce JOIN tx x ON x.page_id = ce.page_id AND x.g = 'link' AND x.pos > cell AND x.pos < stop
+  UNION ALL
+  SELECT ce.page_id, cell, cell, CASE WHEN length({text}) > {CELL_MIN} THEN {text} END
+  FROM ce JOIN tx x ON x.page_id = ce.page_id AND x.g = 'cell' AND x.pos = cell WHERE NOT has_link),
+rw AS (SELECT r.page_id, r.pos AS row_pos, string_agg(item, {lit(ROW_SEP)} ORDER BY cell, item_pos) AS text
+  FROM el r JOIN items i ON i.page_id = r.page_id AND i.cell > r.pos AND i.cell < r.stop
+  WHERE r.g = 'row' AND r.d_table > 0 AND item IS NOT NULL GROUP BY r.page_id, r.pos)
 SELECT page_id, row_pos::BIGINT AS row_pos, text FROM rw WHERE length(text) > {ROW_MIN}"""
 
 
