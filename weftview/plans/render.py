@@ -10,9 +10,11 @@ from ..functions.sqltext import lit
 from ..functions.text import escape_markup, escape_markup_sql, truncate, truncate_sql
 from ..operators import markdown as M
 from ..operators.content import page_title_agg
-from ..sources.tables import pages, table
+from ..sources.responses import load_pages
+from ..sources.tables import table
 from . import sql_structure as S
-from .structure import structure
+from .structure import ORACLE as STRUCTURE_ORACLE
+from .structure import stored_responses, structure
 
 
 def rendered(spark: SparkSession, d: str, view: str, max_chars=None) -> DataFrame:
@@ -106,10 +108,8 @@ ERROR_PAGE = "## ❌ Error parsing HTML\n\n```\n{}\n```"
 
 def page_errors(spark, d):
     """A page that cannot be converted becomes an error page, not a failure."""
-    p = pages(spark, d, "page_id", "url", "html")
-    return (p.where(F.col("html").isNull())
-            .select("page_id", "url",
-                    F.lit(ERROR_PAGE.format("no HTML to convert")).alias("markdown")))
+    failed = load_pages(stored_responses(spark, d)).where(F.col("html").isNull())
+    return failed.select("page_id", "url", F.format_string(ERROR_PAGE.replace("{}", "%s"), F.col("reason")).alias("markdown"))
 
 
 QUERIES = {
@@ -168,6 +168,5 @@ ORACLE = {
                      f"length({truncate_sql('text', 'max_chars')})::BIGINT AS n_chars "
                      f"FROM documents, (SELECT unnest([{_LIMITS_SQL}]) AS max_chars)",
     "escape_markup": f"SELECT doc_id, {escape_markup_sql('text')} AS escaped FROM documents",
-    "page_errors": f"SELECT page_id, url, {lit(ERROR_PAGE.format('no HTML to convert'))} AS markdown "
-                   f"FROM pages WHERE html IS NULL",
+    "page_errors": f"SELECT page_id, url, replace({lit(ERROR_PAGE)}, '{{}}', reason) AS markdown FROM ({STRUCTURE_ORACLE['page_rejects']})",
 }

@@ -31,27 +31,36 @@ def page_scan(spark, d):
             .select("page_id", "url", F.length("html").cast("long").alias("n_chars")))
 
 
-def page_rejects(spark, d):
-    p = pages(spark, d, "page_id", "url", "html")
-    return (p.where(F.col("html").isNull() | (F.col("html") == ""))
-            .select("page_id", "url",
-                    F.concat(F.lit("Failed to load "), F.coalesce("url", F.lit(""))).alias("message")))
+# --- A1-A3: responses as a crawler stores them -----------------------------------
 
+# --- fixed values: what a page's response is like, by page_id ----------------------
+DECLARED_CHARSETS = (None, "utf-8", "ISO-8859-1", "ascii", "windows-1252")
+STORED_AS = ("UTF-8", "UTF-8", "ISO-8859-1", "UTF-8", "ISO-8859-1")
+NO_BODY, EMPTY, NOT_FOUND = 3, 5, 7  # of page_id modulo FAILS
+FAILS = 10
 
-# --- A2: bodies as a crawler stores them, decoded back -------------------------
 
-# --- fixed values: declared charsets given to the stored bodies, in turn --------
-DECLARED_CHARSETS = (None, "utf-8", "ISO-8859-1", "ascii")
+def stored_responses(spark, d) -> DataFrame:
+    """Each page as a stored response: a body in some charset (declared, not declared or declared
+    as servers do by default; every `e` accented, so that bytes matter), some of them failed."""
+    p = pages(spark, d, "page_id", "url", "html")
+    k = F.pmod(F.col("page_id"), F.lit(len(DECLARED_CHARSETS)))
+    fail = F.pmod(F.col("page_id"), F.lit(FAILS))
+    cs = F.element_at(F.array(*[F.lit(c).cast("string") for c in DECLARED_CHARSETS]), (k + 1).cast("int"))
+    html = F.translate("html", "e", "é")
+    latin = k.isin(*[i for i, c in enumerate(STORED_AS) if c != "UTF-8"])
+    body = F.when(fail == EMPTY, F.lit(b"")).when(fail != NO_BODY, F.when(latin, F.encode(html, "ISO-8859-1")).otherwise(F.encode(html, "UTF-8")))
+    return p.select("page_id", "url", F.when(fail == NOT_FOUND, 404).otherwise(200).alias("status"), cs.alias("charset"), body.alias("body"))
+
+
+def page_rejects(spark, d):
+    """A3: responses that gave no page, with the reason and the message shown."""
+    return load_pages(stored_responses(spark, d)).where(~F.col("ok")).select("page_id", "url", "reason", "message")
 
 
 def charset_decode(spark, d):
-    """A1-A3 over each page stored as a UTF-8 body with a declared charset."""
-    p = pages(spark, d, "page_id", "url", "html")
-    cs = F.element_at(F.array(*[F.lit(c).cast("string") for c in DECLARED_CHARSETS]),
-                      (F.pmod(F.col("page_id"), F.lit(len(DECLARED_CHARSETS))) + 1).cast("int"))
-    resp = p.select("page_id", "url", F.lit(200).alias("status"), cs.alias("charset"),
-                    F.encode("html", "UTF-8").alias("body"))
-    return load_pages(resp).select("page_id", "url", "charset", "ok", "html")
+    """A1, A2: the pages of the responses that loaded, decoded."""
+    return load_pages(stored_responses(spark, d)).select("page_id", "url", "charset", "ok", "html")
 
 
 # --- C1-C5 --------------------------------------------------------------------
@@ -206,8 +215,6 @@ def _per_page_sql(cols: str) -> str:
 ORACLE = {
     "page_scan": "SELECT page_id, url, length(html)::BIGINT AS n_chars FROM pages "
                  "WHERE html IS NOT NULL AND html <> ''",
-    "page_rejects": "SELECT page_id, url, 'Failed to load ' || coalesce(url, '') AS message "
-                    "FROM pages WHERE html IS NULL OR html = ''",
     "html_tokens": f"WITH {S.tokens_ctes()}\nSELECT page_id, pos::BIGINT AS pos, kind, tag, "
                    f"sign::BIGINT AS sign, length(tok)::BIGINT AS tok_len, "
                    f"tlen::BIGINT AS text_len FROM tokens",
@@ -287,6 +294,13 @@ SELECT page_id, row_pos::BIGINT AS row_pos, text FROM rw WHERE length(text) > {R
 ORACLE["table_rows"] = _table_rows_sql()
 
 _CS_LIST = "[" + ", ".join("NULL" if c is None else lit(c) for c in DECLARED_CHARSETS) + "]::VARCHAR[]"
+_REASON = (f"CASE WHEN page_id % {FAILS} = {NOT_FOUND} THEN 'HTTP 404' WHEN page_id % {FAILS} = {NO_BODY} OR html IS NULL THEN 'no response' "
+           f"WHEN page_id % {FAILS} = {EMPTY} OR html = '' THEN 'empty page' END")
+ORACLE["page_rejects"] = (f"SELECT page_id, url, {_REASON} AS reason, 'Failed to load ' || coalesce(url, '') AS message "
+                          f"FROM pages WHERE {_REASON} IS NOT NULL")
+_LATIN = ", ".join(str(i) for i, c in enumerate(STORED_AS) if c != "UTF-8")
+_STORED_HTML = (f"CASE WHEN page_id % {len(STORED_AS)} IN ({_LATIN}) THEN regexp_replace(replace(html, 'e', 'é'), '[^\\x{{00}}-\\x{{FF}}]', '?', 'g') "
+                "ELSE replace(html, 'e', 'é') END")
 ORACLE["charset_decode"] = (
     f"SELECT page_id, url, ({_CS_LIST})[(page_id % {len(DECLARED_CHARSETS)}) + 1] AS charset, "
-    f"coalesce(html <> '', false) AS ok, CASE WHEN html <> '' THEN html END AS html FROM pages")
+    f"{_REASON} IS NULL AS ok, CASE WHEN {_REASON} IS NULL THEN {_STORED_HTML} END AS html FROM pages")

@@ -3,11 +3,13 @@
 ``responses(url, status, charset, body BINARY)``: an error status (>= 400) or a
 missing body is a failed load.  The declared charset is kept unless it is
 missing, ASCII or ISO-8859-1 (values servers often send by default); then the
-bytes are checked: valid UTF-8 is read as UTF-8, anything else as ISO-8859-1.
-A declared UTF-8 body with bad sequences gets U+FFFD replacements.  Any other
-declared charset is decoded by Python's codecs in Arrow batches, bad sequences
-replaced; only those rows' bodies go there.  A charset that no codec knows counts as
-not declared.
+bytes are checked: valid UTF-8 is read as UTF-8, and for anything else the charset
+is detected (``charsets``).  A declared UTF-8 body with bad sequences gets U+FFFD
+replacements.  Any other declared charset is decoded by Python's codecs, bad
+sequences replaced; one that no codec knows counts as not declared.
+
+UTF-8 bodies are decoded in the JVM.  The rest, few rows of a crawl, go to Python
+in Arrow batches; other rows send nulls there, not their bodies.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .charsets import detected_text
+
 # --- fixed values: charsets treated as "not really declared" -------------------
 SUSPECT_CHARSETS = ("", "ISO-8859-1", "LATIN-1", "LATIN1", "ASCII", "US-ASCII")
 UTF8_NAMES = ("UTF-8", "UTF8")
@@ -25,25 +29,25 @@ def _charset(c: Column) -> Column:
 
 
 def _by_codec(body: bytes | None, charset: str | None) -> str | None:
-    """The body read by a named codec, bad sequences replaced; None for an unknown name."""
+    """The body read by the named codec, else by the detected one."""
     if body is None:
         return None
     try:
-        return bytes(body).decode(charset or "", "replace")
-    except (LookupError, ValueError):
-        return None
+        return bytes(body).decode(charset, "replace") if charset else detected_text(bytes(body))
+    except (LookupError, ValueError):  # not a charset's name
+        return detected_text(bytes(body))
 
 
 def decode_body(body: Column, charset: Column) -> Column:
-    """A2: the body as text."""
+    """A2: the body as text; NULL for no body."""
     cs = _charset(charset)
     as_text = body.cast("string")
-    detected = F.when(F.is_valid_utf8(as_text), as_text).otherwise(F.decode(body, "ISO-8859-1"))
-    other = ~cs.isin(*SUSPECT_CHARSETS, *UTF8_NAMES)
-    decoded = F.udf(_by_codec, "string", useArrow=True)(F.when(other, body), F.when(other, cs))
+    suspect, declared_utf8 = cs.isin(*SUSPECT_CHARSETS), cs.isin(*UTF8_NAMES)
+    python = ~declared_utf8 & ~(suspect & F.is_valid_utf8(as_text))
+    decoded = F.udf(_by_codec, "string", useArrow=True)(F.when(python, body), F.when(python & ~suspect, cs))
     return (F.when(body.isNull(), F.lit(None).cast("string"))
-            .when(cs.isin(*UTF8_NAMES), F.make_valid_utf8(as_text))
-            .when(other, F.coalesce(decoded, detected)).otherwise(detected))
+            .when(declared_utf8, F.make_valid_utf8(as_text))
+            .when(python, decoded).otherwise(as_text))
 
 
 def load_pages(responses: DataFrame) -> DataFrame:
