@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -233,6 +235,46 @@ def test_secrets_base_and_links(spark):
     assert secrets.secret_spans(spark.createDataFrame([], DOC)).count() == 0
 
 
+OLD_ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+.-]*://[^\s"'<>]+|\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?|[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5})\b""", re.I | re.A)
+
+
+@given(st.lists(st.sampled_from(["http://a.b/c", "://", "a.b", "x.y.z:8080", ":80", "10.0.0.1", "10.0.0.1:99", " ", " ", ".", "..", "-", "_", "é", "s3+x", "/p?q", '"', "12"]), max_size=9))
+@settings(max_examples=600, deadline=None)
+def test_endpoints_are_those_of_one_pattern(parts):
+    """Apart from matches that only begin inside or behind another's end, where the longer one is kept."""
+    text = "".join(parts)
+    got, want = secrets.endpoints(text), [m.span() for m in OLD_ENDPOINT.finditer(text)]
+    for a, b in want:
+        assert any(x <= a and b <= y or a < y and x < b and (x, y) != (a, b) for x, y in got), (text, got, want)
+    for x, y in got:
+        assert OLD_ENDPOINT.fullmatch(text, x, y), (text, got)
+
+
+@pytest.mark.parametrize("text", ["a." * 500_000, "a-" * 500_000, "foo.bar+baz-" * 80_000, "key" + " " * 1_000_000, "key  " * 200_000, "a.a://" * 160_000, "a" * 1_000_000 + "://",
+                                  "a.b:80" * 160_000, "://." * 250_000, "1.1.1.1" * 140_000, "user=" * 200_000, ":80" * 330_000, "a" * 1_000_000, "bearer " * 140_000,
+                                  "password" * 120_000, "token " + " " * 1_000_000, "a.b" * 300_000 + ":8080"])
+def test_secret_patterns_are_linear(text):
+    began = time.time()
+    secrets.weak_spans(text, secrets.base_spans(text))
+    assert time.time() - began < 4
+
+
+def test_planted_credentials_are_linked(spark):
+    """Parts of one credential at random gaps in prose: all links and no other, and no weak part by itself."""
+    rng = random.Random(6)
+    prose = "the quick note says that nothing of this is of any interest to people who read it "
+    weak = [("login", "user: alice7"), ("endpoint", "db.example.com:5432"), ("endpoint", "https://example.org/v1"), ("loose", "bearer abcdefgh99")]
+    docs, want = [], []
+    for _ in range(80):
+        (k1, a), (k2, b) = rng.sample(weak, 2)
+        gap, line = rng.choice([1, 50, 300, 500]), rng.choice([" ", "\n", "\n\n"])
+        docs.append(f"{prose}{a} {'x' * gap}{line}{b} {prose}")
+        near = gap + len(line) + 1 <= secrets.REACH and line != "\n\n"
+        want.append({k1, k2} if near and (k1 == "loose") != (k2 == "loose") else set())
+    got = {r.doc_id: {s.split(":")[0] for s in r.spans.split(",") if s} for r in secrets.secret_spans(spark.createDataFrame(list(enumerate(docs)), DOC)).collect()}
+    assert [got[i] for i in range(len(docs))] == want and sum(map(bool, want)) > 15
+
+
 def test_long_weak_parts_are_linked_on_both_sides(spark):
     token = "bearer " + "Ab3" * 667
     docs = [t for gap in (1, 399) for k in (0, 150, 399)

@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +36,15 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a run that is shorter fails whole
 ASSIGN_MIN, ACCESS_MIN = 12, 18
 
 LOGIN = re.compile(r"""\b(user(?:name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{3,})""", re.I | re.A)
-LOOSE = re.compile(r"""\b(pwd|pass|auth|key|credentials?|bearer)["']?\x20*[:= ]\x20*["']?([A-Za-z0-9+/_.=-]{8,})""", re.I | re.A)
+LOOSE = re.compile(r"""\b(pwd|pass|auth|key|credentials?|bearer)["']?(?:\x20*+[:=]\x20*+|\x20++)["']?([A-Za-z0-9+/_.=-]{8,})""", re.I | re.A)
 MIXED = re.compile(r"(?<![A-Za-z0-9+/_])(?=[A-Za-z+/_]*[0-9])[A-Za-z0-9+/_]{20,}", re.A)
-ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+.-]*://[^\s"'<>]+|\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?|[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5})\b""", re.I | re.A)
+# An endpoint is found from its middle: what stands before `://` or `:port` is a run of characters read once.
+URL = re.compile(r"""://[^\s"'<>]+\b""", re.A)
+PORT = re.compile(r":\d{2,5}\b", re.A)
+ADDRESS = re.compile(r"\b\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?\b", re.A)
+HOST_CHARS = string.ascii_letters + string.digits + ".-"
+SCHEME = re.compile(r"\b[a-z]", re.I | re.A)
+WORD_START = re.compile(r"\b[a-z0-9-]", re.I | re.A)
 BLANK = re.compile(r"\n[^\S\n]*\n")
 
 ORDER = {"assign": 0, "access": 1, "hex": 2, "login": 3, "loose": 4, "endpoint": 5}
@@ -51,11 +59,56 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], ORDER[s[2]], s[1]))
 
 
+def _before(text: str, chars: str, low: int, end: int) -> int:
+    """Where the run of `chars` begins that ends at `end`, `low` at least."""
+    step = 64
+    while low < (a := max(low, end - step)) and not text[a:end].rstrip(chars):
+        step *= 2
+    return a + len(text[a:end].rstrip(chars))
+
+
+def _host(text: str, low: int, colon: int) -> int | None:
+    """Where the host begins that stands before a colon, in the run from `low`: the first word of two or more."""
+    low = max(low, text.rfind("..", low, colon) + 1)
+    at = WORD_START.search(text, low + text.startswith(".", low, colon), colon)
+    if at and text[colon - 1] != "." and text.find(".", at.start(), colon) > at.start():
+        return at.start()
+    return None
+
+
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """URLs, hosts with a port and IPv4 addresses, the first ones where they overlap; at one place in that order."""
+    found = [(m.start(), 1, m.end(), 0) for m in ADDRESS.finditer(text)]
+    done, at = 0, text.find("://")
+    while at >= 0:
+        first = SCHEME.search(text, _before(text, HOST_CHARS + "+", done, at), at)
+        if m := first and URL.match(text, at):
+            found.append((first.start(), 0, m.end(), 0))
+            done = m.end()
+        at = text.find("://", max(done, at + 3))
+    done = 0
+    for m in PORT.finditer(text):
+        a = _host(text, _before(text, HOST_CHARS, done, m.start()), m.start())
+        if a is not None:
+            found.append((a, 2, m.end(), m.start()))
+        done = m.end()
+    heapify(found)
+    out: list[tuple[int, int]] = []
+    while found:
+        a, kind, b, colon = heappop(found)
+        end = out[-1][1] if out else 0
+        if a >= end:
+            out.append((a, b))
+        elif kind == 2 and end < colon and (a := _host(text, end, colon)) is not None:
+            heappush(found, (a, kind, b, colon))  # what is left of it
+    return out
+
+
 def weak_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     found = [(*m.span(), "login") for m in LOGIN.finditer(text)] + [(*m.span(), "loose") for m in LOOSE.finditer(text)]
     found += [(*m.span(), "loose") for m in MIXED.finditer(text)
               if re.search(r"[A-Z]", m[0]) and re.search(r"[a-z]", m[0]) and len(set(m[0])) >= 10]
-    found += [(*m.span(), "endpoint") for m in ENDPOINT.finditer(text)]
+    found += [(*s, "endpoint") for s in endpoints(text)]
     merged: list[list[int]] = []  # base spans may overlap one another
     for a, b, _ in base:
         if merged and a < merged[-1][1]:
@@ -118,7 +171,7 @@ def secret_spans(docs: DataFrame, reach: int = REACH) -> DataFrame:
     every = F.split(F.concat_ws(",", F.nullif("base", F.lit("")), "weak"), ",")
     keyed = F.transform(every, lambda s: F.struct(F.split(s, ":")[1].cast("long").alias("a"), order[F.split(s, ":")[0]].alias("k"),
                                                   F.split(s, ":")[2].cast("long").alias("b"), s.alias("s")))
-    return (found.drop("parts").join(small(more), "row", "left")
+    return (found.drop("parts").join(small(saved(more)), "row", "left")
             .select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
                     F.when(F.col("weak").isNull(), F.col("base"))
                     .otherwise(F.array_join(F.transform(F.array_sort(keyed), lambda x: x["s"]), ",")).alias("spans")))
