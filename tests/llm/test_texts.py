@@ -346,6 +346,47 @@ def test_a_stock_phrase_is_no_leak(spark):
     assert set(_leaks(spark, docs, items)) == {(7, 0), (8, 1), (9, 1)}
 
 
+def test_glued_units_and_number_words_are_slots(spark):
+    items = ["A box weighs 12kg and a crate weighs 30kg, find the total?", "If twelve apples lie in a bowl and five are eaten, how many apples are left in it?",
+             "The tank holds 40 liters and loses 3 liters a day, when is it empty?"]
+    same = ["A box weighs 15kg and a crate weighs 44kg, find the total?", "A box weighs 15 kg and a crate weighs 44 KG, find the total?",
+            "If seven apples lie in a bowl and two are eaten, how many apples are left in it?", "If 7 apples lie in a bowl and 2 are eaten, how many apples are left in it?",
+            "the tank holds 55liters and loses nine liters a day, when is it empty?"]
+    other = ["A box weighs 15kg and a crate weighs 15mm, find the way home again?", "If kg12 and 12x lie in a bowl and all are eaten, nothing is left", "a12kg b30kg"]
+    got = _leaks(spark, [f"some words. {s} more words" for s in same + other], items)
+    assert set(got) == {(0, 0), (1, 0), (2, 1), (3, 1), (4, 2)}
+    assert all(r.n_changed >= 2 for r in got.values())
+
+
+def _slow_leaks(docs, items):
+    """Documents that hold a whole item, word for word, by plain Python."""
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    return {(d, i) for d, t in enumerate(docs) for i, s in enumerate(items) if f" {' '.join(words(s))} " in f" {' '.join(words(t))} "}
+
+
+def test_whole_items_of_the_given_tables_are_found_in_prose(spark):
+    sf = "/root/testdata/sf0.001"
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").limit(120).collect()]
+    prose = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 3000").orderBy("doc_id").collect()]
+    rng = random.Random(9)
+    docs = []
+    for k, t in enumerate(prose):
+        cut = rng.randrange(len(t) + 1)
+        docs.append(f"{t[:cut]} {items[k % len(items)]} {t[cut:]}" if k % 2 else t)
+    want = _slow_leaks(docs, items)
+    assert len(want) >= len(prose) // 2 and want <= set(_leaks(spark, docs, items))
+
+
+def test_leaks_of_a_long_text_repeated_rows_and_clashing_names(spark):
+    item = "If the farmer sells twelve apples and the baker buys thirty pears, how much fruit is left before noon?"
+    long = "plain words go on and on " * 40_000 + item
+    rows = [(1, long), (1, long), (2, item), (2, item), (None, item), (3, ""), (3, None), (3, item + " " + item)]
+    docs = spark.createDataFrame([(*r, 0, ["x"], 7) for r in rows], DOC + ", row int, words array<string>, item int")
+    b = spark.createDataFrame([(0, item, "k"), (0, item, "k"), (None, item, "k"), (5, None, "k")], "item_id long, text string, key string")
+    got = {(r.doc_id, r.item_id): r.first_token for r in decontam.leaks(docs, b).collect()}
+    assert got == {(1, 0): 240_000, (2, 0): 0, (3, 0): 0}  # the first of equal alignments
+
+
 def test_items_leak_in_any_case(spark):
     item = "If farmer Smith gave Jones 12 kg of pears then Baker and Smith owe Jones 7 more"
     docs = [" ".join(["pad"] * k) + f" {s} tail words" for s in (item.lower(), item.upper(), item.title(), item.replace("Smith", "Miller")) for k in range(6)]

@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions alone.
 
-A text's canonical tokens: numbers, units behind a number and names (capitalised words inside a
+A text's canonical tokens: numbers (in digits, also with a unit right behind them, or as words), units behind a number and names (capitalised words inside a
 sentence) become typed slots `<num:..>`, `<unit:..>`, `<name:..>` that remember their value; the
 rest is lower-cased and punctuation dropped.  A template is a window of WINDOW tokens with the
 values left out.  Names are known by their case only, so there is a second
@@ -36,14 +36,23 @@ UNITS = ("percent|mg|g|kg|t|lb|lbs|oz|mm|cm|m|km|ft|feet|foot|inch|inches|mile|m
          "ghz|b|kb|mb|gb|tb|mph|kmh|usd|eur|dollar|dollars|euro|euros|cent|cents|pound|pounds|degree|degrees")
 
 
+# Number words.
+NUMBERS = ("one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|"
+           "twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion|dozen")
+
+#: Places of a bit field that tells which two tokens some window begins with.
+FIELD = 1 << 17
+
+
 def canonical(text: Column) -> Column:
     """The text's canonical tokens, each followed by one space."""
     t = F.translate(F.coalesce(text, F.lit("")), "<> \n\r\t", "      ")
     t = F.replace(t, F.lit("%"), F.lit(" percent "))
     t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )(\p{Lu}\p{L}*)(?![\p{L}\p{N}])", "<name:$1>")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}:.,])([0-9]+(?:[.,][0-9]+)*)(?![\p{L}\p{N}])", "<num:$1>")
-    t = F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}<>:.,]+|[.,:]+(?![^<> ]*>)", " ")
-    t = F.regexp_replace(t, rf"(<num:[^ >]*>) +({UNITS})(?= )", "$1 <unit:$2>")
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}:.,])([0-9]+(?:[.,][0-9]+)*)(?:(?![\p{{L}}\p{{N}}])|(?=(?i:{UNITS})(?![\p{{L}}\p{{N}}])))", "<num:$1>")
+    t = F.concat(F.lit(" "), F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}<>:.,]+|[.,:]+(?![^<> ]*>)", " "), F.lit(" "))
+    t = F.regexp_replace(t, rf" (?=[bdefhmnost])({NUMBERS})(?= )", " <num:$1>")
+    t = F.regexp_replace(t, rf"(<num:[^ >]*>) *({UNITS})(?= )", "$1 <unit:$2>")
     return F.concat(F.trim(F.regexp_replace(t, " +|(?<=>)(?=[^ ])|(?<=[^ ])(?=<)", " ")), F.lit(" "))
 
 
@@ -64,12 +73,29 @@ def _templates(words: Column, named: bool) -> Column:
     return F.transform(words, lambda x: F.xxhash64(word(x).otherwise(x)))
 
 
-def _keys(hashes: Column, n: int, other: Column | None = None) -> Column:
-    """(at, key) of each `n` successive words; no key where `other` has the same one."""
-    of = lambda h, i: F.xxhash64(*(F.get(h, i + j) for j in range(n)))
-    new = lambda i: of(hashes, i) if other is None else F.nullif(of(hashes, i), of(other, i))
-    key = lambda i: F.struct(i.alias("at"), new(i).alias("key"))
-    return F.when(F.size(hashes) >= n, F.transform(F.sequence(F.lit(0), F.size(hashes) - n), key)).otherwise(F.array().cast("array<struct<at:int,key:bigint>>"))
+def _key(hashes: Column, i: Column, n: int) -> Column:
+    return F.xxhash64(*(F.get(hashes, i + j) for j in range(n)))
+
+
+_KEYS = "array<struct<at:int,key:bigint>>"
+
+
+def _keys(hashes: Column, n: int) -> Column:
+    """(at, key) of each `n` successive words."""
+    key = lambda i: F.struct(i.alias("at"), _key(hashes, i, n).alias("key"))
+    return F.when(F.size(hashes) >= n, F.transform(F.sequence(F.lit(0), F.size(hashes) - n), key)).otherwise(F.array().cast(_KEYS))
+
+
+def _beginning(hashes: Column, field: Column) -> Column:
+    """The places whose two words some window may begin with, by the bit field."""
+    marked = lambda i: F.substring(field, F.pmod(_key(hashes, i, 2), F.lit(FIELD)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+    return F.when(F.size(hashes) >= 2, F.filter(F.sequence(F.lit(0), F.size(hashes) - 2), marked)).otherwise(F.array().cast("array<int>"))
+
+
+def _keys_at(places: Column, hashes: Column, n: int, other: Column | None = None) -> Column:
+    """(at, key) of the windows of `n` words at the places; no key where `other` has the same one."""
+    key = lambda i: _key(hashes, i, n) if other is None else F.nullif(_key(hashes, i, n), _key(other, i, n))
+    return F.transform(F.filter(places, lambda i: i + n <= F.size(hashes)), lambda i: F.struct(i.alias("at"), key(i).alias("key")))
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -89,12 +115,13 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, literals: int = LI
         keys = F.lit(None)
         for k in range(1, window + 1):
             keys = F.when(n == k, _keys(F.col(hashes), k)).otherwise(keys)
-        wins = items.select("item", "words", "tokens", n.alias("n"), F.inline(keys))
+        wins = items.select("item", "words", "tokens", n.alias("n"), F.col(hashes).alias("h"), F.inline(keys))
+        wins = wins.withColumn("mark", F.when(F.col("n") >= 2, F.pmod(_key(F.col("h"), F.col("at"), 2), F.lit(FIELD))))
         wins = wins.withColumn("plain", F.size(F.filter(F.slice("words", F.col("at") + 1, F.col("n")), lambda x: ~x.rlike(slot))))
         best = (wins.groupBy("item").agg(F.max(F.struct("plain", -F.col("at"))).alias("b"))
                 .select("item", (F.col("b.plain") >= literals).alias("rich"), (-F.col("b.col2")).alias("first")))
         return (wins.join(best, "item").where((F.col("plain") >= literals) | ~F.col("rich") & (F.col("at") == F.col("first")))
-                .select("item", "tokens", "at", "n", "key", (F.col("rich") & (F.col("n") == window)).alias("sure")))
+                .select("item", "tokens", "at", "n", "key", "mark", (F.col("rich") & (F.col("n") == window)).alias("sure")))
 
     return looked_for("hashes", "^<(num|unit):").unionByName(looked_for("named", "^<")).distinct()
 
@@ -115,8 +142,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals:
     docs = docs.where("doc_id is not null").select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     hashed = (docs.select("row", _words(F.col("text")).alias("words"))
               .select("row", _templates(F.col("words"), False).alias("hashes"), _templates(F.col("words"), True).alias("named")))
-    keys = F.concat(*(k for n in lengths or [window] for k in (_keys(F.col("hashes"), n), _keys(F.col("named"), n, F.col("hashes")))))
-    tiles = hashed.select("row", F.inline(keys)).where("key is not null").withColumnRenamed("at", "pos")
+    # most places begin no window: one look at their first two words in a bit field of the windows saves their keys
+    field = bytearray(FIELD)
+    for r in wins.where("mark is not null").select("mark").distinct().collect():  # at most FIELD
+        field[r["mark"]] = 1
+    hashed = hashed.select("*", _beginning(F.col("hashes"), F.lit(field)).alias("places"), _beginning(F.col("named"), F.lit(field)).alias("named_places"))
+    keys = [_keys(F.col(h), 1) for h in ("hashes", "named") if 1 in lengths]
+    for n in (n for n in lengths if n > 1):
+        keys += [_keys_at(F.col("places"), F.col("hashes"), n), _keys_at(F.col("named_places"), F.col("named"), n, F.col("hashes"))]
+    tiles = hashed.select("row", F.inline(F.concat(*keys) if keys else F.array().cast(_KEYS))).where("key is not null").withColumnRenamed("at", "pos")
     hits = tiles.join(small(wins), "key").select("row", "item", "tokens", "sure", "at", (F.col("pos") - F.col("at")).alias("first_token"))
     aligned = saved(hits.groupBy("row", "item", "tokens", "sure", "first_token").agg(F.collect_set("at").alias("ats")))
 
