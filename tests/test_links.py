@@ -45,10 +45,11 @@ def test_extraction_matches_python(spark):
     assert len(got[4]) == 1000
 
 
-BASES = ["https://example.com/a/b/c.html?q=1#f", "http://h.org", "https://h.org/dir/", "https://h.org/x//y/z"]
+BASES = ["https://example.com/a/b/c.html?q=1#f", "http://h.org", "https://h.org/dir/", "https://h.org/x//y/z", "HTTP://Up.org/dir/x"]
 TARGETS = ["/p", "p", "../p", "../../../p", "./p/./q", "p/..", "?k=v", "#frag", "", "//other.org/z",
            "mailto:a@b.c", "javascript:void(0)", "a//b/../c", "/a/../b/.", "https://abs.org/x",
-           "http://abs.org/y", "p?x=1#y", "..", "."]
+           "http://abs.org/y", "p?x=1#y", "..", ".",
+           "https:c", "HTTPS:c?d", "http:c", "HTTPS://Up.org/y", "https:", "https:/r", "https://", "a:b"]
 
 
 def test_resolve_matches_urljoin(spark):
@@ -71,6 +72,16 @@ def test_resolve_without_base_and_classes(spark):
                    ("https://x.org", "navigate")]
 
 
+def test_highlight_of_any_link(spark):
+    from weftview.operators.links import highlight_nth
+
+    md = "a [x](/1) b [skip](#f) c [y]( </2> ) d [z](/3)"
+    df = spark.createDataFrame([(k, m) for m in (md, "none", "", None) for k in range(-1, 5)], "k int, md string")
+    got = [(r.k, r.md, r.out) for r in df.withColumn("out", highlight_nth(F.col("md"), F.col("k"))).collect()]
+    want = {0: md.replace("[x](/1)", "**→ [x](/1) ←**"), 1: md.replace("[y]( </2> )", "**→ [y](/2) ←**"), 2: md.replace("[z](/3)", "**→ [z](/3) ←**")}
+    assert all(out == (want.get(k, m) if m == md else m) for k, m, out in got)
+
+
 def test_default_scheme(spark):
     rows = ["example.com", "example.com/path?q=1", "http://a.org", "https://b.org", "  c.org  ", "", "   "]
     df = spark.createDataFrame([(r,) for r in rows], "u string")

@@ -49,10 +49,17 @@ def _part_sql(u: str, i: int) -> str:
 
 
 def resolve_url(target: Column, base: Column) -> Column:
-    """The absolute URL a link target points at, seen from page ``base``."""
-    b_scheme, b_net, b_path, b_query = (_part(base, i) for i in (1, 2, 3, 4))
-    t_net, t_path, t_query, t_frag = (_part(target, i) for i in (2, 3, 4, 5))
-    t_has_net = target.startswith("//")
+    """The absolute URL a link target points at, seen from page ``base``.
+
+    Schemes count in any case; a target with the base's own scheme is resolved by what follows
+    it (``https:c`` is ``c``), as the standard library does.
+    """
+    b_net, b_path, b_query = (_part(base, i) for i in (2, 3, 4))
+    b_scheme = F.lower(_part(base, 1))
+    same = F.lower(F.substring_index(target, ":", 1)) == b_scheme
+    rest = F.when(same & target.contains(":"), F.substring(target, F.length(b_scheme) + 2, F.length(target))).otherwise(target)
+    t_net, t_path, t_query, t_frag = (_part(rest, i) for i in (2, 3, 4, 5))
+    t_has_net = rest.startswith("//")
 
     base_dir = F.split(b_path, "/", -1)
     base_dir = F.when(F.element_at(base_dir, -1) != "",
@@ -80,7 +87,7 @@ def resolve_url(target: Column, base: Column) -> Column:
 
     prefix = F.concat(b_scheme, F.lit("://"))
     with_base = (
-        F.when(target.rlike(SCHEME_RE), target)
+        F.when(target.rlike(SCHEME_RE) & ~same, target)
         .when(t_has_net, F.concat(prefix, t_net, t_path, tail(t_query)))
         .when(t_path == "", F.concat(prefix, b_net, b_path,
                                      tail(F.when(t_query != "", t_query).otherwise(b_query))))
@@ -95,8 +102,11 @@ def resolve_url(target: Column, base: Column) -> Column:
 
 
 def resolve_url_sql(target: str, base: str) -> str:
-    b_scheme, b_net, b_path, b_query = (_part_sql(base, i) for i in (1, 2, 3, 4))
-    t_net, t_path, t_query, t_frag = (_part_sql(target, i) for i in (2, 3, 4, 5))
+    b_net, b_path, b_query = (_part_sql(base, i) for i in (2, 3, 4))
+    b_scheme = f"lower({_part_sql(base, 1)})"
+    same = f"(contains({target}, ':') AND lower(split_part({target}, ':', 1)) = {b_scheme})"
+    rest = f"(CASE WHEN {same} THEN substr({target}, length({b_scheme}) + 2) ELSE {target} END)"
+    t_net, t_path, t_query, t_frag = (_part_sql(rest, i) for i in (2, 3, 4, 5))
     bd = f"string_split({b_path}, '/')"
     base_dir = f"(CASE WHEN ({bd})[-1] <> '' THEN ({bd})[1:len({bd}) - 1] ELSE {bd} END)"
     rel0 = f"list_concat({base_dir}, string_split({t_path}, '/'))"
@@ -119,8 +129,8 @@ def resolve_url_sql(target: str, base: str) -> str:
     prefix = f"({b_scheme} || '://')"
     q = f"(CASE WHEN {t_query} <> '' THEN {t_query} ELSE {b_query} END)"
     with_base = (
-        f"(CASE WHEN regexp_matches({target}, {lit(SCHEME_RE)}) THEN {target} "
-        f"WHEN starts_with({target}, '//') THEN {prefix} || {t_net} || {t_path} || {tail(t_query)} "
+        f"(CASE WHEN regexp_matches({target}, {lit(SCHEME_RE)}) AND NOT {same} THEN {target} "
+        f"WHEN starts_with({rest}, '//') THEN {prefix} || {t_net} || {t_path} || {tail(t_query)} "
         f"WHEN {t_path} = '' THEN {prefix} || {b_net} || {b_path} || {tail(q)} "
         f"ELSE {prefix} || {b_net} || {merged} || {tail(t_query)} END)")
     no_base = (f"(CASE WHEN starts_with({target}, '/') THEN {lit(NO_BASE_HOST)} || {target} "

@@ -132,22 +132,21 @@ def link_count(md: Column) -> Column:
     return F.size(F.filter(F.transform(targets, lambda u: _kept(u)[1]), lambda k: k)).cast("long")
 
 
-def highlight_first(md: Column) -> Column:
-    """E8 for the first link (the selection after one *next* from nothing selected).
+def highlight_nth(md: Column, k: Column) -> Column:
+    """The document with its k-th link (from 0) marked; unchanged if there is none.
 
-    Computed inside the row: the first match that survives E2/E3, its offset
-    from the lengths of the text and matches before it.  No join with the link
-    rows is needed.
+    Computed inside the row: the k-th match that survives E2/E3, its offset from the lengths of
+    the text and matches before it.  No join with the link rows is needed.
     """
     whole = F.regexp_extract_all(md, F.lit(LINK_RE), 0)
     texts = F.regexp_extract_all(md, F.lit(LINK_RE), 1)
     targets = F.regexp_extract_all(md, F.lit(LINK_RE), 2)
     gaps = F.split(md, LINK_RE, -1)
-    flags = F.transform(targets, lambda u: _kept(u)[1])
-    i = F.array_position(flags, True) - 1  # 0-based index of the first kept link, -1 if none
+    kept = F.filter(F.transform(targets, lambda u, i: F.when(_kept(u)[1], i)), lambda i: i.isNotNull())
+    i = F.get(kept, k)
     lens = lambda arr: F.aggregate(arr, F.lit(0), lambda acc, x: acc + F.length(x))
-    start = lens(F.slice(gaps, 1, i + 1)) + lens(F.slice(whole, 1, i))
+    start = lens(F.slice(gaps, F.lit(1), i + 1)) + lens(F.slice(whole, F.lit(1), i))
     end = start + F.length(F.get(whole, i))
     u, _ = _kept(F.get(targets, i))
     marked = highlight(md, trim_ws(F.get(texts, i)), u, start, end)
-    return F.when(i >= 0, marked).otherwise(md)
+    return F.when(i.isNotNull(), marked).otherwise(md)

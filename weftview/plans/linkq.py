@@ -17,9 +17,11 @@ from ..functions.urls import (
     resolve_url_sql,
 )
 from ..operators import links as L
-from ..operators.markdown import raw_header, raw_header_sql
+from ..operators.markdown import clean_header_sql, raw_header, raw_header_sql
 from ..sources.tables import pages
+from .batch import page_views
 from .render import render_ctes, rendered
+from .structure import EMPTY, FAILS, LATIN_SQL, NO_BODY, REASON_SQL, STORED_AS, STORED_HTML_SQL, stored_responses
 
 
 def raw_docs(spark, d) -> DataFrame:
@@ -66,13 +68,31 @@ def link_ring_q(spark, d):
     return L.link_ring(links(spark, d), "page_id")
 
 
+def view_link_counts(spark, d):
+    """E6 for every view that is rendered: both come from one pass over the pages."""
+    v = page_views(pages(spark, d, "page_id", "url", "html"))
+    return v.select("page_id", "view_id", L.link_count(F.col("content")).alias("n_links"))
+
+
+# --- fixed values: which link is selected, page_id modulo this (some pages have fewer links) ---
+SELECTED_OF = 9
+
+
 def link_highlight(spark, d):
-    return raw_docs(spark, d).select("page_id", L.highlight_first(F.col("markdown")).alias("markdown"))
+    k = F.pmod(F.col("page_id"), F.lit(SELECTED_OF)).cast("int")
+    return raw_docs(spark, d).select("page_id", L.highlight_nth(F.col("markdown"), k).alias("markdown"))
+
+
+def page_manifest(spark, d):
+    """Which stored pages there are and which of them loaded, without their HTML."""
+    body = F.col("body")
+    ok = (F.col("status") < 400) & body.isNotNull() & (F.octet_length(body) > 0)
+    return stored_responses(spark, d).select("page_id", "url", F.coalesce(F.octet_length(body), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
 def pages_by_url(spark, d) -> DataFrame:
-    """One target page per URL (lowest id); partial aggregation absorbs hot URLs."""
-    return pages(spark, d, "page_id", "url").groupBy("url").agg(F.min("page_id").alias("target_page_id"))
+    """One target page per URL (lowest id) among pages that loaded; partial aggregation absorbs hot URLs."""
+    return page_manifest(spark, d).where("ok").groupBy("url").agg(F.min("page_id").alias("target_page_id"))
 
 
 def _followable(spark, d) -> DataFrame:
@@ -87,7 +107,8 @@ def _followable(spark, d) -> DataFrame:
                  .alias("markdown")))).alias("doc"))
     docs = docs.select("page_id", "url", "doc.link_set", "doc.markdown")
     lk = L.extract_links(docs, ["page_id", "url", "link_set"], "markdown")
-    return lk.withColumn("resolved", resolve_url(F.col("target"), F.col("url")))
+    lk = lk.withColumn("resolved", resolve_url(F.col("target"), F.col("url")))
+    return lk.where(link_class(F.col("resolved")) == "navigate")
 
 
 def follow_links(spark, d):
@@ -119,6 +140,8 @@ QUERIES = {
     "resolve_url": resolve_url_q,
     "link_class": link_class_q,
     "link_counts": link_counts,
+    "view_link_counts": view_link_counts,
+    "page_manifest": page_manifest,
     "link_ring": link_ring_q,
     "link_highlight": link_highlight,
     "follow_links": follow_links,
@@ -160,6 +183,13 @@ def _links_sql(select: str, extra: str = "") -> str:
     return f"WITH {_raw_docs_ctes()},{links_ctes('raw_docs')}{extra}\n{select}"
 
 
+def _view_counts_sql(view: str) -> str:
+    header = (raw_header_sql if view == "raw" else clean_header_sql)("title", "url")
+    docs = render_ctes(view) + f",\nvd AS (SELECT page_id, url, {header} || md AS markdown FROM rendered_{view})"
+    return (f"WITH {docs},{links_ctes('vd')} SELECT vd.page_id, {lit(view)} AS view_id, count(l.page_id)::BIGINT AS n_links "
+            f"FROM vd LEFT JOIN links l ON l.page_id = vd.page_id GROUP BY vd.page_id")
+
+
 _RING = """,
 r0 AS (SELECT page_id, link_idx, target,
   count(*) OVER (PARTITION BY page_id) AS n,
@@ -177,8 +207,8 @@ _FOLLOW = f""",
 self_docs AS (SELECT page_id, url, '[' || title || '](' || url || ')' AS markdown FROM rendered_raw),
 {links_ctes('self_docs', out='self_links').lstrip()},
 lk AS (SELECT *, 'raw' AS link_set FROM links UNION ALL SELECT *, 'self' AS link_set FROM self_links),
-lkr AS (SELECT *, {resolve_url_sql('target', 'url')} AS resolved FROM lk),
-tgt AS (SELECT url AS resolved, min(page_id) AS target_page_id FROM pages GROUP BY url)"""
+lkr AS (SELECT * FROM (SELECT *, {resolve_url_sql('target', 'url')} AS resolved FROM lk) WHERE {link_class_sql('resolved')} = 'navigate'),
+tgt AS (SELECT url AS resolved, min(page_id) AS target_page_id FROM pages WHERE {REASON_SQL} IS NULL GROUP BY url)"""
 
 _HOST = "regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)"
 
@@ -203,7 +233,11 @@ ORACLE = {
         "SELECT d.page_id, CASE WHEN l.start_pos IS NULL THEN d.markdown ELSE "
         "substr(d.markdown, 1, l.start_pos) || '**→ [' || l.text || '](' || l.target || ') ←**' || "
         "substr(d.markdown, l.end_pos + 1) END AS markdown "
-        "FROM raw_docs d LEFT JOIN (SELECT * FROM links WHERE link_idx = 0) l USING (page_id)"),
+        f"FROM raw_docs d LEFT JOIN (SELECT * FROM links WHERE link_idx = page_id % {SELECTED_OF}) l USING (page_id)"),
+    "page_manifest": f"SELECT page_id, url, CASE WHEN page_id % {FAILS} = {EMPTY} THEN 0 WHEN page_id % {FAILS} <> {NO_BODY} THEN strlen({STORED_HTML_SQL}) - "
+                     f"CASE WHEN page_id % {len(STORED_AS)} IN ({LATIN_SQL}) THEN strlen({STORED_HTML_SQL}) - length({STORED_HTML_SQL}) ELSE 0 END ELSE 0 END AS n_bytes, "
+                     f"{REASON_SQL} IS NULL AS ok FROM pages",
+    "view_link_counts": "SELECT * FROM (" + _view_counts_sql("raw") + ") UNION ALL SELECT * FROM (" + _view_counts_sql("clean") + ")",
     "follow_links": _links_sql("SELECT page_id, link_set, link_idx, resolved, target_page_id "
                                "FROM lkr JOIN tgt USING (resolved)", _FOLLOW),
     "unresolved_links": _links_sql("SELECT page_id, link_set, link_idx, resolved FROM lkr "

@@ -15,7 +15,7 @@ Inputs are derived from the driver tables:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggs import ordered_join
@@ -82,16 +82,15 @@ def task_events(spark, d) -> DataFrame:
 def _task_state(spark, d) -> DataFrame:
     """Last status per (session, view) since the session's last navigate.
 
-    Both steps are aggregations (partial aggregation absorbs a hot session);
-    ``error`` counts as loaded.
+    One aggregation (partial aggregation absorbs a hot session) and a window over its few rows
+    a session; ``error`` counts as loaded.
     """
-    te = task_events(spark, d)
-    last_nav = (te.where(F.col("event") == "navigate").groupBy("session_id")
-                .agg(F.max(F.struct("ts", "seq")).alias("nav_at")))
-    t = te.where(F.col("event") != "navigate").join(last_nav, "session_id", "left")
-    t = t.where(F.col("nav_at").isNull() | (F.struct("ts", "seq") > F.col("nav_at")))
-    s = t.groupBy("session_id", "view_id").agg(F.max_by("event", F.struct("ts", "seq")).alias("last"))
-    return s.withColumn("status", F.when(F.col("last") == "loading", "loading").otherwise("loaded"))
+    te = task_events(spark, d).withColumn("of", F.when(F.col("event") != "navigate", F.col("view_id")))
+    s = te.groupBy("session_id", "of").agg(F.max_by("event", F.struct("ts", "seq")).alias("last"), F.max(F.struct("ts", "seq")).alias("at"))
+    # a row a view from here on, and one for the session's last navigate
+    nav_at = F.max(F.when(F.col("of").isNull(), F.col("at"))).over(Window.partitionBy("session_id"))
+    s = s.withColumn("nav_at", nav_at).where(F.col("of").isNotNull() & (F.col("nav_at").isNull() | (F.col("at") > F.col("nav_at"))))
+    return s.select("session_id", F.col("of").alias("view_id"), F.when(F.col("last") == "loading", "loading").otherwise("loaded").alias("status"))
 
 
 def task_status(spark, d):
@@ -129,7 +128,11 @@ ERROR_KINDS = ["auth", "runtime", "unexpected"]
 
 def view_events(spark, d):
     """Tab activations from click events; prefixed ids normalised, unknown flagged."""
-    e = table(spark, d, "events", "event_id", "user_id", "event_type", "props")
+    return _tab_events(spark, d).drop("ts")
+
+
+def _tab_events(spark, d) -> DataFrame:
+    e = table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "props")
     k = F.get_json_object("props", "$.k").cast("long")
     vid = F.element_at(F.array(*[F.lit(v) for v in TAB_IDS]),
                        (F.pmod(k, F.lit(len(TAB_IDS))) + 1).cast("int"))
@@ -137,7 +140,7 @@ def view_events(spark, d):
                  F.concat(F.lit(VIEW_ID_PREFIX), vid)).otherwise(vid)
     known = [v["id"] for v in view_specs(spark)]
     x = e.where(F.col("event_type") == "click").select(
-        F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), raw.alias("raw_id"))
+        F.col("user_id").alias("session_id"), "ts", F.col("event_id").alias("seq"), raw.alias("raw_id"))
     x = x.withColumn("view_id", normalize_view_id(F.col("raw_id")))
     return x.withColumn("known", F.col("view_id").isin(*known))
 
@@ -174,8 +177,8 @@ def settings_overlay_q(spark, d):
     The override layer: a session's last activated known view becomes its
     ``settings.default_view``.
     """
-    last = (view_events(spark, d).where("known").groupBy("session_id")
-            .agg(F.max_by("view_id", "seq").alias("value")))
+    last = (_tab_events(spark, d).where("known").groupBy("session_id")
+            .agg(F.max_by("view_id", F.struct("ts", "seq")).alias("value")))
     override = last.select("session_id", F.lit("settings").alias("section"),
                            F.lit("default_view").alias("key"), "value")
     sessions = table(spark, d, "events", "user_id").select(F.col("user_id").alias("session_id")).distinct()
@@ -345,10 +348,10 @@ _tab_pick = f"{_tabs}[({_tk} % {len(TAB_IDS)}) + 1]"
 _raw_id = (f"CASE WHEN ((({_tk}) // {len(TAB_IDS)}) % 2) = 0 THEN {lit(VIEW_ID_PREFIX)} || "
            f"{_tab_pick} ELSE {_tab_pick} END")
 ORACLE["view_events"] = (
-    f"WITH x AS (SELECT user_id AS session_id, event_id AS seq, {_raw_id} AS raw_id FROM events "
+    f"WITH x AS (SELECT user_id AS session_id, ts, event_id AS seq, {_raw_id} AS raw_id FROM events "
     f"WHERE event_type = 'click'), y AS (SELECT *, CASE WHEN starts_with(raw_id, {lit(VIEW_ID_PREFIX)}) "
     f"THEN substr(raw_id, {len(VIEW_ID_PREFIX) + 1}) ELSE raw_id END AS view_id FROM x) "
-    f"SELECT *, view_id IN ({_known}) AS known FROM y")
+    f"SELECT * EXCLUDE (ts), view_id IN ({_known}) AS known FROM y")
 
 _model_case = " ".join(
     f"WHEN {lit(v[0])} THEN {lit(v[9].strip() or DEFAULT_MODEL)}" for v in DEFAULT_VIEWS)
@@ -369,8 +372,8 @@ ORACLE["completion_errors"] = (
 
 _defaults_sql = ", ".join(f"({lit(s)}, {lit(k)}, {lit(v)})" for s, k, v in DEFAULT_SETTINGS)
 ORACLE["settings_overlay"] = (
-    f"WITH ve AS ({ORACLE['view_events']}), "
-    f"lastv AS (SELECT session_id, arg_max(view_id, seq) AS value FROM ve WHERE known GROUP BY session_id), "
+    f"WITH ve AS ({ORACLE['view_events'].replace('* EXCLUDE (ts)', '*')}), "
+    f"lastv AS (SELECT session_id, arg_max(view_id, {{'ts': ts, 'seq': seq}}) AS value FROM ve WHERE known GROUP BY session_id), "
     f"s AS (SELECT DISTINCT user_id AS session_id FROM events), "
     f"base AS (SELECT s.session_id, d.section, d.key, d.value FROM s, "
     f"(VALUES {_defaults_sql}) d(section, key, value)), "

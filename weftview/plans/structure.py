@@ -294,13 +294,13 @@ SELECT page_id, row_pos::BIGINT AS row_pos, text FROM rw WHERE length(text) > {R
 ORACLE["table_rows"] = _table_rows_sql()
 
 _CS_LIST = "[" + ", ".join("NULL" if c is None else lit(c) for c in DECLARED_CHARSETS) + "]::VARCHAR[]"
-_REASON = (f"CASE WHEN page_id % {FAILS} = {NOT_FOUND} THEN 'HTTP 404' WHEN page_id % {FAILS} = {NO_BODY} OR html IS NULL THEN 'no response' "
+REASON_SQL = (f"CASE WHEN page_id % {FAILS} = {NOT_FOUND} THEN 'HTTP 404' WHEN page_id % {FAILS} = {NO_BODY} OR html IS NULL THEN 'no response' "
            f"WHEN page_id % {FAILS} = {EMPTY} OR html = '' THEN 'empty page' END")
-ORACLE["page_rejects"] = (f"SELECT page_id, url, {_REASON} AS reason, 'Failed to load ' || coalesce(url, '') AS message "
-                          f"FROM pages WHERE {_REASON} IS NOT NULL")
-_LATIN = ", ".join(str(i) for i, c in enumerate(STORED_AS) if c != "UTF-8")
-_STORED_HTML = (f"CASE WHEN page_id % {len(STORED_AS)} IN ({_LATIN}) THEN regexp_replace(replace(html, 'e', 'é'), '[^\\x{{00}}-\\x{{FF}}]', '?', 'g') "
+ORACLE["page_rejects"] = (f"SELECT page_id, url, {REASON_SQL} AS reason, 'Failed to load ' || coalesce(url, '') AS message "
+                          f"FROM pages WHERE {REASON_SQL} IS NOT NULL")
+LATIN_SQL = ", ".join(str(i) for i, c in enumerate(STORED_AS) if c != "UTF-8")
+STORED_HTML_SQL = (f"CASE WHEN page_id % {len(STORED_AS)} IN ({LATIN_SQL}) THEN regexp_replace(replace(html, 'e', 'é'), '[^\\x{{00}}-\\x{{FF}}]', '?', 'g') "
                 "ELSE replace(html, 'e', 'é') END")
 ORACLE["charset_decode"] = (
     f"SELECT page_id, url, ({_CS_LIST})[(page_id % {len(DECLARED_CHARSETS)}) + 1] AS charset, "
-    f"{_REASON} IS NULL AS ok, CASE WHEN {_REASON} IS NULL THEN {_STORED_HTML} END AS html FROM pages")
+    f"{REASON_SQL} IS NULL AS ok, CASE WHEN {REASON_SQL} IS NULL THEN {STORED_HTML_SQL} END AS html FROM pages")
