@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("structure", "render", "linkq", "sessions", "viewq")
+_MODULES = ("structure", "render", "linkq", "sessions", "viewq", "streamq")
 
 
 def _collect(attr: str) -> dict:

@@ -43,7 +43,10 @@ TASK_VIEWS = [v[0] for v in DEFAULT_VIEWS]
 
 
 def nav_events(spark, d) -> DataFrame:
-    e = table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "props")
+    return nav_from(table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "props"))
+
+
+def nav_from(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     return e.select(F.col("user_id").alias("session_id"), "ts", F.col("event_id").alias("seq"),
                     F.when(F.col("event_type") == "signup", "back").otherwise("visit").alias("op"),
@@ -69,7 +72,10 @@ def current_page(spark, d):
 
 
 def task_events(spark, d) -> DataFrame:
-    e = table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "props")
+    return tasks_from(table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "props"))
+
+
+def tasks_from(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     ev = F.create_map(*[F.lit(x) for kv in TASK_EVENTS.items() for x in kv])[F.col("event_type")]
     views = F.array(*[F.lit(v) for v in TASK_VIEWS])

@@ -35,9 +35,9 @@ def eager_tasks(spark, d):
                      {"view_id": "id", "view_order": "order"})
 
 
-def _clean_for_model(spark, d) -> DataFrame:
-    """D2 once per page, capped at the model input size."""
-    r = R.rendered(spark, d, "clean", MODEL_INPUT_CHARS)
+def _clean_for_model(spark, d, max_chars: int | None = MODEL_INPUT_CHARS) -> DataFrame:
+    """D2 once per page, up to ``max_chars`` characters (D5; None: whole)."""
+    r = R.rendered(spark, d, "clean", max_chars)
     return r.select("page_id", "url",
                     F.concat(M.clean_header(F.col("title"), F.col("url")), F.col("md")).alias("clean"))
 
@@ -52,20 +52,26 @@ def _model_views(spark, overrides=None) -> list[dict]:
     return [{**v, "prompt": new[v["id"]]} for v in specs if v["id"] in new]
 
 
-def view_prompts(spark, d, session_model: str | None = None):
-    """Prompt and model for each eager model view of each page.
+def prompts(spark, d, session_model: str | None = None, eager_only: bool = True,
+            max_chars: int | None = MODEL_INPUT_CHARS) -> DataFrame:
+    """Prompt and model for each model view of each page, of the eager ones or of all.
 
     The clean text is computed once per page, then fanned out over the views
-    (config array, exploded), not recomputed per view.
+    (config array, exploded), not recomputed per view.  ``max_chars`` limits what a
+    model is sent of a page (D5); None sends it whole.
     """
-    specs = [v for v in _model_views(spark) if v["auto_load"]]
-    t = V.fan_out(_clean_for_model(spark, d), specs,
+    specs = [v for v in _model_views(spark) if v["auto_load"] or not eager_only]
+    t = V.fan_out(_clean_for_model(spark, d, max_chars), specs,
                   {"view_id": "id", "prompt": "prompt", "model": "model"})
     return t.select("page_id", "view_id",
                     V.task_model(F.col("model"), session_model).alias("model"),
                     V.prompt_text(F.col("prompt"), F.col("clean")).alias("prompt"))
 
 
+def view_prompts(spark, d):
+    return prompts(spark, d)
+
+
 def task_model(spark, d):
     """B10 for every enabled view of every loaded page (eager and on demand)."""
     t = V.fan_out(loaded_pages(spark, d).select("page_id"), V.view_specs(spark),
@@ -144,11 +150,18 @@ _PROMPT = "coalesce(prompt, '') || chr(10) || chr(10) || 'Webpage content:' || c
 _LOADED = "(SELECT page_id, url FROM pages WHERE html IS NOT NULL AND html <> '')"
 _ovr = ", ".join(f"({lit(a)}, {lit(b)})" for a, b in PROMPT_OVERRIDES)
 
+
+
+def prompts_sql(eager_only: bool = True) -> str:
+    eager = "vw.auto_load AND " if eager_only else ""
+    return (f"WITH {_clean_ctes()} SELECT page_id, view_id, {_model_sql('model')} AS model, "
+            f"{_PROMPT} AS prompt FROM cl, {_views_sql()} WHERE {eager}view_id <> 'raw'")
+
+
 ORACLE = {
     "eager_tasks": f"SELECT p.page_id, vw.view_id, vw.view_order FROM {_LOADED} p, {_views_sql()} "
                    f"WHERE vw.auto_load",
-    "view_prompts": f"WITH {_clean_ctes()} SELECT page_id, view_id, {_model_sql('model')} AS model, "
-                    f"{_PROMPT} AS prompt FROM cl, {_views_sql()} WHERE vw.auto_load AND view_id <> 'raw'",
+    "view_prompts": prompts_sql(),
     "task_model": f"SELECT p.page_id, vw.view_id, {_model_sql('vw.model')} AS model "
                   f"FROM {_LOADED} p, {_views_sql()}",
     "chat_requests": f"WITH {_clean_ctes()} SELECT page_id, view_id, {_model_sql('model')} AS model, "
