@@ -2,11 +2,12 @@
 
 import sys
 
+import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from weftview.operators import views as V
-from weftview.operators.completion import CompletionAuthError, complete_requests
+from weftview.operators.completion import CompletionAuthError, complete_logged, complete_requests, logged
 
 
 def test_validation_quarantines_bad_rows_only(spark):
@@ -91,6 +92,75 @@ def test_completion_chunks_errors_and_fallback(spark):
     assert by[4][0].model == "fallback" and by[4][0].chunk == "one "
 
 
+def test_chunks_leave_before_the_request_ends():
+    from weftview.operators.completion import _responses
+
+    sent = []
+
+    def complete(prompt):
+        for c in ("a\n", "b", "\n", "c"):
+            sent.append(c)
+            yield c
+
+    got = [(c, list(sent)) for c, _, _ in _responses(complete, "")]
+    assert [c for c, _ in got] == ["a\n", "b", "\n", "c"]
+    assert got[0][1] == ["a\n", "b", "\n"]  # two chunks later: its line end is certain to stay
+
+
+class _Stop(BaseException):
+    """Not an error of a request: it takes the task down."""
+
+
+def _counting(folder, stops=()):
+    import os
+    import uuid
+
+    def make_client(model):
+        def complete(prompt):
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+                f.write(f"{model}|{prompt}")
+            if prompt in stops:
+                raise _Stop
+            if "boom" in prompt:
+                raise RuntimeError("no")
+            yield f"{prompt}\n"
+            yield model
+        return complete
+    return make_client
+
+
+def _sent(folder):
+    out = {}
+    for f in folder.iterdir():
+        out[f.read_text()] = out.get(f.read_text(), 0) + 1
+    return out
+
+
+def test_logged_requests_are_sent_once(spark, tmp_path):
+    log, first, again = str(tmp_path / "log"), tmp_path / "a", tmp_path / "b"
+    first.mkdir()
+    again.mkdir()
+    rows = [(i, "v", "m", f"p{i % 30}") for i in range(60)] + [(60, "v", "m", "boom"), (61, "w", "m2", "p1"), (62, "v", None, "p1"), (63, "v", "m", None)]
+    reqs = spark.createDataFrame([r for r in rows if r[2] and r[3]], "page_id long, view_id string, model string, prompt string")
+    stops = {f"p{i}" for i in (4, 17)}
+    with pytest.raises(Exception, match="_Stop"):
+        complete_logged(reqs, _counting(str(first), stops), log)
+    kept = {r.chunk.strip() for r in logged(spark, log).where("seq = 0 and error_kind is null").collect()}
+    assert kept and not kept & stops  # rounds before the one that failed are in the log
+    out = complete_logged(reqs, _counting(str(again)), log)
+    sent = _sent(again)
+    assert set(sent.values()) == {1} and not {f"m|{p}" for p in kept if p != "p1"} & set(sent)
+    got = {}
+    for r in out.orderBy("page_id", "seq").collect():
+        got.setdefault((r.page_id, r.view_id), []).append((r.model, r.chunk, r.error_kind))
+    assert got[7, "v"] == got[37, "v"] == [("m", "p7\n", None), ("m", "m", None)] and got[61, "w"][1][1] == "m2"
+    assert got[60, "v"] == [("m", "## ❌ Error\n\nno", "runtime")] and len(got) == 62
+    third = tmp_path / "c"
+    third.mkdir()
+    assert complete_logged(reqs, _counting(str(third)), log).count() == out.count()
+    assert _sent(third) == {"m|boom": 1}  # only what failed is asked again
+
+
 def test_settings_overlay_and_view_replacement(spark):
     base = spark.createDataFrame([("settings", "max_history", "50"), ("ai", "default_model", "m1"),
                                   ("ui", "show_icons", "true")], "section string, key string, value string")
