@@ -48,6 +48,26 @@ def test_model_precedence_and_request(spark):
     assert alone.messages[0].content == "P" and alone.stream
 
 
+def test_option_layers_by_precedence(spark):
+    import json
+
+    layers = ['{"temperature": 1, "max_tokens": 7, "a": {"x": [1, "1"]}, "s": "1"}', '{"max_tokens": 8, "base": "u", "a": null}', '{"max_tokens": 9, "api_key": "k", "z": true}']
+    base = {"model": "m", "messages": [{"role": "user", "content": 'P "q"\n\nC'}], "temperature": 0.2, "max_tokens": 8192, "stream": True}
+    rows = [tuple(x if k >> i & 1 else None for i, x in enumerate(layers)) for k in range(8)] + [("", "no json", "[1]"), (layers[0], '{"max_tokens": null}', None)]
+    df = spark.createDataFrame(rows, "c string, e string, k string")
+    out = df.withColumn("r", V.request_json(F.lit("m"), F.lit('P "q"'), F.lit("C"), F.col("c"), F.col("e"), F.col("k"))).collect()
+    for r in out:
+        want = dict(base)
+        for x in (r.c, r.e, r.k):
+            if x and x.startswith("{"):
+                want.update(json.loads(x))
+        want.pop("api_key", None)
+        got = json.loads(r.r)
+        assert got == want and {k: type(v) for k, v in got.items()} == {k: type(v) for k, v in want.items()}
+    typed = df.limit(1).select(V.read_request(V.request_json(F.lit("m"), F.lit("P"))).alias("r")).first().r
+    assert typed.messages[0].content == "P" and typed.temperature == 0.2 and typed.stream
+
+
 def test_status_label_and_prefix(spark):
     df = spark.createDataFrame([("loading", "A"), ("loaded", "B"), (None, "C")], "s string, n string")
     assert [r[0] for r in df.select(V.status_label(F.col("s"), F.col("n"))).collect()] == ["⏳ A", "✓ B", "C"]

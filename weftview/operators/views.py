@@ -115,6 +115,43 @@ def chat_request(model: Column, prompt: Column, content: Column = None,
                     F.lit(True).alias("stream"))
 
 
+OPTIONS = "map<string,variant>"
+SECRET_KEYS = ("api_key",)
+
+
+def merged_options(*layers: Column) -> Column:
+    """Option layers, JSON objects as text, merged key by key: the later layer that has the key wins.
+
+    Values keep their JSON types, nested ones as wholes; a key set to null is set.  A layer that is
+    NULL, empty or no JSON object has no keys.  Secrets never become data: their keys are left out.
+    """
+    maps = [F.coalesce(F.from_json(x, OPTIONS), F.expr(f"cast(map() as {OPTIONS})")) for x in layers]
+    out = maps[0]
+    for m in maps[1:]:
+        out = F.map_zip_with(out, m, lambda k, a, b: F.coalesce(b, a))
+    return F.map_filter(out, lambda k, v: ~k.isin(*SECRET_KEYS))
+
+
+def request_json(model: Column, prompt: Column, content: Column | None = None, *layers: Column,
+                 temperature: float = DEFAULT_TEMPERATURE, max_tokens: int = DEFAULT_MAX_TOKENS) -> Column:
+    """The request as JSON text, as it is sent and logged.
+
+    Lowest layer: the request with its default options; then ``layers`` in order, as a client
+    has them: the call's options, the endpoint, the client's own options.
+    """
+    base = chat_request(model, prompt, content, temperature, max_tokens)
+    return F.to_json(merged_options(F.to_json(base), *layers))
+
+
+REQUEST_SCHEMA = ("model string, messages array<struct<role: string, content: string>>, temperature double, "
+                  "max_tokens int, stream boolean")
+
+
+def read_request(request: Column) -> Column:
+    """The typed request of its JSON text."""
+    return F.from_json(request, REQUEST_SCHEMA)
+
+
 def status_label(status: Column, name: Column) -> Column:
     """``⏳ name`` while loading, ``✓ name`` when loaded, else the plain name."""
     return (F.when(status == "loading", F.concat(F.lit("⏳ "), name))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..functions.patterns import (
 from ..functions.sqltext import lit
 from ..operators import markdown as M
 from ..operators import views as V
+from ..session import checkpoint_dir
 from ..sources.tables import pages
 from . import render as R
 
@@ -89,6 +92,25 @@ def chat_requests(spark, d):
                     F.col("r.max_tokens").cast("long").alias("max_tokens"), "r.stream")
 
 
+# --- fixed values: option layers by page_id: what a call and a client set ----------------
+CALL_OPTIONS = (2, '{"temperature": 0.9, "max_tokens": 100}')
+CLIENT_OPTIONS = (3, '{"max_tokens": 2048, "top_p": 0.5, "stop": ["\\n\\n", null], "api_key": "none"}')
+
+
+def request_sink(spark, d):
+    """Requests written as JSON lines, options in layers, and read back."""
+    p = view_prompts(spark, d)
+    call, client = (F.when(F.pmod(F.col("page_id"), F.lit(n)) == 0, F.lit(options)) for n, options in (CALL_OPTIONS, CLIENT_OPTIONS))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/requests-{uuid.uuid4().hex}"
+    p.select("page_id", "view_id", V.request_json(F.col("model"), F.col("prompt"), None, call, client).alias("request")).write.json(path)
+    sent = spark.read.schema("page_id long, view_id string, request string").json(path)
+    r, v = V.read_request(F.col("request")), F.parse_json("request")
+    return sent.select("page_id", "view_id", r.alias("r"), F.variant_get(v, "$.top_p", "double").alias("top_p"),
+                       F.variant_get(v, "$.stop[0]", "string").alias("stop"), F.col("request").contains("api_key").alias("has_key")).select(
+        "page_id", "view_id", "r.model", F.col("r.messages")[0]["role"].alias("role"), F.col("r.messages")[0]["content"].alias("content"),
+        "r.temperature", F.col("r.max_tokens").cast("long").alias("max_tokens"), "r.stream", "top_p", "stop", "has_key")
+
+
 def view_outputs(spark, d):
     """F2/L3: route eager tasks by view id: ``raw`` renders markdown, the others
     need a completion function; with none configured they get the notice."""
@@ -119,6 +141,7 @@ QUERIES = {
     "view_prompts": view_prompts,
     "task_model": task_model,
     "chat_requests": chat_requests,
+    "request_sink": request_sink,
     "view_outputs": view_outputs,
     "prompt_override": prompt_override,
 }
@@ -168,6 +191,10 @@ ORACLE = {
                      f"'user' AS role, {_PROMPT} AS content, {DEFAULT_TEMPERATURE}::DOUBLE AS temperature, "
                      f"{DEFAULT_MAX_TOKENS}::BIGINT AS max_tokens, true AS stream "
                      f"FROM cl, {_views_sql()} WHERE vw.auto_load AND view_id <> 'raw'",
+    "request_sink": f"SELECT page_id, view_id, model, 'user' AS role, prompt AS content, CASE WHEN page_id % {CALL_OPTIONS[0]} = 0 THEN 0.9::DOUBLE ELSE {DEFAULT_TEMPERATURE}::DOUBLE END AS temperature, "
+                    f"CASE WHEN page_id % {CLIENT_OPTIONS[0]} = 0 THEN 2048 WHEN page_id % {CALL_OPTIONS[0]} = 0 THEN 100 ELSE {DEFAULT_MAX_TOKENS} END::BIGINT AS max_tokens, true AS stream, "
+                    f"CASE WHEN page_id % {CLIENT_OPTIONS[0]} = 0 THEN 0.5::DOUBLE END AS top_p, CASE WHEN page_id % {CLIENT_OPTIONS[0]} = 0 THEN chr(10) || chr(10) END AS stop, "
+                    f"false AS has_key FROM ({prompts_sql()})",
     "view_outputs": f"WITH {R.render_ctes('raw')} SELECT page_id, 'raw' AS view_id, 'loaded' AS status, "
                     f"{M.raw_header_sql('title', 'url')} || md AS content FROM rendered_raw "
                     f"UNION ALL SELECT p.page_id, vw.view_id, 'unavailable', {lit(NO_CLIENT_NOTICE)} "
