@@ -50,7 +50,8 @@ def _counted(docs: DataFrame, words: int, cells: int) -> np.ndarray:
         for b in batches:
             for _, data in in_chunks(b["text"]):
                 h, _ = shingle_hashes(data, words)
-                total += np.bincount((h >> np.uint64(40)).astype(np.int64) % cells, minlength=cells).astype(np.uint32)
+                at, n = np.unique((h >> np.uint64(40)) % np.uint64(cells), return_counts=True)
+                total[at] += n.astype(np.uint32)
         yield cell_rows(total)
 
     return summed_cells(map_columns(docs.select("text"), count, "chunk int, cells binary"))
