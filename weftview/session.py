@@ -33,15 +33,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when it is unset (local tests)
-    is a scratch folder created and registered.
+    A cluster names a shared folder there.  Where it is unset, a local session gets a
+    scratch folder (once), and any other an error: its executors would not see it.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="weftview-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not named and not context.getCheckpointDir() and not context.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftview-ckpt-"))
+    return named or context.getCheckpointDir()
 
 
 def written(df: DataFrame) -> DataFrame:
