@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -79,6 +81,13 @@ _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary"
           "array<binary>": pa.list_(pa.binary()), "array<string>": pa.list_(pa.string())}
 
 
+def _give_back() -> None:
+    """Returns what a task no longer needs to the system: workers are reused, and idle ones hold it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_columns(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """`fn` over Arrow batches: it gets dicts of Python lists (null is None, integers stay exact)
     and yields dicts of lists or arrays with the columns of `schema` ("name type, ...")."""
@@ -89,5 +98,7 @@ def map_columns(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], s
         parts = (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
         for out in fn({c: p.column(c).to_pylist() for c in p.schema.names} for p in parts):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in fields], schema=fields)
+        out = None
+        _give_back()
 
     return df.mapInArrow(each, schema)
