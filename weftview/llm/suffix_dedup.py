@@ -7,7 +7,8 @@ Every byte that a WIDTH-byte string covers which also starts elsewhere goes, jud
    at a distance to it within one step of STEP, form a piece.  All of them hold the same core
    of WIDTH - STEP + 1 bytes, so that equal windows lie in pieces with equal keys (core and
    step).  A piece is a row of hashes and places: the text stays where it is.
-2. *Group.*  Pieces that are equal as wholes repeat in all their windows.  What is left to decide
+2. *Group.*  A key that one piece has repeats nothing: keys alone are counted first, and only the
+   pieces of shared keys move.  Pieces that are equal as wholes repeat in all their windows.  What is left to decide
    are pieces that are alone but share their key.  Only these, and one of each set of equal pieces
    with such a key, send their bytes.
 3. *Order.*  The pieces of a key are joined to one string, the core as one symbol and a separator
@@ -251,9 +252,11 @@ def _windows(width: int):
 def repeated_spans(docs: DataFrame, width: int = WIDTH, step: int = STEP, hot: int = HOT, fine: int = RECUT) -> DataFrame:
     """Rows (row, start, end): byte spans that repeated windows cover, by the row's identity."""
     docs = docs.select(_identity().alias("row"), "text")
-    rows = saved(map_columns(docs, _cut(width, step), "row long, key long, whole long, place long"))
+    cut = saved(map_columns(docs, _cut(width, step), "row long, key long, whole long, place long"))
+    shared = cut.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    rows = saved(cut.join(shared, "key", "left_semi"))
     kinds = rows.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one"))
-    keys = (kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("rows"), F.min("n").alias("least")).where("rows > 1"))
+    keys = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
     kept = saved(kinds.join(keys, "key").select("key", "whole", "n", "one", F.expr("kinds > 1 and least = 1").alias("open"), "kinds"))
 
     alike = kept.where("n > 1").select("key", "whole")
