@@ -1,11 +1,15 @@
 """Hand-written outcomes for broken and hostile HTML: unclosed elements, stray tags, quotes, lists."""
 
+import html
 import time
+from html.entities import html5
 
+import duckdb
 import pytest
 from conftest import pages_df
 from pyspark.sql import functions as F
 
+from weftview.functions.text import decode_entities, decode_entities_sql
 from weftview.operators.tokens import tokenize
 from weftview.plans.batch import page_views
 
@@ -72,3 +76,22 @@ def test_character_references(spark):
     got = views(spark, "&#8217; &#xe9; &eacute; &amp;lt; &nope; &#0; &#x110000; &#xD800; &#65 a&b &copy;",
                 "<a href='/x?a=1&amp;b=&#50;'>q</a>")
     assert [r for r, _ in got] == ["’ é é &lt; &nope; � � � A a&b ©", "[q](/x?a=1&b=2)"]
+
+
+def test_every_named_reference_of_html5(spark):
+    texts = [f"a &{name} b &amp;{name}" for name in html5]
+    texts += [f"&{name}{tail}" for name in ("notit", "ampere", "copyright", "ltgt", "Lt", "nopeit") for tail in ("", ";", "=1", " ", "&")]
+    texts += [f"&#{n};&#x{n:x};" for n in (*range(130, 141), *range(142, 160), 65, 233, 8217, 128, 0x1F600, 0x110000, 0xD800)]
+    want = [html.unescape(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.d for r in df.select("i", decode_entities(F.col("t")).alias("d")).orderBy("i").collect()]
+    assert got == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE x (i INTEGER, t VARCHAR)")
+    con.executemany("INSERT INTO x VALUES (?, ?)", list(enumerate(texts)))
+    assert [d for (d,) in con.execute(f"SELECT {decode_entities_sql('t')} FROM x ORDER BY i").fetchall()] == want
+
+
+def test_references_in_attributes_need_a_whole_word(spark):
+    got = views(spark, "<a href='/x?a=1&copy=2&notit&reg;&lt&NotEqualTilde;'>q</a> &copy=2 &notit;")
+    assert got[0][0] == "[q](/x?a=1&copy=2&notit®<\u2242\u0338) ©=2 ¬it;"

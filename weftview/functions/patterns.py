@@ -4,7 +4,7 @@ Everything here is a constant, written once and used by both engines so the
 two sides cannot drift apart.
 """
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 # --- fixed values: whitespace -------------------------------------------------
 # Python's str.strip() is Unicode aware while Java's and RE2's \s are ASCII only,
@@ -65,10 +65,14 @@ VOID_TAGS = (
 )
 
 # --- character references decoded in text and attributes ----------------------
-# Numeric ones and the named ones of HTML 4 (with '&apos;'), from the standard
-# library's table; each is decoded once, so '&amp;lt;' becomes '&lt;'.
-ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
-REFERENCE_RE = r"&(?:#[0-9]{1,9};?|#[xX][0-9A-Fa-f]{1,7};?|[A-Za-z][A-Za-z0-9]{1,30};)"
+# The named ones of HTML 5 from the standard library's table, by name without the ';', and the
+# legacy names that need none; each is decoded once, so '&amp;lt;' becomes '&lt;'.
+ENTITIES = {name[:-1]: text for name, text in sorted(html5.items()) if name.endswith(";")}
+LEGACY_ENTITIES = {name: text for name, text in sorted(html5.items()) if not name.endswith(";")}
+LEGACY_RE = "^(?:" + "|".join(sorted(LEGACY_ENTITIES, key=lambda name: (-len(name), name))) + ")"
+REFERENCE_RE = r"&(?:#[0-9]{1,9};?|#[xX][0-9A-Fa-f]{1,7};?|[A-Za-z][A-Za-z0-9]{1,31}[;=]?)"
+# Numbers 128 to 159 stand for the characters of windows-1252 (the control character where it has none).
+C1_TEXT = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160))
 
 # --- fixed values: content and noise selectors (priority order) ---------------
 CONTENT_SELECTORS = (

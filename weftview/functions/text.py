@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import ENTITIES, REFERENCE_RE, TRUNCATION_MARKER, WS, WS_CHARS
+from .patterns import C1_TEXT, ENTITIES, LEGACY_ENTITIES, LEGACY_RE, REFERENCE_RE, TRUNCATION_MARKER, WS, WS_CHARS
 from .sqltext import lit
 
 _TRIM_RE = f"^{WS}+|{WS}+$"
@@ -36,39 +36,62 @@ def collapse_ws_sql(e: str) -> str:
     return f"regexp_replace({e}, {lit(WS + '+')}, ' ', 'g')"
 
 
-def _named_references() -> Column:
-    return F.create_map(*(F.lit(x) for kv in ENTITIES.items() for x in kv))
+def _table(names: dict[str, str]) -> Column:
+    """A constant map, written as two strings so that a plan holds it as one folded literal."""
+    split = lambda words: F.split(F.lit("\u0001".join(words)), "\u0001", -1)
+    return F.map_from_arrays(split(names), split(names.values()))
 
 
-def _referred(ref: Column) -> Column:
-    """The character that ``&#..;``, ``&#x..;`` or ``&name;`` stands for: U+FFFD for a number that
-    is none, the reference itself for an unknown name."""
+def _referred(ref: Column, attribute: bool) -> Column:
+    """What a match of ``REFERENCE_RE`` stands for: U+FFFD for a number that is none, the reference
+    itself for an unknown name."""
     body = F.regexp_replace(ref, "^&|;$", "")
     number = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10)).otherwise(F.substring(body, 2, 9)).try_cast("long")
     valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
-    return F.when(body.startswith("#"), char).otherwise(F.coalesce(_named_references()[body], ref))
-
-
-def decode_entities(c: Column) -> Column:
-    """Decode character references; strings without ``&`` (most text) are left at once.
-
-    Spark has no callback replace, so the text is split around the references,
-    each is looked up, and both are zipped back together.
+    char = F.when(number.between(128, 159), F.substring(F.lit(C1_TEXT), (number - 127).cast("int"), F.lit(1))).otherwise(char)
+    # a lookup walks its map: the short one, with nearly all that pages write, comes first
+    named = F.when(ref.endswith(";"), F.coalesce(_table(LEGACY_ENTITIES)[body], _table(ENTITIES)[body]))
+    if attribute:
+        legacy = _table(LEGACY_ENTITIES)[body]
+    else:
+        name = F.regexp_extract(body, LEGACY_RE, 0)
+        legacy = F.concat(_table(LEGACY_ENTITIES)[name], F.substring(ref, F.length(name) + 2, F.length(ref)))
+    return F.when(body.startswith("#"), char).otherwise(F.coalesce(named, legacy, ref))
+
+
+def decode_entities(c: Column, attribute: bool = False) -> Column:
+    """Decode the character references of HTML 5; strings without ``&`` (most text) are left at once.
+
+    A legacy name needs no ``;``: in text the longest one that begins the word counts (``&notit;``
+    is ``¬it;``), in an ``attribute`` only a whole word with no ``=`` behind it, so that
+    ``?a=1&copy=2`` stays.  Spark has no callback replace, so the text is split around the
+    references, each is looked up, and both are zipped back together.
     """
     gaps, refs = F.split(c, REFERENCE_RE, -1), F.regexp_extract_all(c, F.lit(REFERENCE_RE), 0)
-    pieces = F.zip_with(gaps, refs, lambda g, r: F.concat(g, F.when(r.isNull(), "").otherwise(_referred(r))))
+    pieces = F.zip_with(gaps, refs, lambda g, r: F.concat(g, F.when(r.isNull(), "").otherwise(_referred(r, attribute))))
     return F.when(F.instr(c, "&") > 0, F.array_join(pieces, "")).otherwise(c)
 
 
-def decode_entities_sql(e: str) -> str:
-    named = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in ENTITIES.items()) + "}"
+def _table_sql(names: dict[str, str]) -> str:
+    split = lambda words: f"string_split({lit(chr(1).join(words))}, chr(1))"
+    return f"map({split(names)}, {split(names.values())})"
+
+
+def decode_entities_sql(e: str, attribute: bool = False) -> str:
     body = "regexp_replace(r, '^&|;$', '', 'g')"
     number = (f"CASE WHEN regexp_matches({body}, '^#[xX]') THEN try_cast('0x' || substr({body}, 3) AS BIGINT) "
               f"ELSE try_cast(substr({body}, 2) AS BIGINT) END")
-    char = (f"chr(CASE WHEN ({number}) BETWEEN 1 AND 1114111 AND NOT ({number}) BETWEEN 55296 AND 57343 "
-            f"THEN ({number})::INTEGER ELSE 65533 END)")
-    one = f"CASE WHEN starts_with({body}, '#') THEN {char} ELSE coalesce({named}[{body}], r) END"
+    char = (f"CASE WHEN ({number}) BETWEEN 128 AND 159 THEN substr({lit(C1_TEXT)}, ({number}) - 127, 1) ELSE "
+            f"chr(CASE WHEN ({number}) BETWEEN 1 AND 1114111 AND NOT ({number}) BETWEEN 55296 AND 57343 "
+            f"THEN ({number})::INTEGER ELSE 65533 END) END")
+    named = f"CASE WHEN ends_with(r, ';') THEN {_table_sql(ENTITIES)}[{body}] END"
+    if attribute:
+        legacy = f"{_table_sql(LEGACY_ENTITIES)}[{body}]"
+    else:
+        name = f"regexp_extract({body}, {lit(LEGACY_RE)}, 0)"
+        legacy = f"{_table_sql(LEGACY_ENTITIES)}[{name}] || substr(r, length({name}) + 2)"
+    one = f"CASE WHEN starts_with({body}, '#') THEN {char} ELSE coalesce({named}, {legacy}, r) END"
     refs = f"list_transform(regexp_extract_all({e}, {lit(REFERENCE_RE)}, 0), lambda r: {one})"
     gaps = f"regexp_split_to_array({e}, {lit(REFERENCE_RE)})"
     return (f"(CASE WHEN contains({e}, '&') THEN array_to_string(list_transform(list_zip({gaps}, {refs}), "

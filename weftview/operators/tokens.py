@@ -84,7 +84,7 @@ def attr_pair_value(a: Column) -> Column:
     quoted = (n >= 2) & (
         (v.startswith('"') & v.endswith('"')) | (v.startswith("'") & v.endswith("'"))
     )
-    return decode_entities(F.when(quoted, F.substring(v, F.lit(2), n - 2)).otherwise(v))
+    return decode_entities(F.when(quoted, F.substring(v, F.lit(2), n - 2)).otherwise(v), attribute=True)
 
 
 PAGE_PARTITIONS_CONF = "weftview.pagePartitions"

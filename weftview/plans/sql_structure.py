@@ -36,7 +36,7 @@ def attr_pair_value_sql(a: str) -> str:
     v = f"regexp_extract({a}, '(?s)^[^=]*=\\s*(.*)$', 1)"
     quoted = (f"(length({v}) >= 2 AND ((starts_with({v}, '\"') AND ends_with({v}, '\"')) "
               f"OR (starts_with({v}, '''') AND ends_with({v}, ''''))))")
-    return decode_entities_sql(f"(CASE WHEN {quoted} THEN substr({v}, 2, length({v}) - 2) ELSE {v} END)")
+    return decode_entities_sql(f"(CASE WHEN {quoted} THEN substr({v}, 2, length({v}) - 2) ELSE {v} END)", attribute=True)
 
 
 def attr_name_sql(a: str) -> str:
