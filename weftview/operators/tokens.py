@@ -107,7 +107,8 @@ def page_partitions(df: DataFrame) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, shuffle)
 
 
-def tokenize(pages: DataFrame, partitions: int | None = None, with_url: bool = False) -> DataFrame:
+def tokenize(pages: DataFrame, partitions: int | None = None, with_url: bool = False,
+             placed: bool = False) -> DataFrame:
     """``pages(page_id, html)`` -> tokens, hash-partitioned by ``page_id``.
 
     Columns: ``page_id, pos`` (0-based), ``tok``, ``kind`` (start, end, raw,
@@ -120,10 +121,13 @@ def tokenize(pages: DataFrame, partitions: int | None = None, with_url: bool = F
     shuffle on each page's first row only (NULL elsewhere), and a page without
     tokens keeps one row with NULL ``pos``/``tok``, so per-page aggregates see
     every page and need no join back to ``pages`` for the URL.
+
+    ``placed``: ``pages`` is partitioned by ``page_id`` already (a table of ``sources.crawl``) and
+    is not shuffled.  Pages that are not give the same result: Spark then shuffles their tokens.
     """
-    n = partitions or page_partitions(pages)
-    cols = ["page_id", "url", "html"] if with_url else ["page_id", "html"]
-    p = pages.select(*cols).repartition(n, "page_id")
+    p = pages.select(*(["page_id", "url", "html"] if with_url else ["page_id", "html"]))
+    if not placed:
+        p = p.repartition(partitions or page_partitions(pages), "page_id")
     toks = F.regexp_extract_all("html", F.lit(TOKEN_RE), 0)
     if with_url:
         t = p.select("page_id", "url", F.posexplode_outer(toks).alias("pos", "tok"))

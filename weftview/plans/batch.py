@@ -28,9 +28,11 @@ from ..operators.links import extract_links
 from ..operators.tokens import tokenize
 
 
-def page_views(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
-    """``pages(page_id, url, html)`` -> ``(page_id, url, view_id, content)`` for raw and clean."""
-    st = page_structure(tokenize(pages.select("page_id", "url", "html"), with_url=True))
+def page_views(pages: DataFrame, max_chars: int | None = None, placed: bool = False) -> DataFrame:
+    """``pages(page_id, url, html)`` -> ``(page_id, url, view_id, content)`` for raw and clean.
+
+    ``placed``: the pages are a table of ``sources.crawl``, and the plan has no exchange."""
+    st = page_structure(tokenize(pages.select("page_id", "url", "html"), with_url=True, placed=placed))
     st = M.render_context(st).withColumn("frag_raw", M.fragment(images=True, raw=True))
     st = st.drop(*M.CONTEXT_COLUMNS)
     st = M.render_context(st, "keep").withColumn("frag_clean", M.fragment(images=False, raw=False))
@@ -56,11 +58,11 @@ def page_views(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
 
 
 def write_page_views(spark: SparkSession, pages: DataFrame, out_dir: str,
-                     max_chars: int | None = None) -> dict[str, str]:
+                     max_chars: int | None = None, placed: bool = False) -> dict[str, str]:
     """Write ``view_content`` (partitioned by ``view_id``) and ``links``; return their paths."""
     out = out_dir.rstrip("/")
     views_path, links_path = f"{out}/view_content", f"{out}/links"
-    page_views(pages, max_chars).write.mode("overwrite").partitionBy("view_id").parquet(views_path)
+    page_views(pages, max_chars, placed).write.mode("overwrite").partitionBy("view_id").parquet(views_path)
     raw = spark.read.parquet(views_path).where(F.col("view_id") == "raw")
     links = extract_links(raw.select("page_id", "url", "content"), ["page_id", "url"], "content")
     links.write.mode("overwrite").parquet(links_path)
