@@ -101,6 +101,15 @@ def test_word_ids_are_the_tokenizers():
     assert [x.tolist() for x in packing.WordIds(vocabulary("word_bpe_49k.json"))(texts)] == [e[:-1] for e in _encoded(texts)]
 
 
+def test_plain_words_need_no_normalizer():
+    chars = [chr(c) for c in [9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)]]
+    rng = random.Random(5)
+    texts = ["".join(chars), *("".join(rng.choices(chars, k=80)) for _ in range(300)), "I'LL we've'S'd 'T''re"]
+    ids = packing.WordIds(vocabulary("word_bpe_49k.json"))
+    assert [x.tolist() for x in ids([t for t in texts if "<|" not in t])] == [e[:-1] for e in _encoded([t for t in texts if "<|" not in t])]
+    assert ids.words.normalizer is None and not ids.whole.cache_info().currsize
+
+
 def test_packing_places_each_id_once_without_padding(spark):
     rng = random.Random(2)
     texts = ODD + [" ".join(rng.choice(["the", "packing", "of", "Zebra's"]) for _ in range(rng.choice([3, 40, 900, 6000]))) for _ in range(60)]

@@ -19,6 +19,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark import TaskContext
@@ -38,21 +39,24 @@ _LETTER = "a-zªµºß-öø-ÿ"
 _DIGIT = "0-9²³¹¼½¾"
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
 #: The tokenizer's own split, for lower-case text of these characters.
-_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
+_WORD = re.compile(rf"[{_LETTER}]+|'(?:[stmd]|re|ve|ll)|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
 
 
 class WordIds:
     """ids of whole texts by a word-level BPE tokenizer; a word's ids are kept once found.
 
     The split into words is done here only for plain Latin text, whose lower case and classes are
-    certain; any other text, or one with a special token's string, goes to the tokenizer whole."""
+    certain; any other text, or one with a special token's string, goes to the tokenizer whole.  Words
+    found here are lower-case and composed already, so that theirs needs no normalizer."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
+        self.whole = cache(lambda: Tokenizer.from_file(path))  # once a text needs it
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer = None
+        vocabulary = self.words.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {}
@@ -62,19 +66,20 @@ class WordIds:
         words = [_WORD.findall(t.lower()) if ok else [] for t, ok in zip(texts, plain, strict=True)]
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
-        new = [w for w in {w for x in words for w in x} if w not in self.kept]
-        for a in range(0, len(new), 500):
-            self._keep(new[a:a + 500])
+        new = list(set().union(*words).difference(self.kept))
+        for a in range(0, len(new), 100):
+            self._keep(new[a:a + 100])
         get = self.kept.__getitem__
-        return [np.frombuffer(b"".join(map(get, w)), np.uint32) if ok else self._encoded(t) if t else np.zeros(0, np.uint32)
+        return [np.frombuffer(b"".join(map(get, w)), np.uint32) if ok else self._encoded(self.whole(), t) if t else np.zeros(0, np.uint32)
                 for t, w, ok in zip(texts, words, plain, strict=True)]
 
-    def _encoded(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+    @staticmethod
+    def _encoded(tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _keep(self, words: list[str]) -> None:
         """ids of words, found in one call: the token that ends a word is marked in the vocabulary."""
-        ids = self._encoded(" ".join(words))
+        ids = self._encoded(self.words, " ".join(words))
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) == len(words):
             data, a = ids.tobytes(), 0
@@ -82,7 +87,7 @@ class WordIds:
                 self.kept[w] = data[a:b]
                 a = b
         else:
-            self.kept.update((w, self._encoded(w).tobytes()) for w in words)
+            self.kept.update((w, self._encoded(self.words, w).tobytes()) for w in words)
 
 
 def _sizes(total: int, width: int) -> np.ndarray:
