@@ -236,6 +236,17 @@ def test_page_partitions_fixed_and_overridable(spark):
         spark.conf.unset(PAGE_PARTITIONS_CONF)
 
 
+def test_page_partitions_grow_with_the_html(spark, monkeypatch):
+    from weftview.operators import tables, tokens
+
+    pages = pages_df(spark, ["<table><tr><td>first cell</td><td>é second</td></tr></table>"] * 50 + ["", None])
+    want = {(r.page_id, r.text) for r in tables.table_rows(pages).collect()}
+    monkeypatch.setattr(tokens, "PARTITION_BYTES", 64)  # less than a page
+    n = tokens.page_partitions(pages)
+    assert n == -(-50 * 61 // 64) and ", %d)" % n in tables.table_rows(pages)._jdf.queryExecution().executedPlan().toString()
+    assert {(r.page_id, r.text) for r in tables.table_rows(pages).collect()} == want == {(i, "first cell | é second") for i in range(50)}
+
+
 def test_title_lookup_after_noise_removal_only_in_whole_page_branch(spark):
     # No main content -> the title inside <nav> (noise) is skipped;
     # with main content the first <title> anywhere wins.

@@ -78,6 +78,7 @@ def table_rows(pages: DataFrame) -> DataFrame:
     Null and empty pages, and pages without a table, give no rows.
     """
     t = tokenize(pages.select("page_id", "html"))
+    t = t.where((F.col("kind") == "text") | F.col("tag").isin(*(n for names in _GROUPS.values() for n in names)))
     t = t.withColumn("href", F.when(F.col("tag") == "a", attr_value("attrs", "href")))
     x = enclosing(_depths(t))
     under = F.concat(*[F.transform(F.col(f"{g}s"), _of(g, "k")) for g in ("link", "cell")])

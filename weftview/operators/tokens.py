@@ -89,6 +89,9 @@ def attr_pair_value(a: Column) -> Column:
 
 PAGE_PARTITIONS_CONF = "weftview.pagePartitions"
 
+#: HTML of one partition.  A sort of its token rows takes about 20 times that, and a plan holds several.
+PARTITION_BYTES = 4 << 20
+
 
 def page_partitions(df: DataFrame) -> int:
     """Partitions for the page shuffle.
@@ -96,7 +99,10 @@ def page_partitions(df: DataFrame) -> int:
     Tokenising is CPU-bound per byte of HTML, so the count is fixed rather than
     left to AQE (which sizes partitions by bytes and would merge a small-in-
     bytes, heavy-in-CPU stage into a few tasks): ``weftview.pagePartitions``
-    if set, else ``max(2 x defaultParallelism, spark.sql.shuffle.partitions)``.
+    if set, else ``max(2 x defaultParallelism, spark.sql.shuffle.partitions)``,
+    or one per ``PARTITION_BYTES`` of HTML where that is more, so that a task's
+    token sorts stay in memory however many pages there are (the bytes are
+    summed in a job of its own; a stream's are not known).
     A repartition by number is not coalesced by AQE.
     """
     spark = df.sparkSession
@@ -104,7 +110,11 @@ def page_partitions(df: DataFrame) -> int:
     if conf:
         return int(conf)
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2 * spark.sparkContext.defaultParallelism, shuffle)
+    least = max(2 * spark.sparkContext.defaultParallelism, shuffle)
+    if df.isStreaming:
+        return least
+    total = df.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
+    return max(least, -(-total // PARTITION_BYTES))
 
 
 def tokenize(pages: DataFrame, partitions: int | None = None, with_url: bool = False,
