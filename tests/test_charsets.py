@@ -80,3 +80,10 @@ def test_long_and_hostile_bodies_take_linear_time():
     for body in (b"\xe9" * 1_000_000, b"\x81" * 1_000_000, b"a\xe9" * 500_000, b"\xa4\xa2" * 500_000, bytes(range(256)) * 4000):
         assert isinstance(charsets.detected_text(body), str)
     assert time.time() - began < 30
+
+
+def test_bodies_go_to_python_in_small_batches(spark):
+    from weftview.plans.render import page_errors
+
+    plan = page_errors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan

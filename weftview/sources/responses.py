@@ -9,7 +9,8 @@ replacements.  Any other declared charset is decoded by Python's codecs, bad
 sequences replaced; one that no codec knows counts as not declared.
 
 UTF-8 bodies are decoded in the JVM.  The rest, few rows of a crawl, go to Python
-in Arrow batches; other rows send nulls there, not their bodies.
+in pickled batches of a hundred rows, as an Arrow batch of 10,000 whole bodies would all be
+in a worker's memory at once; other rows send nulls there, not their bodies.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def decode_body(body: Column, charset: Column) -> Column:
     as_text = body.cast("string")
     suspect, declared_utf8 = cs.isin(*SUSPECT_CHARSETS), cs.isin(*UTF8_NAMES)
     python = ~declared_utf8 & ~(suspect & F.is_valid_utf8(as_text))
-    decoded = F.udf(_by_codec, "string", useArrow=True)(F.when(python, body), F.when(python & ~suspect, cs))
+    decoded = F.udf(_by_codec, "string", useArrow=False)(F.when(python, body), F.when(python & ~suspect, cs))
     return (F.when(body.isNull(), F.lit(None).cast("string"))
             .when(declared_utf8, F.make_valid_utf8(as_text))
             .when(python, decoded).otherwise(as_text))
