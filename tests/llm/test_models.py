@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from weftview.llm import quality, queries, toxicity
@@ -57,3 +58,23 @@ def test_long_texts_are_read_in_blocks_alike():
     finally:
         quality._BLOCK = block
     assert abs(whole[:24] - one[:24]).max() < 1e-4 and abs(whole[24:] - one[24:]).max() < 1e-3
+
+
+def test_texts_are_scored_and_counts_sent_in_small_parts(monkeypatch):
+    from weftview.llm import langid
+    from weftview.llm.common import cell_batches, cell_rows
+
+    grams = np.frombuffer(b"abcdbcda", ">u4").astype(np.uint32)
+    model = langid.build({"x": (grams, np.ones(2)), "y": (grams[:1], np.ones(1))})
+    texts, sizes, totals = ["bcda " * 40] * 2000, [], langid.Model.totals
+    want = totals(model, [texts[0].encode()])[0]
+    monkeypatch.setattr(langid.Model, "totals", lambda self, data: sizes.append(sum(map(len, data))) or totals(self, data))
+    lang, _, bits = langid._identified(model, texts)
+    assert max(sizes) <= 1 << 17 and sum(sizes) == 400_000
+    assert lang == [["x", "y"][want.argmin()]] * 2000 and bits == [want.min() / 200] * 2000
+
+    cells = np.arange(10_000, dtype=np.uint32)
+    parts = list(cell_batches(cells, 64, 16))
+    assert max(map(len, parts)) == 16
+    whole = cell_rows(cells, 64)
+    assert [(c, b) for p in parts for c, b in zip(p["chunk"], p["cells"], strict=True)] == list(zip(whole["chunk"], whole["cells"], strict=True))

@@ -76,12 +76,20 @@ def cell_rows(cells: np.ndarray, chunk: int = 1 << 12) -> pd.DataFrame:
     return pd.DataFrame({"chunk": np.arange(len(parts), dtype=np.int32), "cells": [p.tobytes() for p in parts]})
 
 
+def cell_batches(cells: np.ndarray, chunk: int = 1 << 12, rows: int = 64) -> Iterator[pd.DataFrame]:
+    """The rows of cell_rows, some at a time: all at once are several copies of the counts in memory."""
+    for i in range(0, len(cells), rows * chunk):
+        part = cell_rows(cells[i:i + rows * chunk], chunk)
+        part["chunk"] += i // chunk
+        yield part
+
+
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(),
           "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
           "array<binary>": pa.list_(pa.binary()), "array<string>": pa.list_(pa.string())}
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns what a task no longer needs to the system: workers are reused, and idle ones hold it."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not glibc
@@ -99,6 +107,6 @@ def map_columns(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], s
         for out in fn({c: p.column(c).to_pylist() for c in p.schema.names} for p in parts):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in fields], schema=fields)
         out = None
-        _give_back()
+        give_back()
 
     return df.mapInArrow(each, schema)

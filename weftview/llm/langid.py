@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, small
+from .common import give_back, map_columns, small
 from .shingles import in_chunks
 
 ORDER = 3
@@ -31,6 +31,8 @@ UNKNOWN = "und"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] = _LOWER[97:123]
 _STEP = 1 << 20
+#: Bytes of text scored at once; the arrays for it take about 150 times that.
+PART = 1 << 17
 
 
 def _grams(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +149,7 @@ def _identified(model: Model | None, texts: list[str | None]) -> tuple[list[str]
     known = [model is not None and has_letter(t) for t in texts]
     lang, score, bits = [UNKNOWN] * len(known), [0.0] * len(known), [None] * len(known)
     at = [i for i, ok in enumerate(known) if ok]
-    for first, data in in_chunks([texts[i] for i in at], 1 << 20):
+    for first, data in in_chunks([texts[i] for i in at], PART):
         total = model.totals(data)
         best, least = total.argmin(axis=1), total.min(axis=1)
         share = 1 / np.exp2(np.maximum(least[:, None] - total, -1000)).sum(axis=1)
@@ -174,6 +176,7 @@ def identified(docs: DataFrame, model: Model | None, least: float = 0.5) -> Data
 
     def sure(texts: pd.Series) -> pd.Series:
         lang, score, _ = _identified(model, [t if isinstance(t, str) else None for t in texts])
+        give_back()
         return pd.Series([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)], dtype=bool)
 
     return docs.where(F.pandas_udf(sure, "boolean")(F.col("text")))

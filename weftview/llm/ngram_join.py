@@ -33,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cell_rows, map_columns, saved, small, summed_cells
+from .common import cell_batches, map_columns, saved, small, summed_cells
 from .components import connected_components
 from .shingles import in_chunks, mix, shingle_hashes
 
 CELLS = 1 << 22
 NEAR = (4, 16)
+#: Bytes of text hashed at once; the arrays for it take about 60 times that.
+PART = 1 << 18
 _SETS = "doc_id long, n long, set1 long, set2 long, grp1 long, grp2 long, prefix array<long>"
 
 
@@ -48,11 +50,11 @@ def _counted(docs: DataFrame, words: int, cells: int) -> np.ndarray:
     def count(batches: Iterator[dict]) -> Iterator[dict]:
         total = np.zeros(cells, np.uint32)
         for b in batches:
-            for _, data in in_chunks(b["text"]):
+            for _, data in in_chunks(b["text"], PART):
                 h, _ = shingle_hashes(data, words)
                 at, n = np.unique((h >> np.uint64(40)) % np.uint64(cells), return_counts=True)
                 total[at] += n.astype(np.uint32)
-        yield cell_rows(total)
+        yield from cell_batches(total)
 
     return summed_cells(map_columns(docs.select("text"), count, "chunk int, cells binary"))
 
@@ -79,7 +81,7 @@ def prefix_length(n: int, percent: int) -> int:
 def _sets(docs: DataFrame, words: int, percent: int, levels: np.ndarray) -> DataFrame:
     def each(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            for first, data in in_chunks(b["text"]):
+            for first, data in in_chunks(b["text"], PART):
                 h, at = shingle_hashes(data, words)
                 rows = []
                 for i in range(len(data)):
@@ -154,7 +156,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            for first, data in in_chunks(b["text"], 1 << 20):
+            for first, data in in_chunks(b["text"], PART):
                 h, at = shingle_hashes(data, words)
                 yield {"doc_id": b["doc_id"][first:first + len(data)],
                        "keys": [np.unique(h[at[i]:at[i + 1]]).tobytes() for i in range(len(data))]}
