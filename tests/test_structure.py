@@ -1,6 +1,7 @@
 """Tokens, scopes, titles, main content and noise removal."""
 
 import random
+import re
 from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
@@ -195,6 +196,44 @@ def test_nested_rows_equal_a_walk_of_the_tree(spark):
     assert got == {i: rows for i, p in enumerate(pages) if p and (rows := _Tree(p).rows())} and len(got) > 20
 
 
+def test_table_rows_read_each_token_once(spark):
+    # no window over the tokens and no row for each level a token is nested at: a row a token, then a row a page
+    from weftview.operators.tables import table_rows
+
+    plan = table_rows(pages_df(spark, ["<table>"]))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Generate ") == 1 and len(re.findall(r"Exchange ", plan)) == 1
+
+
+def test_table_rows_of_repeated_and_null_page_ids(spark):
+    from weftview.operators.tables import table_rows
+
+    html = "<table><tr><td>first cell</td><td><a href=/x>some link</a></td></tr></table>"
+    df = spark.createDataFrame([(1, html), (None, html), (2, html), (2, html)], "page_id long, html string")
+    got = {(r.page_id, r.row_pos): r.text for r in table_rows(df).collect()}
+    one, link = "first cell | [some link](/x)", "[" + 4 * "some link" + "](/x)"
+    assert got[1, 1] == got[None, 1] == one
+    # copies of a page are one page: a token of each is in the elements of both
+    assert set(got) == {(1, 1), (None, 1), (2, 1)} and link in got[2, 1]
+
+
+def test_token_kinds_and_names_are_those_of_the_rules(spark):
+    from weftview.functions.patterns import RAW_RE, SELF_CLOSING_RE, VOID_TAGS
+
+    toks = ["<td>", "</td>", "<TD>", "</Td >", "<td/>", "<td />", "<td<>", "<a/href=x>", "<p\t>", "<p\x0b>", "<p\x85>", "<br>", "<br/>", "<h1>",
+            "<tables>", "<script-x>", "<SCRIPT>", "<scripty>", "<title>", "<İx y>", "<İ>", "<img src=a/>", '<img src="a"/>', "</3>", "<!x>", "<?x>", "<!-- x -->", "<p"]
+    rows = tokenize(pages_df(spark, toks)).where("pos = 0").select("tok", "kind", "tag", "sign", "attrs").collect()
+    for r in rows:
+        start = re.match("<[A-Za-z]", r.tok)
+        kind = ("comment" if r.tok.startswith("<!--") else "raw" if re.match(RAW_RE, r.tok, re.A) else "end" if re.match("</[A-Za-z]", r.tok)
+                else "start" if start else "decl" if re.match("<[!?/]", r.tok) else "text")
+        name = re.match(r"</?([A-Za-z][^\s/>]*)", r.tok, re.A)
+        tag = name[1].lower() if kind in ("start", "end", "raw") else None
+        sign = 0 if tag in VOID_TAGS else {"start": 0 if re.search(SELF_CLOSING_RE, r.tok, re.A) else 1, "end": -1}.get(kind, 0)
+        assert (r.kind, r.tag, r.sign) == (kind, tag, sign), r
+        assert (r.attrs is None) == (kind != "start")
+    assert len(rows) >= len(toks) - 1
+
+
 def test_response_decoding(spark):
     from weftview.sources.responses import load_pages
 

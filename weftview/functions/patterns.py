@@ -33,6 +33,8 @@ _TOKEN_ALTS = (
 )
 TOKEN_RE = "(?is)" + "|".join(_TOKEN_ALTS)
 TOKEN_RE_RE2 = TOKEN_RE.replace("++", "+").replace("*+", "*").replace("?+", "?")
+# The same tokens with text first and the '<' that the other alternatives begin with looked at once.
+TOKEN_RE_JAVA = "(?is)[^<]++|<(?:" + "|".join(a[1:] for a in _TOKEN_ALTS if a.startswith("<")) + ")"
 RAW_RE = rf"(?i)^<(?:{'|'.join(RAW_TAGS)})\b"
 RAW_TEXT_RE = rf"(?is)^<[^>]*>(.*?)(?:</(?:{'|'.join(RAW_TAGS)})\s*>)?$"
 TEXT_RAW_TAGS = ("title", "textarea")  # raw elements whose content is text
@@ -55,6 +57,16 @@ IMPLIED_ENDS = {
     "option": ("option", "optgroup"),
 }
 
+# --- fixed values: tags without attributes whose kind and name need no look at their characters
+# (an element that is not named here is only slower)
+PLAIN_NAMES = (
+    "a abbr address article aside b blockquote body br button caption cite code col colgroup dd del details dfn div dl dt em "
+    "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html i img input ins kbd label legend li main mark "
+    "nav noscript ol optgroup option p pre q s samp section select small span strong sub summary sup table tbody td tfoot th "
+    "thead time tr u ul var"
+).split()
+PLAIN_STARTS, PLAIN_ENDS = tuple(f"<{n}>" for n in PLAIN_NAMES), tuple(f"</{n}>" for n in PLAIN_NAMES)
+
 # Attribute inside a start tag (the tag name already removed).
 ATTR_RE = r"""[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
 

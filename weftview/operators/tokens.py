@@ -15,6 +15,7 @@ text-length sums.
 from __future__ import annotations
 
 from functools import cache
+from string import ascii_letters
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,11 +23,14 @@ from pyspark.sql import functions as F
 from ..functions.patterns import (
     ATTR_RE,
     IMPLIED_ENDS,
+    PLAIN_ENDS,
+    PLAIN_STARTS,
     RAW_RE,
+    RAW_TAGS,
     RAW_TEXT_RE,
     SELF_CLOSING_RE,
     TEXT_RAW_TAGS,
-    TOKEN_RE,
+    TOKEN_RE_JAVA,
     VOID_TAGS,
     WS,
 )
@@ -38,17 +42,30 @@ TOKEN_COLUMNS = ["page_id", "pos", "tok", "kind", "tag", "sign", "text", "tlen",
 
 
 def token_kind(tok: Column) -> Column:
+    # Looks at the first characters; a regex runs only on what may be a raw element.
+    at = lambda i, n=1: F.substring(tok, i, n)
+    raw = F.lower(at(2, 2)).isin(*sorted({t[:2] for t in RAW_TAGS})) & tok.rlike(RAW_RE)
     return (
         F.when(~tok.startswith("<"), "text")
+        .when(tok.isin(*PLAIN_STARTS), "start")
+        .when(tok.isin(*PLAIN_ENDS), "end")
         .when(tok.startswith("<!--"), "comment")
-        .when(tok.rlike(RAW_RE), "raw")
-        .when(tok.rlike("^</[A-Za-z]"), "end")
-        .when(tok.rlike("^<[A-Za-z]"), "start")
-        .when(tok.rlike("^<[!?/]"), "decl")
+        .when(raw, "raw")
+        .when(tok.startswith("</") & at(3).isin(*ascii_letters), "end")
+        .when(at(2).isin(*ascii_letters), "start")
+        .when(at(2).isin("!", "?", "/"), "decl")
         .otherwise("text")
     )
 
 
+def tag_name(tok: Column, end: Column) -> Column:
+    """Lower-cased name of a tag (``end``: of an end tag): what comes before the first space, ``/`` or ``>``."""
+    name = F.substring(tok, F.when(end, 3).otherwise(2), F.length(tok))
+    for stop in ">/ \n\t\r\f\v":
+        name = F.substring_index(name, stop, 1)
+    return F.lower(name)
+
+
 def attr_value(attrs: Column | str, name: str) -> Column:
     """Value of the first attribute called ``name`` (NULL when absent).
 
@@ -68,8 +85,11 @@ def _attr_value_named(attrs: str, name: str) -> Column:
 
 
 def _attr_value(attrs: Column, name: str) -> Column:
-    hit = F.get(F.filter(attrs, lambda a: attr_name(a) == name), 0)
-    return F.when(hit.isNotNull(), attr_pair_value(hit))
+    # Each step is a transform of the one hit, so that what a step makes is computed once however
+    # often the next one names it; other names are told apart without a regex.
+    hit = F.filter(attrs, lambda a: (F.lower(F.substring(a, 1, len(name))) == name) & (attr_name(a) == name))
+    value = F.transform(F.transform(F.slice(hit, 1, 1), _raw_value), _unquoted)
+    return F.get(F.transform(value, lambda v: decode_entities(v, attribute=True)), 0)
 
 
 def attr_name(a: Column) -> Column:
@@ -79,12 +99,19 @@ def attr_name(a: Column) -> Column:
 
 def attr_pair_value(a: Column) -> Column:
     """Unquoted, entity-decoded value of a raw attribute ('' when it has none)."""
-    v = F.regexp_extract(a, r"(?s)^[^=]*=\s*(.*)$", 1)
+    return decode_entities(_unquoted(_raw_value(a)), attribute=True)
+
+
+def _raw_value(a: Column) -> Column:
+    return F.regexp_extract(a, r"(?s)^[^=]*=\s*(.*)$", 1)
+
+
+def _unquoted(v: Column) -> Column:
     n = F.length(v)
     quoted = (n >= 2) & (
         (v.startswith('"') & v.endswith('"')) | (v.startswith("'") & v.endswith("'"))
     )
-    return decode_entities(F.when(quoted, F.substring(v, F.lit(2), n - 2)).otherwise(v), attribute=True)
+    return F.when(quoted, F.substring(v, F.lit(2), n - 2)).otherwise(v)
 
 
 PAGE_PARTITIONS_CONF = "weftview.pagePartitions"
@@ -138,7 +165,7 @@ def tokenize(pages: DataFrame, partitions: int | None = None, with_url: bool = F
     p = pages.select(*(["page_id", "url", "html"] if with_url else ["page_id", "html"]))
     if not placed:
         p = p.repartition(partitions or page_partitions(pages), "page_id")
-    toks = F.regexp_extract_all("html", F.lit(TOKEN_RE), 0)
+    toks = F.regexp_extract_all("html", F.lit(TOKEN_RE_JAVA), 0)
     if with_url:
         t = p.select("page_id", "url", F.posexplode_outer(toks).alias("pos", "tok"))
         t = t.withColumn("url", F.when(F.col("pos").isNull() | (F.col("pos") == 0), F.col("url")))
@@ -157,16 +184,18 @@ def _token_exprs() -> dict[str, Column]:
     """Column expressions of ``tokenize``, built once per process."""
     tok, kind, tag = F.col("tok"), F.col("kind"), F.col("tag")
     out = {"kind": token_kind(tok)}
-    out["tag"] = F.when(kind.isin("start", "end", "raw"),
-                        F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][^\s/>]*)", 1)))
+    plain = tok.isin(*PLAIN_STARTS)
+    out["tag"] = F.when(plain | tok.isin(*PLAIN_ENDS), F.btrim(tok, F.lit("</>"))).when(
+        kind.isin("start", "end", "raw"), tag_name(tok, kind == "end"))
     out.update({
-        "sign": F.when((kind == "start") & ~tag.isin(*VOID_TAGS) & ~tok.rlike(SELF_CLOSING_RE), 1)
+        "sign": F.when((kind == "start") & ~tag.isin(*VOID_TAGS) & ~(tok.contains("/>") & tok.rlike(SELF_CLOSING_RE)), 1)
         .when((kind == "end") & ~tag.isin(*VOID_TAGS), -1)
         .otherwise(0),
         "text": F.when(kind == "text", decode_entities(tok)).when(
             (kind == "raw") & tag.isin(*TEXT_RAW_TAGS), decode_entities(F.regexp_extract(tok, RAW_TEXT_RE, 1)),
         ),
-        "attrs": F.when(kind == "start",
+        "attrs": F.when(plain, F.array().cast("array<string>")).when(
+                        kind == "start",
                         F.regexp_extract_all(F.regexp_replace(tok, r"^<[A-Za-z][^\s/>]*", ""),
                                              F.lit(ATTR_RE), 0)),
     })
